@@ -75,3 +75,30 @@ def stab_join(points: DataFrame, intervals: DataFrame, keys: Sequence[str], at:
     for k, a in zip(keys, rk):
         cond = (F.col(k) == F.col(a)) & cond
     return l.join(r, cond, how).drop("__pc", "__rc", "__s", "__e", *rk)
+
+
+def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], lspan: tuple[Column, Column],
+                 rspan: tuple[Column, Column], width: float, strict: bool = False,
+                 also: tuple[tuple[Column, Column], tuple[Column, Column]] | None = None) -> DataFrame:
+    """Pairs of intervals (or, with ``also``, boxes) that overlap.
+
+    Both sides are copied to the cells they touch; a pair is kept only in the first cell both
+    touch, so it comes out once without a distinct.
+    """
+    def cells(df: DataFrame, span: tuple[Column, Column], tag: str) -> DataFrame:
+        return (df.withColumn(f"__{tag}0", cell(span[0], width))
+                .withColumn(f"__{tag}c", F.explode(F.sequence(cell(span[0], width), F.greatest(cell(span[0], width),
+                                                                                           cell(span[1], width))))))
+
+    r, rk = _prefixed(right, keys)
+    l, r = cells(left, lspan, "l"), cells(r, rspan, "r")
+
+    def meets(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
+        return ((a[0] < b[1]) & (b[0] < a[1])) if strict else ((a[0] <= b[1]) & (b[0] <= a[1]))
+
+    cond = ((F.col("__lc") == F.col("__rc")) & (F.col("__lc") == F.greatest("__l0", "__r0")) & meets(lspan, rspan))
+    if also is not None:
+        cond = cond & meets(*also)
+    for k, a in zip(keys, rk):
+        cond = (F.col(k) == F.col(a)) & cond
+    return l.join(r, cond).drop("__lc", "__rc", "__l0", "__r0", *rk)
