@@ -15,7 +15,7 @@ from quaverlake.operators.asof import asof_join
 from quaverlake.operators.assign import greedy_assign
 from quaverlake.operators.bands import band_join, box_join, overlap_join, stab_join
 from quaverlake.operators.ranks import top_n_per_key, upper_median
-from quaverlake.operators.segments import carry_last, following, islands, previous, running_max, running_min
+from quaverlake.operators.segments import carry_last, following, islands, previous, running_max, running_min, settle
 
 # Tolerances in points or staff spaces, glyph code points.
 MATCH_DISTANCE = 1.5
@@ -300,6 +300,7 @@ def carry_direction(marks: DataFrame, keys: Sequence[str], chunk: Column | None
     # A run is closed by its last mark, the first one that takes nothing: its direction is the run's.
     opens = previous(linked, keys, order, {"__pt": "__takes"}, chunk)
     runs = islands(opens, keys, order, ~F.coalesce(F.col("__pt"), F.lit(False)), "__run", chunk)
+    runs = settle(runs, chunk)
     ends = runs.filter(~F.col("__takes")).select(*keys, "__run", F.col("direction").alias("__rd"))
     back = (runs.join(ends, [*keys, "__run"], "left").withColumn("direction", F.coalesce("direction", "__rd"))
             .drop("__rd", "__run", "__pt", "__takes", "__nx", "__nd"))
@@ -311,10 +312,11 @@ def carry_direction(marks: DataFrame, keys: Sequence[str], chunk: Column | None
     rows = back.withColumn("__pass", passing).withColumn("__set", F.when(~passing, F.struct(sets.alias("v"))))
     rows = islands(rows, keys, order, ~F.col("__pass"), "__seg", chunk)
     first = F.when(F.col("__pass") & F.col("one_line") & F.col("sign").isNotNull(), F.struct(*order, "sign"))
+    rows = settle(rows, chunk)
     rows = running_min(rows, [*keys, "__seg"], order, first, "__first", chunk)
     rows = carry_last(rows, keys, order, F.col("__set"), "__held", chunk)
     handed = rows.withColumn("__hand", F.struct(F.coalesce(F.col("__held.v"), F.col("__first.sign")).alias("h")))
-    done = previous(handed, keys, order, {"__given": "__hand"}, chunk)
+    done = previous(settle(handed, chunk), keys, order, {"__given": "__hand"}, chunk)
     return (done.withColumn("direction", F.coalesce("direction", F.col("__given.h")))
             .drop("__pass", "__set", "__seg", "__first", "__held", "__hand", "__given"))
 

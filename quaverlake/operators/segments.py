@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quaverlake.session import cut_lineage
+
 _CHUNK, _CARRY = "__chunk", "__carry"
 
 
@@ -166,3 +168,12 @@ def with_totals(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame
     renamed = totals.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *aggs)
     cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys])
     return df.join(renamed, cond, "left").drop(*[f"__k_{k}" for k in keys])
+
+
+def settle(df: DataFrame, chunk: Column | None) -> DataFrame:
+    """Write an intermediate result between chained chunked scans.
+
+    A chunked scan reads its input twice (summary and rows), so a chain of them would recompute its
+    start again and again; plain windows need no such cut.
+    """
+    return df if chunk is None else cut_lineage(df)
