@@ -61,7 +61,7 @@ def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str
               chunk: Column | None = None) -> DataFrame:
     """1-based position inside the key."""
     if chunk is None:
-        return df.withColumn(out, F.row_number().over(W.partitionBy(*keys).orderBy(*_order(order))))
+        return df.withColumn(out, F.row_number().over(W.partitionBy(*keys).orderBy(*_order(order))).cast("bigint"))
     return running_sum(df, keys, order, F.lit(1).cast("bigint"), out, chunk)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("product_queries", "content_queries", "page_queries", "score_queries")
+_MODULES = ("product_queries", "content_queries", "page_queries", "score_queries", "stream_queries")
 
 
 def _load():

@@ -17,12 +17,12 @@ PAGE = ["page"]
 # --- bindings: two point sets, staves, heads -------------------------------------------------------
 
 define("staves", """
-    SELECT page, CAST(s AS BIGINT) AS staff, 150.0 + s * 60 AS middle, 5.0 + s % 3 AS interline
+    SELECT page, CAST(s AS BIGINT) AS staff, CAST(150 + s * 60 AS DOUBLE) AS middle, CAST(5 + s % 3 AS DOUBLE) AS interline
     FROM (SELECT DISTINCT page FROM points), (SELECT unnest(range(8)) AS s)""", "points")
 define("heads", """
     SELECT doc_id, measure, staff, CAST(doc_id AS VARCHAR) || ':' || slot AS head_id, slot AS seq, measure // 2 AS page,
-           (slot % 4) * 20.0 + supp_key % 5 AS cx, part_key % 15 * 2.5 AS cy, 6.0 + part_key % 3 AS w,
-           CAST(part_key % 15 - 7 AS BIGINT) AS pitch, CASE WHEN tax < 0.07 THEN (slot % 4) // 2 * 1.0 END AS onset, voice,
+           CAST((slot % 4) * 20 + supp_key % 5 AS DOUBLE) AS cx, CAST(part_key % 15 * 2.5 AS DOUBLE) AS cy, CAST(6 + part_key % 3 AS DOUBLE) AS w,
+           CAST(part_key % 15 - 7 AS BIGINT) AS pitch, CASE WHEN tax < 0.07 THEN CAST((slot % 4) // 2 AS DOUBLE) END AS onset, voice,
            CASE flag WHEN 'R' THEN 'SHARP' WHEN 'A' THEN CASE WHEN line_status = 'F' THEN 'NATURAL' END END AS shape, discount AS confidence,
            midi, duration FROM notes""", "notes")
 

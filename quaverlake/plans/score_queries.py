@@ -42,11 +42,12 @@ def bars(spark, d):
                     F.floor(k % 16 / 4).cast("bigint").alias("system"), (k % 4).alias("slot"))
 
 
-_CH = X.chunk_of("measure_index", 16)
+def _chunk():
+    return X.chunk_of("measure_index", 16)
 
 define("timed", """
-    SELECT doc_id, slot, 0 AS part, staff, voice, lpad(CAST(slot AS VARCHAR), 6, '0') AS source_id, 60 + midi % 4 AS midi, slot // 2 * 0.5 AS start_beat,
-           0.5 * (1 + part_key % 3) AS duration, flag = 'A' AS tie_start, flag = 'R' AS tie_stop, discount >= 0.09 AS is_grace, tax, part_key, supp_key,
+    SELECT doc_id, slot, 0 AS part, staff, voice, lpad(CAST(slot AS VARCHAR), 6, '0') AS source_id, 60 + midi % 4 AS midi, CAST(slot // 2 * 0.5 AS DOUBLE) AS start_beat,
+           CAST(0.5 * (1 + part_key % 3) AS DOUBLE) AS duration, flag = 'A' AS tie_start, flag = 'R' AS tie_stop, discount >= 0.09 AS is_grace, tax, part_key, supp_key,
            line_number, flag, measure FROM notes""", "notes")
 
 
@@ -282,7 +283,7 @@ def _(spark, d):
 def _(spark, d):
     m = bars(spark, d).select("doc_id", "measure_index", F.when(F.col("pk") % 5 == 0, F.array((1 + F.col("sk") % 2).cast("int"))).alias("ending_start"),
                               F.when(F.col("pk") % 5 == 2, F.array(F.lit(9))).alias("ending_stop"))
-    return W.carry_endings(m, DOC, chunk=_CH).select("doc_id", "measure_index", F.array_join(F.transform("endings", lambda x: x.cast("string")), ",").alias("endings"))
+    return W.carry_endings(m, DOC, chunk=_chunk()).select("doc_id", "measure_index", F.array_join(F.transform("endings", lambda x: x.cast("string")), ",").alias("endings"))
 
 
 def _repeats(spark, d):
@@ -294,7 +295,7 @@ def _repeats(spark, d):
 
 @query("W25_expand_repeats")
 def _(spark, d):
-    out = W.performance_position(W.expand_repeats(_repeats(spark, d), DOC, chunk=_CH), DOC, chunk=F.floor(F.col("section") / 8).cast("bigint"))
+    out = W.performance_position(W.expand_repeats(_repeats(spark, d), DOC, chunk=_chunk()), DOC, chunk=F.floor(F.col("section") / 8).cast("bigint"))
     return out.select("doc_id", "position", "measure_index", "section", "pass", "orphan_ending")
 
 
@@ -352,12 +353,12 @@ def _(spark, d):
     m = bars(spark, d).withColumns({
         "printed_meter": F.when(F.col("pk") % 31 == 0, 20.0 + F.col("sk") % 3), "doubtful": (F.col("page") >= 1) & (F.col("doc_id") % 2 == 0),
         "length": F.greatest("nominal", "content"), "warnings": F.array_compact(F.array(F.when(off, "Recognized duration differs")))})
-    return W.carry_meter(m, DOC, chunk=_CH).select("doc_id", "measure_index", "nominal", "length", F.array_join("warnings", "|").alias("warnings"))
+    return W.carry_meter(m, DOC, chunk=_chunk()).select("doc_id", "measure_index", "nominal", "length", F.array_join("warnings", "|").alias("warnings"))
 
 
 @query("F19_parse_marks", """
-    SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 700 * 2.0 * 1.5 BETWEEN 10 AND 600 THEN l_partkey % 700 * 2.0 * 1.5 END AS bpm,
-           CASE l_suppkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 END AS octaves, (l_linenumber + 2) * 4.0 / 8 + 3 AS beats FROM lineitem""")
+    SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 700 * 3 BETWEEN 10 AND 600 THEN CAST(l_partkey % 700 * 3 AS DOUBLE) END AS bpm,
+           CASE l_suppkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 END AS octaves, CAST((l_linenumber + 2) * 4.0 / 8 + 3 AS DOUBLE) AS beats FROM lineitem""")
 def _(spark, d):
     glyph = chr(0xECA3)
     text = F.concat(F.lit(f"{glyph}. = "), (F.col("l_partkey") % 700).cast("string"))
@@ -569,7 +570,7 @@ def _(spark, d):
 
 @query("W10_stagger", with_ctes("timed") + """
     SELECT doc_id, source_id, round(start_beat + CASE WHEN a THEN late ELSE 0 END, 6) AS start_beat, round(duration - CASE WHEN a THEN late ELSE 0 END, 6) AS duration FROM (
-      SELECT *, part_key % 2 = 0 AS a, least(0.08 * (row_number() OVER (PARTITION BY doc_id, start_beat, part_key % 2 = 0 ORDER BY midi, source_id) - 1), duration * 0.3) AS late FROM timed)""")
+      SELECT *, part_key % 2 = 0 AS a, least(0.08::DOUBLE * (row_number() OVER (PARTITION BY doc_id, start_beat, part_key % 2 = 0 ORDER BY midi, source_id) - 1), duration * 0.3) AS late FROM timed)""")
 def _(spark, d):
     out = P.stagger(timed(spark, d).withColumn("arpeggiate", F.col("part_key") % 2 == 0), DOC)
     return out.select("doc_id", "source_id", F.round("start_beat", 6).alias("start_beat"), F.round("duration", 6).alias("duration"))
@@ -584,7 +585,7 @@ _DYN = """(SELECT max({'at': m.start_beat, 'seq': m.slot, 'v': 40 + m.part_key %
 
 
 @query("W11_velocity", with_ctes("timed") + f"""
-    SELECT doc_id, source_id, least(127.0, greatest(1.0, coalesce(dyn.v, 80.0) + {_ART})) AS velocity, duration * {_FACTOR} AS key_duration
+    SELECT doc_id, source_id, least(127.0::DOUBLE, greatest(1.0, coalesce(dyn.v, 80.0) + {_ART})) AS velocity, duration * {_FACTOR} AS key_duration
     FROM (SELECT *, {_DYN} AS dyn FROM timed n)""")
 def _(spark, d):
     out = P.velocity(timed(spark, d), _dynamics(spark, d), DOC)
@@ -673,7 +674,7 @@ def _tempo(spark, d):
 
 
 _TEMPO = """tm AS (SELECT doc_id, start_beat, last(bpm ORDER BY slot) AS bpm FROM (
-      SELECT doc_id, start_beat, slot, 60.0 + part_key % 140 AS bpm FROM timed WHERE line_number IN (6, 7)
+      SELECT doc_id, start_beat, slot, CAST(60 + part_key % 140 AS DOUBLE) AS bpm FROM timed WHERE line_number IN (6, 7)
       UNION ALL SELECT DISTINCT doc_id, 0.0, -1, 96.0 FROM timed) GROUP BY 1, 2)"""
 
 
@@ -715,7 +716,7 @@ def _(spark, d):
 
 
 @query("W18_name_spans", with_ctes("timed") + """
-    , k AS (SELECT *, start_beat + greatest(0.1, CASE WHEN is_grace THEN 0 ELSE duration END) AS e FROM timed),
+    , k AS (SELECT *, start_beat + greatest(0.1::DOUBLE, CASE WHEN is_grace THEN 0 ELSE duration END) AS e FROM timed),
     s AS (SELECT doc_id, midi, start_beat, first(source_id ORDER BY source_id) AS source_id, first(tie_stop ORDER BY source_id) AS ts, max(e) AS e FROM k GROUP BY 1, 2, 3),
     c AS (SELECT *, CASE WHEN coalesce(ts AND abs(lag(e) OVER o - start_beat) < 1e-6, false) THEN 0 ELSE 1 END AS st FROM s WINDOW o AS (PARTITION BY doc_id, midi ORDER BY start_beat)),
     g AS (SELECT *, sum(st) OVER (PARTITION BY doc_id, midi ORDER BY start_beat) AS g FROM c),
@@ -726,10 +727,10 @@ def _(spark, d):
 
 
 @query("J24_apply_corrections", with_ctes("timed") + """
-    SELECT n.doc_id, n.source_id, CASE WHEN hit THEN cm ELSE midi END AS midi, CASE WHEN hit THEN measure * 2.0 + co ELSE start_beat END AS start_beat,
-           CASE WHEN hit THEN least(cd, 2.0 - co) ELSE duration END AS duration, CASE WHEN hit THEN least(cd, 2.0 - co) * 0.75 ELSE duration * 0.75 END AS key_duration, hit AS corrected
-    FROM (SELECT *, coalesce(part_key % 4 = 0 AND 15 + part_key % 110 BETWEEN 21 AND 108 AND supp_key % 5 * 0.6 < 2.0 AND tax > 0.005, false) AS hit, 15 + part_key % 110 AS cm,
-                 supp_key % 5 * 0.6 AS co, tax * 50 AS cd FROM timed) n""")
+    SELECT n.doc_id, n.source_id, CASE WHEN hit THEN cm ELSE midi END AS midi, CASE WHEN hit THEN measure * 2.0::DOUBLE + co ELSE start_beat END AS start_beat,
+           CASE WHEN hit THEN least(cd, 2.0 - co) ELSE duration END AS duration, CASE WHEN hit THEN least(cd, 2.0 - co) * 0.75::DOUBLE ELSE duration * 0.75 END AS key_duration, hit AS corrected
+    FROM (SELECT *, coalesce(part_key % 4 = 0 AND 15 + part_key % 110 BETWEEN 21 AND 108 AND supp_key % 5 * 0.6::DOUBLE < 2.0 AND tax > 0.005, false) AS hit, 15 + part_key % 110 AS cm,
+                 supp_key % 5 * 0.6::DOUBLE AS co, tax * 50 AS cd FROM timed) n""")
 def _(spark, d):
     t = _sounding(spark, d).withColumns({"printed_id": F.col("source_id"), "hand": F.lit(None).cast("string"), "role": F.col("staff") - 1, "measure_index": F.col("measure")})
     c = t.filter(F.col("part_key") % 4 == 0).select("doc_id", "printed_id", (15 + F.col("part_key") % 110).alias("midi"), F.lit("left").alias("hand"),
@@ -740,7 +741,7 @@ def _(spark, d):
 
 
 @query("J25_resolve_labels", with_ctes("timed") + """
-    SELECT doc_id, source_id AS label_id, slot * 10.0 + CASE WHEN part_key % 3 = 0 THEN supp_key * 1.0 ELSE 0 END AS x,
+    SELECT doc_id, source_id AS label_id, CAST(slot * 10 + CASE WHEN part_key % 3 = 0 THEN supp_key ELSE 0 END AS DOUBLE) AS x,
            CASE WHEN part_key % 3 = 0 AND supp_key % 2 = 0 THEN 're' ELSE 'do' END AS text, part_key % 3 = 0 AS edited FROM timed WHERE NOT (part_key % 3 = 0 AND part_key % 7 = 0)""")
 def _(spark, d):
     t = timed(spark, d).withColumn("label_id", F.col("source_id"))
@@ -772,8 +773,8 @@ def _(spark, d):
 
 
 @query("W22_state_at_jumps", with_ctes("bars") + """
-    , o AS (SELECT doc_id, measure_index AS position, (measure_index * 5) % 64 // 2 AS mi, measure_index * 4.0 AS start_beat FROM bars),
-    ev AS (SELECT doc_id, measure_index AS mi, sk % 4 * 1.0 AS beat, CASE WHEN pk % 3 = 0 THEN 'dynamic' ELSE 'wedge' END AS kind, CAST(40 + pk % 60 AS VARCHAR) AS value FROM bars),
+    , o AS (SELECT doc_id, measure_index AS position, (measure_index * 5) % 64 // 2 AS mi, CAST(measure_index * 4 AS DOUBLE) AS start_beat FROM bars),
+    ev AS (SELECT doc_id, measure_index AS mi, CAST(sk % 4 AS DOUBLE) AS beat, CASE WHEN pk % 3 = 0 THEN 'dynamic' ELSE 'wedge' END AS kind, CAST(40 + pk % 60 AS VARCHAR) AS value FROM bars),
     j AS (SELECT * FROM (SELECT *, lag(mi) OVER (PARTITION BY doc_id ORDER BY position) AS p FROM o) WHERE p IS NULL OR mi <> p + 1)
     SELECT doc_id, position, start_beat, 'tempo' AS kind, '96.0' AS value, 0 AS rank FROM j UNION ALL SELECT doc_id, position, start_beat, 'dynamic', '80.0', 0 FROM j
     UNION ALL SELECT doc_id, position, start_beat, 'pedal', 'stop', 0 FROM j

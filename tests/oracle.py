@@ -59,7 +59,8 @@ def compare(df, con, sql):
     kinds = {n: str(t) for n, t in zip(names, rel.types)}
     loose = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean",
              "DATE": "date"}
-    odd = [f"{n}: {t} != {kinds[n]}" for n, t in df.dtypes if loose.get(kinds[n], t) != t or kinds[n] == "HUGEINT"]
+    odd = [f"{n}: {t} != {kinds[n]}" for n, t in df.dtypes if loose.get(kinds[n], t) != t or kinds[n] == "HUGEINT"
+           or (kinds[n].startswith("DECIMAL") and not t.startswith("decimal"))]
     return f"TYPES {odd}" if odd else None
 
 
