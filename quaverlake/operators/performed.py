@@ -92,6 +92,7 @@ def ramps(wedges: DataFrame, dynamics: DataFrame, notes: DataFrame, keys: Sequen
     pairs = w.filter((F.col("value") == "stop") & F.col("__kind").isin("crescendo", "diminuendo")
                      & (F.col("start_beat") > F.col("from_beat")))
     marks = dynamics.select(*line, "start_beat", F.col("seq").alias("__seq"), F.col("value").cast("double").alias("__level"))
+    pairs = settle(pairs, _chunk("start_beat", chunk_width))
     opening = asof_join(pairs.select(*line, "number", F.col("from_beat").alias("start_beat"), F.col("start_beat").alias("to_beat"),
                                      F.col("__kind").alias("kind")), marks, line, "start_beat", ["__level"], seq="__seq",
                         defaults={"__level": DEFAULT_DYNAMIC}, chunk_width=chunk_width).withColumnRenamed("start_beat", "from_beat")
@@ -145,7 +146,7 @@ def apply_pedal(audio: DataFrame, pedals: DataFrame, totals: DataFrame, keys: Se
     a = audio.withColumn("__end", F.col("start_beat") + F.col("duration"))
     state = pedals.select(*line, (F.col("start_beat") - EPS).alias("__end"), F.col("seq").alias("__seq"),
                           F.col("value").isin(*PEDAL_DOWN).alias("__down"))
-    a = asof_join(a, state, line, "__end", ["__down"], seq="__seq", chunk_width=chunk_width)
+    a = settle(asof_join(a, state, line, "__end", ["__down"], seq="__seq", chunk_width=chunk_width), _chunk("__end", chunk_width))
     up = pedals.filter(F.col("value").isin(*PEDAL_UP)).select(
         *line, (F.col("start_beat") - EPS).alias("__end"), F.col("seq").alias("__seq"), F.col("start_beat").alias("__release"))
     a = asof_next(a, up, line, "__end", ["__release"], seq="__seq", chunk_width=chunk_width)
@@ -231,10 +232,10 @@ def tempo_clock(tempo: DataFrame, keys: Sequence[str], speed: float = 1.0, base_
     rate = F.least(F.lit(speed if speed > 0 else 1.0), F.lit(MAX_BPM) / (F.col("__fast") * scale))
     t = t.withColumn("seconds_per_beat", 60 / (F.col("bpm") * scale * rate))
     chunk = _chunk("start_beat", chunk_width)
-    t = previous(t, keys, ["start_beat"], {"__pb": "start_beat", "__ps": "seconds_per_beat"}, chunk)
+    t = settle(previous(settle(t, chunk), keys, ["start_beat"], {"__pb": "start_beat", "__ps": "seconds_per_beat"}, chunk), chunk)
     spent = F.coalesce((F.col("start_beat") - F.col("__pb")) * F.col("__ps"), F.lit(0.0))
     t = running_sum(t, keys, ["start_beat"], spent, "seconds", chunk)
-    return t.drop("__fast", "__open", "__pb", "__ps")
+    return settle(t.drop("__fast", "__open", "__pb", "__ps"), chunk)
 
 
 def seconds_at(points: DataFrame, clock: DataFrame, keys: Sequence[str], beat: str = "beat",

@@ -20,12 +20,13 @@ BACKUP = "Voice backup extends before the measure."
 
 
 def cursor(elements: DataFrame, keys: Sequence[str], measure: str = "measure_seq", seq: str = "seq",
-           chunk: Column | None = None) -> DataFrame:
+           chunk: Column | None = None, bar_chunk: Column | None = None) -> DataFrame:
     """W-06: start and length in beats of every note of an element table.
 
     ``elements``: kind (note, backup, forward, attributes, ...), duration, divisions, chord, grace.
     The cursor is a running sum that may not fall below zero. Clamping makes it non-linear, but
-    equals the sum minus its lowest value below zero so far, which two plain scans give.
+    equals the sum minus its lowest value below zero so far, which two plain scans give. ``chunk`` cuts a
+    part by its measures for the divisions in force; the rest runs bar by bar, which ``bar_chunk`` can cut further.
     """
     order = [measure, seq]
     divided = carry_last(elements, keys, order, F.when(F.col("divisions") > 0, F.col("divisions")), "__div", chunk)
@@ -36,14 +37,14 @@ def cursor(elements: DataFrame, keys: Sequence[str], measure: str = "measure_seq
             .when(F.col("kind") == "backup", -length).otherwise(0.0))
     rows = settle(divided.withColumn("length", length).withColumn("__step", step), chunk)
     bar = [*keys, measure]
-    rows = running_sum(rows, bar, [seq], F.col("__step"), "__sum", chunk)
-    rows = running_min(rows, bar, [seq], F.col("__sum"), "__low", chunk)
-    rows = settle(rows, chunk)
+    rows = running_sum(rows, bar, [seq], F.col("__step"), "__sum", bar_chunk)
+    rows = running_min(rows, bar, [seq], F.col("__sum"), "__low", bar_chunk)
+    rows = settle(rows, bar_chunk)
     after = F.col("__sum") - F.least(F.lit(0.0), F.col("__low"))
-    rows = previous(rows.withColumn("__after", after), bar, [seq], {"__plow": "__low", "__pafter": "__after"}, chunk)
+    rows = previous(rows.withColumn("__after", after), bar, [seq], {"__plow": "__low", "__pafter": "__after"}, bar_chunk)
     clamped = (F.col("kind") == "backup") & (F.coalesce("__pafter", F.lit(0.0)) + F.col("__step") < -TOLERANCE)
     rows = rows.withColumn("clamped", clamped).withColumn("__at", F.coalesce("__pafter", F.lit(0.0)))
-    rows = carry_last(rows, bar, [seq], F.when(leads, F.col("__at")), "start", chunk)
+    rows = carry_last(rows, bar, [seq], F.when(leads, F.col("__at")), "start", bar_chunk)
     return rows.drop("__div", "__step", "__sum", "__low", "__after", "__plow", "__pafter", "__at")
 
 

@@ -207,7 +207,7 @@ def _(spark, d):
                   F.when(F.col("line_number") % 3 == 0, 1 + F.col("supp_key") % 4).alias("divisions"),
                   ((F.col("part_key") % 6 > 1) & (F.col("part_key") % 5 == 0)).alias("chord"),
                   ((F.col("part_key") % 6 > 1) & (F.col("discount") >= 0.09)).alias("grace"))
-    out = W.cursor(el, DOC)
+    out = W.cursor(el, DOC, chunk=X.chunk_of("measure_seq", 64))
     return out.select("doc_id", F.col("seq").alias("slot"), F.when(F.col("kind") == "note", F.round("start", 6)).alias("start"),
                       F.round("length", 6).alias("length"), "clamped")
 
@@ -233,7 +233,7 @@ def _(spark, d):
     m = b.select("doc_id", F.col("measure_index"), (F.col("sk") % 7).cast("string").alias("label"), (F.col("pk") % 13 == 0).alias("new_page"),
                  (F.col("pk") % 4 == 0).alias("new_system"), F.when(F.col("pk") % 26 == 0, F.col("pk") % 50).alias("page_number"),
                  F.when(F.col("pk") % 9 == 0, 2 + F.col("sk") % 3).otherwise(0).alias("rest_bars"))
-    out = W.layout_counters(m, DOC, "measure_index")
+    out = W.layout_counters(m, DOC, "measure_index", _chunk())
     return out.select("doc_id", "measure_index", "page", "system", "slot", "rest_continuation", "occurrence")
 
 
@@ -588,7 +588,7 @@ _DYN = """(SELECT max({'at': m.start_beat, 'seq': m.slot, 'v': 40 + m.part_key %
     SELECT doc_id, source_id, least(127.0::DOUBLE, greatest(1.0, coalesce(dyn.v, 80.0) + {_ART})) AS velocity, duration * {_FACTOR} AS key_duration
     FROM (SELECT *, {_DYN} AS dyn FROM timed n)""")
 def _(spark, d):
-    out = P.velocity(timed(spark, d), _dynamics(spark, d), DOC)
+    out = P.velocity(timed(spark, d), _dynamics(spark, d), DOC, 64.0)
     return out.select("doc_id", "source_id", "velocity", "key_duration")
 
 
@@ -604,7 +604,7 @@ def _(spark, d):
 def _(spark, d):
     kind = F.when(F.col("flag") == "N", "crescendo").when(F.col("flag") == "A", "diminuendo").otherwise("stop")
     wedges = marked(spark, d, 2, 5).select("doc_id", "part", "staff", F.lit("1").alias("number"), "start_beat", F.col("slot").alias("seq"), kind.alias("value"))
-    out = P.ramps(wedges, _dynamics(spark, d), timed(spark, d), DOC)
+    out = P.ramps(wedges, _dynamics(spark, d), timed(spark, d), DOC, 64.0)
     return out.select("doc_id", "source_id", "start_beat", F.round("value", 6).alias("value"))
 
 
@@ -620,7 +620,7 @@ def _sounding(spark, d):
            first(source_id ORDER BY start_beat, source_id) AS source_id, first(64 + part_key % 40 ORDER BY start_beat, source_id) AS velocity, count(*) AS segments,
            bool_or(tie_stop AND NOT jo) AS orphan_stop FROM e GROUP BY doc_id, voice, midi, ev""".replace("\n    , p", ", p"))
 def _(spark, d):
-    return P.merge_ties(_sounding(spark, d), DOC).drop("part")
+    return P.merge_ties(_sounding(spark, d), DOC, 64.0).drop("part")
 
 
 @query("W13_collapse_strikes", with_ctes("timed") + """
@@ -639,7 +639,7 @@ def _(spark, d):
     value = F.when(F.col("flag") == "N", "start").when(F.col("flag") == "R", "stop").otherwise("change")
     pedals = marked(spark, d, 5, 6).select("doc_id", "part", "start_beat", F.col("slot").alias("seq"), value.alias("value"))
     totals = B.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id")).distinct().withColumn("total_beats", F.lit(8.0))
-    return P.apply_pedal(timed(spark, d), pedals, totals, DOC).select("doc_id", "source_id", "duration")
+    return P.apply_pedal(timed(spark, d), pedals, totals, DOC, 64.0).select("doc_id", "source_id", "duration")
 
 
 @query("F18_expand_ornaments", with_ctes("timed") + """
@@ -664,7 +664,7 @@ def _(spark, d):
 @query("T04_note_order", with_ctes("timed") + """
     SELECT doc_id, source_id, row_number() OVER (PARTITION BY doc_id ORDER BY start_beat, midi, source_id) - 1 AS seq FROM timed""")
 def _(spark, d):
-    return P.note_order(timed(spark, d), DOC).select("doc_id", "source_id", "seq")
+    return P.note_order(timed(spark, d), DOC, chunk=X.chunk_of("start_beat", 64)).select("doc_id", "source_id", "seq")
 
 
 def _tempo(spark, d):
@@ -692,10 +692,10 @@ _CLOCK = """cl AS (SELECT *, sum(coalesce((start_beat - pb) * ps, 0)) OVER (PART
     SELECT n.doc_id, n.source_id, round(c.seconds + (n.start_beat - c.start_beat) * c.spb, 6) AS seconds, round(n.start_beat, 6) AS beat
     FROM timed n JOIN cl c ON c.doc_id = n.doc_id AND c.start_beat = (SELECT max(start_beat) FROM cl x WHERE x.doc_id = n.doc_id AND x.start_beat <= n.start_beat)""")
 def _(spark, d):
-    clock = P.tempo_clock(_tempo(spark, d), DOC, 2.0)
+    clock = P.tempo_clock(_tempo(spark, d), DOC, 2.0, chunk_width=64.0)
     pts = timed(spark, d).select("doc_id", "source_id", F.col("start_beat").alias("beat"))
-    at = P.seconds_at(pts, clock, DOC)
-    back = P.beat_at(at.select("doc_id", "source_id", (F.col("seconds") + 1e-9).alias("seconds")), clock, DOC)
+    at = P.seconds_at(pts, clock, DOC, chunk_width=64.0)
+    back = P.beat_at(at.select("doc_id", "source_id", (F.col("seconds") + 1e-9).alias("seconds")), clock, DOC, chunk_width=64.0)
     return back.select("doc_id", "source_id", F.round("seconds", 6).alias("seconds"), F.round("beat", 6).alias("beat"))
 
 
@@ -723,7 +723,7 @@ def _(spark, d):
     n AS (SELECT doc_id, first(source_id ORDER BY start_beat) AS source_id, max(e) AS e FROM g GROUP BY doc_id, midi, g)
     SELECT k.doc_id, k.source_id, coalesce(n.e, -1.0) AS name_end FROM k LEFT JOIN n ON n.doc_id = k.doc_id AND n.source_id = k.source_id""".replace("\n    , k", ", k"))
 def _(spark, d):
-    return P.name_spans(timed(spark, d), DOC, 0.1).select("doc_id", "source_id", "name_end")
+    return P.name_spans(timed(spark, d), DOC, 0.1, 64.0).select("doc_id", "source_id", "name_end")
 
 
 @query("J24_apply_corrections", with_ctes("timed") + """
