@@ -14,6 +14,7 @@ from quaverlake.operators.asof import asof_join
 from quaverlake.plans.page_queries import heads
 from quaverlake.plans.registry import query
 from quaverlake.plans.sql_bindings import define, with_ctes
+from quaverlake.session import cut_lineage
 from quaverlake.sources import bindings as B
 
 DOC = ["doc_id"]
@@ -61,9 +62,14 @@ def timed(spark, d):
                     (F.col("discount") >= 0.09).alias("is_grace"), arts.alias("articulations"), "tax", "part_key", "supp_key", "line_number", "flag", "measure")
 
 
-def marked(spark, d, *line_numbers):
+def timed_once(spark, d):
+    """The same, written once for queries that read it several times."""
+    return cut_lineage(timed(spark, d))
+
+
+def marked(t, *line_numbers):
     """Some lines of an order as expression marks."""
-    return timed(spark, d).filter(F.col("line_number").isin(*line_numbers))
+    return t.filter(F.col("line_number").isin(*line_numbers))
 
 
 _ART = "CASE WHEN tax < 0.005 THEN 0 WHEN tax < 0.015 THEN 10 WHEN tax < 0.025 THEN 18 ELSE 0 END"
@@ -576,8 +582,8 @@ def _(spark, d):
     return out.select("doc_id", "source_id", F.round("start_beat", 6).alias("start_beat"), F.round("duration", 6).alias("duration"))
 
 
-def _dynamics(spark, d):
-    return marked(spark, d, 3).select("doc_id", "part", "staff", "start_beat", F.col("slot").alias("seq"), (40 + F.col("part_key") % 60).alias("value"))
+def _dynamics(t):
+    return marked(t, 3).select("doc_id", "part", "staff", "start_beat", F.col("slot").alias("seq"), (40 + F.col("part_key") % 60).alias("value"))
 
 
 _DYN = """(SELECT max({'at': m.start_beat, 'seq': m.slot, 'v': 40 + m.part_key % 60}) FROM timed m WHERE m.line_number = 3 AND m.doc_id = n.doc_id
@@ -588,7 +594,8 @@ _DYN = """(SELECT max({'at': m.start_beat, 'seq': m.slot, 'v': 40 + m.part_key %
     SELECT doc_id, source_id, least(127.0::DOUBLE, greatest(1.0, coalesce(dyn.v, 80.0) + {_ART})) AS velocity, duration * {_FACTOR} AS key_duration
     FROM (SELECT *, {_DYN} AS dyn FROM timed n)""")
 def _(spark, d):
-    out = P.velocity(timed(spark, d), _dynamics(spark, d), DOC, 64.0)
+    t = timed_once(spark, d)
+    out = P.velocity(t, _dynamics(t), DOC, 64.0)
     return out.select("doc_id", "source_id", "velocity", "key_duration")
 
 
@@ -603,13 +610,14 @@ def _(spark, d):
     FROM timed n JOIN g ON n.doc_id = g.doc_id AND n.staff = g.staff AND n.start_beat >= g.start_beat AND n.start_beat < g.t""".replace("\n    , w", ", w"))
 def _(spark, d):
     kind = F.when(F.col("flag") == "N", "crescendo").when(F.col("flag") == "A", "diminuendo").otherwise("stop")
-    wedges = marked(spark, d, 2, 5).select("doc_id", "part", "staff", F.lit("1").alias("number"), "start_beat", F.col("slot").alias("seq"), kind.alias("value"))
-    out = P.ramps(wedges, _dynamics(spark, d), timed(spark, d), DOC, 64.0)
+    t = timed_once(spark, d)
+    wedges = marked(t, 2, 5).select("doc_id", "part", "staff", F.lit("1").alias("number"), "start_beat", F.col("slot").alias("seq"), kind.alias("value"))
+    out = P.ramps(wedges, _dynamics(t), t, DOC, 64.0)
     return out.select("doc_id", "source_id", "start_beat", F.round("value", 6).alias("value"))
 
 
 def _sounding(spark, d):
-    return timed(spark, d).withColumns({"key_duration": F.col("duration") * 0.75, "velocity": 64 + F.col("part_key") % 40})
+    return timed_once(spark, d).withColumns({"key_duration": F.col("duration") * 0.75, "velocity": 64 + F.col("part_key") % 40})
 
 
 @query("W12_merge_ties", with_ctes("timed") + """
@@ -637,9 +645,10 @@ def _(spark, d):
     SELECT doc_id, source_id, greatest(0.0, least(8.0, CASE WHEN st IN ('start', 'change') THEN coalesce(nx, 8.0) ELSE e END) - start_beat) AS duration FROM a""".replace("\n    , p", ", p"))
 def _(spark, d):
     value = F.when(F.col("flag") == "N", "start").when(F.col("flag") == "R", "stop").otherwise("change")
-    pedals = marked(spark, d, 5, 6).select("doc_id", "part", "start_beat", F.col("slot").alias("seq"), value.alias("value"))
+    t = timed_once(spark, d)
+    pedals = marked(t, 5, 6).select("doc_id", "part", "start_beat", F.col("slot").alias("seq"), value.alias("value"))
     totals = B.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id")).distinct().withColumn("total_beats", F.lit(8.0))
-    return P.apply_pedal(timed(spark, d), pedals, totals, DOC, 64.0).select("doc_id", "source_id", "duration")
+    return P.apply_pedal(t, pedals, totals, DOC, 64.0).select("doc_id", "source_id", "duration")
 
 
 @query("F18_expand_ornaments", with_ctes("timed") + """
@@ -667,8 +676,8 @@ def _(spark, d):
     return P.note_order(timed(spark, d), DOC, chunk=X.chunk_of("start_beat", 64)).select("doc_id", "source_id", "seq")
 
 
-def _tempo(spark, d):
-    ev = marked(spark, d, 6, 7).select("doc_id", "start_beat", (60 + F.col("part_key") % 140).alias("value"), F.lit(1.0).alias("beat_unit_quarters"), F.col("slot").alias("seq"))
+def _tempo(spark, d, t):
+    ev = marked(t, 6, 7).select("doc_id", "start_beat", (60 + F.col("part_key") % 140).alias("value"), F.lit(1.0).alias("beat_unit_quarters"), F.col("slot").alias("seq"))
     docs = B.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id")).distinct()
     return P.tempo_map(ev, docs, DOC)
 
@@ -680,7 +689,7 @@ _TEMPO = """tm AS (SELECT doc_id, start_beat, last(bpm ORDER BY slot) AS bpm FRO
 
 @query("W16_tempo_map", with_ctes("timed").rstrip() + ", " + _TEMPO + "SELECT doc_id, start_beat, bpm FROM tm")
 def _(spark, d):
-    return _tempo(spark, d).select("doc_id", "start_beat", "bpm")
+    return _tempo(spark, d, timed(spark, d)).select("doc_id", "start_beat", "bpm")
 
 
 _CLOCK = """cl AS (SELECT *, sum(coalesce((start_beat - pb) * ps, 0)) OVER (PARTITION BY doc_id ORDER BY start_beat) AS seconds FROM (
@@ -692,8 +701,9 @@ _CLOCK = """cl AS (SELECT *, sum(coalesce((start_beat - pb) * ps, 0)) OVER (PART
     SELECT n.doc_id, n.source_id, round(c.seconds + (n.start_beat - c.start_beat) * c.spb, 6) AS seconds, round(n.start_beat, 6) AS beat
     FROM timed n JOIN cl c ON c.doc_id = n.doc_id AND c.start_beat = (SELECT max(start_beat) FROM cl x WHERE x.doc_id = n.doc_id AND x.start_beat <= n.start_beat)""")
 def _(spark, d):
-    clock = P.tempo_clock(_tempo(spark, d), DOC, 2.0, chunk_width=64.0)
-    pts = timed(spark, d).select("doc_id", "source_id", F.col("start_beat").alias("beat"))
+    t = timed_once(spark, d)
+    clock = P.tempo_clock(_tempo(spark, d, t), DOC, 2.0, chunk_width=64.0)
+    pts = t.select("doc_id", "source_id", F.col("start_beat").alias("beat"))
     at = P.seconds_at(pts, clock, DOC, chunk_width=64.0)
     back = P.beat_at(at.select("doc_id", "source_id", (F.col("seconds") + 1e-9).alias("seconds")), clock, DOC, chunk_width=64.0)
     return back.select("doc_id", "source_id", F.round("seconds", 6).alias("seconds"), F.round("beat", 6).alias("beat"))
@@ -723,7 +733,7 @@ def _(spark, d):
     n AS (SELECT doc_id, first(source_id ORDER BY start_beat) AS source_id, max(e) AS e FROM g GROUP BY doc_id, midi, g)
     SELECT k.doc_id, k.source_id, coalesce(n.e, -1.0) AS name_end FROM k LEFT JOIN n ON n.doc_id = k.doc_id AND n.source_id = k.source_id""".replace("\n    , k", ", k"))
 def _(spark, d):
-    return P.name_spans(timed(spark, d), DOC, 0.1, 64.0).select("doc_id", "source_id", "name_end")
+    return P.name_spans(timed_once(spark, d), DOC, 0.1, 64.0).select("doc_id", "source_id", "name_end")
 
 
 @query("J24_apply_corrections", with_ctes("timed") + """
