@@ -31,3 +31,24 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 2048 tokens, 512 segments and 2048 loss-bearing tokens at most."""
     from quaverlake.llm.packing import pack_texts
     return pack_texts(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query
+def op2_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose five-word shingle sets have a similarity of 0.75 or more."""
+    from quaverlake.llm.jaccard import similar_documents
+    return similar_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of 200-byte strings that start in two places."""
+    from quaverlake.llm.repeats import without_repeats
+    return without_repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, also with other numbers, names and units."""
+    from quaverlake.llm.templates import contaminated
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

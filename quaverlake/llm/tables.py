@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaverlake.session import checkpoint_dir
+from quaverlake.session import checkpoint_dir, ship_package
 
 #: Largest side that is sent to every executor, in bytes of its Parquet files.
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_path(spark: SparkSession) -> str:
@@ -39,4 +39,5 @@ def sized(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
 
 def map_batches(df: DataFrame, columns: list, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``work`` over Arrow batches of just the named columns."""
+    ship_package(df.sparkSession)
     return df.select(*columns).mapInArrow(work, schema)
