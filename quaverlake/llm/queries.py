@@ -52,3 +52,20 @@ def op7_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, also with other numbers, names and units."""
     from quaverlake.llm.templates import contaminated
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op6_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity of every document; ``toxic`` marks those that the pipeline rejects."""
+    from quaverlake.llm.ordinal import scored, toxicity_model
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return scored(docs, toxicity_model(docs, table(spark, sf_dir, "labels"))).drop("text")
+
+
+@query
+def op8_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; rows whose crc32 is divisible by 5 teach nothing."""
+    from quaverlake.llm.nbsvm import quality
+    docs = table(spark, sf_dir, "documents")
+    got = quality(docs, table(spark, sf_dir, "labels"), train=F.crc32(F.col("id").cast("string")) % 5 != 0)
+    return got.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score", "predicted")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaverlake.llm import words
-from quaverlake.llm.tables import map_batches, table_bytes, written
+from quaverlake.llm.tables import map_batches, sized, table_bytes, written
 
 #: Words that are units of measure.
 UNITS = ("mm cm m km in inch inches ft foot feet yard yards mile miles mg g kg lb lbs pound pounds oz ounce ounces ton tons tonnes ml l liter liters litre litres "
@@ -28,15 +28,6 @@ NUMBER, NAME, UNIT = (words.mix(np.array([i], np.uint64))[0] for i in (0xA11CE,
 BENCHMARK_BYTES = 32 << 20
 
 
-def _folded(data: np.ndarray) -> np.ndarray:
-    """Lower case of A-Z, and of the capitals of Latin-1 in their two UTF-8 bytes."""
-    low = data.copy()
-    low[(data >= 65) & (data <= 90)] += 32
-    latin = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
-    low[latin] += 32
-    return low
-
-
 def template(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(template names, word names, whether a token is a slot, bounds of rows) of the tokens of all rows.
 
@@ -45,15 +36,15 @@ def template(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     """
     n = len(data)
     digit = (data >= 48) & (data <= 57)
-    inside = words._PLAIN[data]
+    inside = words.PLAIN[data]
     if n > 2:
         inside[1:-1] |= ((data[1:-1] == 46) | (data[1:-1] == 44)) & digit[:-2] & digit[2:]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
-    starts, ends = words._spans(inside, cut)
+    starts, ends = words.spans(inside, cut)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(len(offsets), np.int64)
-    folded = _folded(data)
+    folded = words.folded(data)
     names = words.Rolling(folded).names(starts, ends)
     digits = np.concatenate(([0], np.cumsum(digit)))
     number = digits[ends] > digits[starts]
@@ -188,5 +179,4 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
     windows = benchmark_windows(benchmark)
     bad = written(leaked_items(named.where(F.col(f"`{text_col}`").isNotNull()).select(F.col("__node").alias("node"), F.col(f"`{text_col}`").cast("string").alias("text")), windows, **how)
                   .select(F.col("node").alias("__node")).distinct())
-    from quaverlake.llm.tables import sized
     return named.join(sized(bad), "__node", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

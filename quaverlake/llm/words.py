@@ -17,17 +17,17 @@ SLICE_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BLANK = np.zeros(256, bool)
-_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+BLANK = np.zeros(256, bool)
+BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: 1: ASCII letters and digits, 2: other ASCII marks but the apostrophe, 4: the rest.
-_KIND = np.full(256, 4, np.uint8)
-_KIND[33:127] = 2
-_KIND[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 1
-_KIND[39] = 4
+KIND = np.full(256, 4, np.uint8)
+KIND[33:127] = 2
+KIND[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 1
+KIND[39] = 4
 #: Letters, digits and all that isn't ASCII.
-_PLAIN = (_KIND == 1) | (np.arange(256) >= 128)
+PLAIN = (KIND == 1) | (np.arange(256) >= 128)
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -86,7 +86,15 @@ def text_slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) ->
         first = last
 
 
-def _spans(inside: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def folded(data: np.ndarray) -> np.ndarray:
+    """Lower case of A-Z, and of the capitals of Latin-1 in their two UTF-8 bytes."""
+    low = _LOWER[data]
+    latin = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
+    low[latin] += 32
+    return low
+
+
+def spans(inside: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of ``inside`` that begin anew at every place in ``cut`` (one longer than ``inside``)."""
     begins = inside.copy()
     begins[1:] &= ~inside[:-1] | cut[1:-1]
@@ -101,17 +109,17 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, plain: bool
         data = _LOWER[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets] = True
-    starts, ends = _spans(_PLAIN[data] if plain else ~_BLANK[data], cut)
+    starts, ends = spans(PLAIN[data] if plain else ~BLANK[data], cut)
     return Rolling(data).names(starts, ends), np.searchsorted(starts, offsets)
 
 
 def chunk_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of words, cut also between an ASCII letter or digit and another ASCII mark that isn't an apostrophe."""
     cut = np.zeros(len(data) + 1, bool)
-    kind = _KIND[data]
+    kind = KIND[data]
     cut[1:-1] = kind[1:] + kind[:-1] == 3
     cut[offsets] = True
-    return _spans(~_BLANK[data], cut)
+    return spans(~BLANK[data], cut)
 
 
 def ngrams(names: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
