@@ -69,3 +69,17 @@ def op8_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     got = quality(docs, table(spark, sf_dir, "labels"), train=F.crc32(F.col("id").cast("string")) % 5 != 0)
     return got.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score", "predicted")
+
+
+@query
+def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight runs of a Hilbert curve through size, language and source."""
+    from quaverlake.llm.hilbert import document_shards
+    return document_shards(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every row whose id is divisible by 20."""
+    from quaverlake.llm.polytope import nearest
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)

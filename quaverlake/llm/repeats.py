@@ -221,3 +221,30 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     got = map_batches(named.join(sized(by_text), "node", "left"), ["id", F.col("text").cast("binary").alias("text"), "ranges"], work,
                       f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string").withColumnRenamed("id", id_col)
     return got if keep_text else got.drop("kept")
+
+
+def strip_repeats(docs: DataFrame, *, text_col: str = "text", length: int = 200, anchor: int = 40) -> DataFrame:
+    """``docs`` with all columns, the text without the bytes that ``without_repeats`` removes; a null text stays null."""
+    names = docs.columns
+    named = docs.withColumn("__text", F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).withColumn("__node", F.xxhash64("__text"))
+    ranges = repeated_windows(named.select(F.col("__node").alias("node"), F.col("__text").alias("text")), length, anchor)
+    by_text = written(ranges.distinct().groupBy(F.col("node").alias("__node")).agg(F.collect_list(F.struct("first", "last")).alias("__ranges")))
+    at = names.index(text_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            for i, item in enumerate(batch.column(len(names))):
+                if item.is_valid:
+                    data = np.frombuffer(texts[i].encode(), np.uint8)
+                    first, last = (item.values.field(k).to_numpy() for k in range(2))
+                    change = np.zeros(len(data) + 1, np.int32)
+                    np.add.at(change, first, 1)
+                    np.add.at(change, last + length, -1)
+                    texts[i] = data[np.cumsum(change[:-1]) == 0].tobytes().decode("utf-8", "ignore")
+            columns = [batch.column(k) for k in range(len(names))]
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    joined = named.join(sized(by_text), "__node", "left")
+    return map_batches(joined, [*[F.col(f"`{c}`") for c in names], "__ranges"], work, docs.schema)
