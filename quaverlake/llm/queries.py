@@ -91,3 +91,41 @@ def op4_elias_fano_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quaverlake.llm.trie import held_out_scores
     got = held_out_scores(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 10 == 0)
     return got.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op9_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every not-modified revisit of the log that ``pages`` makes, with the response that it stands for and the merged headers."""
+    from quaverlake.llm.revisits import crawl_log, resolved
+    got = resolved(crawl_log(table(spark, sf_dir, "pages")))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return got.withColumn("headers", F.array_join(lines, "\n"))
+
+
+SQL["op9_revisits"] = r"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, md5(coalesce(html, '')) AS digest, 'day ' || (page_id % 365) AS day FROM pages),
+log AS (
+  SELECT page_id AS record_id, url, page_id * 10 AS t, false AS revisit, digest, '"' || substr(digest, 1, 12) || '"' AS etag, day AS modified, day, length(html) AS size FROM p
+  UNION ALL
+  SELECT page_id, CASE WHEN page_id % 11 = 0 THEN 'HTTPS://WWW.' || regexp_replace(url, '^https?://(www\.)?', '') ELSE url END,
+         CASE WHEN page_id % 13 = 0 THEN page_id * 10 - 5 ELSE page_id * 10 + 5 + 10 * (length(url) % 50) END, true, NULL,
+         CASE WHEN page_id % 5 = 0 THEN NULL WHEN page_id % 7 = 0 THEN '"stale"' ELSE '"' || substr(digest, 1, 12) || '"' END,
+         CASE WHEN page_id % 5 = 0 THEN day END, day, 0 FROM p),
+bare AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS b FROM log),
+parts AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(b, '^[^/?]*')), '^[^@]*@', ''), '^www[0-9]*\.', ''), ':(80|443)$', '') AS host,
+                 regexp_replace(regexp_extract(b, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+                 list_sort([x FOR x IN string_split(regexp_extract(b, '\?(.*)$', 1), '&')
+                   IF x <> '' AND NOT regexp_matches(lower(x), '^(utm_[a-z]+|ref|sid|sessionid|phpsessionid|jsessionid|fbclid|gclid)(=|$)')]) AS args FROM bare),
+keyed AS (SELECT *, host || path || CASE WHEN len(args) > 0 THEN '?' || array_to_string(args, '&') ELSE '' END AS k FROM parts),
+met AS (SELECT v.record_id, v.k, v.t, v.day, v.etag, v.modified, s.record_id AS rid, s.etag AS r_etag, s.modified AS r_modified, s.digest AS r_digest, s.day AS r_day, s.size AS r_size
+        FROM (SELECT * FROM keyed WHERE revisit) v ASOF LEFT JOIN (SELECT * FROM keyed WHERE NOT revisit) s ON v.k = s.k AND v.t > s.t),
+judged AS (SELECT *, CASE WHEN rid IS NULL THEN 'missing' WHEN etag IS NOT NULL AND etag = r_etag THEN 'resolved' WHEN etag IS NULL AND modified = r_modified THEN 'resolved' ELSE 'changed' END AS outcome,
+                  CASE WHEN etag IS NULL OR record_id % 7 = 0 OR record_id % 3 <> 0 THEN '' ELSE 'W/' END || coalesce(etag, '') AS own_tag FROM met)
+SELECT record_id, k AS url_key, t AS time, CASE WHEN outcome = 'resolved' THEN rid END AS refers_to, outcome, CASE WHEN outcome = 'resolved' THEN 200 ELSE 304 END AS status,
+       CASE WHEN outcome = 'resolved' THEN r_digest END AS digest,
+       CASE WHEN outcome = 'resolved' THEN 'cache-control: max-age=60' || chr(10) || 'content-length: ' || r_size || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || day || ' again' || chr(10)
+              || 'etag: ' || CASE WHEN etag IS NULL THEN r_etag ELSE own_tag END || chr(10) || 'last-modified: ' || coalesce(modified, r_modified) || chr(10) || 'server: origin'
+            ELSE 'cache-control: max-age=60' || chr(10) || 'content-length: 0' || chr(10) || 'date: ' || day || ' again' || chr(10)
+              || CASE WHEN etag IS NULL THEN 'last-modified: ' || modified ELSE 'etag: ' || own_tag END || chr(10) || 'server: edge' END AS headers
+FROM judged
+"""
