@@ -21,8 +21,10 @@ from quaverlake.llm.tables import map_batches
 #: Features are words and their beginnings of so many bytes, hashed to 22 bits.
 BEGINNINGS = (6, 7, 8)
 BITS = 22
-#: Largest value of a word's share of the text, in percent, as a feature.
-SHARE = 4.0
+#: Largest values of a feature: a word's share of the text in percent, and the binary logarithm of one more than how often it occurs.
+SHARE, OFTEN = 4.0, 4.0
+#: Least chi-square of a feature that the model uses.
+LEAST_GAIN = 12.0
 #: Grades of a text that is marked toxic, by the percentage of its words that toxic texts alone hold.
 BANDS = (2.0, 4.0)
 
@@ -36,8 +38,8 @@ class Model:
     thresholds: np.ndarray
 
 
-def _items(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(feature, row) of every word and beginning, and the words of each row; case is folded and ASCII marks are blanks."""
+def _items(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, row) of every word and beginning, the words of each row, and each feature's word; case is folded and ASCII marks are blanks."""
     low = words.folded(data)
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets] = True
@@ -45,12 +47,13 @@ def _items(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     bounds = np.searchsorted(starts, offsets)
     names = words.Rolling(low)
     rows = words.row_of(bounds)
-    got, where = [names.names(starts, ends)], [rows]
+    got, where = [names.names(starts, ends)], [np.arange(len(starts))]
     for size in BEGINNINGS:
         enough = ends - starts >= size
         got.append(words.mix(names.names(starts[enough], starts[enough] + size) + np.uint64(size)))
-        where.append(rows[enough])
-    return (np.concatenate(got) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(where), np.diff(bounds)
+        where.append(np.flatnonzero(enough))
+    word = np.concatenate(where)
+    return (np.concatenate(got) >> np.uint64(64 - BITS)).astype(np.int64), rows[word], np.diff(bounds), word
 
 
 def _counted(feature: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,7 +70,7 @@ def _presence(sample: DataFrame) -> DataFrame:
         for batch in batches:
             toxic = batch.column(1).to_numpy() > 0
             for first, data, offsets in words.text_slices(batch.column(0)):
-                feature, row, _ = _items(data, offsets)
+                feature, row, _, _ = _items(data, offsets)
                 row, feature, _ = _counted(feature, row)
                 is_toxic = toxic[first + row]
                 for kind in (0, 1):
@@ -86,10 +89,10 @@ def _columns(feature: np.ndarray, row: np.ndarray, lengths: np.ndarray, features
     hit = features[at] == feature
     row, at, counts = _counted(at[hit], row[hit])
     share = np.minimum(SHARE, 100.0 * counts / lengths[row])
-    return np.concatenate([row, row]), np.concatenate([2 * at, 2 * at + 1]), np.concatenate([np.log2(1.0 + counts), share])
+    return np.concatenate([row, row]), np.concatenate([2 * at, 2 * at + 1]), np.concatenate([np.minimum(OFTEN, np.log2(1.0 + counts)), share])
 
 
-def fit(sample: DataFrame, *, features: int = 4096, rounds: int = 300, ridge: float = 1e-3, rate: float = 0.05) -> Model:
+def fit(sample: DataFrame, *, features: int = 4096, rounds: int = 1000, ridge: float = 1e-4, rate: float = 0.05) -> Model:
     """Fits a sample of (text, label), label over 0: toxic. ``features`` is the size of the model, chosen by chi-square.
 
     Binary labels become grades: 0, or 1 and up by how much of the text is words that (nearly) only toxic rows of the sample hold (``BANDS``).
@@ -98,22 +101,22 @@ def fit(sample: DataFrame, *, features: int = 4096, rounds: int = 300, ridge: fl
     clean, toxic = (int(x or 0) for x in sample.agg(F.sum((F.col("label") <= 0).cast("long")), F.sum((F.col("label") > 0).cast("long"))).first())
     if not clean or not toxic:
         return Model(np.zeros(0, np.int64), np.zeros(0), np.full(1 + len(BANDS), -9.0 if toxic else 9.0))
-    gain = F.pow(F.col("toxic") * clean - F.col("clean") * toxic, 2) / ((F.col("toxic") + F.col("clean")) * (clean + toxic - F.col("toxic") - F.col("clean") + 1.0))
-    chosen = (_presence(sample).where((F.col("toxic") > 1) & (F.col("toxic") * clean > F.col("clean") * toxic))
-              .orderBy(F.desc(gain.cast("double")), "feature").limit(features).collect())  # at most `features` rows
+    held = F.col("toxic") + F.col("clean")
+    gain = (F.pow(F.col("toxic") * clean - F.col("clean") * toxic, 2) / (held * (clean + toxic - held + 1.0)) * ((clean + toxic) / (clean * toxic))).alias("gain")
+    chosen = (_presence(sample).where((F.col("toxic") > 1) & (F.col("toxic") * clean > F.col("clean") * toxic)).select("feature", "clean", "toxic", gain)
+              .where(F.col("gain") >= LEAST_GAIN).orderBy(F.desc("gain"), "feature").limit(features).collect())  # at most `features` rows
     names = np.array(sorted(r.feature for r in chosen), np.int64)
     only = {r.feature for r in chosen if r.toxic * clean > 20 * r.clean * toxic and r.toxic * 100 > toxic}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked = np.isin(names, np.array(sorted(only), np.int64))
+        marked = np.array(sorted(only), np.int64)
         for batch in batches:
             label = batch.column(1).to_numpy()
             for first, data, offsets in words.text_slices(batch.column(0)):
-                feature, row, lengths = _items(data, offsets)
+                feature, row, lengths, word = _items(data, offsets)
+                _, once = np.unique(np.where(np.isin(feature, marked), word, -1), return_index=True)
+                share = 100.0 * np.bincount(row[once[np.isin(feature[once], marked)]], minlength=len(lengths)) / np.maximum(lengths, 1)
                 row, column, value = _columns(feature, row, lengths, names)
-                share = np.zeros(len(lengths))
-                odd = column % 2 == 1
-                np.maximum.at(share, row[odd], np.where(marked[column[odd] // 2], value[odd], 0))
                 grade = np.where(label[first:first + len(lengths)] > 0, 1 + np.searchsorted(BANDS, share, "right"), 0)
                 order = np.argsort(row, kind="stable")
                 bounds = np.searchsorted(row[order], np.arange(len(lengths) + 1)).astype(np.int32)
@@ -162,7 +165,7 @@ def severity(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np
     """(expected severity, P(grade > 0), likeliest grade) of each text."""
     out: list[np.ndarray] = []
     for _, data, offsets in words.text_slices(column):
-        feature, row, lengths = _items(data, offsets)
+        feature, row, lengths, _ = _items(data, offsets)
         row, at, value = _columns(feature, row, lengths, model.features)
         eta = np.bincount(row, model.weights[at] * value, minlength=len(lengths)) if len(row) else np.zeros(len(lengths))
         out.append(_sigmoid(eta[:, None] - model.thresholds))
