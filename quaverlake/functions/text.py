@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 
 def clean_title(value: Column) -> Column:
-    """F-09: whitespace runs become one space, other control characters go, NULL when nothing is left.
+    """F-09: control characters that aren't white space go, then runs of white space become one space; NULL when nothing is left.
 
     The white space class is the Unicode one, with the four separator controls that also count.
     """
-    spaced = F.regexp_replace(value, r"[\s\x1c-\x1f\x85\p{Z}]+", " ")
-    return F.nullif(F.trim(F.regexp_replace(spaced, r"\p{Cc}", "")), F.lit(""))
+    printable = F.regexp_replace(value, r"[\x00-\x08\x0e-\x1b\x7f-\x84\x86-\x9f]", "")
+    return F.nullif(F.trim(F.regexp_replace(printable, r"[\s\x0b\x1c-\x1f\x85\p{Z}]+", " ")), F.lit(""))
 
 
 def file_stem(name: Column) -> Column:

@@ -87,6 +87,7 @@ def ramps(wedges: DataFrame, dynamics: DataFrame, notes: DataFrame, keys: Sequen
     """W-15: a dynamic row for each note under a wedge, on the line from the dynamic before it to the one
     at its end (16 louder or softer where none is printed)."""
     line = [*keys, "part", "staff"]
+    wedges = wedges.filter(F.col("value").isin("crescendo", "diminuendo", "stop"))
     w = previous(wedges, [*line, "number"], ["start_beat", "seq"], {"__kind": "value", "from_beat": "start_beat"},
                  _chunk("start_beat", chunk_width))
     pairs = w.filter((F.col("value") == "stop") & F.col("__kind").isin("crescendo", "diminuendo")
@@ -134,9 +135,9 @@ def merge_ties(notes: DataFrame, keys: Sequence[str], chunk_width: float | None
 def collapse_strikes(notes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """W-13: a key two voices strike together sounds once, as long and as loud as the longest and loudest."""
     first = F.struct("voice", "source_id")
-    return notes.groupBy(*keys, "part", "midi", F.round("start_beat", 6).alias("start_beat")).agg(
-        F.max("key_duration").alias("duration"), F.max("velocity").alias("velocity"),
-        F.min_by("source_id", first).alias("source_id"), F.count(F.lit(1)).alias("strikes"))
+    return notes.groupBy(*keys, "part", "midi", F.round("start_beat", 6).alias("__at")).agg(
+        F.min("start_beat").alias("start_beat"), F.max("key_duration").alias("duration"), F.max("velocity").alias("velocity"),
+        F.min_by("source_id", first).alias("source_id"), F.count(F.lit(1)).alias("strikes")).drop("__at")
 
 
 def apply_pedal(audio: DataFrame, pedals: DataFrame, totals: DataFrame, keys: Sequence[str],
@@ -471,21 +472,22 @@ def state_at_jumps(order: DataFrame, events: DataFrame, staves: DataFrame, keys:
     and then the last mark printed before the bar jumped to.
 
     ``order``: position, measure_index, start_beat. ``events``: measure_index, beat, seq, kind, part, staff, value.
-    ``staves``: the (part, staff) pairs of a document. Adds ``rank``: 0 defaults, 1 restored, 2 printed.
+    ``staves``: the (part, staff) pairs of a document. Adds ``rank``: 0 defaults, 1 restored, 2 the pedal's
+    lift, so that a restored pedal is not held through the jump, 3 printed. A first bar of index 0 is no jump.
     """
     played = previous(order, keys, ["position"], {"__pi": "measure_index"}, _chunk("position", chunk_rows))
-    jumps = played.filter(F.col("__pi").isNull() | (F.col("measure_index") != F.col("__pi") + 1)).select(
+    jumps = played.filter(F.col("measure_index") != F.coalesce("__pi", F.lit(-1)) + 1).select(
         *keys, "position", "measure_index", "start_beat")
     cols = [*keys, "position", "start_beat", "kind", "part", "staff", "value", "rank"]
 
-    def default(df, kind, value, part, staff):
-        return df.withColumns({"kind": F.lit(kind), "value": F.lit(value).cast("string"), "part": part, "staff": staff, "rank": F.lit(0)}).select(*cols)
+    def default(df, kind, value, part, staff, rank=0):
+        return df.withColumns({"kind": F.lit(kind), "value": F.lit(value).cast("string"), "part": part, "staff": staff, "rank": F.lit(rank)}).select(*cols)
 
     pairs = staves.select(*keys, "part", "staff").distinct()
     zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
     opened = default(jumps, "tempo", float(tempo_bpm), zero, one)
     loud = default(jumps.join(pairs, list(keys)), "dynamic", DEFAULT_DYNAMIC, F.col("part"), F.col("staff"))
-    lifted = default(jumps.join(pairs.select(*keys, "part").distinct(), list(keys)), "pedal", "stop", F.col("part"), one)
+    lifted = default(jumps.join(pairs.select(*keys, "part").distinct(), list(keys)), "pedal", "stop", F.col("part"), one, 2)
     carried = events.filter(F.col("kind").isin("tempo", "dynamic", "pedal"))
     lines = carried.select(*keys, "kind", "part", "staff").distinct()
     asked = jumps.join(lines, list(keys)).withColumn("__at", F.col("measure_index").cast("double") - 0.5)
@@ -496,7 +498,7 @@ def state_at_jumps(order: DataFrame, events: DataFrame, staves: DataFrame, keys:
     restored = restored.filter(F.col("value").isNotNull()).withColumn("rank", F.lit(1)).select(*cols)
     own = (order.select(*keys, "position", "measure_index", "start_beat").join(events, [*keys, "measure_index"])
            .withColumn("start_beat", F.col("start_beat") + F.col("beat")).withColumn("value", F.col("value").cast("string"))
-           .withColumn("rank", F.lit(2)).select(*cols))
+           .withColumn("rank", F.lit(3)).select(*cols))
     out = opened
     for more in (loud, lifted, restored, own):
         out = out.unionByName(more)

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from quaverlake.operators.segments import running_sum
 
-#: Value-range slices per key in the two-level rank search.
-_SLICES = 1024
+#: Slices per key in the two-level rank search.
+_SLICES = 64
 
 
 def select_ranks(df: DataFrame, keys: Sequence[str], value: str,
@@ -19,16 +19,16 @@ def select_ranks(df: DataFrame, keys: Sequence[str], value: str,
     """Exact values at 0-based ranks, one row per key.
 
     ``wanted`` maps an output name to the rank as an expression of the group size. Equal values
-    are combined before the shuffle and each key is cut into slices of its value range, so a key
-    with a third of all rows is still counted in parallel. NULL values are left out.
+    are combined before the shuffle and each key is cut into slices of about equally many values, at
+    approximate quantiles, so a key with a third of all rows is still counted in parallel, however
+    its values are spread. NULL values are left out.
     """
     counts = (df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__x"))
               .agg(F.count(F.lit(1)).alias("__c")))
-    stats = counts.groupBy(*keys).agg(F.sum("__c").alias("__n"), F.min("__x").alias("__lo"),
-                                      F.max("__x").alias("__hi"))
+    cuts = F.percentile_approx("__x", [i / _SLICES for i in range(1, _SLICES)], 1000)
+    stats = counts.groupBy(*keys).agg(F.sum("__c").alias("__n"), cuts.alias("__cuts"))
     joined = counts.join(stats, list(keys)) if keys else counts.crossJoin(F.broadcast(stats))
-    width = (F.col("__hi") - F.col("__lo")).cast("double")
-    chunk = F.when(width > 0, F.floor((F.col("__x") - F.col("__lo")) / width * _SLICES)).otherwise(0).cast("bigint")
+    chunk = F.size(F.filter("__cuts", lambda c: c < F.col("__x"))).cast("bigint")
     run = running_sum(joined, keys, ["__x"], F.col("__c"), "__cum", chunk)
     picks = []
     for name, rank in wanted.items():

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quaverlake.session import cut_lineage
 
-_CHUNK, _CARRY = "__chunk", "__carry"
+_KEY, _CHUNK, _CARRY = "__key", "__chunk", "__carry"
 
 
 def chunk_of(col: str | Column, width: float) -> Column:
@@ -32,12 +32,16 @@ def _order(order: Sequence[str], reverse: bool = False) -> list[Column]:
     return [F.col(c).desc_nulls_last() if reverse else F.col(c).asc_nulls_first() for c in order]
 
 
-def _attach(df: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join chunk summaries back; NULL-safe on the keys, which may be missing in score tables."""
-    names = [*keys, _CHUNK]
-    renamed = summary.select(*[F.col(n).alias(f"__r_{n}") for n in names], _CARRY)
-    cond = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"__r_{n}")) for n in names])
-    return df.join(renamed, cond, "left").drop(*[f"__r_{n}" for n in names])
+def _cut(df: DataFrame, keys: Sequence[str], chunk: Column, value: Column) -> DataFrame:
+    """Rows with their value, and the key and chunk as structs: a struct is never NULL, and equal structs may hold NULLs, so plain equality
+    serves keys that may be missing, and the join and the window that follows it need one and the same partitioning."""
+    key = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0))
+    return df.withColumn(_KEY, key).withColumn(_CHUNK, F.struct(chunk.alias("c"))).withColumn("__v", value)
+
+
+def _attach(df: DataFrame, summary: DataFrame) -> DataFrame:
+    """Join chunk summaries back."""
+    return df.join(summary.select(_KEY, _CHUNK, _CARRY), [_KEY, _CHUNK], "left")
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, out: str,
@@ -47,14 +51,14 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     if chunk is None:
         w = W.partitionBy(*keys).orderBy(*_order(order)).rowsBetween(W.unboundedPreceding, end)
         return df.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0)))
-    src = df.withColumn(_CHUNK, chunk).withColumn("__v", value)
-    before = W.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(W.unboundedPreceding, -1)
-    totals = (src.groupBy(*keys, _CHUNK).agg(F.sum("__v").alias("__t"))
+    src = _cut(df, keys, chunk, value)
+    before = W.partitionBy(_KEY).orderBy(_CHUNK).rowsBetween(W.unboundedPreceding, -1)
+    totals = (src.groupBy(_KEY, _CHUNK).agg(F.sum("__v").alias("__t"))
               .withColumn(_CARRY, F.coalesce(F.sum("__t").over(before), F.lit(0))))
-    inside = (W.partitionBy(*keys, _CHUNK).orderBy(*_order(order)).rowsBetween(W.unboundedPreceding, end))
-    return (_attach(src, totals, keys)
+    inside = (W.partitionBy(_KEY, _CHUNK).orderBy(*_order(order)).rowsBetween(W.unboundedPreceding, end))
+    return (_attach(src, totals)
             .withColumn(out, F.col(_CARRY) + F.coalesce(F.sum("__v").over(inside), F.lit(0)))
-            .drop(_CHUNK, _CARRY, "__v"))
+            .drop(_KEY, _CHUNK, _CARRY, "__v"))
 
 
 def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str,
@@ -72,15 +76,15 @@ def carry_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     if chunk is None:
         w = W.partitionBy(*keys).orderBy(*_order(order)).rowsBetween(W.unboundedPreceding, end)
         return df.withColumn(out, F.last(value, ignorenulls=True).over(w))
-    src = df.withColumn(_CHUNK, chunk).withColumn("__v", value)
-    before = W.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(W.unboundedPreceding, -1)
+    src = _cut(df, keys, chunk, value)
+    before = W.partitionBy(_KEY).orderBy(_CHUNK).rowsBetween(W.unboundedPreceding, -1)
     position = F.when(F.col("__v").isNotNull(), F.struct(*[F.col(c) for c in order]))
-    lasts = (src.groupBy(*keys, _CHUNK).agg(F.max_by("__v", position).alias("__t"))
+    lasts = (src.groupBy(_KEY, _CHUNK).agg(F.max_by("__v", position).alias("__t"))
              .withColumn(_CARRY, F.last("__t", ignorenulls=True).over(before)))
-    inside = W.partitionBy(*keys, _CHUNK).orderBy(*_order(order)).rowsBetween(W.unboundedPreceding, end)
-    return (_attach(src, lasts, keys)
+    inside = W.partitionBy(_KEY, _CHUNK).orderBy(*_order(order)).rowsBetween(W.unboundedPreceding, end)
+    return (_attach(src, lasts)
             .withColumn(out, F.coalesce(F.last("__v", ignorenulls=True).over(inside), F.col(_CARRY)))
-            .drop(_CHUNK, _CARRY, "__v"))
+            .drop(_KEY, _CHUNK, _CARRY, "__v"))
 
 
 def carry_next(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, out: str,
@@ -90,15 +94,15 @@ def carry_next(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     if chunk is None:
         w = W.partitionBy(*keys).orderBy(*_order(order)).rowsBetween(start, W.unboundedFollowing)
         return df.withColumn(out, F.first(value, ignorenulls=True).over(w))
-    src = df.withColumn(_CHUNK, chunk).withColumn("__v", value)
-    after = W.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(1, W.unboundedFollowing)
+    src = _cut(df, keys, chunk, value)
+    after = W.partitionBy(_KEY).orderBy(_CHUNK).rowsBetween(1, W.unboundedFollowing)
     position = F.when(F.col("__v").isNotNull(), F.struct(*[F.col(c) for c in order]))
-    firsts = (src.groupBy(*keys, _CHUNK).agg(F.min_by("__v", position).alias("__t"))
+    firsts = (src.groupBy(_KEY, _CHUNK).agg(F.min_by("__v", position).alias("__t"))
               .withColumn(_CARRY, F.first("__t", ignorenulls=True).over(after)))
-    inside = W.partitionBy(*keys, _CHUNK).orderBy(*_order(order)).rowsBetween(start, W.unboundedFollowing)
-    return (_attach(src, firsts, keys)
+    inside = W.partitionBy(_KEY, _CHUNK).orderBy(*_order(order)).rowsBetween(start, W.unboundedFollowing)
+    return (_attach(src, firsts)
             .withColumn(out, F.coalesce(F.first("__v", ignorenulls=True).over(inside), F.col(_CARRY)))
-            .drop(_CHUNK, _CARRY, "__v"))
+            .drop(_KEY, _CHUNK, _CARRY, "__v"))
 
 
 def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: dict[str, str | Column],
@@ -151,14 +155,14 @@ def _running_extreme(df, keys, order, value, out, chunk, agg, pick):
     if chunk is None:
         w = W.partitionBy(*keys).orderBy(*_order(order)).rowsBetween(W.unboundedPreceding, W.currentRow)
         return df.withColumn(out, agg(value).over(w))
-    src = df.withColumn(_CHUNK, chunk).withColumn("__v", value)
-    before = W.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(W.unboundedPreceding, -1)
-    best = (src.groupBy(*keys, _CHUNK).agg(agg("__v").alias("__t"))
+    src = _cut(df, keys, chunk, value)
+    before = W.partitionBy(_KEY).orderBy(_CHUNK).rowsBetween(W.unboundedPreceding, -1)
+    best = (src.groupBy(_KEY, _CHUNK).agg(agg("__v").alias("__t"))
             .withColumn(_CARRY, agg("__t").over(before)))
-    inside = (W.partitionBy(*keys, _CHUNK).orderBy(*_order(order))
+    inside = (W.partitionBy(_KEY, _CHUNK).orderBy(*_order(order))
               .rowsBetween(W.unboundedPreceding, W.currentRow))
-    return (_attach(src, best, keys).withColumn(out, pick(agg("__v").over(inside), F.col(_CARRY)))
-            .drop(_CHUNK, _CARRY, "__v"))
+    return (_attach(src, best).withColumn(out, pick(agg("__v").over(inside), F.col(_CARRY)))
+            .drop(_KEY, _CHUNK, _CARRY, "__v"))
 
 
 def with_totals(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:

@@ -583,8 +583,8 @@ def _(spark, d):
 # --- scalars ---------------------------------------------------------------------------------------
 
 @query("F09_sheet_title", """
-    SELECT doc_id, nullif(trim(regexp_replace(regexp_replace(text, '[\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]+', ' ', 'g'),
-                                              '\\p{Cc}', '', 'g')), '') AS title
+    SELECT doc_id, nullif(trim(regexp_replace(regexp_replace(text, '[\\x00-\\x08\\x0e-\\x1b\\x7f-\\x{84}\\x{86}-\\x{9f}]', '', 'g'),
+                                              '[\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]+', ' ', 'g')), '') AS title
     FROM documents""")
 def _(spark, d):
     return B.documents(spark, d).select("doc_id", text.clean_title(F.col("text")).alias("title"))

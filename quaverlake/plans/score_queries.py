@@ -624,8 +624,8 @@ def _(spark, d):
 
 
 @query("W13_collapse_strikes", with_ctes("timed") + """
-    SELECT doc_id, midi, start_beat, max(duration * 0.75) AS duration, max(64 + part_key % 40) AS velocity, first(source_id ORDER BY voice, source_id) AS source_id, count(*) AS strikes
-    FROM timed WHERE NOT tie_start AND NOT tie_stop GROUP BY 1, 2, 3""")
+    SELECT doc_id, midi, min(start_beat) AS start_beat, max(duration * 0.75) AS duration, max(64 + part_key % 40) AS velocity, first(source_id ORDER BY voice, source_id) AS source_id, count(*) AS strikes
+    FROM timed WHERE NOT tie_start AND NOT tie_stop GROUP BY doc_id, midi, round(start_beat, 6)""")
 def _(spark, d):
     return P.collapse_strikes(_sounding(spark, d).filter("not tie_start and not tie_stop"), DOC).drop("part")
 
@@ -774,16 +774,17 @@ def _(spark, d):
 
 @query("W22_state_at_jumps", with_ctes("bars") + """
     , o AS (SELECT doc_id, measure_index AS position, (measure_index * 5) % 64 // 2 AS mi, CAST(measure_index * 4 AS DOUBLE) AS start_beat FROM bars),
-    ev AS (SELECT doc_id, measure_index AS mi, CAST(sk % 4 AS DOUBLE) AS beat, CASE WHEN pk % 3 = 0 THEN 'dynamic' ELSE 'wedge' END AS kind, CAST(40 + pk % 60 AS VARCHAR) AS value FROM bars),
-    j AS (SELECT * FROM (SELECT *, lag(mi) OVER (PARTITION BY doc_id ORDER BY position) AS p FROM o) WHERE p IS NULL OR mi <> p + 1)
+    ev AS (SELECT doc_id, measure_index AS mi, CAST(sk % 4 AS DOUBLE) AS beat, CASE pk % 5 WHEN 0 THEN 'dynamic' WHEN 1 THEN 'tempo' WHEN 2 THEN 'pedal' ELSE 'wedge' END AS kind, CAST(40 + pk % 60 AS VARCHAR) AS value FROM bars),
+    j AS (SELECT * FROM (SELECT *, lag(mi) OVER (PARTITION BY doc_id ORDER BY position) AS p FROM o) WHERE mi <> coalesce(p, -1) + 1)
     SELECT doc_id, position, start_beat, 'tempo' AS kind, '96.0' AS value, 0 AS rank FROM j UNION ALL SELECT doc_id, position, start_beat, 'dynamic', '80.0', 0 FROM j
-    UNION ALL SELECT doc_id, position, start_beat, 'pedal', 'stop', 0 FROM j
-    UNION ALL SELECT doc_id, position, start_beat, 'dynamic', v, 1 FROM (SELECT j.*, (SELECT last(e.value ORDER BY e.mi) FROM ev e WHERE e.doc_id = j.doc_id AND e.kind = 'dynamic' AND e.mi < j.mi) AS v FROM j) WHERE v IS NOT NULL
-    UNION ALL SELECT o.doc_id, o.position, o.start_beat + e.beat, e.kind, e.value, 2 FROM o JOIN ev e ON e.doc_id = o.doc_id AND e.mi = o.mi""".replace("\n    , o", ", o"))
+    UNION ALL SELECT doc_id, position, start_beat, 'pedal', 'stop', 2 FROM j
+    UNION ALL SELECT doc_id, position, start_beat, kind, v, 1 FROM (SELECT j.*, k.kind, (SELECT last(e.value ORDER BY e.mi) FROM ev e WHERE e.doc_id = j.doc_id AND e.kind = k.kind AND e.mi < j.mi) AS v
+        FROM j, (VALUES ('dynamic'), ('tempo'), ('pedal')) k(kind)) WHERE v IS NOT NULL
+    UNION ALL SELECT o.doc_id, o.position, o.start_beat + e.beat, e.kind, e.value, 3 FROM o JOIN ev e ON e.doc_id = o.doc_id AND e.mi = o.mi""".replace("\n    , o", ", o"))
 def _(spark, d):
     b = bars(spark, d)
     order = b.select("doc_id", F.col("measure_index").alias("position"), F.floor(F.col("measure_index") * 5 % 64 / 2).cast("bigint").alias("measure_index"), (F.col("measure_index") * 4.0).alias("start_beat"))
-    ev = b.select("doc_id", "measure_index", (F.col("sk") % 4 * 1.0).alias("beat"), F.lit(0).alias("seq"), F.when(F.col("pk") % 3 == 0, "dynamic").otherwise("wedge").alias("kind"),
+    ev = b.select("doc_id", "measure_index", (F.col("sk") % 4 * 1.0).alias("beat"), F.lit(0).alias("seq"), F.when(F.col("pk") % 5 == 0, "dynamic").when(F.col("pk") % 5 == 1, "tempo").when(F.col("pk") % 5 == 2, "pedal").otherwise("wedge").alias("kind"),
                   F.lit(0).cast("bigint").alias("part"), F.lit(1).cast("bigint").alias("staff"), (40 + F.col("pk") % 60).cast("string").alias("value"))
     staves = b.select("doc_id").distinct().withColumns({"part": F.lit(0).cast("bigint"), "staff": F.lit(1).cast("bigint")})
     return P.state_at_jumps(order, ev, staves, DOC, chunk_rows=16).select("doc_id", "position", "start_beat", "kind", "value", "rank")

@@ -75,13 +75,13 @@ _CTE: dict[str, tuple[tuple[str, ...], str]] = {
                CAST(k AS VARCHAR) AS job_id,
                CASE WHEN event_type IN ('click', 'purchase') THEN 'practice' ELSE 'sheet' END AS surface,
                CASE WHEN user_id % 2 = 1 THEN 'ios' ELSE 'web' END AS platform,
-               CAST(least(600, floor(value)) AS BIGINT) AS seconds,
-               CAST(least(600, floor(value / 2)) AS BIGINT) AS playing_seconds,
+               CAST(floor(value) AS BIGINT) AS seconds,
+               CAST(floor(value / 2) AS BIGINT) AS playing_seconds,
                CASE event_type WHEN 'view' THEN 'view' WHEN 'click' THEN 'play' WHEN 'purchase' THEN 'paywall'
                     WHEN 'signup' THEN 'speed' ELSE 'edit' END AS control,
                CAST(k // 10 AS BIGINT) AS uses, user_id % 50 = 0 AS admin, tick, event_id AS seq
         FROM (SELECT *, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS tick,
-                     CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)"""),
+                     CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events WHERE floor(value) <= 600)"""),
     "sessions": (("reports",), """
         SELECT user_id, session_id, first(job_id ORDER BY tick, seq) AS job_id,
                first(surface ORDER BY tick, seq) AS surface, first(platform ORDER BY tick, seq) AS platform,
