@@ -36,11 +36,11 @@ def contains_text(col: Column, q: str) -> Column:
 def ending_numbers(text: Column, longest: int = 100) -> Column:
     """F-14: "1,3-4" as sorted distinct numbers; a range reaches at most ``longest`` past its start."""
     def one(piece: Column) -> Column:
-        start = F.regexp_extract(piece, r"^(\d{1,9})", 1).try_cast("int")
-        end = F.regexp_extract(piece, r"^\d{1,9}-(\d{1,9})$", 1)
-        last = F.when(end == "", start).otherwise(F.least(end.try_cast("int"), start + longest))
-        return F.when(piece.rlike(r"^\d{1,9}(-\d{1,9})?$") & (last >= start), F.sequence(start, last)).otherwise(
-            F.array().cast("array<int>"))
+        start = F.regexp_extract(piece, r"^(\d+)", 1).try_cast("bigint")
+        end = F.regexp_extract(piece, r"^\d+-(\d+)$", 1)
+        last = F.when(end == "", start).otherwise(F.least(end.try_cast("bigint"), start + longest))
+        return F.when(piece.rlike(r"^\d+(-\d+)?$") & (last >= start), F.sequence(start, last)).otherwise(
+            F.array().cast("array<bigint>"))
 
     pieces = F.split(F.replace(F.coalesce(text, F.lit("")), F.lit(" "), F.lit("")), ",")
     return F.array_sort(F.array_distinct(F.flatten(F.transform(pieces, one))))

@@ -29,7 +29,7 @@ _CTE: dict[str, tuple[tuple[str, ...], str]] = {
         FROM orders"""),
     "jobs": (("job_heads",), """
         SELECT h.*, fin AS finished_at, coalesce(fin, created_at + 3600) AS updated_at,
-               coalesce(returned, false) AS review, least(coalesce(n_lines, 0), 4) AS attempt_count
+               coalesce(returned, false) AS review, coalesce(n_lines, 0) AS attempt_count
         FROM job_heads h LEFT JOIN (
             SELECT l_orderkey, CAST(epoch_us(max(l_shipdate)) // 1000000 AS BIGINT) AS fin,
                    bool_or(l_returnflag = 'R') AS returned, count(*) AS n_lines

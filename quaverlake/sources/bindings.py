@@ -59,7 +59,7 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("updated_at", F.coalesce(F.col("finished_at"), F.col("created_at") + 3600))
             .withColumn("review_reasons", F.when(F.col("returned") == 1, F.array(F.lit("returned")))
                         .otherwise(F.array().cast("array<string>")))
-            .withColumn("attempt_count", F.least(F.coalesce(F.col("n_lines"), F.lit(0)), F.lit(4)).cast("bigint"))
+            .withColumn("attempt_count", F.coalesce(F.col("n_lines"), F.lit(0)).cast("bigint"))
             .drop("l_orderkey", "last_ship", "returned", "n_lines"))
 
 
