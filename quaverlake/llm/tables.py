@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quaverlake.session import checkpoint_dir, ship_package
 
 #: Largest side that is sent to every executor, in bytes of its Parquet files.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 16 << 20
 
 
 def shared_path(spark: SparkSession) -> str:
@@ -37,6 +37,14 @@ def sized(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if table_bytes(df) <= limit else df
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def map_batches(df: DataFrame, columns: list, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``work`` over Arrow batches of just the named columns."""
     ship_package(df.sparkSession)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaverlake.llm import words
-from quaverlake.llm.tables import map_batches, sized, table_bytes, written
+from quaverlake.llm.tables import map_batches, sized, spare, table_bytes, written
 
 #: Words that are units of measure.
 UNITS = ("mm cm m km in inch inches ft foot feet yard yards mile miles mg g kg lb lbs pound pounds oz ounce ounces ton tons tonnes ml l liter liters litre litres "
@@ -175,8 +175,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **how: object) -> DataFrame:
     """The rows that hold no item, all columns as they were; rows of null text stay."""
-    named = docs.withColumn("__node", F.xxhash64(F.col(f"`{text_col}`").cast("string")))
-    windows = benchmark_windows(benchmark)
-    bad = written(leaked_items(named.where(F.col(f"`{text_col}`").isNotNull()).select(F.col("__node").alias("node"), F.col(f"`{text_col}`").cast("string").alias("text")), windows, **how)
-                  .select(F.col("node").alias("__node")).distinct())
-    return named.join(sized(bad), "__node", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    node, text = spare(docs, "__node"), F.col(f"`{text_col}`").cast("string")
+    found = leaked_items(docs.where(text.isNotNull()).select(F.xxhash64(text).alias("node"), text.alias("text")), benchmark_windows(benchmark), **how)
+    bad = written(found.select(F.col("node").alias(node)).distinct())
+    return docs.withColumn(node, F.xxhash64(text)).join(sized(bad), node, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
