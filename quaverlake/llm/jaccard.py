@@ -1,11 +1,13 @@
 """Jaccard join of word shingle sets by a token-group matrix.
 
-1. Documents with equal sets are one node. Nodes that share one of their smallest shingle names are compared with the first such node; those
-   that link form groups of similar documents, in parts of bounded size.
+1. Documents with equal sets are one node. Nodes that share one of their smallest shingle names are compared with the first such node, then
+   those that share a rare shingle with one node of another group, chosen by chance for each shingle. Nodes that link form groups of similar
+   documents, in parts of bounded size. Each node is compared with a few others only, so a group of any size costs in proportion to it.
 2. The matrix holds, for each group, the shingles of its members that a partner must share (the shortest beginnings, rare shingles first).
    A node asks for the groups that hold one of its own first shingles, groups of its own component left out: they are joined already.
-3. For each such node and group, the node's overlap with the union of all the group's shingles bounds its similarity to every member. Only
-   groups that pass are opened, and their members compared with the node shingle by shingle.
+3. For each such node and group, the node's overlap with the union of all the group's shingles bounds its similarity to every member. The
+   union is a row of bits, one for each hash of a shingle: a shingle of the node whose bit isn't set is in no member. Only groups that pass
+   are opened; their members are bounded in the same way, and those that pass are compared with the node shingle by shingle.
 
 Every pair that links is in one component in the end, so components are exact; pairs within a component need no proof of their own.
 """
@@ -24,8 +26,10 @@ from quaverlake.llm import words
 from quaverlake.llm.components import components
 from quaverlake.llm.tables import map_batches, sized, written
 
-#: Shingle names are counted by their first 16 bits: a table of fixed size, whatever the corpus.
-COUNT_BITS = 16
+#: Shingle names are counted by their first 20 bits: a table of fixed size, whatever the corpus.
+COUNT_BITS = 20
+#: Bits in the row of a set: twice its size, within these bounds.
+LEAST_BITS, MOST_BITS = 256, 1 << 15
 #: Each node is compared with the first node that shares one of so many smallest shingles.
 ANCHORS = 4
 #: Members of a part of a group.
@@ -36,7 +40,7 @@ def _sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarra
     """(first row, shingles, bounds, sizes, node names) by slices; a node's name stands for its set."""
     for first, data, offsets in words.text_slices(column, 1 << 18):
         got, bounds = words.shingles(*words.words(data, offsets), n)
-        sums = np.concatenate(([0], np.cumsum(words.mix(got + np.uint64(1))))).astype(np.uint64)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words.mix(got + np.uint64(1)), dtype=np.uint64)))
         sizes = np.diff(bounds)
         nodes = words.mix(sums[bounds[1:]] - sums[bounds[:-1]] + sizes.astype(np.uint64)).astype(np.int64)
         yield first, got, bounds, sizes, nodes
@@ -47,7 +51,8 @@ def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
 
 
 def _survey(docs: DataFrame, columns: list, n: int, id_kind: str) -> DataFrame:
-    """Each row's id, set size, node and smallest shingles; and for each task, counts of shingle names (rows with ``counts``)."""
+    """Each row's id, text key, set size, node and smallest shingles; and for each task, counts of shingle names (rows with ``counts``)."""
+    names = ["id", "key", "n", "node", "low", "counts"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen, kind = np.zeros(1 << COUNT_BITS, np.int64), set(), None
@@ -59,23 +64,24 @@ def _survey(docs: DataFrame, columns: list, n: int, id_kind: str) -> DataFrame:
                 few = np.minimum(sizes, ANCHORS)
                 at = np.concatenate(([0], np.cumsum(few)))
                 low = got[np.arange(at[-1]) + np.repeat(bounds[:-1] - at[:-1], few)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(nodes)), pa.array(sizes.astype(np.int64)), pa.array(nodes, mask=sizes == 0),
-                                                  _lists(low, at), pa.nulls(len(nodes), pa.list_(pa.int64()))], ["id", "n", "node", "low", "counts"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(nodes)), batch.column(2).slice(first, len(nodes)), pa.array(sizes.astype(np.int64)),
+                                                  pa.array(nodes, mask=sizes == 0), _lists(low, at), pa.nulls(len(nodes), pa.list_(pa.int64()))], names)
         if kind is not None:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())),
-                                              pa.array([total.tolist()], pa.list_(pa.int64()))], ["id", "n", "node", "low", "counts"])
+            held = np.flatnonzero(total)
+            counts = pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), pa.array(held << 40 | total[held]))
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), *[pa.nulls(1, pa.int64())] * 3, pa.nulls(1, pa.list_(pa.int64())), counts], names)
 
-    return written(map_batches(docs, columns, work, f"id {id_kind}, n long, node long, low array<long>, counts array<long>"))
+    return written(map_batches(docs, columns, work, f"id {id_kind}, key long, n long, node long, low array<long>, counts array<long>"))
 
 
 def _levels(survey: DataFrame) -> np.ndarray:
     """How common the shingles of each first 16 bits are beyond what chance explains: 0 for most, then a step for each doubling."""
-    rows = survey.where("counts IS NOT NULL").select(F.posexplode("counts")).groupBy("pos").agg(F.sum("col")).collect()
+    bucket = F.shiftright("c", 40).cast("int")
+    rows = survey.select(F.explode("counts").alias("c")).groupBy(bucket.alias("bucket")).agg(F.sum(F.col("c").bitwiseAND((1 << 40) - 1)).alias("c")).toArrow()
     counts = np.zeros(1 << COUNT_BITS)
-    for pos, c in rows:
-        counts[pos] = c
+    counts[np.asarray(rows.column("bucket"))] = np.asarray(rows.column("c"))
     mean = float(np.median(counts))
-    least = mean + 6 * np.sqrt(mean) + 4
+    least = mean + 3 * np.sqrt(mean) + 2
     over = np.log2(np.maximum((counts - mean) / (least - mean), 0.5))
     return np.where(counts > least, 1 + np.floor(np.maximum(over, 0)), 0).astype(np.int8)
 
@@ -108,8 +114,8 @@ def _first_shingles(docs: DataFrame, columns: list, n: int, percent: int, levels
     return map_batches(docs, columns, work, "token long, node long, n int, index boolean")
 
 
-def _members(docs: DataFrame, columns: list, n: int, wanted: DataFrame) -> DataFrame:
-    """(node, set) for the nodes of a written table, one row each."""
+def _members(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
+    """(node, set) for the nodes of a written table (node, key), one row each."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -119,15 +125,105 @@ def _members(docs: DataFrame, columns: list, n: int, wanted: DataFrame) -> DataF
                 at = np.concatenate(([0], np.cumsum(sizes[new])))
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[new]), _lists(got[np.repeat(new, sizes)], at)], ["node", "set"])
 
-    got = map_batches(docs, columns, work, "node long, set array<long>")
-    return written(got.join(sized(wanted), "node", "left_semi").groupBy("node").agg(F.any_value("set").alias("set")))
+    got = map_batches(_texts_of(docs, wanted), ["key", "text"], work, "node long, set array<long>")
+    return written(got.groupBy("node").agg(F.any_value("set").alias("set")))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) that link: ``100 * common >= percent * union``."""
+def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts (key, text) of nodes (node, key)."""
+    return texts.join(sized(wanted.select("key")), "key", "left_semi")
+
+
+def _bits(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
+    """(node, size, bits) for the nodes of a written table (node, key), one row each."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for _, got, bounds, sizes, nodes in _sets(batch.column(1), n):
+                new = [i for i, x in enumerate(nodes.tolist()) if sizes[i] and x not in seen and not seen.add(x)]
+                rows = []
+                for i in new:
+                    width = min(MOST_BITS, max(LEAST_BITS, 1 << int(2 * sizes[i] - 1).bit_length()))
+                    flags = np.zeros(width, np.uint8)
+                    flags[(got[bounds[i]:bounds[i + 1]] & np.uint64(width - 1)).astype(np.int64)] = 1
+                    rows.append(np.packbits(flags, bitorder="little").tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[new]), pa.array(sizes[new].astype(np.int64)), pa.array(rows, pa.binary())], ["node", "size", "bits"])
+
+    got = map_batches(_texts_of(docs, wanted), ["key", "text"], work, "node long, size long, bits binary")
+    return written(got.groupBy("node").agg(F.any_value("size").alias("size"), F.any_value("bits").alias("bits")))
+
+
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """A longer row of bits as one of ``size`` bytes."""
+    while len(bits) > size:
+        bits = bits[:len(bits) // 2] | bits[len(bits) // 2:]
+    return bits
+
+
+def _spread(bits: np.ndarray, size: int) -> np.ndarray:
+    """A shorter row of bits as one of ``size`` bytes that leaves nothing out."""
+    return np.tile(bits, size // len(bits))
+
+
+def _united(parts: DataFrame) -> DataFrame:
+    """(root, part, bits): the rows of bits of a part's members (root, part, bits) in one."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for rows in batch.column(2).to_pylist():
+                rows = [np.frombuffer(r, np.uint8) for r in rows]
+                size = max(map(len, rows))
+                out.append(np.bitwise_or.reduce([_spread(r, size) for r in rows]).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["root", "part", "bits"])
+
+    return written(map_batches(parts.groupBy("root", "part").agg(F.collect_list("bits").alias("rows")), ["root", "part", "rows"], work, "root long, part long, bits binary"))
+
+
+def _within_bound(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """The ``keys`` of pairs (bits_a, size_a, bits_b, need) of which a may have ``need`` shingles in b."""
+    schema = pairs.select(*keys).schema
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, n, b, need in zip(*(batch.column(c).to_pylist() for c in ("bits_a", "size_a", "bits_b", "need")), strict=True):
+                x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+                size = min(len(x), len(y))
+                outside = int(np.bitwise_count(_folded(x, size) & ~_folded(y, size)).sum())
+                keep.append(n - outside >= need)
+            yield batch.select(keys).filter(pa.array(keep, pa.bool_()))
+
+    return map_batches(pairs, [*keys, "bits_a", "size_a", "bits_b", "need"], work, schema)
+
+
+def _asked(nodes: DataFrame, *ids: DataFrame) -> DataFrame:
+    """The written (node, key) of the nodes that occur in any of the one-column frames."""
+    found = ids[0].toDF("node")
+    for more in ids[1:]:
+        found = found.union(more.toDF("node"))
+    return written(nodes.select("node", "key").join(found.distinct(), "node", "left_semi"))
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
+    """The written (a, b) that link: ``100 * common >= percent * union``. Bits are compared first, then sets."""
+    bits = _bits(texts, n, _asked(nodes, pairs.select("a"), pairs.select("b")))
+    both = (pairs.join(sized(bits.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("bits").alias("bits_a"))), "a")
+            .join(sized(bits.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("bits").alias("bits_b"))), "b"))
+    need = F.ceil(percent * (F.col("size_a") + F.col("size_b")) / (100 + percent)).cast("long").alias("need")
+    close = written(_within_bound(both.where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")).select("a", "b", "bits_a", "size_a", "bits_b", need), ["a", "b"]))
+    sets = _members(texts, n, _asked(nodes, close.select("a"), close.select("b")))
     common = F.size(F.array_intersect("sa", "sb"))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
-    return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    met = close.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
+    return written(met.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
+
+
+def _mixed(shared: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Rows of shared shingles with the ``root`` of their node, of those shingles that several components hold."""
+    by_token = Window.partitionBy("token")
+    rooted = shared.join(sized(grouped), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return rooted.withColumn("lo", F.min("root").over(by_token)).withColumn("hi", F.max("root").over(by_token)).where("lo < hi").drop("lo", "hi")
 
 
 def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
@@ -138,26 +234,33 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     id is kept and never the smallest unless nothing else is reached (then null). An empty table gives no rows. Other columns aren't read.
     """
     id_kind = docs.schema[id_col].dataType.simpleString()
-    columns = [F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")]
-    survey = _survey(docs, columns, n, id_kind)
+    text = F.col(f"`{text_col}`").cast("string").alias("text")
+    texts = docs.select(F.xxhash64(text).alias("key"), text)
+    survey = _survey(docs, [F.col(f"`{id_col}`").alias("id"), text, F.xxhash64(text).alias("key")], n, id_kind)
     rows = survey.where("counts IS NULL").drop("counts")
-    nodes = rows.where("n > 0").groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("low").alias("low"))
+    nodes = written(rows.where("n > 0").groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("low").alias("low"), F.min("key").alias("key")))
 
     # groups: each node with the first node that shares one of its smallest shingles
-    low = written(nodes.select("node", "n", F.explode("low").alias("token")))
+    low = nodes.select("node", "n", F.explode("low").alias("token"))
     heads = low.groupBy("token").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("c")).where("c > 1")
+    alike = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
     near = written(low.join(heads, "token").select(F.col("node").alias("a"), F.col("head.node").alias("b"), "n", F.col("head.n").alias("m"))
-                   .where((F.col("a") != F.col("b")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))).select("a", "b").distinct())
-    wanted = written(near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct())
-    links = written(_verified(near, _members(docs, columns, n, wanted), percent))
-    grouped = written(components(links))
+                   .where((F.col("a") != F.col("b")) & alike).select("a", "b").distinct())
+    links = _linked(near, texts, nodes, n, percent)
 
-    # the matrix: first shingles that more than one component holds
-    first = _first_shingles(docs, columns, n, percent, _levels(survey))
+    # more groups: each node with one node, chosen by chance, for each first shingle that it shares beyond its group
     by_token = Window.partitionBy("token")
+    first = _first_shingles(texts, ["key", "text"], n, percent, _levels(survey))
     shared = written(first.withColumn("lo", F.min("node").over(by_token)).withColumn("hi", F.max("node").over(by_token)).where("lo < hi").drop("lo", "hi"))
-    shared = shared.join(sized(grouped), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = written(shared.withColumn("lo", F.min("root").over(by_token)).withColumn("hi", F.max("root").over(by_token)).where("lo < hi").drop("lo", "hi").distinct())
+    mixed = written(_mixed(shared, written(components(links))))
+    drawn = mixed.groupBy("token").agg(F.min(F.struct(F.xxhash64("token", "node").alias("lot"), "node", "n", "root")).alias("head"))
+    near = (mixed.join(drawn, "token").where(F.col("root") != F.col("head.root"))
+            .select(F.col("node").alias("a"), F.col("head.node").alias("b"), "n", F.col("head.n").alias("m")).where(alike))
+    links = written(links.union(_linked(written(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), texts, nodes, n, percent)))
+    grouped = written(components(links))
+
+    # the matrix: first shingles that more than one component holds
+    mixed = written(_mixed(shared, grouped).distinct())
     sizes = grouped.groupBy("root").agg(F.count("*").alias("members"))
     parts = F.pmod(F.xxhash64("node"), F.ceil(F.coalesce("members", F.lit(1)) / PART)).alias("part")
     touched = mixed.select("root").distinct()
@@ -168,13 +271,13 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     candidates = written(asked.join(matrix, "token").where((F.col("of") != F.col("root")) & (F.col("least") <= F.col("size")) & (100 * F.col("most") >= percent * F.col("size")))
                          .select("a", "size", "root", "part").distinct())
     open_to = members.join(candidates.select("root", "part").distinct(), ["root", "part"], "left_semi")
-    wanted = written(open_to.select("node").union(candidates.select(F.col("a").alias("node"))).distinct())
-    sets = _members(docs, columns, n, wanted)
-    unions = open_to.join(sets, "node").groupBy("root", "part").agg(F.array_distinct(F.flatten(F.collect_list("set"))).alias("union"))
-    qualify = (candidates.join(sets.select(F.col("node").alias("a"), "set"), "a").join(unions, ["root", "part"])
-               .where(100 * F.size(F.array_intersect("set", "union")) >= percent * F.col("size")).select("a", "root", "part"))
-    opened = qualify.join(members, ["root", "part"]).select("a", F.col("node").alias("b"))
-    links = links.union(_verified(opened, sets, percent))
+    bits = _bits(texts, n, _asked(nodes, open_to.select("node"), candidates.select("a")))
+    unions = _united(open_to.join(sized(bits), "node").select("root", "part", "bits"))
+    asking = bits.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("bits").alias("bits_a"))
+    bounded = candidates.join(sized(asking), "a").join(sized(unions.withColumnRenamed("bits", "bits_b")), ["root", "part"])
+    qualify = _within_bound(bounded.withColumn("need", F.ceil(percent * F.col("size_a") / 100).cast("long")), ["a", "root", "part"])
+    opened = written(qualify.join(members, ["root", "part"]).select("a", F.col("node").alias("b")))
+    links = links.union(_linked(opened, texts, nodes, n, percent))
 
     roots = written(components(links))
     placed = rows.join(sized(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
