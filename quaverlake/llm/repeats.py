@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaverlake.llm import words
-from quaverlake.llm.tables import map_batches, sized, written
+from quaverlake.llm.tables import map_batches, sized, spare, written
 
 #: Bytes of a long text looked at together; windows that cross the end are seen with the next part.
 PART_BYTES = 1 << 17
@@ -116,7 +116,8 @@ def _all_runs(texts: DataFrame, length: int, anchor: int) -> DataFrame:
 
 def _cut(texts: DataFrame, sets: DataFrame, size: int, length: int, anchor: int) -> DataFrame:
     """Blocks of a later round: the given sets (node, first, last, place, need) cut by offset, named from their texts."""
-    by_text = written(sets.groupBy("node").agg(F.collect_list(F.struct("first", "last", "place", "need")).alias("sets")))
+    code = F.shiftleft("first", 21) + F.shiftleft(F.col("last") - F.col("first"), 11) + F.shiftleft(F.col("place") - F.col("first"), 1) + F.col("need").cast("long")
+    by_text = written(sets.groupBy("node").agg(F.collect_list(code).alias("sets")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -126,8 +127,9 @@ def _cut(texts: DataFrame, sets: DataFrame, size: int, length: int, anchor: int)
                     continue
                 seen.add(node)
                 data = np.frombuffer(text.as_buffer(), np.uint8)
-                fields = item.values
-                first, last, place, need = (fields.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+                sets_ = item.values.to_numpy()
+                first = sets_ >> 21
+                last, place, need = first + (sets_ >> 11 & 1023), first + (sets_ >> 1 & 1023), (sets_ & 1).astype(bool)
                 low = (place - last) // size
                 counts = (place - first) // size - low + 1
                 at = np.repeat(np.arange(len(first)), counts)
@@ -170,6 +172,8 @@ def _settled(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def repeated_windows(texts: DataFrame, length: int, anchor: int) -> DataFrame:
     """(node, first, last): ranges of windows of ``length`` bytes that start in two places or more. ``texts`` has node (a name of the text) and text."""
+    if not 0 < length - anchor < 1024:
+        raise ValueError("length must be above anchor by less than 1024")
     first = written(_all_runs(texts, length, anchor).join(sized(_ranked(_all_runs(texts, length, anchor))), "core"))
     found, rest = _settled(first)
     ranges = [found]
@@ -195,7 +199,7 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     kind = "string" if docs.schema[id_col].dataType.simpleString() == "string" else "long"
     named = docs.select(F.col(f"`{id_col}`").cast(kind).alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
     ranges = repeated_windows(named.select("node", "text"), length, anchor)
-    by_text = written(ranges.distinct().groupBy("node").agg(F.collect_list(F.struct("first", "last")).alias("ranges")))
+    by_text = written(ranges.distinct().groupBy("node").agg(F.flatten(F.collect_list(F.array("first", "last"))).alias("ranges")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,7 +210,7 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 removed = spans = 0
                 kept = data
                 if item.is_valid:
-                    first, last = (item.values.field(i).to_numpy() for i in range(2))
+                    first, last = item.values.to_numpy().reshape(-1, 2).T
                     change = np.zeros(n + 1, np.int32)
                     np.add.at(change, first, 1)
                     np.add.at(change, last + length, -1)
@@ -226,9 +230,10 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def strip_repeats(docs: DataFrame, *, text_col: str = "text", length: int = 200, anchor: int = 40) -> DataFrame:
     """``docs`` with all columns, the text without the bytes that ``without_repeats`` removes; a null text stays null."""
     names = docs.columns
-    named = docs.withColumn("__text", F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).withColumn("__node", F.xxhash64("__text"))
-    ranges = repeated_windows(named.select(F.col("__node").alias("node"), F.col("__text").alias("text")), length, anchor)
-    by_text = written(ranges.distinct().groupBy(F.col("node").alias("__node")).agg(F.collect_list(F.struct("first", "last")).alias("__ranges")))
+    node, held = spare(docs, "__node"), spare(docs, "__ranges")
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    ranges = repeated_windows(docs.select(F.xxhash64(text).alias("node"), text.alias("text")), length, anchor)
+    by_text = written(ranges.distinct().groupBy(F.col("node").alias(node)).agg(F.flatten(F.collect_list(F.array("first", "last"))).alias(held)))
     at = names.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +242,7 @@ def strip_repeats(docs: DataFrame, *, text_col: str = "text", length: int = 200,
             for i, item in enumerate(batch.column(len(names))):
                 if item.is_valid:
                     data = np.frombuffer(texts[i].encode(), np.uint8)
-                    first, last = (item.values.field(k).to_numpy() for k in range(2))
+                    first, last = item.values.to_numpy().reshape(-1, 2).T
                     change = np.zeros(len(data) + 1, np.int32)
                     np.add.at(change, first, 1)
                     np.add.at(change, last + length, -1)
@@ -246,5 +251,5 @@ def strip_repeats(docs: DataFrame, *, text_col: str = "text", length: int = 200,
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    joined = named.join(sized(by_text), "__node", "left")
-    return map_batches(joined, [*[F.col(f"`{c}`") for c in names], "__ranges"], work, docs.schema)
+    joined = docs.withColumn(node, F.xxhash64(text)).join(sized(by_text), node, "left")
+    return map_batches(joined, [*[F.col(f"`{c}`") for c in names], held], work, docs.schema)
