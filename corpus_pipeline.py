@@ -15,7 +15,7 @@ from quaverlake.llm.ordinal import scored, toxicity_model
 from quaverlake.llm.packing import pack_texts
 from quaverlake.llm.queries import table, tokenizer_path
 from quaverlake.llm.repeats import strip_repeats
-from quaverlake.llm.tables import sized, written
+from quaverlake.llm.tables import sized, spare, written
 from quaverlake.llm.templates import without_leaks
 
 
@@ -27,12 +27,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates: that of the smallest id (without ids, the smallest text hash). Empty documents stay."""
-    key = F.format_string("%020d-%016x", F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)), F.xxhash64("text")).alias("__key")
-    keyed = docs.select("*", key)
-    groups = similar_documents(keyed, id_col="__key")
-    first = written(groups.where(F.col("__key") == F.col("component_id")).groupBy("__key").agg(F.count("*").alias("rows")))
-    single = keyed.join(sized(written(first.where("rows = 1").select("__key"))), "__key", "left_semi")
-    repeated = keyed.join(sized(written(first.where("rows > 1").select("__key"))), "__key", "left_semi").dropDuplicates(["__key"])
+    key = spare(docs, "__key")
+    keyed = docs.withColumn(key, F.format_string("%020d-%016x", F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)), F.xxhash64("text")))
+    groups = similar_documents(keyed, id_col=key)
+    first = written(groups.where(F.col(key) == F.col("component_id")).groupBy(key).agg(F.count("*").alias("rows")))
+    single = keyed.join(sized(written(first.where("rows = 1").select(key))), key, "left_semi")
+    repeated = keyed.join(sized(written(first.where("rows > 1").select(key))), key, "left_semi").dropDuplicates([key])
     return single.union(repeated).select(*docs.columns)
 
 
