@@ -78,6 +78,22 @@ def test_link_exactly_at_the_threshold(spark):
     assert {r.doc_id: r.component_id for r in alone} == {1: 1, 3: 3}
 
 
+def test_copies_that_link_through_their_base_alone(spark):
+    from quaverlake.llm.jaccard import similar_documents
+    r = np.random.default_rng(8)
+    base = [f"b{i}" for i in range(300)]
+    rows = [(50, " ".join(base))]
+    for i in range(40):
+        own = list(base)
+        for at in r.choice(300, 8, replace=False):
+            own[at] = f"x{i}_{at}"
+        rows.append((i if i < 20 else 100 + i, " ".join(own)))
+    got = {g.doc_id: g.component_id for g in similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {k: shingle_set(t) for k, t in rows}
+    linked = {k: 100 * len(sets[k] & sets[50]) >= 75 * len(sets[k] | sets[50]) for k in sets}
+    assert sum(linked.values()) > 30 and all(got[k] == min(x for x, y in linked.items() if y) for k in sets if linked[k])
+
+
 def test_components_of_long_chains(spark):
     from quaverlake.llm.components import components
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1001), (7, 7), (None, 3), (500, 300)]
