@@ -1,7 +1,7 @@
 """Jaccard join of word shingle sets by a token-group matrix.
 
 1. Documents with equal sets are one node. Nodes that share one of their smallest shingle names are compared with the first such node, then
-   those that share a rare shingle with one node of another group, chosen by chance for each shingle. Nodes that link form groups of similar
+   those that share a rare shingle with two nodes of other groups for each shingle: one by chance, and the one that shares most shingles. Nodes that link form groups of similar
    documents, in parts of bounded size. Each node is compared with a few others only, so a group of any size costs in proportion to it.
 2. The matrix holds, for each group, the shingles of its members that a partner must share (the shortest beginnings, rare shingles first).
    A node asks for the groups that hold one of its own first shingles, groups of its own component left out: they are joined already.
@@ -248,14 +248,17 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                    .where((F.col("a") != F.col("b")) & alike).select("a", "b").distinct())
     links = _linked(near, texts, nodes, n, percent)
 
-    # more groups: each node with one node, chosen by chance, for each first shingle that it shares beyond its group
+    # more groups: each node with two nodes for each first shingle that it shares beyond its group, one by chance and the one that shares most
     by_token = Window.partitionBy("token")
     first = _first_shingles(texts, ["key", "text"], n, percent, _levels(survey))
     shared = written(first.withColumn("lo", F.min("node").over(by_token)).withColumn("hi", F.max("node").over(by_token)).where("lo < hi").drop("lo", "hi"))
     mixed = written(_mixed(shared, written(components(links))))
-    drawn = mixed.groupBy("token").agg(F.min(F.struct(F.xxhash64("token", "node").alias("lot"), "node", "n", "root")).alias("head"))
-    near = (mixed.join(drawn, "token").where(F.col("root") != F.col("head.root"))
-            .select(F.col("node").alias("a"), F.col("head.node").alias("b"), "n", F.col("head.n").alias("m")).where(alike))
+    ranked = mixed.join(sized(written(mixed.groupBy("node").agg(F.count("*").alias("shares")))), "node").withColumn("lot", F.xxhash64("token", "node"))
+    drawn = ranked.groupBy("token").agg(F.array(F.min(F.struct("lot", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("of"))).getField("b"),
+                                                F.max(F.struct("shares", "node")).getField("node")).alias("heads"))
+    met = mixed.join(drawn, "token").select(F.col("node").alias("a"), "n", "root", F.explode(F.array_distinct("heads")).alias("b")).where("a <> b").distinct()
+    beside = mixed.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("of")).distinct()
+    near = met.join(beside, "b").where((F.col("root") != F.col("of")) & alike)
     links = written(links.union(_linked(written(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), texts, nodes, n, percent)))
     grouped = written(components(links))
 
