@@ -13,6 +13,8 @@ from quaverlake.session import checkpoint_dir, ship_package
 
 #: Largest side that is sent to every executor, in bytes of its Parquet files.
 BROADCAST_BYTES = 16 << 20
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
 
 
 def shared_path(spark: SparkSession) -> str:
@@ -45,7 +47,35 @@ def spare(df: DataFrame, name: str) -> str:
     return name
 
 
+def _tidied(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` that gives memory back to the system after each batch and each task, since workers live on beside the executor's heap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ctypes
+
+        pool, trim = pa.default_memory_pool(), getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+        def one_by_one() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch
+                del batch
+                pool.release_unused()
+
+        yield from work(one_by_one())
+        pool.release_unused()
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 def map_batches(df: DataFrame, columns: list, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``work`` over Arrow batches of just the named columns."""
-    ship_package(df.sparkSession)
-    return df.select(*columns).mapInArrow(work, schema)
+    """``work`` over Arrow batches of just the named columns.
+
+    Texts are long, so batches have ``BATCH_ROWS`` rows where the session has Spark's own setting; another setting stays.
+    """
+    session = df.sparkSession
+    ship_package(session)
+    if session.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df.select(*columns).mapInArrow(_tidied(work), schema)
