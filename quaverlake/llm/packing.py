@@ -142,7 +142,7 @@ class Encoder:
     English words). The ids of a text are those of its chunks in order. A text that holds the name of a special token is encoded whole.
     """
 
-    def __init__(self, path: str, memory: int = 1_000_000):
+    def __init__(self, path: str, memory: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
