@@ -2,6 +2,9 @@
 
 A rotation is three rounds of random signs and a fast Hadamard transform. A table hashes by the nearest axes of one rotation, or of several for
 very large collections; a query probes the axes (or tuples of axes) that it is nearest to. Candidates are ranked by their exact inner products with the original vectors.
+
+Rows are hashed by direction alone. What a long row may still reach at a wide angle is bounded by its length: rows long enough to be among the best at an
+angle that the tables often miss are compared exactly, in bands of length.
 """
 
 from __future__ import annotations
@@ -18,6 +21,10 @@ from quaverlake.session import ship_package
 
 #: Vectors of a bucket that are compared with a block of queries in one task.
 BLOCK = 2048
+#: Share of the neighbours at an angle that the tables must find; at wider angles rows are compared exactly.
+FOUND = 0.9
+#: Bands of length to a doubling.
+BANDS = 4
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -34,23 +41,34 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 class Tables:
     """The rotations of all tables, the same on every machine."""
 
-    def __init__(self, dims: int, tables: int, probes: int, rotations: int, shortest: float, longest: float, seed: int = 11):
-        self.lift = shortest < longest * (1 - 1e-6)
-        self.width = 1 << max(1, int(np.ceil(np.log2(dims + self.lift))))
-        self.tables, self.probes, self.rotations, self.longest, self.dims = tables, probes, rotations, longest, dims
+    def __init__(self, dims: int, tables: int, probes: int, rotations: int, seed: int = 11):
+        self.width = 1 << max(1, int(np.ceil(np.log2(dims))))
+        self.tables, self.probes, self.rotations, self.dims = tables, probes, rotations, dims
         self.signs = np.random.default_rng(seed).choice([-1.0, 1.0], (tables, rotations, 3, self.width))
 
-    def lifted(self, vectors: np.ndarray, query: bool) -> np.ndarray:
-        """Unit vectors whose inner products order as those of the originals: where lengths differ, data get a coordinate that fills up their length."""
+    def unit(self, vectors: np.ndarray) -> np.ndarray:
+        """The directions of the rows, filled up to the width."""
         out = np.zeros((len(vectors), self.width))
-        lengths = np.linalg.norm(vectors, axis=1)
-        if query or not self.lift:
-            out[:, :self.dims] = vectors / lengths[:, None]
-        else:
-            out[:, :self.dims] = vectors / self.longest
-            out[:, self.dims] = np.sqrt(np.maximum(0.0, 1.0 - (lengths / self.longest) ** 2))
+        scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+        out[:, :vectors.shape[1]] = scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
         return out
 
+    def least_cosine(self, pairs: int = 1000) -> float:
+        """The smallest cosine at which a query finds a row with a chance of ``FOUND``, measured on random pairs."""
+        r = np.random.default_rng(5)
+        a = self.unit(r.normal(size=(pairs, max(2, self.dims))))
+        b = self.unit(r.normal(size=(pairs, max(2, self.dims))))
+        b -= (a * b).sum(axis=1, keepdims=True) * a
+        b /= np.linalg.norm(b, axis=1, keepdims=True)
+        row, bucket = self.buckets(a, self.probes)
+        keys = set(zip(row.tolist(), bucket.tolist()))
+        low, high = 0.0, 1.0
+        for _ in range(7):
+            middle = (low + high) / 2
+            hit = {x[0] for x in zip(*(y.tolist() for y in self.buckets(middle * a + np.sqrt(1 - middle * middle) * b, 1))) if x in keys}
+            low, high = (low, middle) if len(hit) >= FOUND * pairs else (middle, high)
+        return high
+
     def _near(self, x: np.ndarray, table: int, rotation: int) -> np.ndarray:
         """How near each signed axis is."""
         for k in range(3):
@@ -85,14 +103,14 @@ def _vector(rows: DataFrame) -> str:
     return f"vector {rows.schema['vector'].dataType.simpleString()}"
 
 
-def _hashed(rows: DataFrame, tables: Tables, probes: int, query: bool) -> DataFrame:
+def _hashed(rows: DataFrame, tables: Tables, probes: int) -> DataFrame:
     """(bucket, id, vector) for each probe of each row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, len(batch), 512):
                 part = batch.slice(first, 512)
-                unit = tables.lifted(_matrix(part.column(1), tables.dims), query)
+                unit = tables.unit(_matrix(part.column(1), tables.dims))
                 row, bucket = tables.buckets(unit, probes)
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), part.column(0).take(take), part.column(1).take(take)], ["bucket", "id", "vector"])
@@ -113,42 +131,50 @@ def nearest(table: DataFrame, is_query: Column, *, id_col: str = "vec_id", vecto
 
     Every valid row is in the index and in ``tables`` buckets; a query asks ``probes`` buckets of each table. There are twice as many buckets in
     a table as dimensions, to the power of ``rotations``. The rows and the queries of a bucket are dealt to blocks, and the block's best ``k`` for each query go on, so no task holds a bucket of any size and no pair leaves a task but those.
-    Queries that find fewer than ``k`` rows in their buckets are compared with all rows, in blocks. A repeated id counts as one row for
+    Then each query is compared with all rows, in bands of length and in blocks, that are long enough to reach its ``k``-th best product so far at an
+    angle where the tables find less than ``FOUND`` of the rows; one that found fewer than ``k`` rows is compared with all. So vectors of any lengths are
+    found as often as those of one length. A repeated id counts as one row for
     ranking if its vector is the same, and as two rows else; a query is no candidate of its own id. Vectors of a width other than the most
     common take no part, like those that aren't valid. Without valid rows the result is empty. Other columns aren't read.
     """
-    rows = written(valid_vectors(table, id_col=id_col, vector_col=vector_col).withColumn("query", is_query))
-    square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
-    shape = rows.groupBy(F.size("vector").alias("dims")).agg(F.count("*").alias("c"), F.max(square).alias("most"), F.min(square).alias("least")).orderBy(F.desc("c"), "dims").first()
+    longest = F.array_max(F.transform("vector", lambda x: F.abs(x.cast("double"))))
+    length = longest * F.sqrt(F.aggregate(F.transform("vector", lambda x: x.cast("double") / longest), F.lit(0.0), lambda s, x: s + x * x))
+    rows = written(valid_vectors(table, id_col=id_col, vector_col=vector_col).withColumn("query", is_query).withColumn("length", length)
+                   .withColumn("band", F.floor(BANDS * F.log2("length")).cast("long")))
+    shape = rows.groupBy(F.size("vector").alias("dims")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "dims").first()
     empty = table.sparkSession.createDataFrame([], f"query_id long, rank int, `{id_col}` long, score double")
     if shape is None:
         return empty
     rows = rows.where(F.size("vector") == shape.dims)
-    index = Tables(shape.dims, tables, probes, rotations, float(np.sqrt(shape.least)), float(np.sqrt(shape.most)))
-    data = _hashed(rows, index, 1, False)
-    asked = _hashed(rows.where("query"), index, probes, True)
-    sizes = (data.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-             .join(asked.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("turns")), "bucket"))
-    sizes = written(sizes)
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    members = data.join(sizes, "bucket").select("bucket", F.pmod(F.xxhash64("id"), "blocks").alias("block"), each("turns").alias("turn"), "id", "vector")
-    queries = asked.join(sizes, "bucket").select("bucket", each("blocks").alias("block"), F.pmod(F.xxhash64("id"), "turns").alias("turn"), F.col("id").alias("asker"), F.col("vector").alias("asked"))
-    found = written(_best(members, queries, ["bucket", "block", "turn"], k, shape.dims))
-
-    # queries with too few candidates: all rows, in blocks
-    n = rows.count()
-    have = found.groupBy("query_id").agg(F.countDistinct("id").alias("c"))
-    short = (rows.where("query").select(F.col("id").alias("asker"), F.col("vector").alias("asked")).join(have, F.col("asker") == F.col("query_id"), "left")
-             .where(F.coalesce("c", F.lit(0)) < min(k, n - 1)).select("asker", "asked"))
-    blocks = max(1, -(-n // BLOCK))
-    everyone = rows.select(F.lit(0).cast("long").alias("bucket"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), "id", "vector")
-    rest = short.select(F.lit(0).cast("long").alias("bucket"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "asker", "asked")
-    found = found.union(_best(everyone, rest, ["bucket", "block"], k, shape.dims)).distinct()
+    index = Tables(shape.dims, tables, probes, rotations)
+    found = _met(_hashed(rows, index, 1), _hashed(rows.where("query"), index, probes), k, shape.dims)
+
+    # rows that could be among the best at an angle where the tables miss too many
+    bands = rows.groupBy("band").agg(F.max("length").alias("longest")).collect()  # a few for each doubling of the length
+    enough = min(k, rows.count() - 1)
+    best = F.slice(F.reverse(F.array_sort(F.collect_list("score"))), 1, enough)
+    have = found.select("query_id", "id", "score").distinct().groupBy("query_id").agg(best.alias("best"))
+    least = F.when(F.size("best") >= enough, F.element_at("best", -1))
+    asked = (rows.where("query").join(have, F.col("id") == F.col("query_id"), "left")
+             .withColumn("from", F.coalesce(least / F.col("length") / F.lit(index.least_cosine()), F.lit(0.0))))
+    reach = F.filter(F.array(*[F.struct(F.lit(b.band).alias("band"), F.lit(b.longest).alias("longest")) for b in bands]), lambda b: b["longest"] > F.col("from"))
+    asked = asked.select(F.explode(reach).alias("b"), "id", "vector").select(F.col("b.band").alias("bucket"), "id", "vector")
+    found = found.union(_met(rows.select(F.col("band").alias("bucket"), "id", "vector"), written(asked), k, shape.dims)).distinct()
 
     merged = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.negative("score").alias("far"), "id"))), 1, k).alias("best"))
     return merged.select("query_id", F.posexplode("best").alias("pos", "b")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("b.id").alias(id_col), F.negative("b.far").alias("score"))
 
 
+def _met(data: DataFrame, asked: DataFrame, k: int, dims: int) -> DataFrame:
+    """The written (query_id, id, score): the best ``k`` rows of each block of each bucket for each query (bucket, id, vector) that asks the bucket."""
+    sizes = written(data.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+                    .join(asked.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("turns")), "bucket"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    members = data.join(sizes, "bucket").select("bucket", F.pmod(F.xxhash64("id"), "blocks").alias("block"), each("turns").alias("turn"), "id", "vector")
+    queries = asked.join(sizes, "bucket").select("bucket", each("blocks").alias("block"), F.pmod(F.xxhash64("id"), "turns").alias("turn"), F.col("id").alias("asker"), F.col("vector").alias("asked"))
+    return written(_best(members, queries, ["bucket", "block", "turn"], k, dims))
+
+
 def _best(members: DataFrame, queries: DataFrame, key: list[str], k: int, dims: int) -> DataFrame:
     """(query_id, id, score): the best ``k`` members of each group for each of its queries."""
 

@@ -144,6 +144,29 @@ def test_nearest_with_odd_vectors(spark):
     assert nearest(few.where("false"), F.col("id") == 0).count() == 0
 
 
+@pytest.mark.parametrize("lengths", ["one", "spread"])
+def test_recall_on_vectors_of_unequal_length(spark, lengths):
+    from pyspark.sql import functions as F
+
+    from quaverlake.llm.polytope import nearest
+    r = np.random.default_rng(12)
+    v = r.normal(size=(2000, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    if lengths == "one":
+        v[7] *= 5
+    else:
+        v *= np.exp(0.5 * r.normal(size=2000))[:, None]
+    found = collections.defaultdict(set)
+    for g in nearest(spark.createDataFrame(list(enumerate(v.tolist())), "vec_id long, embedding array<double>"), F.col("id") % 20 == 0).collect():
+        found[g.query_id].add(g.vec_id)
+    shares = []
+    for q in range(0, 2000, 20):
+        scores = v @ v[q]
+        scores[q] = -np.inf
+        shares.append(len(set(np.argsort(-scores)[:20].tolist()) & found[q]) / 20)
+    assert np.mean(shares) >= 0.9 and min(shares) >= 0.6
+
+
 def test_recall_on_the_table(spark):
     from quaverlake.llm.queries import QUERIES
     found = collections.defaultdict(set)
