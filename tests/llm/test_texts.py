@@ -290,6 +290,20 @@ def test_templates_joined_by_a_shuffle(spark, monkeypatch):
     assert [tuple(r) for r in templates.contaminated(docs, bench).collect()] == want and len(want) == 1
 
 
+ITEMS = [(1, "A train travels 60 km in 2 hours. How far does it go in 5 hours?"), (2, "What is 15 + 27 - 9 + 33 / 3 * 8?"), (3, "Solve: 3 x + 5 = 20, 2 x - 7 = 9"),
+         (4, "Tom has 3 apples. Ann eats 2 of them. Tom buys 4 more. How many are left?"), (None, "7 m 9")]
+LONG = ("Marie packs 12 boxes of red pens while Peter carries 12 boxes of blue paper to the old shop, where the owner counts 12 labels on every shelf before the evening "
+        "bell rings and all of the people go home along the river in the rain")
+HOLD = "Some text before it. {} And more words that follow after the end of it."
+
+
+def test_templates_find_items_rich_in_numbers_as_they_stand(spark):
+    from quaverlake.llm.templates import contaminated
+    docs = spark.createDataFrame([(i, HOLD.format(t)) for i, (_, t) in enumerate(ITEMS)] + [(9, HOLD.format("What is 15 + 27 - 9 + 34 / 3 * 8?"))], "doc_id long, text string")
+    got = contaminated(docs, spark.createDataFrame(ITEMS, "item_id long, text string")).collect()
+    same([(g.doc_id, g.item_id, g.n_changed) for g in got], [(i, key, 0) for i, (key, _) in enumerate(ITEMS)])
+
+
 def test_operators_on_no_rows(nothing, spark):
     from quaverlake.llm.hilbert import document_shards
     from quaverlake.llm.jaccard import similar_documents
