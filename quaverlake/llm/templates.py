@@ -2,7 +2,8 @@
 in the slots must agree along an alignment.
 
 A question that was copied with other numbers or names has the template of the original, and one value of the original became one other value
-throughout. An alignment of a text with an item is a fixed shift between their token places. Windows of the words as they stand go along, so a verbatim copy needs no slots.
+throughout. An alignment of a text with an item is a fixed shift between their token places. A word that opens a sentence may be a name, so windows
+over such words are also read with all of them as names. Windows of the words as they stand go along, so a verbatim copy needs no slots.
 """
 
 from __future__ import annotations
@@ -79,7 +80,8 @@ def _grams(names: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
 
 
 def _windows(tokens: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], size: int, plain: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(hash, row, place in the row, first token, slots) of windows of ``size`` tokens of a ``template``, in batches: those with at least ``plain`` ordinary words. A negative size stands for windows of the words as they stand."""
+    """(hash, row, place in the row, first token, slots) of windows of ``size`` tokens of a ``template``, in batches: those with at least ``plain`` ordinary words,
+    and with each word that opens a sentence as a name, where there is one. A negative size stands for windows of the words as they stand."""
     names, raw, slot, maybe, bounds = tokens
     length = abs(size)
     counts = np.maximum(np.diff(bounds) - length + 1, 0)
@@ -90,7 +92,7 @@ def _windows(tokens: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.nd
         yield words.mix(_grams(raw, first, length) ^ EXACT), rows, place, first, np.zeros(len(raw), bool)
         return
     within = lambda x: (lambda sums: sums[first + length] - sums[first])(np.concatenate(([0], np.cumsum(x))))
-    for reading, slots, keep in ((names, slot, True),):
+    for reading, slots, keep in ((names, slot, True), (np.where(maybe, NAME, names), slot | maybe, within(maybe) > 0)):
         kept = keep & (length - within(slots) >= plain)
         yield _grams(reading, first[kept], length), rows[kept], place[kept], first[kept], slots
 
@@ -160,7 +162,8 @@ def leaked_items(texts: DataFrame, windows: DataFrame, *, size: int = 8, plain:
     """(node, item, shift, place, n_windows, n_slots, n_changed): alignments of texts (node, text) with items that share enough of a template.
 
     Enough: the windows of ``tokens`` successive tokens, or all of an item that has fewer, or one window of that many. Along an alignment one value of
-    the item must stand for one value of the text and the other way round; else only exact windows count.
+    the item must stand for one value of the text, that at most of its places: windows with another value count for nothing, nor do those with a value
+    that has no such one. Exact windows always count.
     """
     sizes = sorted(r[0] for r in windows.select("size").distinct().collect())  # at most tokens + size numbers
     wanted = None
@@ -174,9 +177,10 @@ def leaked_items(texts: DataFrame, windows: DataFrame, *, size: int = 8, plain:
     key = ["node", "item", "shift"]
     here = [*key, "window", "item_place"]
     values = matched.select(*here, F.explode(F.arrays_zip("spots", "item_values", "values")).alias("p")).select(*here, "p.spots", F.col("p.item_values").alias("x"), F.col("p.values").alias("y"))
-    pairs = values.select(*key, "x", "y").distinct()
-    torn = pairs.groupBy(*key, "x").agg(F.count("*").alias("c")).where("c > 1").select(*key).union(pairs.groupBy(*key, "y").agg(F.count("*").alias("c")).where("c > 1").select(*key)).distinct()
-    fine = matched.where("size < 0").union(matched.where("size > 0").join(torn, key, "left_anti").select(*matched.columns))
+    pairs = values.groupBy(*key, "x", "y").agg(F.countDistinct("spots").alias("c"))
+    torn = pairs.groupBy(*key, "x").agg(F.sum("c").alias("all"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
+    odd = pairs.join(torn, [*key, "x"]).where("2 * c <= all").select(*key, "x", "y")
+    fine = matched.join(values.join(odd, [*key, "x", "y"], "left_semi").select(*here).distinct(), here, "left_anti")
     slots = pairs.groupBy(*key).agg(F.countDistinct("x", "y").alias("n_slots"), F.sum((F.col("x") != F.col("y")).cast("long")).alias("n_changed"))
     long_enough = (fine.groupBy(*key).agg(F.min("place").alias("place"), F.countDistinct("item_place").alias("n_windows"), F.max("windows").alias("windows"), F.max("size").alias("longest"))
                    .where((F.col("longest") > size) | (F.col("n_windows") >= F.least(F.col("windows"), F.lit(max(1, tokens - size + 1))))).drop("windows", "longest"))

@@ -304,6 +304,15 @@ def test_templates_find_items_rich_in_numbers_as_they_stand(spark):
     same([(g.doc_id, g.item_id, g.n_changed) for g in got], [(i, key, 0) for i, (key, _) in enumerate(ITEMS)])
 
 
+def test_templates_find_new_parameters_in_common_forms(spark):
+    from quaverlake.llm.templates import contaminated
+    texts = ["A train travels 40 km in 3 hours. How far does it go in 3 hours?", "Bob has 5 apples. Eve eats 6 of them. Bob buys 7 more. How many are left?",
+             LONG.replace("counts 12", "counts 13"), "A train travels 40 km in 3 days. How far does it go in 3 hours?"]
+    docs = spark.createDataFrame([(i, HOLD.format(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = contaminated(docs, spark.createDataFrame([*ITEMS, (6, LONG)], "item_id long, text string")).collect()
+    same([(g.doc_id, g.item_id) for g in got], [(0, 1), (1, 4), (2, 6)])
+
+
 def test_operators_on_no_rows(nothing, spark):
     from quaverlake.llm.hilbert import document_shards
     from quaverlake.llm.jaccard import similar_documents
