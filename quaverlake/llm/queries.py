@@ -87,9 +87,9 @@ def op10_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_elias_fano_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log probability of every document by a trigram model of those whose crc32 isn't divisible by 10."""
+    """Log probability of every document by a trigram model of all words, pairs and triples of those whose crc32 isn't divisible by 10."""
     from quaverlake.llm.trie import held_out_scores
-    got = held_out_scores(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 10 == 0)
+    got = held_out_scores(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 10 == 0, least=1)
     return got.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

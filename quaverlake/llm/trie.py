@@ -388,9 +388,9 @@ def scored(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: s
     return map_batches(docs, columns, work, f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", id_col)
 
 
-def held_out_scores(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``scored`` with the column ``held_out``: rows for which it holds, or is null, teach the model nothing."""
+def held_out_scores(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", least: int = 2) -> DataFrame:
+    """``scored`` with the column ``held_out``: rows for which it holds, or is null, teach the model nothing. ``least`` is that of ``train``."""
     marked = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("text"), F.coalesce(held_out, F.lit(True)).alias("held_out"))
-    model = train(marked.where("NOT held_out").select("text"))
+    model = train(marked.where("NOT held_out").select("text"), least=least)
     got = scored(marked, model, id_col=id_col)
     return got.withColumn("held_out", F.coalesce(held_out, F.lit(True)))

@@ -238,6 +238,19 @@ def test_trie_equals_the_formulas(spark):
         assert g.train_tokens == n and g.held_out == (g.doc_id is None or zlib.crc32(str(g.doc_id).encode()) % 10 == 0)
 
 
+def test_trie_query_counts_what_occurs_once(spark, tmp_path):
+    from quaverlake.llm.queries import QUERIES
+    spark.createDataFrame([(1, "a b c"), (2, "d e f")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {g.doc_id: g for g in QUERIES["op4_elias_fano_trie"](spark, str(tmp_path)).collect()}
+    assert not any(g.held_out for g in got.values())
+    n, v, d = 8, 7, 0.75  # a to f and the end, which occurs twice
+    p1 = lambda c: (c + 0.1) / (n + 0.1 * (v + 1))
+    after = lambda c: (1 - d) + d * p1(c)  # noqa: E731  each pair, and each triple, has a context that occurs once
+    third = lambda c: (1 - d) + d * after(c)
+    want = math.log10(p1(1)) + math.log10(after(1)) + math.log10(third(1)) + math.log10(third(2))
+    assert all(g.score == pytest.approx(want, abs=4e-3) for g in got.values())
+
+
 def test_trie_of_nothing(spark):
     from pyspark.sql import functions as F
 
