@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,6 +104,75 @@ def op9_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("headers", F.array_join(lines, "\n"))
 
 
+#: The rules that ``op11_url_rules`` judges by.
+URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
+
+
+@query
+def op11_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every URL of ``pages`` under five rules; what no rule fits is allowed."""
+    from quaverlake.llm.urlrules import judged
+    return judged(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+
+
+SQL["op11_url_rules"] = r"""
+WITH r(h, p, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+s AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM u),
+best AS (SELECT page_id, host, path, (SELECT arg_max({'rule': h || p, 'v': v}, length(h || p)) FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS b FROM s)
+SELECT page_id, host, path, b.rule AS rule, coalesce(b.v, 'allow') AS verdict FROM best
+"""
+
+def planted_cycles(ids: list, counts: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Of one row in ten, by the crc32 of its id, the words from some place on as a cycle of the first of them; null ids have none."""
+    found = []
+    for row, (key, n) in enumerate(zip(ids, counts.tolist())):
+        chance, number = (1, 0) if key is None else (lambda h: (h % 10, h // 10))(zlib.crc32(str(key).encode()))
+        if chance == 0 and n:
+            start = number % n
+            period = 1 + (n - start) // (3 + number % 8)
+            places = np.arange(n)
+            places[start:] = start + (places[start:] - start) % period
+            found.append((row, places))
+    return found
+
+
+@query
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document, one in ten with a cycle planted, and digests of the runs and of the text without repeats."""
+    from quaverlake.llm.wordruns import word_runs
+    got = word_runs(table(spark, sf_dir, "documents"), rearrange=planted_cycles)
+    first = F.get("runs", F.lit(0))
+    best = F.aggregate("runs", first, lambda b, r: F.when(r["length"] * b["period"] > b["length"] * r["period"], r).otherwise(b))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    judged = got.withColumn("best", best)
+    return judged.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                         F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+                         F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    from quaverlake.llm.ranked import search
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SQL["op13_ranked_search"] = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+b AS (SELECT item_id, row_number() OVER () AS q, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+asked AS (SELECT item_id, q, term, count(*) AS times FROM b GROUP BY ALL),
+lengths AS (SELECT r, doc_id, count(*)::BIGINT AS n FROM d GROUP BY ALL),
+corpus AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM lengths),
+p AS (SELECT r, term, count(*)::BIGINT AS tf FROM d WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, corpus GROUP BY term, docs),
+m AS (SELECT r, doc_id, 25 + (75 * n * docs) // total AS m FROM lengths, corpus),
+s AS (SELECT p.r, m.doc_id, p.term, w * ((1000000000 * tf) // (1000 * tf + 8 * m)) AS s FROM p JOIN w USING (term) JOIN m USING (r)),
+scores AS (SELECT item_id, q, r, doc_id, sum(times * s)::BIGINT AS score FROM asked JOIN s USING (term) GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 10
+"""
+
 SQL["op9_revisits"] = r"""
 WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, md5(coalesce(html, '')) AS digest, 'day ' || (page_id % 365) AS day FROM pages),
 log AS (
