@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quaverlake.functions.times import DAY
 
 # States in report order, statuses that grant and that have ended.
 STATES = ("active", "trial", "canceling", "past_due", "canceled")
@@ -58,37 +59,51 @@ def gate_updates(updates: DataFrame, current: DataFrame, now: int) -> DataFrame:
             .drop("__p", "__s", "__active"))
 
 
-def fold_events(events: DataFrame, chunk: Column | None = None) -> DataFrame:
+def fold_events(events: DataFrame, chunk_seconds: int = 30 * DAY) -> DataFrame:
     """ST-06 in batch: the current row of every account from its updates in time order.
 
     ``events``: user_id, at, seq, status, plan, platform, subscription_id, started_at,
     current_period_start/end, cancel_at_period_end, canceled_at, ended_at. Optional identities keep
     their last given value. A cancellation time is the provider's own when it sent one, else the
     first time heard; it is dropped when the subscriber resumes. That is a run of applying updates:
-    the last run decides, with its last provider time, or its first update's time.
+    the last run decides, with its last provider time, or its first update's time. Where ``events`` has ``updated_at`` (a stored row), it counts
+    besides ``at``.
+
+    Events are read once: stretches of ``chunk_seconds`` of an account are reduced in one task each, and the few rows that are left decide.
     """
-    order = ["at", "seq"]
-    applies = {"canceled_at": F.coalesce(F.col("cancel_at_period_end"), F.lit(False)) | F.col("status").isin(*ENDED),
-               "ended_at": F.col("status").isin(*ENDED)}
-    rank = F.struct(*order)
-    base = events.withColumn("__rank", rank)
-    latest = base.groupBy("user_id").agg(
-        *[F.max_by(c, "__rank").alias(c) for c in
-          ("status", "plan", "platform", "current_period_start", "current_period_end", "cancel_at_period_end")],
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("__rank"))).alias(c)
-          for c in ("subscription_id", "started_at")],
-        F.max("at").alias("updated_at"))
-    for field, flag in applies.items():
-        # The last run of applying updates starts after the last update that does not apply.
-        flagged = base.withColumn("__on", F.coalesce(flag, F.lit(False)))
-        reset = flagged.groupBy("user_id").agg(F.max(F.when(~F.col("__on"), F.col("__rank"))).alias("__reset"))
-        run = (flagged.join(reset, "user_id")
-               .filter(F.col("__on") & (F.col("__reset").isNull() | (F.col("__rank") > F.col("__reset"))))
-               .groupBy("user_id")
-               .agg(F.coalesce(F.max_by(field, F.when(F.col(field).isNotNull() & (F.col(field) != 0), F.col("__rank"))),
-                               F.min("at")).alias(field)))
-        latest = latest.join(run, "user_id", "left")
-    return latest
+    applies = {"canceled_at": F.coalesce(F.col("cancel_at_period_end"), F.lit(False)) | F.coalesce(F.col("status").isin(*ENDED), F.lit(False)),
+               "ended_at": F.coalesce(F.col("status").isin(*ENDED), F.lit(False))}
+    told = F.coalesce(F.col("updated_at"), F.col("at")) if "updated_at" in events.columns else F.col("at")
+    rank = F.struct("at", "seq")
+    rows = events.withColumns({"__rank": rank, "__told": told, "__chunk": F.floor(F.col("at") / chunk_seconds), **{f"__on_{f}": on for f, on in applies.items()}})
+    inside = Window.partitionBy("user_id", "__chunk").orderBy("at", "seq")
+    # A run that starts inside the chunk: its first update follows one that does not apply.
+    rows = rows.withColumns({f"__starts_{f}": F.col(f"__on_{f}") & ~F.lag(f"__on_{f}", 1, True).over(inside) for f in applies})
+    always = ("status", "plan", "platform", "current_period_start", "current_period_end", "cancel_at_period_end")
+    given = ("subscription_id", "started_at")
+
+    def last(value: Column, where: Column, name: str) -> Column:
+        return F.max(F.when(where, F.struct(F.col("__rank").alias("r"), value.alias("v")))).alias(name)
+
+    parts = rows.groupBy("user_id", "__chunk").agg(
+        F.max(F.struct("__rank", *always)).alias("__latest"), F.max("__told").alias("__told"), *[last(F.col(c), F.col(c).isNotNull(), c) for c in given],
+        *[x for f in applies for x in (
+            F.max(F.when(~F.col(f"__on_{f}"), F.col("__rank"))).alias(f"__reset_{f}"), F.min(F.when(F.col(f"__on_{f}"), F.col("__rank"))).alias(f"__first_{f}"),
+            F.max(F.when(F.col(f"__starts_{f}"), F.col("__rank"))).alias(f"__tail_{f}"),
+            last(F.col(f), F.col(f"__on_{f}") & F.col(f).isNotNull() & (F.col(f) != 0), f"__given_{f}"))])
+    whole = Window.partitionBy("user_id")
+    parts = parts.withColumns({f"__off_{f}": F.max(f"__reset_{f}").over(whole) for f in applies})
+
+    def after(f: str, value: Column, place: Column) -> Column:
+        return F.when(F.col(f"__off_{f}").isNull() | (place > F.col(f"__off_{f}")), value)
+
+    out = parts.groupBy("user_id").agg(
+        F.max("__latest").alias("__latest"), F.max("__told").alias("updated_at"), *[F.max(c).alias(c) for c in given],
+        *[x for f in applies for x in (
+            F.min(F.least(after(f, F.col(f"__first_{f}.at"), F.col(f"__first_{f}")), after(f, F.col(f"__tail_{f}.at"), F.col(f"__tail_{f}")))).alias(f"__start_{f}"),
+            F.max(after(f, F.col(f"__given_{f}"), F.col(f"__given_{f}.r"))).alias(f"__given_{f}"))])
+    return out.select("user_id", *[F.col(f"__latest.{c}").alias(c) for c in always], *[F.col(f"{c}.v").alias(c) for c in given], "updated_at",
+                      *[F.coalesce(F.col(f"__given_{f}.v"), F.col(f"__start_{f}")).alias(f) for f in applies])
 
 
 __all__ = ["STATES", "GRANTING", "ENDED", "subscription_view", "state_of", "subscription_state",

@@ -14,14 +14,19 @@ from quaverlake.sources import bindings as B
 from quaverlake.sources import books, documents
 from quaverlake.streaming import alarms as AL
 from quaverlake.streaming import control as C
+from quaverlake.streaming import stateful as SF
 from quaverlake.streaming import usage as U
 from quaverlake.streaming.sinks import run_available, stream_root
 
 
+def table_stream(spark, d, name):
+    """A table as a stream of one file."""
+    path = f"{d}/{name}.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+
+
 def event_stream(spark, d):
-    """The events table as a stream of one file."""
-    path = f"{d}/events.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return table_stream(spark, d, "events")
 
 
 # --- documents -------------------------------------------------------------------------------------
@@ -190,6 +195,11 @@ def _(spark, d):
     return U.live_sessions(table, B.EVENTS_NOW).select(*_SESSION_COLUMNS)
 
 
+@query("ST01_session_state", with_ctes("sessions") + _SESSION)
+def _(spark, d):
+    return SF.session_table(_stream_reports(spark, d)).select(*_SESSION_COLUMNS)
+
+
 define("meter", """
     SELECT user_id AS session_id, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS at_ms, event_id AS seq, event_type,
            CASE WHEN event_type IN ('view', 'error', 'purchase') THEN 'tick' WHEN event_type = 'click' THEN 'count' ELSE 'input' END AS kind FROM events""")
@@ -197,18 +207,31 @@ define("meter", """
 
 def meter(spark, d):
     """Events on a clock a thousand times faster, so that ticks, idle times and bursts occur."""
+    return meter_of(B.table(spark, d, "events"))
+
+
+def meter_of(events):
     kind = F.when(F.col("event_type").isin("view", "error", "purchase"), "tick").when(F.col("event_type") == "click", "count").otherwise("input")
-    return B.table(spark, d, "events").select(
+    return events.select(
         F.col("user_id").alias("session_id"), to_epoch(F.col("ts")).alias("at_ms"), F.col("event_id").alias("seq"), kind.alias("kind"),
         (F.col("event_type") != "error").alias("visible"), (F.col("event_type") == "purchase").alias("playing"), "event_type")
 
 
-@query("ST02_activity_seconds", with_ctes("meter") + """
+_ACTIVITY = with_ctes("meter") + """
     , w AS (SELECT *, min(at_ms) OVER (PARTITION BY session_id) AS op, last_value(CASE WHEN kind = 'tick' THEN at_ms END IGNORE NULLS) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS tk,
                    last_value(CASE WHEN kind <> 'tick' THEN at_ms END IGNORE NULLS) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS inp FROM meter WINDOW o AS (PARTITION BY session_id ORDER BY at_ms, seq)),
     e AS (SELECT *, least(5000, greatest(0, at_ms - coalesce(tk, op))) AS el FROM w WHERE kind = 'tick')
     SELECT session_id, seq, CAST(CASE event_type WHEN 'error' THEN 0 WHEN 'purchase' THEN el ELSE least(el, greatest(0, coalesce(inp, op) + 300000 - (at_ms - el))) END AS BIGINT) AS active_ms,
-           CAST(CASE event_type WHEN 'purchase' THEN el ELSE 0 END AS BIGINT) AS playing_ms FROM e""".replace("\n    , w", ", w"))
+           CAST(CASE event_type WHEN 'purchase' THEN el ELSE 0 END AS BIGINT) AS playing_ms FROM e""".replace("\n    , w", ", w")
+
+
+@query("ST02_activity_stream", _ACTIVITY + " WHERE at_ms <= (SELECT max(at_ms) - 60000 FROM meter)")
+def _(spark, d):
+    events = meter_of(event_stream(spark, d)).withColumn("session_id", F.col("session_id").cast("string"))
+    return SF.run_stateful(SF.activity_stream(events, "60 seconds")).select(F.col("session_id").cast("bigint").alias("session_id"), "seq", "active_ms", "playing_ms")
+
+
+@query("ST02_activity_seconds", _ACTIVITY)
 def _(spark, d):
     return U.activity(meter(spark, d), chunk_ms=86_400 * 4).select("session_id", "seq", "active_ms", "playing_ms")
 
@@ -258,10 +281,14 @@ def _(spark, d):
 
 def subscription_events(spark, d):
     """A person's events as the news of one subscription."""
+    return subscription_events_of(B.table(spark, d, "events"))
+
+
+def subscription_events_of(events):
     t = F.col("event_type")
     none = F.lit(None).cast("bigint")
     status = F.when(t == "signup", "trialing").when(t == "error", "past_due").when(t == "purchase", "canceled").otherwise("active")
-    return B.table(spark, d, "events").select(
+    return events.select(
         F.col("user_id").cast("string").alias("user_id"), to_epoch(F.col("ts")).alias("at"), F.col("event_id").alias("seq"), status.alias("status"),
         F.lit("monthly").alias("plan"), F.lit("stripe").alias("platform"), F.when(t == "signup", F.col("event_id").cast("string")).alias("subscription_id"),
         F.when(t == "signup", to_epoch(F.col("ts"))).alias("started_at"), none.alias("current_period_start"), none.alias("current_period_end"), (t == "click").alias("cancel_at_period_end"),
@@ -294,6 +321,11 @@ def _(spark, d):
     return C.fold_into(S.fold_events(e.filter(F.col("at") < half)), e.filter(F.col("at") >= half)).select(*_SUB_COLUMNS)
 
 
+@query("ST06_subscription_stream", _SUBS_SQL)
+def _(spark, d):
+    return C.subscription_table(subscription_events_of(event_stream(spark, d)), stream_root(spark), buckets=8).read().select(*_SUB_COLUMNS)
+
+
 def _job_events(spark, d):
     t = F.col("event_type")
     status = (F.when(t == "view", "queued").when(t == "click", "processing").when(t == "purchase", "done").when(t == "error", "failed").otherwise("uploading"))
@@ -352,6 +384,13 @@ def _(spark, d):
     return run_available(per, "update", ("dimension", "period"))
 
 
+@query("ST09_alarm_stream", "WITH " + _PERIODS + """SELECT dimension, min(period) AS first_period, max(period) AS last_period, max(value) AS worst FROM a WHERE n >= 2 GROUP BY dimension, g
+    HAVING (max(period) + 2) * 3600 <= (SELECT epoch(max(ts)) - 7200 FROM events)""")
+def _(spark, d):
+    changes = SF.run_stateful(SF.alarm_stream(_metrics(event_stream(spark, d)), "Maximum", "GreaterThanThreshold", 90, 2, 3600, "2 hours"))
+    return changes.where("state = 'ok'").select("dimension", "first_period", "last_period", "worst")
+
+
 @query("ST11_dedup_messages", """
     SELECT CAST(event_id // 3 AS VARCHAR) AS job_id, event_type AS version, min(event_id) AS seq FROM events GROUP BY 1, 2""")
 def _(spark, d):
@@ -365,9 +404,19 @@ def _(spark, d):
     return run_available(C.dedup_messages(m).select("job_id", "version"))
 
 
-@query("ST12_alerts", with_ctes("live_jobs") + """
+_ALERTS = with_ctes("live_jobs") + """
     SELECT job_id, CASE WHEN status = 'failed' THEN 'job_failed' ELSE 'job_done' END AS event, CASE WHEN status = 'failed' THEN 'unknown error' ELSE 'returned' END AS reasons
-    FROM live_jobs WHERE status = 'failed' OR outcome = 'warning'""")
+    FROM live_jobs WHERE status = 'failed' OR outcome = 'warning'"""
+
+
+@query("ST12_alert_stream", _ALERTS)
+def _(spark, d):
+    jobs = B.job_heads_of(table_stream(spark, d, "orders")).withColumn("error", F.lit(None).cast("string"))
+    out = C.alert_stream(jobs, lambda s: B.jobs(s, d).select("job_id", F.col("review_reasons").alias("reasons")), stream_root(spark))
+    return out.select("job_id", "event", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("ST12_alerts", _ALERTS)
 def _(spark, d):
     jobs = B.jobs(spark, d)
     quality = jobs.select("job_id", F.col("review_reasons").alias("reasons"))
@@ -375,12 +424,23 @@ def _(spark, d):
     return out.select("job_id", "event", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("ST13_accept_revisions", """WITH RECURSIVE s AS (SELECT user_id, event_id AS seq, CAST(value AS BIGINT) % 3 + CAST(floor(event_id / 2500) AS BIGINT) AS rev FROM events),
+_REVISIONS = """WITH RECURSIVE s AS (SELECT user_id, event_id AS seq, CAST(value AS BIGINT) % 3 + CAST(floor(event_id / 2500) AS BIGINT) AS rev FROM events),
     k AS (SELECT user_id, min(seq) AS seq, CAST(0 AS BIGINT) AS rev FROM s WHERE rev = 0 GROUP BY 1
       UNION ALL SELECT k.user_id, min(s.seq), any_value(s.rev) FROM k JOIN s ON s.user_id = k.user_id AND s.rev = k.rev + 1 AND s.seq > k.seq GROUP BY k.user_id, k.seq)
-    SELECT s.user_id, s.seq, EXISTS (SELECT 1 FROM k WHERE k.user_id = s.user_id AND k.seq = s.seq) AS accepted FROM s""")
-def _(spark, d):
-    e = B.table(spark, d, "events")
+    SELECT s.user_id, s.seq, EXISTS (SELECT 1 FROM k WHERE k.user_id = s.user_id AND k.seq = s.seq) AS accepted FROM s"""
+
+
+def _saves_of(e):
     rev = F.pmod(F.rint("value").cast("bigint"), F.lit(3)) + F.floor(F.col("event_id") / 2500).cast("bigint")
-    saves = e.select("user_id", F.col("event_id").alias("seq"), rev.alias("revision"))
+    return e.select("user_id", F.col("event_id").alias("seq"), rev.alias("revision"))
+
+
+@query("ST13_revision_stream", _REVISIONS)
+def _(spark, d):
+    return SF.run_stateful(SF.revision_stream(_saves_of(event_stream(spark, d)), ("user_id",))).select("user_id", "seq", "accepted")
+
+
+@query("ST13_accept_revisions", _REVISIONS)
+def _(spark, d):
+    saves = _saves_of(B.table(spark, d, "events"))
     return C.accept_revisions(saves, ("user_id",)).select("user_id", "seq", "accepted")

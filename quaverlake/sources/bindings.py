@@ -65,7 +65,11 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def job_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of the jobs table that needs no lines."""
-    o = table(spark, sf_dir, "orders")
+    return job_heads_of(table(spark, sf_dir, "orders"))
+
+
+def job_heads_of(o: DataFrame) -> DataFrame:
+    """``job_heads`` of orders, which may be a stream."""
     made = to_epoch(F.col("o_orderdate"))
     low = F.col("o_orderpriority") == "5-LOW"
     medium = F.col("o_orderpriority") == "3-MEDIUM"

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaverlake.functions.times import DAY, day_date, local_day
@@ -13,6 +13,7 @@ from quaverlake.operators.segments import row_index
 from quaverlake.operators.subscriptions import fold_events
 from quaverlake.operators.uploads import MAX_ATTEMPTS, QUEUE_SECONDS
 from quaverlake.session import cut_lineage
+from quaverlake.streaming.versioned import VersionedTable
 
 
 def quota(starts: DataFrame, limits: DataFrame, order: Sequence[str] = ("at", "seq"), chunk_seconds: int = 3600) -> DataFrame:
@@ -40,11 +41,20 @@ def fold_into(state: DataFrame, updates: DataFrame) -> DataFrame:
     person's earliest update, so a cancellation time first heard stays."""
     base = state.select("user_id", F.lit(-1).cast("bigint").alias("at"), F.lit(-1).cast("bigint").alias("seq"), "updated_at",
                         *[c for c in updates.columns if c not in ("user_id", "at", "seq")])
-    both = base.drop("updated_at").unionByName(updates)
-    out = fold_events(both).drop("updated_at")
-    times = (state.select("user_id", "updated_at").unionByName(updates.select("user_id", F.col("at").alias("updated_at")))
-             .groupBy("user_id").agg(F.max("updated_at").alias("updated_at")))
-    return out.join(times, "user_id")
+    return fold_events(base.unionByName(updates.withColumn("updated_at", F.col("at"))))
+
+
+def subscription_table(updates: DataFrame, root: str, buckets: int = 64, keep: int = 3) -> VersionedTable:
+    """ST-06 as a stream: every micro-batch of updates is folded into a table of one row for each account, in versions by batch number.
+
+    All updates there are are applied; with the same ``root`` a later run goes on. A batch that runs again changes nothing.
+    """
+    spark = updates.sparkSession
+    table = VersionedTable(spark, f"{root}/table", fold_events(spark.createDataFrame([], updates.schema)).schema, ("user_id",), buckets, keep)
+    query = (updates.writeStream.foreachBatch(lambda batch, number: table.apply(batch, number, fold_into)).option("checkpointLocation", f"{root}/state")
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    return table
 
 
 # --- jobs --------------------------------------------------------------------------------------------
@@ -84,6 +94,23 @@ def alerts(jobs: DataFrame, quality: DataFrame) -> DataFrame:
             .withColumn("reasons", F.when(failed, F.array(F.coalesce("error", F.lit("unknown error")))).otherwise(F.col("reasons"))))
 
 
+def alert_stream(jobs: DataFrame, quality: Callable[[SparkSession], DataFrame], root: str) -> DataFrame:
+    """ST-12 as a stream: the alerts of all jobs there are, each micro-batch against ``quality`` as it is then.
+
+    ``quality`` is called anew for each micro-batch, so the table that it reads may grow and change between them. A batch is written under its
+    number; one that runs again replaces itself.
+    """
+    spark = jobs.sparkSession
+    kind = alerts(jobs, quality(spark)).schema
+
+    def write(batch: DataFrame, number: int) -> None:
+        alerts(batch, quality(batch.sparkSession)).write.mode("overwrite").parquet(f"{root}/alerts/batch={number}")
+
+    query = jobs.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(kind).parquet(f"{root}/alerts/batch=*")
+
+
 # --- messages and documents --------------------------------------------------------------------------
 
 def dedup_messages(stream: DataFrame, keys: Sequence[str] = ("job_id", "version"), time: str = "arrived", within: str = "14 days") -> DataFrame:
