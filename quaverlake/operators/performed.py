@@ -16,6 +16,7 @@ from quaverlake.operators.asof import asof_join, asof_next
 from quaverlake.operators.bands import stab_join
 from quaverlake.operators.segments import (carry_last, carry_next, islands, previous, row_index, running_sum, settle,
                                            with_totals)
+from quaverlake.session import cut_lineage
 
 # Expression defaults and articulation effects.
 DEFAULT_DYNAMIC, DEFAULT_TEMPO, MAX_BPM = 80.0, 96.0, 300.0
@@ -363,6 +364,11 @@ def resolve_labels(labels: DataFrame, edits: DataFrame, keys: Sequence[str], not
 
 # --- timing inside a bar ---------------------------------------------------------------------------
 
+def _place(at: Column) -> Column:
+    """Positions as whole ten-millionths, so that equal ones meet."""
+    return F.rint(at * 1e7).cast("bigint")
+
+
 def grace_timing(notes: DataFrame, keys: Sequence[str], chunk: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """W-20: grace notes take time from a neighbour; returns (notes, inserts).
 
@@ -395,9 +401,9 @@ def grace_timing(notes: DataFrame, keys: Sequence[str], chunk: Column | None = N
     from_next = F.when(F.col("next_pct").isNull(), F.least(F.lit(GRACE_CAP), F.col("next.duration") * GRACE_SHARE)).otherwise(
         F.least(F.col("next.duration") * F.col("next_pct") / 100, F.col("next.duration")))
     # What following notes give comes first: it shortens the note a later run may take from.
-    given = (runs.filter(takes_next).groupBy(*voice, F.col("next.start").alias("start")).agg(F.sum(from_next).alias("__late")))
-    before = given.select(*voice, F.col("start").alias("__ps"), F.col("__late").alias("__plate"))
-    runs = runs.withColumn("__ps", F.col("prev.start")).join(before, [*voice, "__ps"], "left")
+    given = (runs.filter(takes_next).groupBy(*voice, _place(F.col("next.start")).alias("__ps")).agg(F.sum(from_next).alias("__late")))
+    before = given.select(*voice, "__ps", F.col("__late").alias("__plate"))
+    runs = runs.withColumn("__ps", _place(F.col("prev.start"))).join(before, [*voice, "__ps"], "left")
     left = F.col("prev.duration") - F.coalesce("__plate", F.lit(0.0))
     from_prev = F.when(has_next, F.least(left, left * F.col("prev_pct") / 100)).otherwise(F.least(F.lit(GRACE_CAP), left * GRACE_SHARE))
     amount = (F.when(made, F.col("make")).when(takes_prev, from_prev).when(takes_next, from_next)
@@ -413,24 +419,77 @@ def grace_timing(notes: DataFrame, keys: Sequence[str], chunk: Column | None = N
     graces = timed.withColumns({"start": F.col("at") + (F.col("__group") - 1) * piece, "duration": piece,
                                 "__made_at": F.when(F.col("made"), F.col("at"))}).drop("groups", "amount", "at", "made")
     # Mains that give time: those at the following onset, and those of the chord before.
-    cut = (runs.filter("takes_prev").groupBy(*voice, F.col("prev_at").alias("start")).agg(F.sum("amount").alias("__cut")))
-    mains = n.filter("not is_grace").drop("__next", "__prev").join(given, [*voice, "start"], "left").join(cut, [*voice, "start"], "left")
+    cut = (runs.filter("takes_prev").groupBy(*voice, _place(F.col("prev_at")).alias("__ps")).agg(F.sum("amount").alias("__cut")))
+    mains = n.filter("not is_grace").drop("__next", "__prev").withColumn("__ps", _place(F.col("start"))).join(given, [*voice, "__ps"], "left").join(cut, [*voice, "__ps"], "left")
     late, less = F.coalesce("__late", F.lit(0.0)), F.coalesce("__cut", F.lit(0.0))
     mains = (mains.withColumn("duration", F.greatest(F.lit(0.0), F.col("duration") - late - less)).withColumn("start", F.col("start") + late)
-             .withColumn("__made_at", F.lit(None).cast("double")).drop("__late", "__cut"))
+             .withColumn("__made_at", F.lit(None).cast("double")).drop("__late", "__cut", "__ps"))
     inserts = runs.filter("made").select(*keys, "at", "amount").distinct()
-    return _insert_time(graces.unionByName(mains).drop("__run", "__group"), inserts, keys), inserts
+    every = graces.unionByName(mains).drop("__run", "__group")
+    return insert_time(every, inserts, keys, ["note_id"], own="__made_at").drop("__made_at"), inserts
+
 
+def insert_time(rows: DataFrame, inserts: DataFrame, keys: Sequence[str], ident: Sequence[str], start: str = "start", duration: str | None = "duration",
+                closed_end: bool = False, own: str | None = None, chunk_width: float | None = None) -> DataFrame:
+    """Rows after time was inserted into their bar: a monotone map of positions, linear between the inserts.
 
-def _insert_time(notes: DataFrame, inserts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Shift notes from each insert on, stretch notes across it; the graces that asked for it stay."""
-    per = notes.select(*keys, "note_id", "start", "duration", "__made_at").join(inserts, list(keys)).filter(
-        ~F.coalesce(F.col("__made_at") == F.col("at"), F.lit(False)))
-    after, across = F.col("start") >= F.col("at"), F.col("start") + F.col("duration") > F.col("at")
-    sums = per.groupBy(*keys, "note_id").agg(F.sum(F.when(after, F.col("amount")).otherwise(0.0)).alias("__s"),
-                                             F.sum(F.when(~after & across, F.col("amount")).otherwise(0.0)).alias("__d"))
-    return (notes.join(sums, [*keys, "note_id"], "left").withColumn("start", F.col("start") + F.coalesce("__s", F.lit(0.0)))
-            .withColumn("duration", F.col("duration") + F.coalesce("__d", F.lit(0.0))).drop("__s", "__d", "__made_at"))
+    ``inserts``: keys, at, amount; several at one place add up. A row that starts at or after an insert starts later; one that starts before it and
+    ends after it (or, with ``closed_end``, at it) lasts longer; ``duration`` None moves points. ``own`` names the place of the insert that
+    the row itself fills: that one doesn't move it. Places are compared within ``EPS``. ``ident`` names a row.
+
+    Starts, ends and inserts are one ordered scan of each key: work grows with their number, and without ``chunk_width`` all steps need one exchange.
+    """
+    def point(kind: str, at: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), at.cast("double").alias("pos"))
+
+    at_end = F.col(start) + F.col(duration) + (EPS if closed_end else -EPS) if duration else None
+    wanted = [point("s", F.col(start) + EPS), *([point("e", at_end)] if duration else [])]
+    if own:
+        wanted += [point(kind, F.col(own) + add) for kind, add in (("i", EPS), ("x", -EPS))]
+    payload = F.struct(*[F.col(c) for c in rows.columns if c not in keys])
+    points = rows.select(*keys, payload.alias("__row"), F.explode(F.filter(F.array(*wanted), lambda p: p["pos"].isNotNull() | (p["kind"] == "s"))).alias("__p"))
+    points = points.select(*keys, "__row", F.col("__p.kind").alias("__kind"), F.col("__p.pos").alias("__pos"), F.lit(0.0).alias("__amount"))
+    given = inserts.select(*keys, F.lit(None).alias("__row"), F.lit("").alias("__kind"), F.col("at").cast("double").alias("__pos"), F.col("amount").cast("double").alias("__amount"))
+    both = running_sum(points.unionByName(given), keys, ["__pos", "__kind"], F.col("__amount"), "__sum", _chunk("__pos", chunk_width))
+
+    def of(kind: str) -> Column:
+        return F.coalesce(F.max(F.when(F.col("__kind") == kind, F.col("__sum"))), F.lit(0.0))
+
+    told = both.where("__kind <> ''").select("*", *[F.col(f"__row.{c}").alias(f"__id_{c}") for c in ident])
+    out = told.groupBy(*keys, *[f"__id_{c}" for c in ident]).agg(F.max_by("__row", F.when(F.col("__kind") == "s", 1)).alias("__row"), of("s").alias("__s"), of("e").alias("__e"),
+                                                                 of("i").alias("__i"), of("x").alias("__x"))
+    mine = F.when(F.col(f"__row.{own}") <= F.col(f"__row.{start}") + EPS, F.col("__i") - F.col("__x")).otherwise(0.0) if own else F.lit(0.0)
+    changed = {start: F.col(f"__row.{start}") + F.col("__s") - mine}
+    if duration:
+        changed[duration] = F.col(f"__row.{duration}") + F.greatest(F.lit(0.0), F.col("__e") - F.col("__s"))
+    return out.select(*[F.col(c) if c in keys else changed.get(c, F.col(f"__row.{c}")).alias(c) for c in rows.columns])
+
+
+def lengthen_bars(bars: DataFrame, inserts: DataFrame, keys: Sequence[str], length: str = "length", graces_only: DataFrame | None = None) -> DataFrame:
+    """Bars as long as before plus the time inserted; one of ``graces_only`` (keys) with inserts lasts as long as they do."""
+    added = inserts.groupBy(*keys).agg(F.sum("amount").alias("__added"))
+    out = bars.join(added, list(keys), "left")
+    base = F.col(length)
+    if graces_only is not None:
+        out = out.join(graces_only.select(*keys, F.lit(True).alias("__bare")).distinct(), list(keys), "left")
+        base = F.when(F.col("__bare") & F.col("__added").isNotNull(), 0.0).otherwise(base)
+    return out.withColumn(length, base + F.coalesce("__added", F.lit(0.0))).select(*bars.columns)
+
+
+def realize_bars(notes: DataFrame, events: DataFrame, bars: DataFrame, keys: Sequence[str], chunk: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """W-20 and W-21 together: (notes, events, bars) after graces have taken their time and fermatas are held.
+
+    ``notes`` as for :func:`grace_timing`, with fermata; ``events``: keys, event_id, beat; ``bars``: keys, length. A bar of graces alone lasts as
+    long as the time that they made.
+    """
+    timed, made = grace_timing(notes, keys, chunk)
+    bare = notes.groupBy(*keys).agg(F.bool_and("is_grace").alias("g")).where("g")
+    # Graces come after several scans and are read by all that follows.
+    timed, made = cut_lineage(timed), cut_lineage(made)
+    events = insert_time(events, made, keys, ["event_id"], "beat", None)
+    bars = lengthen_bars(bars, made, keys, graces_only=bare)
+    held = cut_lineage(fermata_holds(timed, keys))
+    return (insert_time(timed, held, keys, ["note_id"], closed_end=True), insert_time(events, held, keys, ["event_id"], "beat", None), lengthen_bars(bars, held, keys))
 
 
 def fermata_holds(notes: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -456,14 +515,7 @@ def fermata_holds(notes: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def fermata_hold(notes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """W-21: notes after a hold start later, notes ending at it or sounding across it last longer."""
-    holds = fermata_holds(notes, keys)
-    per = notes.select(*keys, "note_id", "start", "duration").join(holds, list(keys))
-    after = F.col("start") >= F.col("at") - EPS
-    across = F.col("start") + F.col("duration") >= F.col("at") - EPS
-    sums = per.groupBy(*keys, "note_id").agg(F.sum(F.when(after, F.col("amount")).otherwise(0.0)).alias("__s"),
-                                             F.sum(F.when(~after & across, F.col("amount")).otherwise(0.0)).alias("__d"))
-    return (notes.join(sums, [*keys, "note_id"], "left").withColumn("start", F.col("start") + F.coalesce("__s", F.lit(0.0)))
-            .withColumn("duration", F.col("duration") + F.coalesce("__d", F.lit(0.0))).drop("__s", "__d"))
+    return insert_time(notes, fermata_holds(notes, keys), keys, ["note_id"], closed_end=True)
 
 
 def state_at_jumps(order: DataFrame, events: DataFrame, staves: DataFrame, keys: Sequence[str],

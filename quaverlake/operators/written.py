@@ -11,7 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaverlake.operators.segments import carry_last, islands, previous, row_index, running_min, running_sum, settle
+from quaverlake.operators.asof import asof_join
+from quaverlake.operators.bands import stab_join
+from quaverlake.operators.segments import carry_last, carry_next, following, islands, previous, row_index, running_min, running_sum, settle
 
 TOLERANCE = 1e-7
 PICKUP = "Inferred pickup length."
@@ -145,49 +147,87 @@ def carry_endings(measures: DataFrame, keys: Sequence[str], index: str = "measur
             .drop("__open"))
 
 
+def repeat_pairs(measures: DataFrame, keys: Sequence[str], index: str = "measure_index", chunk_width: int | None = None) -> DataFrame:
+    """(keys, first, last, times) for each repeat: brackets matched by running depth, the rest going back to their section.
+
+    ``measures``: repeat_forward, repeat_backward (times, 0 without), endings; optionally section_start, section_end, signature. A backward sign
+    goes with the last forward sign that is still open. One without goes back to the start of its section: after the last repeat and the
+    endings that close it, after a double bar line that no new key or time follows, or to a bar that opens a section without one.
+    A repeat that would begin after its own bar is left out.
+    """
+    chunk = None if chunk_width is None else F.floor(F.col(index) / chunk_width).cast("bigint")
+    flags = [F.coalesce(F.col(c), F.lit(False)).alias(c) if c in measures.columns else F.lit(False).alias(c) for c in ("section_start", "section_end", "signature")]
+    m = measures.select(*keys, F.col(index).cast("bigint").alias("__i"), F.coalesce("repeat_forward", F.lit(False)).alias("fwd"), F.coalesce("repeat_backward", F.lit(0)).alias("times"),
+                        (F.coalesce(F.size("endings"), F.lit(0)) > 0).alias("__has"), *flags)
+    mine = None if chunk_width is None else F.floor(F.col("__i") / chunk_width).cast("bigint")
+    m = following(m, keys, ["__i"], {"__sig": "signature"}, mine)
+    m = settle(carry_next(m, keys, ["__i"], F.when(~F.col("__has"), F.col("__i")), "__plain", mine, inclusive=True), chunk)
+    # Depth: forward signs open, backward signs close; a sign that closes nothing leaves it at 0.
+    step = F.array(F.when(F.col("fwd"), F.struct(F.lit(0).alias("phase"), F.lit(1).alias("by"))), F.when(F.col("times") > 0, F.struct(F.lit(1).alias("phase"), F.lit(-1).alias("by"))))
+    signs = m.select(*keys, "__i", "times", F.explode(F.array_compact(step)).alias("s")).select(*keys, "__i", "times", "s.*")
+    signs = running_sum(signs, keys, ["__i", "phase"], F.col("by").cast("bigint"), "__sum", mine)
+    signs = running_min(settle(signs, chunk), keys, ["__i", "phase"], F.col("__sum"), "__low", mine)
+    # Before the sign the sum was __sum - by; what stood below 0 by then is not owed.
+    signs = previous(signs, keys, ["__i", "phase"], {"__plow": "__low"}, mine)
+    depth = F.col("__sum") - F.col("by") - F.least(F.lit(0), F.coalesce("__plow", F.lit(0)))
+    signs = settle(signs.select(*keys, "__i", "phase", "times", (depth + F.when(F.col("by") > 0, 1).otherwise(0)).alias("__level")), chunk)
+    opened = signs.where("phase = 0").select(*keys, "__level", F.col("__i").alias("__at"), F.col("__i").alias("__first"))
+    closed = signs.where("phase = 1").select(*keys, "__i", "times", "__level", F.col("__i").alias("__at"))
+    matched = asof_join(closed.where("__level > 0"), opened, [*keys, "__level"], "__at", ["__first"], chunk_width=chunk_width)
+    # Marks that begin a section, at the half bar where they start to hold.
+    ends = (F.col("times") > 0) | (F.col("section_end") & ~F.coalesce("__sig", F.lit(False)))
+    marks = m.select(*keys, F.explode(F.array_compact(F.array(
+        F.when(F.col("section_start") & ~F.col("signature"), F.struct((F.col("__i") * 2).alias("__at"), F.col("__i").alias("__base"))),
+        F.when(ends, F.struct((F.col("__i") * 2 + 1).alias("__at"), (F.col("__i") + 1).alias("__base")))))).alias("k")).select(*keys, "k.*")
+    bases = marks.join(m.select(*keys, F.col("__i").alias("__base"), F.col("__plain"), F.col("__has")), [*keys, "__base"], "left")
+    at_zero = m.groupBy(*keys).agg(F.min_by("__plain", "__i").alias("__plain"), F.min_by("__has", "__i").alias("__has")).select(*keys, F.lit(-1).cast("bigint").alias("__at"),
+                                                                                                                     F.lit(0).cast("bigint").alias("__base"), "__plain", "__has")
+    bases = bases.select(*keys, "__at", "__base", "__plain", "__has").unionByName(at_zero)
+    # Bars with endings at the start of a section belong to the repeat before; with no bar after them the section is empty.
+    bases = bases.select(*keys, "__at", F.when(F.coalesce("__has", F.lit(False)), F.coalesce("__plain", F.lit(1 << 60))).otherwise(F.col("__base")).alias("__first"))
+    loose = closed.where("__level = 0").withColumn("__at", F.col("__i") * 2)
+    unmatched = asof_join(loose, bases, keys, "__at", ["__first"], chunk_width=None if chunk_width is None else 2 * chunk_width)
+    cols = [*keys, F.col("__first").alias("first"), F.col("__i").alias("last"), F.col("times").cast("int").alias("times")]
+    return matched.select(*cols).unionByName(unmatched.select(*cols)).where("first <= last")
+
+
 def expand_repeats(measures: DataFrame, keys: Sequence[str], index: str = "measure_index",
-                   chunk: Column | None = None) -> DataFrame:
-    """W-25: flat repeats: every closed section is played as often as its sign says, bars with ending
-    numbers only in their pass.
+                   chunk: Column | None = None, chunk_width: int | None = None) -> DataFrame:
+    """W-25: measures in their repeats: every repeat is played as often as its sign says, nested ones anew in each pass of the outer one.
 
-    ``measures``: repeat_forward, repeat_backward (times, 0 without), endings. A section starts at a
-    forward sign or after a closed one. Ending bars that follow a repeat belong to its last pass; ending
-    bars without a repeat are played as printed and marked ``orphan_ending``. Adds section, pass.
+    ``measures`` as for :func:`repeat_pairs`. A bar with ending numbers is played in the passes of its innermost repeat that it names; right
+    after a repeat if it names its last pass; elsewhere as printed, marked ``orphan_ending``.
+    Adds ``pass`` and ``path``: start and pass of each repeat around the bar, from the outermost, then its index. Paths in order are the
+    performance. Jumps (da capo, dal segno, coda) are not followed.
     """
-    order = [index]
-    m = measures.withColumn("__has", F.size("endings") > 0)
-    m = previous(m, keys, order, {"__pb": "repeat_backward", "__ph": "__has"}, chunk)
-    closed = F.coalesce(F.col("__pb") > 0, F.lit(False))
-    m = m.withColumn("__closed", closed)
-    # Runs of bars with and without endings; a run of endings right after a repeat is its tail.
-    fresh = (F.col("__has") != F.coalesce("__ph", F.lit(False))) | F.col("__closed") | F.col("repeat_forward")
-    m = settle(islands(m, keys, order, fresh, "__run", chunk), chunk)
-    tail = m.filter(fresh & F.col("__has") & F.col("__closed") & ~F.col("repeat_forward")).select(
-        *keys, "__run", F.lit(True).alias("__tail"))
-    m = m.join(tail, [*keys, "__run"], "left").withColumn("__tail", F.coalesce("__tail", F.lit(False)))
-    m = previous(m, keys, order, {"__ptail": "__tail"}, chunk)
-    starts = (F.col("repeat_forward") | F.col("__closed") | (F.coalesce("__ptail", F.lit(False)) & ~F.col("__tail")))
-    m = settle(islands(m, keys, order, starts, "section", chunk), chunk)
-    sections = m.groupBy(*keys, "section").agg(F.max("repeat_backward").alias("__times"), F.bool_or("__tail").alias("__is_tail"),
-                                               F.min(index).alias("__i"))
-    sections = previous(sections, keys, ["section"], {"__before": "__times"},
-                        None if chunk is None else F.floor(F.col("section") / 256).cast("bigint"))
-    real = F.greatest(F.col("__times"), F.lit(1))
-    first_pass = F.when(F.col("__is_tail"), F.greatest(F.coalesce("__before", F.lit(1)), F.lit(1))).otherwise(1)
-    sections = sections.select(*keys, "section", "__is_tail", F.col("__times"),
-                               F.explode(F.sequence(first_pass.cast("int"), F.when(F.col("__is_tail"), first_pass + F.greatest(real - 1, F.lit(0)))
-                                                    .otherwise(real).cast("int"))).alias("pass"))
-    out = m.drop("__is_tail").join(sections, [*keys, "section"])
-    orphan = F.col("__has") & ~F.col("__is_tail") & (F.col("__times") <= 0)
-    keep = ~F.col("__has") | orphan | F.array_contains("endings", F.col("pass"))
-    return (out.filter(keep).withColumn("orphan_ending", orphan)
-            .drop("__has", "__pb", "__ph", "__closed", "__run", "__tail", "__ptail", "__times", "__is_tail"))
+    width = chunk_width or 64
+    pairs = repeat_pairs(measures, keys, index, chunk_width if chunk is None else width)
+    pairs = settle(pairs, F.lit(0))
+    at = measures.select(*keys, F.col(index).cast("bigint").alias("__i"))
+    around = stab_join(at, pairs.select(*keys, "first", "last", "times"), keys, "__i", F.col("first"), F.col("last"), float(width), closed_right=True)
+    # The repeats around one bar: as many as they are nested.
+    nest = around.groupBy(*keys, "__i").agg(F.array_sort(F.collect_list(F.struct("first", (-F.col("last")).alias("__l"), "times"))).alias("__nest"))
+    has = F.coalesce(F.size("endings"), F.lit(0)) > 0
+    m = measures.withColumn("__i", F.col(index).cast("bigint")).join(nest, [*keys, "__i"], "left")
+    # What counts as the last pass: that of the repeat which ended last; a bar without endings outside all repeats starts anew.
+    inner = F.element_at("__nest", -1)
+    told = F.when(inner["__l"] == -F.col("__i"), inner["times"]).when(F.col("__nest").isNull() & (~has | (F.coalesce("repeat_backward", F.lit(0)) > 0)), 1)
+    mine = None if chunk is None else F.floor(F.col("__i") / width).cast("bigint")
+    m = carry_last(settle(m, chunk), keys, ["__i"], told, "__last_pass", mine, inclusive=False).withColumn("__last_pass", F.coalesce("__last_pass", F.lit(1)))
+    grown = F.aggregate(F.coalesce("__nest", F.array().cast("array<struct<first:bigint,__l:bigint,times:int>>")), F.array(F.array().cast("array<bigint>")),
+                        lambda acc, p: F.flatten(F.transform(acc, lambda path: F.transform(F.sequence(F.lit(1), p["times"]), lambda k: F.concat(path, F.array(p["first"], k.cast("bigint")))))))
+    out = m.withColumn("path", F.explode(grown))
+    bare = F.size("path") == 0
+    out = out.withColumn("pass", F.when(bare, F.col("__last_pass")).otherwise(F.element_at("path", -1)).cast("int"))
+    out = out.withColumn("orphan_ending", has & bare & (F.col("__last_pass") == 1))
+    played = out.where(~has | F.col("orphan_ending") | F.coalesce(F.array_contains("endings", F.col("pass")), F.lit(False)))
+    return played.withColumn("path", F.concat("path", F.array("__i"))).drop("__i", "__nest", "__last_pass")
 
 
 def performance_position(expanded: DataFrame, keys: Sequence[str], index: str = "measure_index",
                          chunk: Column | None = None) -> DataFrame:
-    """The 0-based place of each played measure, by section, pass and index."""
-    out = row_index(expanded, keys, ["section", "pass", index], "__p", chunk)
+    """The 0-based place of each played measure, by its path; a ``chunk`` is one of the path's first entry, its outermost repeat."""
+    out = row_index(expanded, keys, ["path"], "__p", chunk)
     return out.withColumn("position", F.col("__p") - 1).drop("__p")
 
 

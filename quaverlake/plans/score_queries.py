@@ -290,13 +290,40 @@ def _repeats(spark, d):
     b = bars(spark, d)
     ends = F.when(F.col("sk") % 5 == 0, F.array(F.lit(1))).when(F.col("sk") % 5 == 1, F.array(F.lit(2))).otherwise(F.array().cast("array<int>"))
     return b.select("doc_id", "measure_index", "content", (F.col("pk") % 11 == 0).alias("repeat_forward"),
-                    F.when(F.col("pk") % 7 == 0, 2 + F.col("pk") % 2).otherwise(0).cast("int").alias("repeat_backward"), ends.alias("endings"))
+                    F.when(F.col("pk") % 7 == 0, 2 + F.col("pk") % 2).otherwise(0).cast("int").alias("repeat_backward"), ends.alias("endings"),
+                    (F.col("pk") % 13 == 1).alias("section_start"), (F.col("pk") % 9 == 2).alias("section_end"), (F.col("sk") % 3 == 0).alias("signature"))
 
 
-@query("W25_expand_repeats")
+_PAIRS = """
+    , r AS (SELECT doc_id, measure_index AS i, pk % 11 = 0 AS fwd, CASE WHEN pk % 7 = 0 THEN CAST(2 + pk % 2 AS INTEGER) ELSE 0 END AS times, sk % 5 < 2 AS has, pk % 13 = 1 AS ss, pk % 9 = 2 AS se, sk % 3 = 0 AS sig FROM bars),
+    n AS (SELECT *, coalesce(lead(sig) OVER (PARTITION BY doc_id ORDER BY i), false) AS next_sig FROM r),
+    walk AS (SELECT doc_id, CAST(-1 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS open, CAST(0 AS BIGINT) AS section, CAST(NULL AS BIGINT) AS first, 0 AS times FROM n GROUP BY doc_id
+      UNION ALL SELECT doc_id, i, CASE WHEN times > 0 AND len(open) > 0 THEN open[:-2] ELSE open END,
+             CASE WHEN times > 0 OR (se AND NOT next_sig) THEN i + 1 ELSE section END, CASE WHEN times > 0 THEN CASE WHEN len(open) > 0 THEN open[-1] ELSE section END END, times
+      FROM (SELECT n.doc_id, n.i, n.times, n.se, n.next_sig, CASE WHEN fwd THEN list_append(w.open, n.i) ELSE w.open END AS open,
+                   CASE WHEN has AND n.i = CASE WHEN ss AND NOT sig THEN n.i ELSE w.section END THEN n.i + 1 WHEN ss AND NOT sig THEN n.i ELSE w.section END AS section
+            FROM walk w JOIN n ON n.doc_id = w.doc_id AND n.i = w.i + 1)),
+    pairs AS (SELECT doc_id, first, i AS last, times FROM walk WHERE times > 0 AND first <= i)"""
+
+
+@query("W25_repeat_pairs", with_ctes("bars").replace("WITH", "WITH RECURSIVE", 1) + _PAIRS.replace("\n    , r AS", ", r AS") + "SELECT * FROM pairs")
+def _(spark, d):
+    return W.repeat_pairs(_repeats(spark, d), DOC, chunk_width=8)
+
+
+@query("W25_expand_repeats", with_ctes("bars").replace("WITH", "WITH RECURSIVE", 1) + _PAIRS.replace("\n    , r AS", ", r AS") + """,
+    nest AS (SELECT p.doc_id, n.i, row_number() OVER (PARTITION BY p.doc_id, n.i ORDER BY p.first, p.last DESC) AS k, p.first, p.times FROM pairs p JOIN n ON n.doc_id = p.doc_id AND n.i BETWEEN p.first AND p.last),
+    grown AS (SELECT doc_id, i, 0 AS k, CAST([] AS BIGINT[]) AS path FROM n
+      UNION ALL SELECT g.doc_id, g.i, g.k + 1, list_concat(g.path, [x.first, t.p]) FROM grown g JOIN nest x ON x.doc_id = g.doc_id AND x.i = g.i AND x.k = g.k + 1 CROSS JOIN (VALUES (CAST(1 AS BIGINT)), (2), (3)) t(p) WHERE t.p <= x.times),
+    whole AS (SELECT g.* FROM grown g LEFT JOIN (SELECT doc_id, i, max(k) AS depth FROM nest GROUP BY 1, 2) x ON x.doc_id = g.doc_id AND x.i = g.i WHERE g.k = coalesce(x.depth, 0)),
+    told AS (SELECT doc_id, last AS i, times FROM pairs UNION ALL SELECT n.doc_id, n.i, 1 FROM n WHERE (NOT has OR times > 0) AND NOT EXISTS (SELECT 1 FROM nest x WHERE x.doc_id = n.doc_id AND x.i = n.i)),
+    passed AS (SELECT w.doc_id, w.i, w.path, CASE WHEN w.k > 0 THEN w.path[-1] ELSE coalesce((SELECT max_by(t.times, t.i) FROM told t WHERE t.doc_id = w.doc_id AND t.i < w.i), 1) END AS pass,
+        w.k = 0 AS bare, CASE WHEN sk % 5 = 0 THEN 1 WHEN sk % 5 = 1 THEN 2 END AS ending FROM whole w JOIN bars b ON b.doc_id = w.doc_id AND b.measure_index = w.i)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY list_append(path, i)) - 1 AS position, i AS measure_index, CAST(pass AS INTEGER) AS pass, bare AND pass = 1 AND ending IS NOT NULL AS orphan_ending
+    FROM passed WHERE ending IS NULL OR (bare AND pass = 1) OR ending = pass""")
 def _(spark, d):
-    out = W.performance_position(W.expand_repeats(_repeats(spark, d), DOC, chunk=_chunk()), DOC, chunk=F.floor(F.col("section") / 8).cast("bigint"))
-    return out.select("doc_id", "position", "measure_index", "section", "pass", "orphan_ending")
+    out = W.performance_position(W.expand_repeats(_repeats(spark, d), DOC, chunk=_chunk(), chunk_width=8), DOC, chunk=F.floor(F.col("path")[0] / 8).cast("bigint"))
+    return out.select("doc_id", "position", "measure_index", "pass", "orphan_ending")
 
 
 @query("W05_start_beats", with_ctes("bars") + """
@@ -766,7 +793,56 @@ def _(spark, d):
     return notes.select("doc_id", "measure", "note_id", F.round("start", 6).alias("start"), F.round("duration", 6).alias("duration"))
 
 
-@query("W21_fermata_hold")
+_INSERTS = """, ev AS (SELECT doc_id, measure_index AS measure, measure_index AS event_id, CAST(sk % 4 AS DOUBLE) AS beat, content, pk, sk FROM bars),
+    i AS (SELECT doc_id, measure_index AS measure, CAST(pk % 3 AS DOUBLE) AS at, CAST(0.25 * (1 + sk % 3) AS DOUBLE) AS amount FROM bars WHERE pk % 2 = 0
+      UNION ALL SELECT doc_id, measure_index, CAST(sk % 4 AS DOUBLE), 0.5 FROM bars WHERE sk % 3 = 0)"""
+
+
+def _bar_inserts(b):
+    """Time put into bars: at a beat of the part's, and at one of the supplier's."""
+    one = b.where("pk % 2 = 0").select("doc_id", F.col("measure_index").alias("measure"), (F.col("pk") % 3 * 1.0).alias("at"), (0.25 * (1 + F.col("sk") % 3)).alias("amount"))
+    return one.unionByName(b.where("sk % 3 = 0").select("doc_id", F.col("measure_index").alias("measure"), (F.col("sk") % 4 * 1.0).alias("at"), F.lit(0.5).alias("amount")))
+
+
+@query("W20_events_after_inserts", with_ctes("bars") + _INSERTS + """
+    SELECT doc_id, measure, beat + coalesce((SELECT sum(amount) FROM i WHERE i.doc_id = ev.doc_id AND i.measure = ev.measure AND i.at <= ev.beat), 0) AS beat FROM ev""")
+def _(spark, d):
+    b = bars(spark, d)
+    events = b.select("doc_id", F.col("measure_index").alias("measure"), F.col("measure_index").alias("event_id"), (F.col("sk") % 4 * 1.0).alias("beat"))
+    return P.insert_time(events, _bar_inserts(b), BAR, ["event_id"], "beat", None).select("doc_id", "measure", "beat")
+
+
+@query("W20_notes_after_inserts", with_ctes("bars") + _INSERTS + """
+    SELECT doc_id, measure, round(beat + coalesce((SELECT sum(amount) FROM i WHERE i.doc_id = ev.doc_id AND i.measure = ev.measure AND i.at <= ev.beat), 0), 6) AS start,
+           round(content / 3 + coalesce((SELECT sum(amount) FROM i WHERE i.doc_id = ev.doc_id AND i.measure = ev.measure AND i.at > ev.beat AND i.at < ev.beat + content / 3), 0), 6) AS duration FROM ev""")
+def _(spark, d):
+    b = bars(spark, d)
+    notes = b.select("doc_id", F.col("measure_index").alias("measure"), F.col("measure_index").alias("note_id"), (F.col("sk") % 4 * 1.0).alias("start"), (F.col("content") / 3).alias("duration"))
+    return P.insert_time(notes, _bar_inserts(b), BAR, ["note_id"]).select("doc_id", "measure", F.round("start", 6).alias("start"), F.round("duration", 6).alias("duration"))
+
+
+@query("W21_bar_lengths", with_ctes("bars") + _INSERTS + """
+    SELECT doc_id, measure_index AS measure, round(content + coalesce((SELECT sum(amount) FROM i WHERE i.doc_id = bars.doc_id AND i.measure = measure_index), 0), 6) AS length FROM bars""")
+def _(spark, d):
+    b = bars(spark, d)
+    lengths = b.select("doc_id", F.col("measure_index").alias("measure"), F.col("content").alias("length"))
+    return P.lengthen_bars(lengths, _bar_inserts(b), BAR).select("doc_id", "measure", F.round("length", 6).alias("length"))
+
+
+_HOLDS = with_ctes("timed").replace("WITH", "WITH RECURSIVE", 1) + """
+    , n AS (SELECT doc_id, measure, source_id AS note_id, start_beat AS start, duration, part_key % 3 = 0 AS fermata FROM timed),
+    held AS (SELECT doc_id, measure, start + duration AS held_at, list({'s': start, 'd': duration}) AS held FROM n WHERE fermata GROUP BY 1, 2, 3),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, measure ORDER BY held_at) AS k FROM held),
+    folded AS (SELECT doc_id, measure, k, [{'at': held_at, 'amount': greatest(0.5, least(2.0, 0.5 * list_max([h.d FOR h IN held])))}] AS acc FROM ranked WHERE k = 1
+      UNION ALL SELECT r.doc_id, r.measure, r.k, list_append(f.acc, {'at': r.held_at, 'amount': greatest(0.5, least(2.0, 0.5 * (
+        SELECT max(h.d + coalesce((SELECT sum(a.amount) FROM (SELECT unnest(f.acc) AS a) WHERE a.at > h.s + 1e-8), 0)) FROM (SELECT unnest(r.held) AS h))))})
+      FROM folded f JOIN ranked r ON r.doc_id = f.doc_id AND r.measure = f.measure AND r.k = f.k + 1),
+    holds AS (SELECT doc_id, measure, h.at AS at, h.amount AS amount FROM (SELECT doc_id, measure, unnest(max_by(acc, k)) AS h FROM folded GROUP BY 1, 2))"""
+
+
+@query("W21_fermata_hold", _HOLDS.replace("\n    , n AS", ", n AS") + """
+    SELECT doc_id, measure, note_id, round(start + coalesce((SELECT sum(amount) FROM holds h WHERE h.doc_id = n.doc_id AND h.measure = n.measure AND h.at <= n.start + 1e-8), 0), 6) AS start,
+           round(duration + coalesce((SELECT sum(amount) FROM holds h WHERE h.doc_id = n.doc_id AND h.measure = n.measure AND h.at > n.start + 1e-8 AND h.at <= n.start + n.duration + 1e-8), 0), 6) AS duration FROM n""")
 def _(spark, d):
     n = timed(spark, d).select("doc_id", "measure", F.col("source_id").alias("note_id"), F.col("start_beat").alias("start"), "duration", (F.col("part_key") % 3 == 0).alias("fermata"))
     return P.fermata_hold(n, BAR).select("doc_id", "measure", "note_id", F.round("start", 6).alias("start"), F.round("duration", 6).alias("duration"))

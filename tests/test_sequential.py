@@ -86,6 +86,40 @@ def test_repeats_with_endings(spark):
         assert [r.measure_index for r in played if r.orphan_ending] == [7]
 
 
+@pytest.mark.parametrize("bars, want", [
+    ("F ; B2e1 ; e2 ; . ; B2", [0, 1, 0, 2, 3, 4, 3, 4]),  # after an earlier repeat and the endings that close it
+    (". ; | ; . ; B2", [0, 1, 2, 3, 2, 3]),  # after a double bar line
+    (". ; | ; k ; B2", [0, 1, 2, 3, 0, 1, 2, 3]),  # that no new key follows
+    ("F ; F ; B2 ; B2", [0, 1, 2, 1, 2, 3, 0, 1, 2, 1, 2, 3]),  # nested
+    ("B2 ; . ; s ; . ; B3", [0, 0, 1, 2, 3, 4, 2, 3, 4, 2, 3, 4]),  # a bar that opens a section
+    ("B2 ; . ; sk ; B2", [0, 0, 1, 2, 3, 1, 2, 3]),  # not with a new key
+    ("F ; B2 ; B2 ; B2", [0, 1, 0, 1, 2, 2, 3, 3]),  # more backward signs than forward ones
+    ("e1 ; e2 ; .", [0, 1, 2])])
+def test_repeats_go_back_to_their_section(spark, bars, want):
+    rows = []
+    for i, b in enumerate(bars.split(" ; ")):
+        rows.append((0, i, "F" in b, int(b[b.index("B") + 1]) if "B" in b else 0, [int(b[b.index("e") + 1])] if "e" in b else [], "s" in b, "|" in b, "k" in b))
+    df = spark.createDataFrame(rows, "d int, measure_index int, repeat_forward boolean, repeat_backward int, endings array<int>, section_start boolean, section_end boolean, signature boolean")
+    for chunk, width in ((None, None), (X.chunk_of("measure_index", 2), 2)):
+        played = W.performance_position(W.expand_repeats(df, ["d"], chunk=chunk, chunk_width=width), ["d"]).orderBy("position").collect()
+        assert [r.measure_index for r in played] == want
+
+
+def test_bar_times_of_graces_and_fermatas(spark):
+    notes = [(0, 0, "1", "g", 0, 1.0, 0.0, True, False, 0.5, None, None, False), (0, 0, "1", "a", 1, 1.0, 1.0, False, False, None, None, None, True),
+             (0, 0, "1", "b", 2, 2.0, 2.0, False, False, None, None, None, False), (0, 0, "2", "low", 3, 0.0, 4.0, False, False, None, None, None, False),
+             (1, 0, "1", "c1", 0, 0.0, 0.0, True, False, 3.0, None, None, False)]
+    n = spark.createDataFrame(notes, "m int, part int, voice string, note_id string, seq int, start double, duration double, is_grace boolean, chord boolean, make_time double, "
+                                     "steal_previous double, steal_following double, fermata boolean")
+    e = spark.createDataFrame([(0, 1, 0.5), (0, 2, 1.0), (0, 3, 2.0), (0, 4, 3.0), (1, 5, 0.0)], "m int, event_id int, beat double")
+    b = spark.createDataFrame([(0, 4.0), (1, 4.0), (2, 4.0)], "m int, length double")
+    got, events, lengths = P.realize_bars(n, e, b, ["m"])
+    # Half a beat goes in at beat 1; the fermata on a holds half a beat at its end, now 2.5; the cadenza alone is its bar.
+    assert {r.note_id: (r.start, r.duration) for r in got.collect()} == {"g": (1.0, 0.5), "a": (1.5, 1.5), "b": (3.0, 2.0), "low": (0.0, 5.0), "c1": (0.0, 3.0)}
+    assert {r.event_id: r.beat for r in events.collect()} == {1: 0.5, 2: 1.5, 3: 3.0, 4: 4.0, 5: 3.0}
+    assert {r.m: r.length for r in lengths.collect()} == {0: 5.0, 1: 3.0, 2: 4.0}
+
+
 def test_fermata_hold(spark):
     notes = [(0, "a", 0.0, 2.0, True), (0, "b", 2.0, 1.0, False), (0, "c", 1.0, 4.0, False), (0, "d", 3.0, 0.5, True), (0, "e", 3.5, 0.5, False),
              (1, "f", 0.0, 8.0, True), (1, "g", 8.0, 1.0, False), (1, "h", 0.0, 1.0, False)]
