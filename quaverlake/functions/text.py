@@ -33,7 +33,7 @@ def contains_text(col: Column, q: str) -> Column:
     return F.contains(F.lower(col), F.lit(q.strip().lower()))
 
 
-def ending_numbers(text: Column, longest: int = 100) -> Column:
+def ending_numbers(text: Column, longest: int) -> Column:
     """F-14: "1,3-4" as sorted distinct numbers; a range reaches at most ``longest`` past its start."""
     def one(piece: Column) -> Column:
         start = F.regexp_extract(piece, r"^(\d+)", 1).try_cast("bigint")

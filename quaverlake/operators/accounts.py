@@ -14,7 +14,6 @@ from quaverlake.operators.uploads import uploads_per_user
 
 # Where an account can be made.
 SIGNUP_PLATFORMS = ("web", "ios")
-LONGEST_SPAN = 3660
 
 
 def known_platform(col: Column) -> Column:
@@ -96,9 +95,9 @@ def split_grants(ids: DataFrame, accounts: DataFrame, grants: DataFrame) -> Data
             .select("user_id", outcome.alias("outcome")))
 
 
-def signups(accounts: DataFrame, now: int, days: int = 30, offset: int = 0) -> DataFrame:
-    """A-10: accounts made per local day, split by platform, every day present."""
-    first, last = day_span(now, days, offset, LONGEST_SPAN)
+def signups(accounts: DataFrame, now: int, days: int, offset: int, longest: int) -> DataFrame:
+    """A-10: accounts made per local day, split by platform, every day present; ``longest`` bounds the days that may be asked for."""
+    first, last = day_span(now, days, offset, longest)
     split = F.coalesce(known_platform(F.col("signup_platform")), F.lit("unknown"))
     names = [*SIGNUP_PLATFORMS, "unknown"]
     per_day = (accounts.filter(F.coalesce(F.col("created_at"), F.lit(0)) != 0)
@@ -106,7 +105,7 @@ def signups(accounts: DataFrame, now: int, days: int = 30, offset: int = 0) -> D
                .filter(F.col("day").between(first, last)).withColumn("__p", split)
                .groupBy("day").agg(F.count(F.lit(1)).alias("count"),
                                    *[F.count_if(F.col("__p") == n).alias(n) for n in names]))
-    spine = day_spine(accounts.sparkSession, now, days, offset, LONGEST_SPAN)
+    spine = day_spine(accounts.sparkSession, now, days, offset, longest)
     return (spine.join(per_day, "day", "left").orderBy("day")
             .select(day_date(F.col("day")).alias("date"),
                     *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in ("count", *names)]))

@@ -15,7 +15,7 @@ from quaverlake.operators.asof import asof_join
 from quaverlake.operators.assign import greedy_assign
 from quaverlake.operators.bands import band_join, box_join, overlap_join, stab_join
 from quaverlake.operators.ranks import top_n_per_key, upper_median
-from quaverlake.operators.segments import carry_last, following, islands, previous, running_max, running_min, settle
+from quaverlake.operators.segments import carry_last, following, islands, previous, running_max, running_min, running_sum, settle
 
 # Tolerances in points or staff spaces, glyph code points.
 MATCH_DISTANCE = 1.5
@@ -208,13 +208,27 @@ def assign_lines(lines: DataFrame, staves: DataFrame, keys: Sequence[str], reach
     return best.filter((F.col("distance") <= reach) & clear).drop("__second")
 
 
-def covering_sum(points: DataFrame, intervals: DataFrame, keys: Sequence[str], point_id: str, at: str = "x",
-                 cell_size: float = 128.0) -> DataFrame:
-    """J-29: the sum of ``amount`` over every interval (``left``, ``right``, closed) a point lies in."""
-    hit = stab_join(points.select(*keys, point_id, at), intervals.select(*keys, "left", "right", "amount"), keys, at,
-                    F.col("left"), F.col("right"), cell_size, closed_right=True)
-    sums = hit.groupBy(*keys, point_id).agg(F.sum("amount").alias("shift"))
-    return points.join(sums, [*keys, point_id], "left").withColumn("shift", F.coalesce("shift", F.lit(0)))
+def covering_sum(points: DataFrame, intervals: DataFrame, keys: Sequence[str], at: str = "x", chunk_width: float | None = None) -> DataFrame:
+    """J-29: the sum of ``amount`` over every interval (``left``, ``right``, closed) a point lies in, 0 where there is none.
+
+    A sweep: an interval adds its amount where it opens and takes it back behind where it closes, and a point reads the running sum. Rows are the
+    points and two for each interval, however many overlap. Whole numbers and decimals are summed exactly; doubles as decimals of ten places.
+    Points without a position and intervals that end before they begin take no part; a missing amount counts as 0.
+    """
+    kind = intervals.schema["amount"].dataType.simpleString()
+    amount = F.coalesce("amount", F.lit(0))
+    amount = amount.cast("decimal(38,10)") if kind in ("double", "float") else amount
+    zero = F.lit(0).cast("decimal(38,10)" if kind in ("double", "float") else kind)
+    real = intervals.where(F.col("left") <= F.col("right"))
+    payload = F.struct(*[F.col(c) for c in points.columns if c not in keys]).alias("__row")
+    rows = points.select(*keys, F.col(at).cast("double").alias("__pos"), F.lit(1).alias("__side"), zero.alias("__amount"), payload)
+    marks = real.select(*keys, F.explode(F.array(F.struct(F.col("left").cast("double").alias("pos"), F.lit(0).alias("side"), amount.alias("amount")),
+                                                 F.struct(F.col("right").cast("double").alias("pos"), F.lit(2).alias("side"), (-amount).alias("amount")))).alias("m"))
+    marks = marks.select(*keys, F.col("m.pos").alias("__pos"), F.col("m.side").alias("__side"), F.col("m.amount").alias("__amount"), F.lit(None).alias("__row"))
+    chunk = None if chunk_width is None else F.floor(F.col("__pos") / chunk_width).cast("bigint")
+    swept = running_sum(rows.unionByName(marks), keys, ["__pos", "__side"], F.col("__amount"), "__sum", chunk).where("__side = 1")
+    shift = F.when(F.col("__pos").isNull(), zero).otherwise(F.col("__sum"))
+    return swept.select(*[F.col(c) if c in keys else F.col(f"__row.{c}").alias(c) for c in points.columns], (shift.cast(kind) if kind in ("double", "float") else shift).alias("shift"))
 
 
 def printed_accidental(heads: DataFrame, marks: DataFrame, keys: Sequence[str], chunk_width: float | None = None) -> DataFrame:

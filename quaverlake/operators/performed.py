@@ -169,18 +169,19 @@ def neighbor_midi(step: Column, octave: Column, fifths: Column, transpose: Colum
     return midi + written - xml_midi
 
 
-def expand_ornaments(notes: DataFrame) -> DataFrame:
+def expand_ornaments(notes: DataFrame, most_strokes: int) -> DataFrame:
     """F-18: ornamented notes as their alternating neighbours, then the rest of the note.
 
     ``notes``: source_id, ornaments, tie flags, start_beat, key_duration, midi, xml_midi, step, octave,
-    key_fifths, transpose. Notes tied or shorter than an eighth of a beat stay plain. Adds ``part_of`` (0 plain).
+    key_fifths, transpose. Notes tied or shorter than an eighth of a beat stay plain. Adds ``part_of`` (0 plain). A trill
+    has two to ``most_strokes`` strokes.
     """
     up, low = (neighbor_midi(F.col("step"), F.col("octave"), F.coalesce("key_fifths", F.lit(0)), F.coalesce("transpose", F.lit(0)),
                              F.col("midi"), F.col("xml_midi"), s) for s in (1, -1))
     known = F.get(F.filter("ornaments", lambda o: o.isin(*ORNAMENTS)), F.lit(0))
     n = notes.withColumn("__o", F.when(~F.col("tie_start") & ~F.col("tie_stop") & (F.col("key_duration") >= 0.125), known))
     n = n.withColumn("__up", up.cast("int")).withColumn("__low", low.cast("int")).withColumn("__m", F.col("midi").cast("int"))
-    count = F.greatest(F.lit(2), F.least(F.lit(32), F.rint(F.col("key_duration") / 0.125).cast("int")))
+    count = F.greatest(F.lit(2), F.least(F.lit(most_strokes), F.rint(F.col("key_duration") / 0.125).cast("int")))
     trill = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.when(i % 2 == 0, F.col("__m")).otherwise(F.col("__up")))
     shapes = (F.when(F.col("__o") == "trill-mark", trill)
               .when(F.col("__o") == "mordent", F.array("__m", "__up", "__m"))

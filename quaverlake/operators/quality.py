@@ -22,7 +22,6 @@ MIN_AGREEMENT, MIN_EXPORT_RATIO, MIN_VECTOR_HEADS = 0.85, 0.85, 40
 MIN_PLACED, MIN_HEADS_FOR_RHYTHM = 0.90, 40
 PLACED_GAIN, QUALITY_GAIN, BAR_GROWTH, EXTRA_UNVERIFIED, KEEP_HEADS = 0.03, 0.03, 2.0, 2, 0.9
 HELPED_BY_DPI = 1.05
-MAX_RETRY_PAGES = 4
 SECONDS_PER_MEGAPIXEL, SINGLE_PAGE_OVERHEAD = 1.6, 1.75
 DEFAULT_DPI, RETRY_DPI = 300, 400
 MAX_PAGE_POINTS, A4_POINTS = 200 * 72 * 72, 595 * 842
@@ -167,7 +166,7 @@ def sparse_pages(pages: DataFrame, doc: str = "doc_id") -> DataFrame:
     return p.withColumn("rules", found).withColumn("severity", severity).drop("__med", "__n")
 
 
-def worst_pages(flagged: DataFrame, doc: str = "doc_id", k: int = MAX_RETRY_PAGES) -> DataFrame:
+def worst_pages(flagged: DataFrame, k: int, doc: str = "doc_id") -> DataFrame:
     """T-03: the ``k`` worst flagged pages of each document, back in page order."""
     bad = flagged.filter(F.size("rules") > 0)
     return top_n_per_key(bad, [doc], [F.col("severity"), F.col("page")], k, "place").orderBy(doc, "page")
@@ -257,7 +256,7 @@ def estimate_seconds(pages: DataFrame, keys: Sequence[str], dpi: int = DEFAULT_D
                                     .alias("seconds"))
 
 
-def estimate_retries(pages: DataFrame, keys: Sequence[str], rank: Sequence[Column], k: int = MAX_RETRY_PAGES) -> DataFrame:
+def estimate_retries(pages: DataFrame, keys: Sequence[str], rank: Sequence[Column], k: int) -> DataFrame:
     """A-31: best and worst case of re-reading the ``k`` worst flagged pages (``poor_recall`` leads with resolution)."""
     top = top_n_per_key(pages, keys, rank, k, "__r")
     rate = SECONDS_PER_MEGAPIXEL * SINGLE_PAGE_OVERHEAD

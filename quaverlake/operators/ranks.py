@@ -70,18 +70,74 @@ def newest_first(df: DataFrame, col: str, tie: str) -> DataFrame:
     return df.orderBy(F.coalesce(F.col(col), F.lit(0)).desc(), F.col(tie).asc())
 
 
-def paginate(df: DataFrame, order: Sequence[Column], page: int, size: int, max_size: int = 200) -> DataFrame:
+Order = Sequence[tuple[Column, bool]]
+
+
+def _sorted(order: Order) -> list[Column]:
+    return [c.asc_nulls_first() if up else c.desc_nulls_last() for c, up in order]
+
+
+def _before(order: Order, bound: Sequence[object]) -> Column:
+    """Whether a row comes before the row whose order values are ``bound``."""
+    out, same = F.lit(False), F.lit(True)
+    for (c, up), v in zip(order, bound):
+        if up:
+            less = F.lit(False) if v is None else c.isNull() | F.coalesce(c < F.lit(v), F.lit(False))
+        else:
+            less = c.isNotNull() if v is None else F.coalesce(c > F.lit(v), F.lit(False))
+        out, same = out | (same & less), same & c.eqNullSafe(F.lit(v))
+    return out
+
+
+def rank_slice(df: DataFrame, order: Order, first: int, last: int, total: int, splits: int = 64, enough: int = 100_000) -> DataFrame:
+    """The rows at places ``first`` to ``last`` (from 0, ``last`` not included) of the order, found by counts and not by sorting what comes before.
+
+    ``order``: (column, ascending) pairs; NULLs come first ascending and last descending. A few sampled rows cut what is left of the list into
+    ranges; one combined count of each says which of them the places lie in. Once these hold ``enough`` rows, or no more can be cut, they
+    alone are sorted, and only up to the last place. The sample decides how many rounds that takes (the logarithm of the list to the base of
+    ``splits``), never which rows come out.
+    """
+    low, high, skipped, left = None, None, 0, total
+    names = [f"__o{i}" for i in range(len(order))]
+
+    def inside(d: DataFrame) -> DataFrame:
+        if low is not None:
+            d = d.where(~_before(order, low))
+        return d if high is None else d.where(_before(order, high))
+
+    while left > enough:
+        keys = inside(df).select(*[c.alias(n) for n, (c, _) in zip(names, order)])
+        drawn = keys.sample(min(1.0, 20.0 * splits / left), seed=7).distinct()
+        drawn = [tuple(r) for r in drawn.orderBy(*_sorted([(F.col(n), up) for n, (_, up) in zip(names, order)])).collect()]  # some thousands of rows at most
+        bounds = [drawn[len(drawn) * i // splits] for i in range(splits) if drawn and len(drawn) * i // splits < len(drawn)]
+        bounds = list(dict.fromkeys(bounds))
+        if not bounds:
+            break
+        counts = [c or 0 for c in inside(df).agg(*[F.count_if(_before(order, b)) for b in bounds]).first()]
+        below = max((i for i, c in enumerate(counts) if skipped + c <= first), default=None)
+        above = min((i for i, c in enumerate(counts) if skipped + c >= last), default=None)
+        new_low = low if below is None else bounds[below]
+        new_high = high if above is None else bounds[above]
+        kept = (counts[above] if above is not None else left) - (counts[below] if below is not None else 0)
+        if kept >= left:
+            break
+        skipped += counts[below] if below is not None else 0
+        low, high, left = new_low, new_high, kept
+    return inside(df).orderBy(*_sorted(order)).offset(first - skipped).limit(last - first)
+
+
+def paginate(df: DataFrame, order: Order, page: int, size: int, max_size: int) -> DataFrame:
     """W-01: one page of a list, with the total, the page count and the page really shown.
 
-    The sort stops at the rows the page needs (take-ordered), so no task sorts the whole list. The
-    page is clamped to the last one, which needs the total first: one count, then the ordered cut.
+    ``size`` is clamped to ``max_size``, the page to the last one. However deep the page is, what comes before it is counted, not moved or sorted:
+    see :func:`rank_slice`.
     """
     size = max(1, min(size, max_size))
     total = df.count()
     pages = max(1, -(-total // size))
     page = max(1, min(page, pages))
-    return (df.orderBy(*order).offset((page - 1) * size).limit(size)
-            .withColumn("total", F.lit(total).cast("bigint"))
+    rows = rank_slice(df, order, (page - 1) * size, min(page * size, max(total, 1)), total)
+    return (rows.withColumn("total", F.lit(total).cast("bigint"))
             .withColumn("page", F.lit(page)).withColumn("pages", F.lit(pages))
             .withColumn("page_size", F.lit(size)))
 

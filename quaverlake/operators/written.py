@@ -231,12 +231,12 @@ def performance_position(expanded: DataFrame, keys: Sequence[str], index: str =
     return out.withColumn("position", F.col("__p") - 1).drop("__p")
 
 
-def expand_rests(measures: DataFrame, starts: DataFrame, keys: Sequence[str], index: str = "measure_index") -> DataFrame:
+def expand_rests(measures: DataFrame, starts: DataFrame, keys: Sequence[str], most_bars: int, index: str = "measure_index") -> DataFrame:
     """W-19: a multimeasure rest glued to the bar before it gets its own bars, and bars are renumbered.
 
     ``measures``: page, system, label, implicit, nominal, content, length, repeat_backward, glued_bars
     and glued_at (NULL without). ``starts``: page, system, number printed at a system's start. The count
-    comes from the next system's printed number, else from the export when it says two bars or more.
+    comes from the next system's printed number if that tells of ``most_bars`` at most, else from the export when it says two bars or more.
     """
     system = [*keys, "page", "system"]
     s = measures.groupBy(*system).agg(F.count(F.lit(1)).alias("__n"), F.bool_or("implicit").alias("__imp"), F.min(index).alias("__i"))
@@ -245,7 +245,7 @@ def expand_rests(measures: DataFrame, starts: DataFrame, keys: Sequence[str], in
     from pyspark.sql import Window as W
     s = s.withColumn("__next", F.lead("__start").over(W.partitionBy(*keys).orderBy("__i")))
     told = F.when(~F.col("__imp"), F.col("__next") - F.col("__start") - F.col("__n"))
-    s = s.withColumn("__told", F.when(told.between(1, 999), told))
+    s = s.withColumn("__told", F.when(told.between(1, most_bars), told))
     m = measures.join(s.select(*system, "__start", "__told"), system)
     bars = F.coalesce(F.col("__told"), F.when(F.col("glued_bars") >= 2, F.col("glued_bars")))
     m = m.withColumn("__bars", F.when(F.col("glued_bars").isNotNull() & ~F.col("implicit"), bars))

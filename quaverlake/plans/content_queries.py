@@ -52,14 +52,13 @@ def _(spark, d):
 
 
 @query("J06_matching", with_ctes("contents") + """
-    SELECT s.job_id AS source_id, j.job_id, j.content_sha256, j.created_at
-    FROM contents s JOIN contents j ON s.content_sha256 = j.content_sha256 AND s.job_id <> j.job_id
-    WHERE s.lang <> 'de' AND s.source = 'src8' AND j.status <> 'deleted'""")
+    , live AS (SELECT job_id, created_at, CASE WHEN lang <> 'de' OR octet_length(encode(text)) IN (SELECT octet_length(encode(text)) FROM documents WHERE lang <> 'de') THEN content_sha256 END AS content_sha256
+      FROM contents JOIN documents ON CAST(documents.doc_id AS VARCHAR) = job_id WHERE status <> 'deleted')
+    SELECT job_id, content_sha256, CASE WHEN content_sha256 IS NULL THEN job_id ELSE arg_min(job_id, {'a': created_at, 'j': job_id}) OVER (PARTITION BY content_sha256) END AS class_id,
+           CASE WHEN content_sha256 IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY content_sha256) - 1 END AS copies FROM live""".replace("\n    , live", ", live").replace("FROM contents JOIN documents", "FROM (SELECT * EXCLUDE (lang) FROM contents) JOIN documents"))
 def _(spark, d):
-    jobs = contents(spark, d).select("job_id", "text", "size", F.col("known_hash").alias("content_sha256"), "status",
-                                     "created_at", "storage_version", "source")
-    asked = jobs.filter((F.col("source") == "src8") & F.col("content_sha256").isNotNull())
-    return reuse.matching(asked.select(F.col("job_id").alias("source_id"), "content_sha256", "size"), jobs, "text")
+    jobs = contents(spark, d).select("job_id", "text", "size", F.col("known_hash").alias("content_sha256"), "status", "created_at", "storage_version")
+    return reuse.content_classes(jobs, "text")
 
 
 _NEWEST = """newest AS (SELECT *, lpad(CAST(created_at AS VARCHAR), 12, '0') || '#' || job_id AS sort FROM contents
@@ -73,17 +72,26 @@ def _processed(spark, d):
         "cache_epoch", "settings")
 
 
-@query("J07_find_reuse", with_ctes("contents").rstrip() + ", " + _NEWEST + """
+_REUSE = """
     SELECT u.job_id, last(p.job_id ORDER BY exact, p.sort) AS source_id,
            CASE WHEN bool_or(exact) THEN 'copied' ELSE 'redrawn' END AS how
     FROM contents u JOIN LATERAL (
         SELECT job_id, sort, (n.style = u.style AND n.octave = u.octave) AS exact FROM newest n
         WHERE n.content_sha256 = u.content_sha256 AND n.job_id <> u.job_id AND n.epoch = 2 AND n.status = 'done'
           AND n.dpi IS NOT DISTINCT FROM u.dpi AND ((n.style = u.style AND n.octave = u.octave) OR n.source <> 'src7')) p ON true
-    GROUP BY 1""")
+    GROUP BY 1"""
+
+
+@query("J07_find_reuse", with_ctes("contents").rstrip() + ", " + _NEWEST + _REUSE)
+def _(spark, d):
+    c = contents(spark, d)
+    return reuse.find_reuse(c.select("job_id", "content_sha256", "settings"), _processed(spark, d), c, 2, 25)
+
+
+@query("J07_find_reuse_of_all", with_ctes("contents").rstrip() + ", " + _NEWEST.replace(" <= 25", " > 0") + _REUSE)
 def _(spark, d):
     c = contents(spark, d)
-    return reuse.find_reuse(c.select("job_id", "content_sha256", "settings"), _processed(spark, d), c, 2)
+    return reuse.find_reuse(c.select("job_id", "content_sha256", "settings"), _processed(spark, d), c, 2, None)
 
 
 @query("J08_prune_processed", with_ctes("contents") + """
@@ -323,4 +331,4 @@ def _(spark, d):
     value = F.concat(n.cast("string"), F.lit("- "), (n + F.col("l_suppkey") % 5).cast("string"), F.lit(", x,"),
                      (n + 2).cast("string"))
     return B.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(
-        text.ending_numbers(value), ",").alias("numbers"))
+        text.ending_numbers(value, 100), ",").alias("numbers"))

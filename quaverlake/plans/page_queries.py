@@ -196,7 +196,7 @@ def _(spark, d):
 def _(spark, d):
     p = B.points(spark, d)
     spans = p.select("page", F.col("x2").alias("left"), (F.col("x2") + 60).alias("right"), F.col("pitch").alias("amount"))
-    return G.covering_sum(p.select("page", "point_id", "x"), spans, PAGE, "point_id").select("point_id", F.col("shift").cast("bigint").alias("shift"))
+    return G.covering_sum(p.select("page", "point_id", "x"), spans, PAGE, chunk_width=64.0).select("point_id", F.col("shift").cast("bigint").alias("shift"))
 
 
 @query("J33_printed_accidental", with_ctes("points") + """
@@ -442,7 +442,7 @@ def _(spark, d):
     SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s1, s2, s3, page) AS INTEGER) AS place
     FROM flagged WHERE read AND rules <> '' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s1, s2, s3, page) <= 4""")
 def _(spark, d):
-    return Q.worst_pages(Q.sparse_pages(page_stats(spark, d))).select("doc_id", "page", "place")
+    return Q.worst_pages(Q.sparse_pages(page_stats(spark, d)), 4).select("doc_id", "page", "place")
 
 
 define("measures", """
@@ -550,7 +550,7 @@ def _(spark, d):
 def _(spark, d):
     p = page_stats(spark, d).select("doc_id", "page", "heads", F.lit(500.0).alias("width"), F.lit(700.0).alias("height"),
                                     (F.col("heads") % 2 == 0).alias("poor_recall"))
-    r = Q.estimate_retries(p, ["doc_id"], [F.col("heads"), F.col("page")])
+    r = Q.estimate_retries(p, ["doc_id"], [F.col("heads"), F.col("page")], 4)
     return r.select("doc_id", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 

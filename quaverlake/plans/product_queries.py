@@ -36,11 +36,9 @@ def _live_jobs(spark, d):
 
 # --- sources -----------------------------------------------------------------------------------
 
-@query("S01_scan_projection", "SELECT o_orderkey, CAST(o_totalprice AS BIGINT) AS total FROM orders "
-       "WHERE o_totalprice % 1 = 0")
+@query("S01_scan_projection", "SELECT o_orderkey, o_totalprice AS total FROM orders")
 def _(spark, d):
-    df = scan(spark, f"{d}/orders.parquet", ["o_orderkey", "o_totalprice"])
-    return df.filter(F.col("o_totalprice") % 1 == 0).select("o_orderkey", F.col("o_totalprice").cast("bigint").alias("total"))
+    return scan(spark, f"{d}/orders.parquet", ["o_orderkey", "o_totalprice"]).withColumnRenamed("o_totalprice", "total")
 
 
 @query("S02_scan_jobs_since", """SELECT o_orderkey, o_orderstatus, o_orderdate FROM orders
@@ -404,13 +402,13 @@ _SIGNUPS = with_ctes("accounts").rstrip() + f""", days AS (
     SELECT {DATE.format('day')} AS date, count(user_id) AS count,
            count(*) FILTER (signup_platform = 'web') AS web, count(*) FILTER (signup_platform = 'ios') AS ios,
            count(*) FILTER (user_id IS NOT NULL AND coalesce(signup_platform, '') NOT IN ('web', 'ios')) AS unknown
-    FROM (SELECT unnest(range(({N} + 50400) // 86400 - 3659, ({N} + 50400) // 86400 + 1)) AS day)
+    FROM (SELECT unnest(range(({N} + 50400) // 86400 - 9998, ({N} + 50400) // 86400 + 1)) AS day)
     LEFT JOIN (SELECT *, (created_at + 50400) // 86400 AS day FROM accounts) USING (day) GROUP BY day)
 """
 
 
 def _signups(spark, d):
-    return A.signups(B.accounts(spark, d), N, 9999, 2000)
+    return A.signups(B.accounts(spark, d), N, 9999, 2000, 9999)
 
 
 @query("A10_signups", _SIGNUPS + "SELECT * FROM days")
@@ -517,13 +515,26 @@ def _(spark, d):
 
 # --- ordering, paging, sets ------------------------------------------------------------------------
 
+_NEWEST = [(F.coalesce("created_at", F.lit(0)), False), (F.col("job_id"), True)]
+
+
 @query("W01_paginate", with_ctes("job_heads") + """
     SELECT job_id, created_at, count(*) OVER () AS total, 3 AS page,
            CAST(ceil(count(*) OVER () / 50) AS INTEGER) AS pages, 50 AS page_size
     FROM job_heads ORDER BY created_at DESC, job_id OFFSET 100 LIMIT 50""")
 def _(spark, d):
     jobs = B.job_heads(spark, d).select("job_id", "created_at")
-    return R.paginate(jobs, [F.coalesce("created_at", F.lit(0)).desc(), F.col("job_id")], 3, 50)
+    return R.paginate(jobs, _NEWEST, 3, 50, 200)
+
+
+@query("W01_deep_page", with_ctes("job_heads") + """
+    SELECT job_id, created_at, count(*) OVER () AS total, CAST(ceil(count(*) OVER () / 50) AS INTEGER) - 1 AS page,
+           CAST(ceil(count(*) OVER () / 50) AS INTEGER) AS pages, 50 AS page_size
+    FROM job_heads ORDER BY created_at DESC, job_id OFFSET (SELECT (CAST(ceil(count(*) / 50) AS BIGINT) - 2) * 50 FROM orders) LIMIT 50""")
+def _(spark, d):
+    jobs = B.job_heads(spark, d).select("job_id", "created_at")
+    pages = -(-jobs.count() // 50)
+    return R.paginate(jobs, _NEWEST, pages - 1, 50, 200)
 
 
 @query("W02_top_n_per_key", with_ctes("sessions") + """

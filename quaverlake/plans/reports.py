@@ -13,11 +13,11 @@ from quaverlake.operators import ranks as R
 from quaverlake.operators import subscriptions as S
 from quaverlake.operators import uploads as U
 
-PAGE_SIZE = 50
+PAGE_SIZE, MAX_SIZE = 50, 200
 
 
 def _newest(col: str, tie: str):
-    return [F.coalesce(F.col(col), F.lit(0)).desc(), F.col(tie)]
+    return [(F.coalesce(F.col(col), F.lit(0)), False), (F.col(tie), True)]
 
 
 def overview(accounts: DataFrame, subscriptions: DataFrame, jobs: DataFrame, now: int, demo_owner: str) -> DataFrame:
@@ -27,11 +27,11 @@ def overview(accounts: DataFrame, subscriptions: DataFrame, jobs: DataFrame, now
 def users(accounts, subscriptions, masters, jobs, sessions, now: int, demo_owner: str, page: int = 1, page_size: int = PAGE_SIZE,
           **facets) -> DataFrame:
     rollup = A.users_rollup(accounts, subscriptions, masters, U.real_uploads(jobs, demo_owner), E.session_view(sessions), now)
-    return R.paginate(A.users(rollup, now, **facets), _newest("created_at", "user_id"), page, page_size)
+    return R.paginate(A.users(rollup, now, **facets), _newest("created_at", "user_id"), page, page_size, MAX_SIZE)
 
 
-def signups(accounts: DataFrame, now: int, days: int = 30, offset: int = 0) -> dict[str, DataFrame]:
-    rows = A.signups(accounts, now, days, offset)
+def signups(accounts: DataFrame, now: int, longest: int, days: int = 30, offset: int = 0) -> dict[str, DataFrame]:
+    rows = A.signups(accounts, now, days, offset, longest)
     return {"days": rows, "totals": A.signup_totals(rows)}
 
 
@@ -53,14 +53,14 @@ def masters(grants: DataFrame, accounts: DataFrame) -> DataFrame:
 def subscriptions(table: DataFrame, now: int, state: str = "", page: int = 1, page_size: int = PAGE_SIZE) -> dict[str, DataFrame]:
     rows = S.subscription_state(S.subscription_view(table, now))
     listed = rows.filter(F.col("state") == state) if state else rows
-    return {"items": R.paginate(listed, _newest("started_at", "user_id"), page, page_size), "counts": S.subscription_counts(rows)}
+    return {"items": R.paginate(listed, _newest("started_at", "user_id"), page, page_size, MAX_SIZE), "counts": S.subscription_counts(rows)}
 
 
 def uploads(jobs: DataFrame, sheets: DataFrame, accounts: DataFrame, now: int, demo_owner: str, status: str = "", page: int = 1,
             page_size: int = PAGE_SIZE, **facets) -> dict[str, DataFrame]:
     view = U.with_guest(U.with_sheet_name(U.job_outcome(U.job_seconds(U.with_copies(jobs))), sheets), accounts)
     narrowed = U.filter_uploads(U.real_uploads(view, demo_owner), now, **facets)
-    return {"items": R.paginate(U.filter_status(narrowed, status), _newest("created_at", "job_id"), page, page_size),
+    return {"items": R.paginate(U.filter_status(narrowed, status), _newest("created_at", "job_id"), page, page_size, MAX_SIZE),
             "summary": U.outcome_summary(narrowed)}
 
 

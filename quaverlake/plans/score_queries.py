@@ -357,7 +357,7 @@ def _(spark, d):
     index = F.col("page") * 4 + F.col("system")
     starts = (b.groupBy("doc_id", "page", "system").agg(F.min("measure_index").alias("i")).filter(index % 3 != 2)
               .select("doc_id", "page", "system", (F.col("i") + 1 + index).alias("number")))
-    out = W.expand_rests(m, starts, DOC)
+    out = W.expand_rests(m, starts, DOC, 999)
     return out.select("doc_id", "measure_index", "sub", "repeat_backward", F.round("content", 6).alias("content"), F.round("length", 6).alias("length"), "label")
 
 
@@ -679,7 +679,7 @@ def _(spark, d):
 def _(spark, d):
     n = timed(spark, d).withColumns({"midi": F.lit(71), "xml_midi": F.lit(71), "step": F.lit("B"), "octave": F.lit(4), "key_fifths": F.lit(0), "transpose": F.lit(0),
                                      "key_duration": F.col("duration"), "ornaments": F.when(F.col("part_key") % 5 == 0, F.array(F.lit("mordent"))).otherwise(F.array().cast("array<string>"))})
-    return P.expand_ornaments(n).select("doc_id", "source_id", "part_of", "midi", F.round("start_beat", 6).alias("start_beat"), F.round("duration", 6).alias("duration"))
+    return P.expand_ornaments(n, 32).select("doc_id", "source_id", "part_of", "midi", F.round("start_beat", 6).alias("start_beat"), F.round("duration", 6).alias("duration"))
 
 
 @query("A36_distinct_midis", with_ctes("notes") + """

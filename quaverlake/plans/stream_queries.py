@@ -88,7 +88,7 @@ def _(spark, d):
     fix = F.struct(F.when(F.col("doc_id") % 3 == 0, 60).otherwise(200).alias("midi"), F.lit("left").alias("hand"), F.lit(0.0).alias("offset"), F.lit(1.0).alias("duration"))
     body = F.to_json(F.struct(F.create_map(name, edit, F.lit("empty"), F.struct(F.lit(None).cast("string").alias("text"), F.lit("blue").alias("color"))).alias("labels"),
                               F.create_map(F.lit("p"), fix).alias("corrections")))
-    parsed = documents.parse_edits(doc.select("doc_id", body.alias("text")))
+    parsed = documents.parse_edits(doc.select("doc_id", body.alias("text")), 40)
     n = F.size("corrections")
     return parsed.select("doc_id", n.alias("n_corrections"), F.explode("labels").alias("label_id", "e")).select("doc_id", "label_id", "e.text", "e.color", "n_corrections")
 
@@ -97,31 +97,101 @@ def _(spark, d):
     SELECT doc_id, CAST(page AS INTEGER) AS page, head_id, CAST(pitch AS INTEGER) AS pitch, cx FROM heads
     QUALIFY row_number() OVER (PARTITION BY doc_id, page, staff, round_even(cx - w / 2, 1), cy ORDER BY seq) = 1""")
 def _(spark, d):
-    h = heads(spark, d)
-    x = (F.col("cx") - F.col("w") / 2).cast("string")
-    el = F.concat(F.lit('<head id="'), "head_id", F.lit('" staff="'), F.col("staff").cast("string"), F.lit('" pitch="'), F.col("pitch").cast("string"),
-                  F.lit('"><bounds x="'), x, F.lit('" y="'), F.col("cy").cast("string"), F.lit('" w="'), F.col("w").cast("string"), F.lit('" h="4"/></head>'))
-    sheets = h.withColumn("el", el).groupBy("doc_id", "page").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "el"))), lambda s: s["el"]), "").alias("xml"))
-    zipped = sheets.mapInPandas(_zip_sheets, "doc_id string, content binary")
-    out = books.heads(books.book_elements(zipped))
+    out = books.heads(_books(spark, d))
     return out.select(F.col("doc_id").cast("bigint").alias("doc_id"), "page", "head_id", "pitch", "cx")
 
 
-def _zip_sheets(batches):
+def _books(spark, d):
+    """Heads as books: one archive a page, whose sheet also has a clef, key, meter or relation beside some of the heads, and staves."""
+    seq, staff, pitch, cx = (F.col(c).cast("string") for c in ("seq", "staff", "pitch", "cx"))
+    bounds = F.format_string('<bounds x="%s" y="%s" w="%s" h="4"/>', (F.col("cx") - F.col("w") / 2).cast("string"), F.col("cy").cast("string"), F.col("w").cast("string"))
+
+    def tag(name, attrs, inner):
+        text = [F.lit(f"<{name}")]
+        for k, v in attrs.items():
+            text += [F.lit(f' {k}="'), v if not isinstance(v, str) else F.lit(v), F.lit('"')]
+        return F.concat(*text, F.lit(">"), inner, F.lit(f"</{name}>"))
+
+    some = lambda n, k=0: F.col("seq") % n == k
+    at = F.concat(F.lit('<bounds x="'), cx, F.lit('" y="0" w="10" h="4"/>'))
+    sharp = F.when(F.col("pitch") % 2 == 0, "SHARP").otherwise("FLAT")
+    parts = [tag("head", {"id": F.col("head_id"), "staff": staff, "pitch": pitch}, bounds),
+             F.when(some(7), tag("clef", {"staff": staff, "kind": F.when(F.col("pitch") > 2, "TREBLE").when(F.col("pitch") > -2, "BASS").otherwise("ALTO")}, at)),
+             F.when(some(5) & (F.col("staff") == 1), tag("key", {"staff": staff, "fifths": (F.col("pitch") % 7).cast("string"), "grade": F.when(F.col("pitch") > 3, "0.25").otherwise("0.75")}, at)),
+             F.when(some(3), tag("key-alter", {"staff": staff, "shape": sharp, "grade": "0.5"}, at)),
+             F.when(some(4), tag("time-pair", {"staff": staff, "time-rational": F.concat((F.col("pitch") + 8).cast("string"), F.lit("/8")), "grade": "0.5"}, at)),
+             F.when(some(2), tag("time-number", {"staff": staff, "grade": ((F.col("pitch") + 7) / 16).cast("string")}, at)),
+             F.when(some(3, 1), tag("relation", {"source": F.concat(F.lit("c&amp;"), seq), "target": F.col("head_id")}, F.when(F.col("pitch") > 0, '<slur-head side="RIGHT"/>').otherwise("<containment/>")))]
+    lines = F.concat_ws("", *[F.concat(F.lit('<line><point x="0" y="'), (F.col("staff") * 100 + (k * 3) % 5 * 10).cast("string"), F.lit('"/><point x="9" y="1"/></line>')) for k in range(5)])
+    h = heads(spark, d).withColumn("el", F.concat_ws("", *parts)).withColumn("st", tag("staff", {"id": staff}, F.concat(F.lit("<lines>"), lines, F.lit("</lines>"))))
+    # One sheet is one page: its elements are few by the meaning of a page.
+    sheets = h.groupBy("doc_id", "page").agg(F.array_join(F.array_distinct(F.collect_list("st")), "").alias("staves"),
+                                             F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "el"))), lambda s: s["el"]), "").alias("inters"))
+    xml = F.concat(F.lit('<sheet><!-- <head id="none"/> --><page>'), "staves", F.lit("</page><sig>"), "inters", F.lit("</sig></sheet>"))
+    return books.book_pages(sheets.select("doc_id", "page", xml.alias("xml")).mapInArrow(_zipper(), "doc_id string, content binary"))
+
+
+def _zipper():
     """One small archive per page, so the reader has books to open."""
-    import io
-    import zipfile
-
-    import pandas as pd
-    for batch in batches:
-        rows = []
-        for doc_id, page, xml in zip(batch["doc_id"], batch["page"], batch["xml"]):
-            buffer = io.BytesIO()
-            with zipfile.ZipFile(buffer, "w") as z:
-                z.writestr(f"sheet#{page}/sheet#{page}.xml", f"<sheet><sig>{xml}</sig></sheet>")
-            rows.append((str(doc_id), buffer.getvalue()))
-        yield pd.DataFrame(rows, columns=["doc_id", "content"])
+
+    def zipped(batches):
+        import io
+        import zipfile
+
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for page, xml in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                buffer = io.BytesIO()
+                with zipfile.ZipFile(buffer, "w") as z:
+                    z.writestr("book.xml", "<book/>")
+                    z.writestr(f"sheet#{page}/sheet#{page}.xml", xml)
+                out.append(buffer.getvalue())
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array(out, pa.binary())], ["doc_id", "content"])
+
+    return zipped
+
+
+def _of_book(df, *cols):
+    return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), "page", *cols)
+
+
+@query("S06_book_clefs", with_ctes("heads") + """
+    SELECT doc_id, CAST(page AS INTEGER) AS page, CAST(staff AS INTEGER) AS staff, cx AS x, CASE WHEN pitch > 2 THEN 'G' WHEN pitch > -2 THEN 'F' ELSE 'ALTO' END AS value FROM heads WHERE seq % 7 = 0""")
+def _(spark, d):
+    return _of_book(books.clefs(_books(spark, d)), "staff", "x", "value")
+
+
+@query("S06_book_keys", with_ctes("heads") + """
+    , own AS (SELECT doc_id, page, staff, cx AS x, CAST(pitch % 7 AS INTEGER) AS value FROM heads WHERE seq % 5 = 0 AND staff = 1 AND pitch <= 3),
+    g AS (SELECT *, cx - lag(cx) OVER (PARTITION BY doc_id, page, staff ORDER BY cx, seq) AS step FROM heads h WHERE seq % 3 = 0
+          AND NOT EXISTS (SELECT 1 FROM own o WHERE o.doc_id = h.doc_id AND o.page = h.page AND o.staff = h.staff)),
+    r AS (SELECT *, count(*) FILTER (step IS NULL OR step > 30) OVER (PARTITION BY doc_id, page, staff ORDER BY cx, seq ROWS UNBOUNDED PRECEDING) AS n FROM g),
+    k AS (SELECT * FROM own UNION ALL SELECT doc_id, page, staff, min(cx), CAST(sum(CASE WHEN pitch % 2 = 0 THEN 1 ELSE -1 END) AS INTEGER) FROM r GROUP BY doc_id, page, staff, n)
+    SELECT doc_id, CAST(page AS INTEGER) AS page, CAST(staff AS INTEGER) AS staff, x, value FROM k""".replace("\n    , own", ", own"))
+def _(spark, d):
+    return _of_book(books.keys(_books(spark, d), 64.0), "staff", "x", "value")
+
+
+@query("S06_book_meters", with_ctes("heads") + """
+    , m AS (SELECT doc_id, page, staff, seq, cx, (pitch + 8) * 4 / 8 AS beats, coalesce((SELECT min((b.pitch + 7) / 16) FROM heads b WHERE b.doc_id = a.doc_id AND b.page = a.page AND b.staff = a.staff AND b.seq % 2 = 0
+        AND b.cx BETWEEN a.cx - 2 AND a.cx + 12), 0.5) AS grade FROM heads a WHERE seq % 4 = 0)
+    SELECT doc_id, CAST(page AS INTEGER) AS page, CAST(staff AS INTEGER) AS staff, cx AS x, CAST(beats AS DOUBLE) AS beats, CAST(grade AS DOUBLE) AS grade, grade < 0.4 AS low_confidence FROM m""".replace("\n    , m", ", m"))
+def _(spark, d):
+    return _of_book(books.meters(_books(spark, d)), "staff", "x", "beats", "grade", "low_confidence")
+
+
+@query("S06_book_lines", with_ctes("heads") + """
+    SELECT doc_id, CAST(page AS INTEGER) AS page, CAST(staff AS INTEGER) AS staff, CAST(staff * 100 AS DOUBLE) AS top, CAST(staff * 100 + 40 AS DOUBLE) AS bottom FROM heads GROUP BY 1, 2, 3, 4, 5""")
+def _(spark, d):
+    return _of_book(books.staff_lines(_books(spark, d)), "staff", F.col("line_ys")[0].alias("top"), F.col("line_ys")[4].alias("bottom"))
+
+
+@query("S06_book_relations", with_ctes("heads") + """
+    SELECT doc_id, CAST(page AS INTEGER) AS page, 'c&' || seq AS source, head_id AS target, CASE WHEN pitch > 0 THEN 'slur-head' ELSE 'containment' END AS kind, CASE WHEN pitch > 0 THEN 'RIGHT' END AS side FROM heads WHERE seq % 3 = 1""")
+def _(spark, d):
+    return _of_book(books.relations(_books(spark, d)), "source", "target", "kind", "side")
 
 
 def _log_lines(spark, d):

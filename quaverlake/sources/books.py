@@ -1,133 +1,137 @@
-"""S-06: recognition books, zip archives of one XML sheet per page, as element tables."""
+"""S-06: recognition books, zip archives of one XML sheet per page, as typed element tables."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ELEMENT_SCHEMA = ("doc_id string, page int, seq long, tag string, attrs map<string,string>, x double, y double, w double, h double, "
-                  "line_ys array<double>")
-#: Elements kept from a sheet; a relation carries its kind as an attribute.
-TAGS = ("head", "clef", "key", "key-alter", "alter", "time-number", "time-pair", "staff", "slur", "head-chord", "relation", "picture")
-
-#: Elements handed on at a time.
-FLUSH_ROWS = 20_000
-
-
-def _elements(batches: Iterator) -> Iterator:
-    """Unzip and list the elements of each page. A page is one XML file; nothing is kept between books."""
-    import io
-    import re
-    import xml.etree.ElementTree as ET
-    import zipfile
-
-    import pandas as pd
-
-    names = ["doc_id", "page", "seq", "tag", "attrs", "x", "y", "w", "h", "line_ys"]
-    rows: list[tuple] = []
-    for batch in batches:
-        for doc_id, content in zip(batch["doc_id"], batch["content"]):
-            with zipfile.ZipFile(io.BytesIO(content)) as book:
-                for name in book.namelist():
-                    page = re.fullmatch(r"sheet#(\d+)/sheet#\1\.xml", name)
-                    if not page:
-                        continue
-                    seq = 0
-                    for el in ET.fromstring(book.read(name)).iter():
-                        if el.tag not in TAGS:
-                            continue
-                        box = el.find("bounds")
-                        values = [float(box.get(k, "nan")) if box is not None else None for k in "xywh"]
-                        attrs = dict(el.attrib)
-                        if el.tag == "relation":
-                            for child in el:
-                                attrs["kind"] = child.tag
-                                attrs.update(child.attrib)
-                        ys = None
-                        if el.tag == "staff":
-                            ys = [float(line.find("point").get("y")) for line in el.findall("./lines/line")]
-                        rows.append((doc_id, int(page.group(1)), seq, el.tag, attrs, *values, ys))
-                        seq += 1
-            if len(rows) >= FLUSH_ROWS:
-                yield pd.DataFrame(rows, columns=names)
-                rows = []
-    if rows:
-        yield pd.DataFrame(rows, columns=names)
-
-
-def book_elements(books: DataFrame) -> DataFrame:
-    """S-06: one row per element of the books (``doc_id``, ``content``); pages a book left out give none."""
-    return books.select("doc_id", "content").mapInPandas(_elements, ELEMENT_SCHEMA)
-
-
-def read_book_elements(spark: SparkSession, path: str) -> DataFrame:
-    return book_elements(spark.read.format("binaryFile").load(path).select(F.col("path").alias("doc_id"), "content"))
-
-
-def _attr(name: str, kind: str = "string"):
-    return F.try_element_at("attrs", F.lit(name)).try_cast(kind)
-
-
-def heads(elements: DataFrame) -> DataFrame:
+from quaverlake.operators.geometry import confident, dedup_positions, weakest_inside
+from quaverlake.operators.segments import islands, previous
+
+_BOX = "bounds struct<_x: double, _y: double, _w: double, _h: double>"
+#: Elements of a sheet and what is read of them.
+ELEMENTS = {
+    "head": f"_id string, _staff int, _shape string, _pitch double, `_ctx-grade` double, _grade double, {_BOX}",
+    "clef": f"_staff int, _kind string, {_BOX}",
+    "key": f"_staff int, _fifths int, _grade double, {_BOX}",
+    "key-alter": f"_staff int, _shape string, _grade double, {_BOX}",
+    "alter": "_id string, _shape string",
+    "time-pair": f"_staff int, `_time-rational` string, _grade double, {_BOX}",
+    "time-number": f"_staff int, _grade double, {_BOX}",
+    "staff": "_id int, lines struct<line: array<struct<point: array<struct<_y: double>>>>>",
+    "slur": "_id string, _tie string",
+    "relation": "_source string, _target string",
+    "picture": "_width int, _height int",
+}
+
+
+def _unzip() -> Callable[[Iterator], Iterator]:
+    """A function of its own, so that executors need no package of ours to run it."""
+
+    def pages(batches: Iterator) -> Iterator:
+        import io
+        import re
+        import zipfile
+
+        import pyarrow as pa
+
+        for batch in batches:
+            for doc_id, content in zip(batch.column(0), batch.column(1)):
+                if not content.is_valid:
+                    continue
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as book:
+                    for name in book.namelist():
+                        page = re.fullmatch(r"sheet#(\d+)/sheet#\1\.xml", name)
+                        if page:  # one page at a time is open
+                            yield pa.RecordBatch.from_pydict({"doc_id": [doc_id.as_py()], "page": pa.array([int(page.group(1))], pa.int32()), "xml": [book.read(name).decode("utf-8")]})
+
+    return pages
+
+
+def book_pages(books: DataFrame) -> DataFrame:
+    """S-06: one row per page of the books (``doc_id``, ``content``): (doc_id, page, xml). Pages that a book left out give none.
+
+    Python only opens archives; pages are handed on one by one, and all reading of XML is the JVM's.
+    """
+    return books.select(F.col("doc_id").cast("string").alias("doc_id"), "content").mapInArrow(_unzip(), "doc_id string, page int, xml string")
+
+
+def read_book_pages(spark: SparkSession, path: str) -> DataFrame:
+    return book_pages(spark.read.format("binaryFile").load(path).select(F.col("path").alias("doc_id"), "content"))
+
+
+def elements(pages: DataFrame, tag: str) -> DataFrame:
+    """The elements of one kind, at any depth: doc_id, page, seq (their order on the page), xml and the parsed ``e``. Elements of a kind don't nest."""
+    bare = F.regexp_replace("xml", r"(?s)<!--.*?-->", "")
+    found = F.regexp_extract_all(bare, F.lit(rf'(?s)<{tag}(?=[\s/>])(?:[^>"/]++|"[^"]*+"|/(?!>))*+(?:/>|>.*?</{tag}\s*>)'), F.lit(0))
+    return pages.select("doc_id", "page", F.posexplode(found).alias("seq", "xml")).select("doc_id", "page", F.col("seq").cast("bigint").alias("seq"), "xml", F.from_xml("xml", ELEMENTS[tag]).alias("e"))
+
+
+def _boxed(pages: DataFrame, tag: str) -> DataFrame:
+    e = elements(pages, tag).filter(F.col("e.bounds").isNotNull())
+    return e.select("doc_id", "page", "seq", F.col("e._staff").alias("staff") if tag != "staff" else F.lit(None), *[F.col(f"e.bounds._{c}").alias(c) for c in "xywh"], "e")
+
+
+def heads(pages: DataFrame) -> DataFrame:
     """Detected heads with a box, one per rounded position; a fractional pitch takes the nearest step."""
-    from quaverlake.operators.geometry import dedup_positions
-    h = elements.filter((F.col("tag") == "head") & F.col("x").isNotNull()).select(
-        "doc_id", "page", "seq", _attr("staff", "int").alias("staff"), _attr("id").alias("head_id"), _attr("shape").alias("shape"),
-        F.rint(_attr("pitch", "double")).cast("int").alias("pitch"),
-        F.coalesce(_attr("ctx-grade", "double"), _attr("grade", "double"), F.lit(0.0)).alias("confidence"), "x", "y", "w", "h")
+    h = _boxed(pages, "head").select(
+        "doc_id", "page", "seq", "staff", F.col("e._id").alias("head_id"), F.col("e._shape").alias("shape"), F.rint("e._pitch").cast("int").alias("pitch"),
+        F.coalesce(F.col("e.`_ctx-grade`"), F.col("e._grade"), F.lit(0.0)).alias("confidence"), "x", "y", "w", "h")
     kept = dedup_positions(h, ["doc_id", "page", "staff"], "seq")
     return kept.withColumn("cx", F.col("x") + F.col("w") / 2).withColumn("cy", F.col("y") + F.col("h") / 2)
 
 
-def staff_lines(elements: DataFrame) -> DataFrame:
+def staff_lines(pages: DataFrame) -> DataFrame:
     """The line positions of staves with five lines, sorted."""
-    return elements.filter((F.col("tag") == "staff") & (F.size("line_ys") == 5)).select(
-        "doc_id", "page", _attr("id", "int").alias("staff"), F.array_sort("line_ys").alias("line_ys"))
+    ys = F.transform("e.lines.line", lambda line: line["point"][0]["_y"])
+    return elements(pages, "staff").select("doc_id", "page", F.col("e._id").alias("staff"), F.array_sort(ys).alias("line_ys")).filter(F.size("line_ys") == 5)
 
 
-def clefs(elements: DataFrame) -> DataFrame:
-    kind = _attr("kind")
-    return elements.filter((F.col("tag") == "clef") & F.col("x").isNotNull()).select(
-        "doc_id", "page", _attr("staff", "int").alias("staff"), "x", "seq",
-        F.when(kind == "TREBLE", "G").when(kind == "BASS", "F").otherwise(kind).alias("value")).filter("value is not null and staff is not null")
+def clefs(pages: DataFrame) -> DataFrame:
+    """Clefs by the letter of their sign, other kinds by their own name."""
+    kind = F.col("e._kind")
+    return _boxed(pages, "clef").select("doc_id", "page", "staff", "x", "seq", F.when(kind == "TREBLE", "G").when(kind == "BASS", "F").otherwise(kind).alias("value")).filter(
+        "value is not null and staff is not null")
 
 
-def keys(elements: DataFrame) -> DataFrame:
-    """Key events of enough confidence (P-16); staves without one get theirs from groups of key glyphs."""
-    from quaverlake.operators.geometry import confident
-    from quaverlake.operators.segments import islands, previous
-    rows = elements.filter(F.col("x").isNotNull()).withColumn("grade", _attr("grade", "double")).withColumn("staff", _attr("staff", "int"))
-    rows = confident(rows).filter("staff is not null")
-    own = rows.filter((F.col("tag") == "key") & _attr("fifths", "int").isNotNull()).select(
-        "doc_id", "page", "staff", "x", "seq", _attr("fifths", "int").alias("value"))
+def keys(pages: DataFrame, chunk_width: float | None = None) -> DataFrame:
+    """Key events of enough confidence (P-16); staves without one get theirs from groups of key glyphs. ``chunk_width`` cuts long staves."""
     line = ["doc_id", "page", "staff"]
-    glyph = (rows.filter(F.col("tag") == "key-alter").select(*line, "x", F.coalesce("w", F.lit(10.0)).alias("w"), "seq", _attr("shape").alias("shape"))
-             .join(own.select(*line).distinct(), line, "left_anti"))
-    glyph = previous(glyph, line, ["x", "seq"], {"__px": "x", "__pw": "w"})
+    own, glyphs = (confident(_boxed(pages, tag).withColumn("grade", F.col("e._grade"))).filter("staff is not null") for tag in ("key", "key-alter"))
+    own = own.filter("e._fifths is not null").select(*line, "x", "seq", F.col("e._fifths").alias("value"))
+    glyph = glyphs.select(*line, "x", F.coalesce("w", F.lit(10.0)).alias("w"), "seq", F.col("e._shape").alias("shape")).join(own.select(*line).distinct(), line, "left_anti")
+    chunk: Column | None = None if chunk_width is None else F.floor(F.col("x") / chunk_width).cast("bigint")
+    glyph = previous(glyph, line, ["x", "seq"], {"__px": "x", "__pw": "w"}, chunk)
     fresh = F.col("__px").isNull() | (F.col("x") - F.col("__px") > 3 * F.greatest("w", "__pw"))
-    grouped = islands(glyph, line, ["x", "seq"], fresh, "__g").groupBy(*line, "__g").agg(
-        F.min("x").alias("x"), F.min("seq").alias("seq"),
-        F.sum(F.when(F.col("shape") == "SHARP", 1).when(F.col("shape") == "FLAT", -1).otherwise(0)).cast("int").alias("value"))
+    grouped = islands(glyph, line, ["x", "seq"], fresh, "__g", chunk).groupBy(*line, "__g").agg(
+        F.min("x").alias("x"), F.min("seq").alias("seq"), F.sum(F.when(F.col("shape") == "SHARP", 1).when(F.col("shape") == "FLAT", -1).otherwise(0)).cast("int").alias("value"))
     return own.unionByName(grouped.select(*line, "x", "seq", "value"))
 
 
-def meters(elements: DataFrame) -> DataFrame:
+def meters(pages: DataFrame) -> DataFrame:
     """Recognised meters with the grade of their weakest digit (J-17)."""
-    from quaverlake.operators.geometry import weakest_inside
     line = ["doc_id", "page", "staff"]
-    parts = F.split(_attr("time-rational"), "/")
+    parts = F.split("e.`_time-rational`", "/")
     num, den = F.get(parts, F.lit(0)).try_cast("int"), F.get(parts, F.lit(1)).try_cast("int")
-    rows = elements.filter(F.col("x").isNotNull()).withColumn("staff", _attr("staff", "int")).filter("staff is not null")
-    pairs = rows.filter((F.col("tag") == "time-pair") & (den > 0) & num.isNotNull()).select(
-        *line, F.col("seq").alias("pair_id"), "x", F.coalesce("w", F.lit(0.0)).alias("w"), _attr("grade", "double").alias("grade"), (num * 4 / den).alias("beats"))
-    digits = rows.filter((F.col("tag") == "time-number") & _attr("grade", "double").isNotNull()).select(
-        *line, F.col("x").alias("dx"), _attr("grade", "double").alias("digit_grade"))
+    pairs = _boxed(pages, "time-pair").filter((den > 0) & num.isNotNull() & F.col("staff").isNotNull()).select(
+        *line, F.col("seq").alias("pair_id"), "x", F.coalesce("w", F.lit(0.0)).alias("w"), F.col("e._grade").alias("grade"), (num * 4 / den).alias("beats"))
+    digits = _boxed(pages, "time-number").filter("e._grade is not null and staff is not null").select(*line, F.col("x").alias("dx"), F.col("e._grade").alias("digit_grade"))
     return weakest_inside(pairs, digits, line)
 
 
-def relations(elements: DataFrame) -> DataFrame:
-    """Relation edges: source, target, kind, side."""
-    return elements.filter(F.col("tag") == "relation").select(
-        "doc_id", "page", "seq", _attr("source").alias("source"), _attr("target").alias("target"), _attr("kind").alias("kind"), _attr("side").alias("side"))
+def relations(pages: DataFrame) -> DataFrame:
+    """Relation edges: source, target, kind (the element inside) and its side."""
+    def inside(path: str) -> Column:
+        return F.nullif(F.xpath_string("xml", F.lit(path)), F.lit(""))
+
+    return elements(pages, "relation").select("doc_id", "page", "seq", F.col("e._source").alias("source"), F.col("e._target").alias("target"),
+                                              inside("name(/relation/*[last()])").alias("kind"), inside("/relation/*[last()]/@side").alias("side"))
+
+
+def tie_stop_heads(pages: DataFrame) -> DataFrame:
+    """Heads that a tie leads to: the right ends of slurs that are ties."""
+    ties = elements(pages, "slur").filter("e._tie = 'true'").select("doc_id", "page", F.col("e._id").alias("source"))
+    ends = relations(pages).filter("kind = 'slur-head' AND side = 'RIGHT'")
+    return ends.join(ties, ["doc_id", "page", "source"], "left_semi").select("doc_id", "page", F.col("target").alias("head_id")).distinct()

@@ -36,7 +36,6 @@ TEXT_NOTE = "struct<id: string, page: double, x: double, y: double, text: string
 STROKE = "struct<id: string, page: double, tool: string, color: string, width: double, points: array<double>>"
 CORRECTION = "struct<midi: double, hand: string, offset: double, duration: double>"
 COLOR = "(?i)^#[0-9a-f]{6}$"
-TEXT_LIMIT = 40
 
 REPORT = "struct<session_id: string, job_id: string, surface: string, platform: string, seconds: int, playing_seconds: int, events: map<string, int>>"
 REPORT_FIELDS = ("session_id", "job_id", "surface", "platform", "seconds", "playing_seconds", "events")
@@ -118,7 +117,7 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 # --- S-05 reader edits ---------------------------------------------------------------------------
 
-def parse_edits(docs: DataFrame, text: str = "text") -> DataFrame:
+def parse_edits(docs: DataFrame, text_limit: int, text: str = "text") -> DataFrame:
     """S-05: ``labels``, ``texts``, ``strokes``, ``corrections`` of edit documents, each malformed entry dropped alone."""
     d = docs.withColumn("__d", F.from_json(F.col(text), EDITS))
 
@@ -127,7 +126,7 @@ def parse_edits(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def label(_, raw: Column) -> Column:
         e = F.from_json(raw, LABEL_EDIT)
-        return F.struct(e["dx"].alias("dx"), e["dy"].alias("dy"), F.substring(e["text"], 1, TEXT_LIMIT).alias("text"),
+        return F.struct(e["dx"].alias("dx"), e["dy"].alias("dy"), F.substring(e["text"], 1, text_limit).alias("text"),
                         F.when(e["hidden"], True).alias("hidden"), F.when(color(e["color"]), e["color"]).alias("color"))
 
     def any_set(_, e: Column) -> Column:
@@ -146,8 +145,8 @@ def parse_edits(docs: DataFrame, text: str = "text") -> DataFrame:
     return d.withColumns({"labels": labels, "texts": texts, "strokes": strokes, "corrections": fixes}).drop("__d")
 
 
-def read_edits(spark: SparkSession, path: str) -> DataFrame:
-    return parse_edits(_texts(spark, path))
+def read_edits(spark: SparkSession, path: str, text_limit: int) -> DataFrame:
+    return parse_edits(_texts(spark, path), text_limit)
 
 
 # --- S-07 job log --------------------------------------------------------------------------------

@@ -1,12 +1,14 @@
 """Product analytics on small tables with known answers."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from quaverlake.operators import accounts as A
 from quaverlake.operators import engagement as E
 from quaverlake.operators import quality as Q
 from quaverlake.operators import uploads as U
-from quaverlake.operators.ranks import paginate
+from quaverlake.operators.ranks import paginate, rank_slice
 from quaverlake.streaming import usage as US
 
 NOW = 1_700_000_000
@@ -47,10 +49,25 @@ def test_report_validation(spark):
 
 def test_paging_clamps(spark):
     df = spark.range(5)
-    page = paginate(df, [F.col("id").desc()], 9, 2).collect()
+    page = paginate(df, [(F.col("id"), False)], 9, 2, 200).collect()
     assert [(r.id, r.page, r.pages, r.total) for r in page] == [(0, 3, 3, 5)]
 
 
+def test_deep_pages_are_found_by_counts(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([None, *range(40)]), rng.choice([None, *"abcdefgh"]), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a int, b string, i int").repartition(4).cache()
+    for ups in ((True, False, True), (False, True, False), (True, True, True)):
+        order = [(F.col(c), up) for c, up in zip("abi", ups)]
+        want = [r.i for r in df.orderBy(*[F.col(c).asc_nulls_first() if up else F.col(c).desc_nulls_last() for c, up in zip("abi", ups)]).collect()]
+        for first, last in ((0, 50), (1480, 1500), (2990, 3000), (7, 2000)):
+            got = rank_slice(df, order, first, last, 3000, splits=5, enough=60)
+            assert [r.i for r in got.collect()] == want[first:last]
+    # Rows that are all alike can't be cut.
+    alike = spark.createDataFrame([(1, "x")] * 500, "a int, b string")
+    assert rank_slice(alike, [(F.col("a"), True), (F.col("b"), False)], 480, 490, 500, splits=4, enough=10).count() == 10
+
+
 def test_job_outcomes(spark):
     rows = [("1", "done", 100, 160, 170, None, ["odd"]), ("2", "done", 100, None, 190, None, []), ("3", "done", 100, None, 190, 185, None), ("4", "failed", 100, 130, 130, None, None)]
     df = spark.createDataFrame(rows, "job_id string, status string, queued_at long, finished_at long, updated_at long, republished_at long, review_reasons array<string>")
@@ -60,9 +77,9 @@ def test_job_outcomes(spark):
 
 def test_signups_move_with_the_calendar(spark):
     acc = spark.createDataFrame([("a", NOW - 3 * DAY, "web"), ("b", NOW, "fax"), ("c", None, "ios")], "user_id string, created_at long, signup_platform string")
-    days = A.signups(acc, NOW, 60).collect()
+    days = A.signups(acc, NOW, 60, 0, 3660).collect()
     assert len(days) == 60 and sum(d["count"] for d in days) == 2 and days[-1].unknown == 1 and days[-4].web == 1
-    assert A.signups(acc, NOW, 60, 840).collect()[-1].date > days[-1].date
+    assert A.signups(acc, NOW, 60, 840, 3660).collect()[-1].date > days[-1].date
 
 
 def test_quality_reasons(spark):

@@ -238,3 +238,15 @@ def test_strikes_keep_their_own_start(spark):
                                   "d int, part int, midi int, start_beat double, key_duration double, velocity int, voice string, source_id string")
     r = P.collapse_strikes(notes, ["d"]).first()
     assert (r.start_beat, r.duration, r.velocity, r.source_id, r.strikes) == (1.0000001, 2.0, 70, "a", 2)
+
+
+@pytest.mark.parametrize("width", [None, 5.0])
+@pytest.mark.parametrize("kind", ["bigint", "double"])
+def test_covering_sum_equals_all_pairs(spark, rng, width, kind):
+    number = int if kind == "bigint" else (lambda x: x / 8)
+    points = [(rng.choice("pq"), i, rng.choice([None, *map(float, range(30))]), "kept") for i in range(120)] + [("p", 1, 4.0, "kept")] * 2
+    spans = [(rng.choice("pqr"), a, a + rng.randrange(-2, 12), rng.choice([None, *map(number, range(-5, 9))])) for a in (float(rng.randrange(30)) for _ in range(150))]
+    spans += [("p", 0.0, 29.0, number(3))] * 40  # a third of them on one stretch
+    got = G.covering_sum(spark.createDataFrame(points, "page string, id int, x double, note string"), spark.createDataFrame(spans, f"page string, left double, right double, amount {kind}"), ["page"], chunk_width=width)
+    want = [(*p, number(0) + sum(a or 0 for g, l, r, a in spans if g == p[0] and p[2] is not None and l <= p[2] <= r)) for p in points]
+    assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, ((g, i, None if x is None else float(x), n, s) for g, i, x, n, s in want)))
