@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -142,7 +142,7 @@ class Encoder:
     English words). The ids of a text are those of its chunks in order. A text that holds the name of a special token is encoded whole.
     """
 
-    def __init__(self, path: str, memory: int = 250_000):
+    def __init__(self, path: str, memory: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
@@ -151,42 +151,46 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.slot: dict[int, int] = {}
-        self.flat = np.zeros(1 << 16, np.int32)
-        self.begin = np.zeros((1 << 14) + 1, np.int64)
-
-    def _learn(self, names: list[int], chunks: list[str]) -> None:
-        have = len(self.slot)
+        #: Names of known chunks, ascending, and the slot of each: 12 bytes a chunk.
+        self.names, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.flat = np.zeros(1 << 16, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.int32)
+        self.begin = np.zeros((1 << 14) + 1, np.int32)
+
+    def _learn(self, names: np.ndarray, chunks: list[str]) -> None:
+        """``names`` ascending, none of them known."""
+        have = len(self.slots)
         got = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
         sizes = np.fromiter(map(len, got), np.int64, len(got))
         end = self.begin[have] + np.cumsum(sizes)
-        while len(self.begin) <= have + len(got):
-            self.begin = np.concatenate([self.begin, np.zeros(len(self.begin), np.int64)])
-        while len(self.flat) < end[-1]:
-            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.int32)])
-        self.flat[self.begin[have]:end[-1]] = np.fromiter((i for ids in got for i in ids), np.int32, int(sizes.sum()))
+        if len(self.begin) <= have + len(got):
+            self.begin = np.concatenate([self.begin, np.zeros(max(len(self.begin) // 2, len(got)), np.int32)])
+        if len(self.flat) < end[-1]:
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat) // 2, int(sizes.sum())), self.flat.dtype)])
+        self.flat[self.begin[have]:end[-1]] = np.fromiter((i for ids in got for i in ids), self.flat.dtype, int(sizes.sum()))
         self.begin[have + 1:have + 1 + len(got)] = end
-        self.slot.update(zip(names, range(have, have + len(got)), strict=True))
+        at = np.searchsorted(self.names, names)
+        self.names = np.insert(self.names, at, names)
+        self.slots = np.insert(self.slots, at, np.arange(have, have + len(got), dtype=np.int32))
 
     def slice_ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, where each row's ids begin, with the end last)."""
         starts, ends = words.chunk_spans(data, offsets)
         names = words.Rolling(data).names(starts, ends)
         unique, first, where = np.unique(names, return_index=True, return_inverse=True)
-        if len(self.slot) + len(unique) > self.memory:
+        if len(self.names) + len(unique) > self.memory:
             self._forget()
-        listed = unique.tolist()
-        slots = np.fromiter((self.slot.get(x, -1) for x in listed), np.int64, len(listed))
-        new = np.flatnonzero(slots < 0)
-        if len(new):
-            raw = data.tobytes()
-            at = first[new]
-            self._learn([listed[i] for i in new], [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-            slots[new] = np.arange(len(self.slot) - len(new), len(self.slot))
-        slot = slots[where]
+        at = np.searchsorted(self.names, unique)
+        known = np.zeros(len(unique), bool)
+        inside = at < len(self.names)
+        known[inside] = self.names[at[inside]] == unique[inside]
+        if not known.all():
+            raw, new = data.tobytes(), first[~known]
+            self._learn(unique[~known], [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+            at = np.searchsorted(self.names, unique)
+        slot = self.slots[at][where]
         sizes = self.begin[slot + 1] - self.begin[slot]
-        out = np.concatenate(([0], np.cumsum(sizes)))
-        ids = self.flat[np.arange(out[-1]) + np.repeat(self.begin[slot] - out[:-1], sizes)]
+        out = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+        ids = self.flat[np.arange(out[-1]) + np.repeat(self.begin[slot] - out[:-1], sizes)].astype(np.int32)
         return ids, out[np.searchsorted(starts, offsets)]
 
     def rows(self, column: pa.Array) -> Iterator[np.ndarray]:
@@ -288,5 +292,3 @@ def pack_tokens(examples: DataFrame, *, id_col: str, ids_col: str, loss_col: str
 
     return map_batches(examples, columns, work, PACKED.format(id=f"`{id_col}`", kind="string"))
 
-
-Pack = Callable[..., DataFrame]
