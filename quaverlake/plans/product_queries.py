@@ -515,7 +515,8 @@ def _(spark, d):
 
 # --- ordering, paging, sets ------------------------------------------------------------------------
 
-_NEWEST = [(F.coalesce("created_at", F.lit(0)), False), (F.col("job_id"), True)]
+def _newest():
+    return [(F.coalesce("created_at", F.lit(0)), False), (F.col("job_id"), True)]
 
 
 @query("W01_paginate", with_ctes("job_heads") + """
@@ -524,7 +525,7 @@ _NEWEST = [(F.coalesce("created_at", F.lit(0)), False), (F.col("job_id"), True)]
     FROM job_heads ORDER BY created_at DESC, job_id OFFSET 100 LIMIT 50""")
 def _(spark, d):
     jobs = B.job_heads(spark, d).select("job_id", "created_at")
-    return R.paginate(jobs, _NEWEST, 3, 50, 200)
+    return R.paginate(jobs, _newest(), 3, 50, 200)
 
 
 @query("W01_deep_page", with_ctes("job_heads") + """
@@ -534,7 +535,7 @@ def _(spark, d):
 def _(spark, d):
     jobs = B.job_heads(spark, d).select("job_id", "created_at")
     pages = -(-jobs.count() // 50)
-    return R.paginate(jobs, _NEWEST, pages - 1, 50, 200)
+    return R.paginate(jobs, _newest(), pages - 1, 50, 200)
 
 
 @query("W02_top_n_per_key", with_ctes("sessions") + """
