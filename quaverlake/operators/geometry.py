@@ -301,7 +301,7 @@ def discount_text_marks(marks: DataFrame, words: DataFrame, staves: DataFrame, k
 def carry_direction(marks: DataFrame, keys: Sequence[str], chunk: Column | None = None) -> DataFrame:
     """W-23: fill unknown directions of octave marks from their neighbours in reading order.
 
-    ``marks``: y, x, direction (NULL unknown), sign (what the staff says, NULL unknown), ``one_line``
+    ``marks``: y, x, direction (NULL unknown), sign (what the staff says, NULL where none is in reach), ``one_line``
     (has exactly one line), ``at_edge`` (that line reaches the right edge), ``label_at_edge``. A mark
     whose line runs off its system takes the direction of the mark that continues it further
     left; otherwise the last mark's sign carries on while it reached the right edge.
@@ -319,9 +319,10 @@ def carry_direction(marks: DataFrame, keys: Sequence[str], chunk: Column | None
     back = (runs.join(ends, [*keys, "__run"], "left").withColumn("direction", F.coalesce("direction", "__rd"))
             .drop("__rd", "__run", "__pt", "__takes", "__nx", "__nd"))
     # Forwards: what the mark before hands on. A mark of unknown direction that reaches the edge
-    # hands on what it was given, else its own sign; any other mark sets or clears the state.
+    # hands on what it was given, else its own sign; any other mark sets or clears the state. A line
+    # that belongs to no staff clears it.
     reaches = (F.col("one_line") & F.col("at_edge")) | (~F.col("one_line") & F.col("label_at_edge"))
-    passing = F.coalesce(F.col("direction").isNull() & reaches, F.lit(False))
+    passing = F.coalesce(F.col("direction").isNull() & reaches & (~F.col("one_line") | F.col("sign").isNotNull()), F.lit(False))
     sets = F.when(reaches, F.when(F.col("one_line"), F.col("sign")).otherwise(F.col("direction")))
     rows = back.withColumn("__pass", passing).withColumn("__set", F.when(~passing, F.struct(sets.alias("v"))))
     rows = islands(rows, keys, order, ~F.col("__pass"), "__seg", chunk)

@@ -295,11 +295,19 @@ def _(spark, d):
     return X.gap_islands(p, PAGE, "x", 3.0, "island", ["point_id"], X.chunk_of("x", 50)).select("point_id", "page", "island")
 
 
-@query("W23_carry_direction")
+@query("W23_carry_direction", with_ctes("points").replace("WITH", "WITH RECURSIVE", 1) + """
+    , m AS (SELECT page, point_id, x, CASE pitch % 3 WHEN 0 THEN 1 WHEN 1 THEN -1 END AS dir, CASE WHEN point_id % 6 = 5 THEN NULL WHEN y2 > 300 THEN 1 ELSE -1 END AS sign, point_id % 4 <> 0 AS one, x2 > 300 AS edge,
+        x > 320 AS label, row_number() OVER (PARTITION BY page ORDER BY y, x) AS n, count(*) OVER (PARTITION BY page) AS c FROM points),
+    b AS (SELECT page, n, x, dir FROM m WHERE n = c
+      UNION ALL SELECT m.page, m.n, m.x, CASE WHEN m.dir IS NULL AND m.one AND m.edge AND b.x < m.x THEN b.dir ELSE m.dir END FROM b JOIN m ON m.page = b.page AND m.n = b.n - 1),
+    f AS (SELECT page, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS point_id, CAST(NULL AS INTEGER) AS dir, CAST(NULL AS INTEGER) AS carried FROM m WHERE n = 1
+      UNION ALL SELECT page, n, point_id, dir, CASE WHEN NOT one THEN CASE WHEN label THEN dir END WHEN edge AND sign IS NOT NULL THEN CASE WHEN own THEN sign ELSE coalesce(dir, sign) END END
+      FROM (SELECT m.page, m.n, m.point_id, m.one, m.edge, m.label, m.sign, b.dir IS NOT NULL AS own, coalesce(b.dir, f.carried) AS dir FROM f JOIN m ON m.page = f.page AND m.n = f.n + 1 JOIN b ON b.page = m.page AND b.n = m.n))
+    SELECT point_id, page, dir AS direction FROM f WHERE n > 0""".replace("\n    , m AS", ", m AS"))
 def _(spark, d):
     p = B.points(spark, d)
     known = F.when(F.col("pitch") % 3 == 0, 1).when(F.col("pitch") % 3 == 1, -1)
-    marks = p.select("page", "point_id", "y", "x", known.alias("direction"), F.when(F.col("y2") > 300, 1).otherwise(-1).alias("sign"),
+    marks = p.select("page", "point_id", "y", "x", known.alias("direction"), F.when(F.col("point_id") % 6 == 5, None).when(F.col("y2") > 300, 1).otherwise(-1).alias("sign"),
                      (F.col("point_id") % 4 != 0).alias("one_line"), (F.col("x2") > 300).alias("at_edge"),
                      (F.col("x") > 320).alias("label_at_edge"))
     return G.carry_direction(marks, PAGE, X.chunk_of("y", 60)).select("point_id", "page", "direction")

@@ -57,7 +57,8 @@ def test_carry_direction(spark):
         (0.0, 5.0, 1, 1, True, True, False, 1), (1.0, 5.0, None, -1, True, True, False, 1), (2.0, 5.0, None, 1, True, False, False, 1),
         (3.0, 5.0, None, -1, True, True, False, None), (4.0, 5.0, None, 1, False, True, True, -1), (5.0, 5.0, None, 1, False, True, False, -1),
         (6.0, 5.0, None, 1, True, False, False, None), (7.0, 9.0, None, 1, True, True, False, -1), (8.0, 1.0, -1, 1, True, False, False, -1),
-        (9.0, 1.0, None, 1, True, False, False, None)]
+        (9.0, 1.0, None, 1, True, False, False, None), (10.0, 5.0, 1, 1, True, True, False, 1), (11.0, 5.0, None, None, True, True, False, 1),  # a line of no staff clears
+        (12.0, 5.0, None, 1, True, False, False, None)]
     df = spark.createDataFrame([(0, *m[:7]) for m in marks], "page int, y double, x double, direction int, sign int, one_line boolean, at_edge boolean, label_at_edge boolean")
     for chunk in (None, X.chunk_of("y", 3)):
         assert [r.direction for r in G.carry_direction(df, ["page"], chunk).orderBy("y", "x").collect()] == [m[7] for m in marks]
