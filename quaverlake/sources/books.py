@@ -71,7 +71,7 @@ def elements(pages: DataFrame, tag: str) -> DataFrame:
 
 def _boxed(pages: DataFrame, tag: str) -> DataFrame:
     e = elements(pages, tag).filter(F.col("e.bounds").isNotNull())
-    return e.select("doc_id", "page", "seq", F.col("e._staff").alias("staff") if tag != "staff" else F.lit(None), *[F.col(f"e.bounds._{c}").alias(c) for c in "xywh"], "e")
+    return e.select("doc_id", "page", "seq", F.col("e._staff").alias("staff"), *[F.col(f"e.bounds._{c}").alias(c) for c in "xywh"], "e")
 
 
 def heads(pages: DataFrame) -> DataFrame:
@@ -128,10 +128,3 @@ def relations(pages: DataFrame) -> DataFrame:
 
     return elements(pages, "relation").select("doc_id", "page", "seq", F.col("e._source").alias("source"), F.col("e._target").alias("target"),
                                               inside("name(/relation/*[last()])").alias("kind"), inside("/relation/*[last()]/@side").alias("side"))
-
-
-def tie_stop_heads(pages: DataFrame) -> DataFrame:
-    """Heads that a tie leads to: the right ends of slurs that are ties."""
-    ties = elements(pages, "slur").filter("e._tie = 'true'").select("doc_id", "page", F.col("e._id").alias("source"))
-    ends = relations(pages).filter("kind = 'slur-head' AND side = 'RIGHT'")
-    return ends.join(ties, ["doc_id", "page", "source"], "left_semi").select("doc_id", "page", F.col("target").alias("head_id")).distinct()
