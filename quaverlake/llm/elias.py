@@ -71,11 +71,8 @@ class Monotone:
         place = word * 64 + _select(self.high[word], i - self._ones[word])
         return (place - i) << self.width | self._low(i)
 
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """The first place of each number, or -1: the successor search within its bucket of high bits."""
-        out = np.full(len(x), -1, np.int64)
-        if not self.n:
-            return out
+    def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(which numbers lie below the top, first place not below each in its bucket of high bits, end of the bucket, low bits of each)."""
         upper = x >> self.width
         last = len(self.high) * 64 - self.n - 1  # zeros there are at least
         inside = np.flatnonzero((x >= 0) & (upper <= min(last, self._top())))
@@ -86,14 +83,28 @@ class Monotone:
         while True:
             open_ = np.flatnonzero(low < high)
             if not len(open_):
-                break
+                return inside, low, end, rest
             middle = (low[open_] + high[open_]) >> 1
             less = self._low(middle) < rest[open_]
             low[open_] = np.where(less, middle + 1, low[open_])
             high[open_] = np.where(less, high[open_], middle)
-        hit = np.flatnonzero(low < end)
-        hit = hit[self._low(low[hit]) == rest[hit]]
-        out[inside[hit]] = low[hit]
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """The first place of each number, or -1."""
+        out = np.full(len(x), -1, np.int64)
+        if self.n:
+            inside, low, end, rest = self._search(x)
+            hit = np.flatnonzero(low < end)
+            hit = hit[self._low(low[hit]) == rest[hit]]
+            out[inside[hit]] = low[hit]
+        return out
+
+    def lower(self, x: np.ndarray) -> np.ndarray:
+        """The first place whose number is not below each of ``x``; ``n`` where all are."""
+        out = np.where(x < 0, 0, self.n)
+        if self.n:
+            inside, low, _, _ = self._search(x)
+            out[inside] = low
         return out
 
     def _top(self) -> int:

@@ -5,10 +5,12 @@ the pair (u, v) and r the place of w among the successors of v: the successor se
 sorted numbers, cumulated counts and pointers to first successors as monotone sequences, and quantised probabilities and back-off factors.
 
 Probabilities are interpolated with absolute discounts: a pair has ``(c - D) / c(u) + b(u) P(v)``, a triple the like over pairs. Words have
-``(c + 0.1) / (N + 0.1 (V + 1))``. Pairs and triples of one occurrence have no entry; their share is in the back-off factor, so the
-probabilities of a context add up to one but for the quantisation (a 4096th of a decade).
+``(c + 0.1) / (N + 0.1 (V + 1))``. The probabilities of a context add up to one but for the quantisation (a 4096th of a decade).
 
 The files lie in the shared folder in shards of bounded size, each written by one task; scoring tasks map them and touch what they look up.
+A level costs one shuffle. Its numbers go to shards by where their occurrences would lie if they were sorted: the cumulated count of the context,
+plus the successor's share of it. That grows with the number, so shards follow each other, and a frequent context takes as many as it needs. What
+a task has counted crosses the shuffle as packed blocks. Pointers, back-off factors and probabilities are then looked up in the mapped files.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaverlake.llm import words
@@ -26,7 +28,7 @@ from quaverlake.llm.elias import Monotone, map_arrays, write_arrays
 from quaverlake.llm.tables import map_batches, shared_path, written
 from quaverlake.session import ship_package
 
-#: Entries of one file.
+#: Words of a file, and occurrences behind a file of pairs or triples, about.
 SHARD = 1 << 20
 #: Steps of a decade in a quantised logarithm.
 STEPS = 4096
@@ -35,10 +37,9 @@ END = words.mix(np.array([0xE0D], np.uint64))[0]
 
 @dataclass(frozen=True)
 class Level:
-    """A level's files: their common name, and the first number of each."""
+    """The common name of a level's files; ``index`` there holds the first number, place and cumulated count of each, and its own name."""
 
     path: str
-    firsts: np.ndarray
 
 
 @dataclass(frozen=True)
@@ -70,62 +71,93 @@ class Reader:
 
     def __init__(self, level: Level):
         self.level = level
+        index = _file(f"{level.path}/index")
+        self.firsts, self.places, self.sums, self.names = (index[k] for k in ("firsts", "places", "sums", "names"))
+        self.entries = int(index["entries"][0])
         self.open: dict[tuple[str, int, str], Monotone] = {}
 
+    def _arrays(self, kind: str, shard: int) -> dict[str, np.ndarray]:
+        return _file(f"{self.level.path}/{kind}-{self.names[shard]}")
+
     def _part(self, kind: str, shard: int, name: str) -> Monotone:
         key = (kind, shard, name)
         if key not in self.open:
-            self.open[key] = Monotone.mapped(_file(f"{self.level.path}/{kind}-{shard}"), name)
+            self.open[key] = Monotone.mapped(self._arrays(kind, shard), name)
         return self.open[key]
 
-    def _by_shard(self, shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    def _by_shard(self, starts: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(shard, which of ``keys``), without those before the first shard."""
+        shard = np.searchsorted(starts, keys, "right") - 1
         order = np.argsort(shard, kind="stable")
         cuts = np.flatnonzero(np.diff(shard[order])) + 1
         for group in np.split(order, cuts):
-            if len(group):
+            if len(group) and shard[group[0]] >= 0:
                 yield int(shard[group[0]]), group
 
     def find(self, numbers: np.ndarray) -> np.ndarray:
         """The place of each number, or -1."""
         out = np.full(len(numbers), -1, np.int64)
-        if len(self.level.firsts):
-            shard = np.searchsorted(self.level.firsts, numbers, "right") - 1
-            for s, at in self._by_shard(shard):
-                if s >= 0:
-                    got = self._part("entries", s, "numbers").find(numbers[at] - self.level.firsts[s])
-                    out[at] = np.where(got < 0, -1, got + s * SHARD)
+        for s, at in self._by_shard(self.firsts, numbers):
+            got = self._part("entries", s, "numbers").find(numbers[at] - self.firsts[s])
+            out[at] = np.where(got < 0, -1, got + self.places[s])
+        return out
+
+    def lower(self, numbers: np.ndarray) -> np.ndarray:
+        """The first place whose number is not below each."""
+        out = np.zeros(len(numbers), np.int64)
+        for s, at in self._by_shard(self.firsts, numbers):
+            out[at] = self._part("entries", s, "numbers").lower(numbers[at] - self.firsts[s]) + self.places[s]
         return out
 
     def numbers(self, places: np.ndarray) -> np.ndarray:
         out = np.zeros(len(places), np.int64)
-        for s, at in self._by_shard(places // SHARD):
-            out[at] = self._part("entries", s, "numbers").get(places[at] % SHARD) + self.level.firsts[s]
+        for s, at in self._by_shard(self.places, places):
+            out[at] = self._part("entries", s, "numbers").get(places[at] - self.places[s]) + self.firsts[s]
+        return out
+
+    def before(self, places: np.ndarray) -> np.ndarray:
+        """Counts of all entries before each place, which may be the level's end."""
+        out = np.zeros(len(places), np.int64)
+        for s, at in self._by_shard(self.places, places):
+            out[at] = self._part("entries", s, "sums").get(places[at] - self.places[s]) + self.sums[s]
         return out
 
     def counts(self, places: np.ndarray) -> np.ndarray:
         """Counts; 0 for the place -1."""
         out = np.zeros(len(places), np.int64)
-        for s, at in self._by_shard(np.where(places < 0, -1, places // SHARD)):
-            if s >= 0:
-                sums, i = self._part("entries", s, "sums"), places[at] % SHARD
-                out[at] = sums.get(i + 1) - sums.get(i)
+        for s, at in self._by_shard(self.places, places):
+            sums, i = self._part("entries", s, "sums"), places[at] - self.places[s]
+            out[at] = sums.get(i + 1) - sums.get(i)
         return out
 
     def starts(self, places: np.ndarray) -> np.ndarray:
         """The place, in the next level, of the first successor."""
         out = np.zeros(len(places), np.int64)
-        for s, at in self._by_shard(places // SHARD):
-            out[at] = self._part("contexts", s, "starts").get(places[at] % SHARD) + _file(f"{self.level.path}/contexts-{s}")["origin"][0]
+        for s, at in self._by_shard(self.places, places):
+            out[at] = self._part("contexts", s, "starts").get(places[at] - self.places[s]) + self._arrays("contexts", s)["origin"][0]
+        return out
+
+    def followers(self, places: np.ndarray) -> np.ndarray:
+        """How many successors there are."""
+        out = np.zeros(len(places), np.int64)
+        for s, at in self._by_shard(self.places, places):
+            starts, i = self._part("contexts", s, "starts"), places[at] - self.places[s]
+            out[at] = starts.get(i + 1) - starts.get(i)
         return out
 
     def logs(self, kind: str, places: np.ndarray) -> np.ndarray:
-        """Quantised log10 of ``entries`` (probabilities) or ``contexts`` (back-off factors); 0 for the place -1."""
+        """Quantised log10 of ``probs`` (probabilities) or ``contexts`` (back-off factors); 0 for the place -1."""
         out = np.zeros(len(places))
-        for s, at in self._by_shard(np.where(places < 0, -1, places // SHARD)):
-            if s >= 0:
-                out[at] = _file(f"{self.level.path}/{kind}-{s}")["codes"][places[at] % SHARD] / -STEPS
+        for s, at in self._by_shard(self.places, places):
+            out[at] = self._arrays(kind, s)["codes"][places[at] - self.places[s]] / -STEPS
         return out
 
+    def shard(self, s: int) -> tuple[int, np.ndarray, np.ndarray]:
+        """(first place, numbers, counts) of a whole shard."""
+        numbers, sums = self._part("entries", s, "numbers"), self._part("entries", s, "sums")
+        i = np.arange(numbers.n + 1)
+        return int(self.places[s]), numbers.get(i[:-1]) + self.firsts[s], np.diff(sums.get(i))
+
 
 def _codes(p: np.ndarray) -> np.ndarray:
     return np.minimum(65535, np.rint(-np.log10(np.maximum(p, 1e-15)) * STEPS)).astype(np.uint16)
@@ -183,6 +215,14 @@ def _first(names: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return first
 
 
+def _added(numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each number once, ascending, with the sum of its counts."""
+    order = np.argsort(numbers, kind="stable")
+    numbers, counts = numbers[order], counts[order]
+    begin = np.flatnonzero(np.concatenate(([True], numbers[1:] != numbers[:-1])))
+    return numbers[begin], np.add.reduceat(counts, begin)
+
+
 class _Counter:
     """Counts of numbers within bounded memory; what does not fit goes on early, to be added up after the shuffle."""
 
@@ -190,13 +230,9 @@ class _Counter:
         self.room, self.held, self.size = room, [], 0
 
     def _merged(self) -> tuple[np.ndarray, np.ndarray]:
-        numbers, counts = np.concatenate([h[0] for h in self.held]), np.concatenate([h[1] for h in self.held])
-        order = np.argsort(numbers, kind="stable")
-        numbers, counts = numbers[order], counts[order]
-        begin = np.flatnonzero(np.concatenate(([True], numbers[1:] != numbers[:-1])))
-        return numbers[begin], np.add.reduceat(counts, begin)
+        return _added(np.concatenate([h[0] for h in self.held]), np.concatenate([h[1] for h in self.held]))
 
-    def add(self, numbers: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def add(self, numbers: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if len(numbers):
             unique, counts = np.unique(numbers, return_counts=True)
             self.held.append((unique, counts))
@@ -207,138 +243,218 @@ class _Counter:
                 if self.size > self.room // 2:
                     yield from self.flush()
 
-    def flush(self) -> Iterator[pa.RecordBatch]:
+    def flush(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if self.held:
-            numbers, counts = self._merged()
+            merged = self._merged()
             self.held, self.size = [], 0
+            yield merged
+
+
+def _block(numbers: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending numbers as differences, and their counts, by planes of bytes, compressed."""
+    planes = np.stack([np.diff(numbers, prepend=0), counts]).astype("<i8").view(np.uint8).reshape(-1, 8).T
+    return pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def _unblock(block: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(pa.decompress(block, 16 * n, "zstd", asbytes=True), np.uint8).reshape(8, 2 * n)
+    values = np.ascontiguousarray(planes.T).view("<i8").ravel()
+    return np.cumsum(values[:n]), values[n:]
+
+
+def _entries(numbers: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
+    return Monotone.of(numbers - numbers[0]).arrays("numbers") | Monotone.of(np.concatenate(([0], np.cumsum(counts)))).arrays("sums")
+
+
+def _index(done: list, path: str) -> Level:
+    """Writes the index of a level from (name, first number, entries, count) of its files; one row for each file."""
+    rows = np.array(sorted(tuple(r) for r in done if r[2]), np.int64).reshape(-1, 4)
+    before = np.cumsum(np.concatenate((np.zeros((1, 2), np.int64), rows[:, 2:])), axis=0)[:-1]
+    write_arrays(f"{path}/index", {"names": rows[:, 0], "firsts": rows[:, 1], "places": before[:, 0], "sums": before[:, 1],
+                                     "entries": rows[:, 2].sum(keepdims=True)})
+    return Level(path)
+
+
+_FILE = "name long, first long, n long, c long"
+
+
+def _file_row(path: str, name: int, numbers: np.ndarray, counts: np.ndarray) -> pa.Table:
+    """Writes the entries of a file; its row for the index."""
+    if len(numbers):
+        write_arrays(f"{path}/entries-{name}", _entries(numbers, counts))
+    row = [name, int(numbers[0]) if len(numbers) else 0, len(numbers), int(counts.sum())]
+    return pa.table({k: [v] for k, v in zip(("name", "first", "n", "c"), row)}, schema=pa.schema([(k, pa.int64()) for k in ("name", "first", "n", "c")]))
+
+
+def _word_level(texts: DataFrame, path: str, size: int) -> tuple[Level, int, int]:
+    """(the level, tokens, types): words in the order of their hashes, about ``size`` in a file."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(numbers: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
             for i in range(0, len(numbers), 500_000):
                 yield pa.RecordBatch.from_arrays([pa.array(numbers[i:i + 500_000]), pa.array(counts[i:i + 500_000])], ["number", "c"])
 
+        counter = _Counter()
+        for batch in batches:
+            for _, names, _ in _tokens(batch.column(0)):
+                for merged in counter.add(names):
+                    yield from rows(*merged)
+        for merged in counter.flush():
+            yield from rows(*merged)
+
+    def write(held: pa.Table) -> pa.Table:
+        return _file_row(path, held.column("shard")[0].as_py(), *_added(held.column("number").to_numpy(), held.column("c").to_numpy()))
+
+    counted = written(map_batches(texts, ["text"], count, "number long, c long").groupBy("number").agg(F.sum("c").alias("c")))
+    tokens, types = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    # Hashes are spread evenly, so equal stretches of them hold about as many words.
+    width = -(-(1 << 63) // max(1, -(-types // size)))
+    done = counted.withColumn("shard", F.expr(f"number div {width}L") if width < 1 << 63 else F.lit(0).cast("long")).groupBy("shard").applyInArrow(write, _FILE).collect()
+    return _index(done, path), int(tokens), int(types)
+
+
+def _level(texts: DataFrame, counting, least: int, path: str, size: int) -> Level:
+    """The level of all numbers that occur ``least`` times. ``counting()`` gives two functions: the numbers in (word names, bounds), and the
+    occurrences that lie before ascending numbers, about, in ascending order; ``size`` of these make a file."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter, (find, position) = _Counter(), counting()
+
+        def blocks(numbers: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            names = position(numbers) // size
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(names)) + 1, [len(names)]))
+            for g in range(0, len(cuts) - 1, 256):
+                ends = cuts[g:g + 257]
+                held = [_block(numbers[i:j], counts[i:j]) for i, j in zip(ends[:-1], ends[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(names[ends[:-1]]), pa.array(np.diff(ends)), pa.array(held, pa.binary())], ["name", "n", "block"])
 
-def _counted(texts: DataFrame, numbers_of, least: int) -> DataFrame:
-    """(number, c) of all numbers that occur ``least`` times."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, find = _Counter(), numbers_of()
         for batch in batches:
             for _, names, bounds in _tokens(batch.column(0)):
-                yield from counter.add(find(names, bounds))
-        yield from counter.flush()
-
-    return map_batches(texts, ["text"], work, "number long, c long").groupBy("number").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+                for merged in counter.add(find(names, bounds)):
+                    yield from blocks(*merged)
+        for merged in counter.flush():
+            yield from blocks(*merged)
 
+    def write(held: pa.Table) -> pa.Table:
+        parts = [_unblock(b.as_py(), n.as_py()) for b, n in zip(held.column("block"), held.column("n"))]
+        numbers, counts = _added(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+        return _file_row(path, held.column("name")[0].as_py(), numbers[counts >= least], counts[counts >= least])
 
-def _placed(counted: DataFrame) -> tuple[DataFrame, int]:
-    """The written table with each number's ``place`` in ascending order, and how many there are."""
-    sorted_ = written(counted.repartitionByRange("number").sortWithinPartitions("number").withColumn("__id", F.monotonically_increasing_id()))
-    sizes = sorted((r[0], r[1]) for r in sorted_.groupBy(F.shiftright("__id", 33).alias("p")).count().collect())  # one row for each partition
-    before, total = [], 0
-    for p, c in sizes:
-        before += [F.lit(p).cast("long"), F.lit(total).cast("long")]
-        total += c
-    start = F.element_at(F.create_map(*before), F.shiftright("__id", 33)) if before else F.lit(0).cast("long")
-    return sorted_.select("number", "c", (start + F.col("__id").bitwiseAND((1 << 33) - 1)).alias("place")), total
+    return _index(map_batches(texts, ["text"], count, "name long, n long, block binary").groupBy("name").applyInArrow(write, _FILE).collect(), path)
 
 
-def _write_shards(rows: DataFrame, build, path: str, kind: str) -> np.ndarray:
-    """Writes ``build(rows of a shard in order of place)`` as one file for each shard; the first numbers of the shards, in order."""
+def _each_shard(spark: SparkSession, level: Level, work) -> int:
+    """``work(shard)`` for each file of a level, in tasks; the largest number returned."""
 
-    def work(held: pa.Table) -> pa.Table:
-        held = held.sort_by("place")
-        shard = held.column("shard")[0].as_py()
-        write_arrays(f"{path}/{kind}-{shard}", build(held))
-        return pa.table({"shard": [shard], "first": [held.column("number")[0].as_py()]}, schema=pa.schema([("shard", pa.int64()), ("first", pa.int64())]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([work(s) for s in batch.column(0).to_pylist()], pa.int64())], ["got"])
 
-    ship_package(rows.sparkSession)
-    done = rows.withColumn("shard", F.expr(f"place div {SHARD}L")).groupBy("shard").applyInArrow(work, "shard long, first long").collect()  # one row for each file
-    return np.array([r[1] for r in sorted((r[0], r[1]) for r in done)], np.int64)
+    files = len(Reader(level).names)
+    ship_package(spark)
+    return int(spark.range(0, files, 1, max(1, min(files, 4096))).mapInArrow(run, "got long").agg(F.max("got")).first()[0] or 0)
 
 
-def _column(held: pa.Table, name: str) -> np.ndarray:
-    return held.column(name).to_numpy()
+def _contexts(spark: SparkSession, level: Level, longer: Level, fan: int, discount: float) -> int:
+    """Writes pointers to first successors and back-off factors of the entries of ``level``, whose successors in ``longer`` have the numbers
+    from ``place * fan`` on; the largest number of successors."""
 
+    def work(s: int) -> int:
+        at, after = Reader(level), Reader(longer)
+        first, _, counts = at.shard(s)
+        starts = after.lower(np.arange(first, first + len(counts) + 1) * fan)
+        n = np.diff(starts)
+        kept = np.diff(after.before(starts)) - discount * n
+        write_arrays(f"{level.path}/contexts-{at.names[s]}", Monotone.of(starts - starts[0]).arrays("starts")
+                     | {"origin": starts[:1], "codes": _codes(1.0 - kept / counts)})
+        return int(n.max())
 
-def _entries(numbers: np.ndarray, counts: np.ndarray, codes: np.ndarray | None = None) -> dict[str, np.ndarray]:
-    out = Monotone.of(numbers - numbers[0]).arrays("numbers") | Monotone.of(np.concatenate(([0], np.cumsum(counts)))).arrays("sums")
-    return out if codes is None else out | {"codes": codes}
+    return _each_shard(spark, level, work)
 
 
-def _contexts(rows: DataFrame, followers: DataFrame, path: str) -> None:
-    """Writes pointers to first successors and back-off factors for entries (number, c, place) that ``followers`` (place, n, low, kept) extend."""
+def _probabilities(spark: SparkSession, level: Level, of) -> None:
+    """Writes ``of()(numbers, counts)``, quantised, for the entries of ``level``."""
 
-    def build(held: pa.Table) -> dict[str, np.ndarray]:
-        n = np.nan_to_num(_column(held, "n")).astype(np.int64)
-        low, kept = _column(held, "low"), np.nan_to_num(_column(held, "kept"))
-        known = np.flatnonzero(n)
-        origin = int(low[known[0]]) if len(known) else 0
-        return Monotone.of(np.concatenate(([0], np.cumsum(n)))).arrays("starts") | {"origin": np.array([origin], np.int64), "codes": _codes(1.0 - kept / _column(held, "c"))}
+    def work(s: int) -> int:
+        at = Reader(level)
+        _, numbers, counts = at.shard(s)
+        write_arrays(f"{level.path}/probs-{at.names[s]}", {"codes": _codes(of()(numbers, counts))})
+        return 0
 
-    _write_shards(rows.join(followers, "place", "left").select("number", "c", "place", "n", "low", "kept"), build, path, "contexts")
+    _each_shard(spark, level, work)
 
 
-def train(texts: DataFrame, *, discount: float = 0.75, least: int = 2) -> Model:
-    """Fits the model to all rows of ``texts`` (text; null counts as empty). Pairs and triples have entries from ``least`` occurrences on.
+def train(texts: DataFrame, *, discount: float = 0.75, least: int = 1, size: int = SHARD) -> Model:
+    """Fits the model to all rows of ``texts`` (text; null counts as empty). Pairs and triples have entries from ``least`` occurrences on; the
+    share of others is in the back-off factors. ``size`` is that of the files.
 
     A triple that occurs so often has two pairs that do, so only such triples are counted. An empty table gives a model without words.
     """
-    path = shared_path(texts.sparkSession)
-    placed, types = _placed(_counted(texts, lambda: lambda names, bounds: names, 1))
-    tokens = int(placed.agg(F.sum("c")).first()[0] or 0)
-
-    first_words = _write_shards(placed, lambda held: _entries(_column(held, "number"), _column(held, "c")), f"{path}/words", "entries")
-    model = Model(tokens, types, 1, discount, Level(f"{path}/words", first_words))
+    spark, path = texts.sparkSession, shared_path(texts.sparkSession)
+    word_level, tokens, types = _word_level(texts, f"{path}/words", size)
     if types >= 1 << 31:
         raise ValueError("a pair of words must fit in 62 bits")
+    model = Model(tokens, types, 1, discount, word_level)
+
+    def spread(at: Reader, contexts: np.ndarray, share) -> np.ndarray:
+        unique, where = np.unique(contexts, return_inverse=True)
+        counts = at.counts(unique)[where]
+        return at.before(unique)[where] + np.minimum(counts - 1, (counts * share(unique, where)).astype(np.int64))
 
-    def pair_numbers():
+    def pair_counting():
         at = Readers(model)
 
         def find(names: np.ndarray, bounds: np.ndarray) -> np.ndarray:
             ids = at.ids(names)
             later = np.flatnonzero(~_first(names, bounds))
             return ids[later - 1] * types + ids[later]
-        return find
 
-    pairs, n_pairs = _placed(_counted(texts, pair_numbers, least))
-    followers = pairs.groupBy(F.expr(f"number div {max(types, 1)}L").alias("context")).agg(F.count("*").alias("n"), F.min("place").alias("low"), F.sum(F.col("c") - discount).alias("kept"))
-    followers = written(followers.withColumnRenamed("context", "place"))
-    fan = int(followers.agg(F.max("n")).first()[0] or 1)
-    if n_pairs * fan >= 1 << 62:
+        return find, lambda numbers: spread(at.words, numbers // types, lambda unique, where: numbers % types / types)
+
+    pair_level = _level(texts, pair_counting, least, f"{path}/pairs", size)
+    fan = max(1, _contexts(spark, word_level, pair_level, types, discount))
+    if Reader(pair_level).entries * fan >= 1 << 62:
         raise ValueError("a triple of words must fit in 62 bits")
-    _contexts(placed, followers, f"{path}/words")
 
-    def pair_entries(held: pa.Table) -> dict[str, np.ndarray]:
+    def pair_probabilities():
         at = Readers(model)
-        numbers, c = _column(held, "number"), _column(held, "c")
-        context, after = numbers // types, numbers % types
-        p = (c - discount) / at.words.counts(context) + 10.0 ** at.words.logs("contexts", context) * at.p1(at.words.counts(after))
-        return _entries(numbers, c, _codes(p))
 
-    first_pairs = _write_shards(pairs, pair_entries, f"{path}/pairs", "entries")
-    model = Model(tokens, types, fan, discount, model.words, Level(f"{path}/pairs", first_pairs))
+        def of(numbers: np.ndarray, counts: np.ndarray) -> np.ndarray:
+            context, after = numbers // types, numbers % types
+            return (counts - discount) / at.words.counts(context) + 10.0 ** at.words.logs("contexts", context) * at.p1(at.words.counts(after))
+
+        return of
 
-    def triple_numbers():
+    _probabilities(spark, pair_level, pair_probabilities)
+    model = Model(tokens, types, fan, discount, word_level, pair_level)
+
+    def triple_counting():
         at = Readers(model)
 
         def find(names: np.ndarray, bounds: np.ndarray) -> np.ndarray:
             ids, first = at.ids(names), _first(names, bounds)
             return at.triple_numbers(ids, at.pair_places(ids, first), first)[1]
-        return find
 
-    triples, _ = _placed(_counted(texts, triple_numbers, least))
-    followers = triples.groupBy(F.expr(f"number div {fan}L").alias("place")).agg(F.count("*").alias("n"), F.min(F.col("place")).alias("low"), F.sum(F.col("c") - discount).alias("kept"))
-    _contexts(pairs, written(followers), f"{path}/pairs")
+        def share(numbers: np.ndarray, unique: np.ndarray, where: np.ndarray) -> np.ndarray:
+            return numbers % fan / np.maximum(1, at.words.followers(at.pairs.numbers(unique) % types))[where]
+
+        return find, lambda numbers: spread(at.pairs, numbers // fan, lambda unique, where: share(numbers, unique, where))
+
+    triple_level = _level(texts, triple_counting, least, f"{path}/triples", size)
+    _contexts(spark, pair_level, triple_level, fan, discount)
 
-    def triple_entries(held: pa.Table) -> dict[str, np.ndarray]:
+    def triple_probabilities():
         at = Readers(model)
-        numbers, c = _column(held, "number"), _column(held, "c")
-        context, rest = numbers // fan, numbers % fan
-        shorter = at.words.starts(at.pairs.numbers(context) % types) + rest
-        p = (c - discount) / at.pairs.counts(context) + 10.0 ** (at.pairs.logs("contexts", context) + at.pairs.logs("entries", shorter))
-        return Monotone.of(numbers - numbers[0]).arrays("numbers") | {"codes": _codes(p)}
 
-    first_triples = _write_shards(triples, triple_entries, f"{path}/triples", "entries")
-    return Model(tokens, types, fan, discount, model.words, model.pairs, Level(f"{path}/triples", first_triples))
+        def of(numbers: np.ndarray, counts: np.ndarray) -> np.ndarray:
+            context, rest = numbers // fan, numbers % fan
+            shorter = at.words.starts(at.pairs.numbers(context) % types) + rest
+            return (counts - discount) / at.pairs.counts(context) + 10.0 ** (at.pairs.logs("contexts", context) + at.pairs.logs("probs", shorter))
+
+        return of
+
+    _probabilities(spark, triple_level, triple_probabilities)
+    return Model(tokens, types, fan, discount, word_level, pair_level, triple_level)
 
 
 def text_scores(at: Readers, names: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -360,8 +476,8 @@ def text_scores(at: Readers, names: np.ndarray, bounds: np.ndarray) -> tuple[np.
     two = ~three & (pairs >= 0)
     one = ~three & ~two
     score = np.zeros(len(names))
-    score[three] = at.triples.logs("entries", triples[three])
-    score[two] = at.pairs.logs("entries", pairs[two])
+    score[three] = at.triples.logs("probs", triples[three])
+    score[two] = at.pairs.logs("probs", pairs[two])
     score[one] = base[one] + at.words.logs("contexts", word_before[one])
     score[~three] += at.pairs.logs("contexts", before[~three])
     row = words.row_of(bounds)
@@ -388,9 +504,9 @@ def scored(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: s
     return map_batches(docs, columns, work, f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", id_col)
 
 
-def held_out_scores(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", least: int = 2) -> DataFrame:
-    """``scored`` with the column ``held_out``: rows for which it holds, or is null, teach the model nothing. ``least`` is that of ``train``."""
+def held_out_scores(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", least: int = 1, size: int = SHARD) -> DataFrame:
+    """``scored`` with the column ``held_out``: rows for which it holds, or is null, teach the model nothing. ``least`` and ``size`` are those of ``train``."""
     marked = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("text"), F.coalesce(held_out, F.lit(True)).alias("held_out"))
-    model = train(marked.where("NOT held_out").select("text"), least=least)
+    model = train(marked.where("NOT held_out").select("text"), least=least, size=size)
     got = scored(marked, model, id_col=id_col)
     return got.withColumn("held_out", F.coalesce(held_out, F.lit(True)))

@@ -202,17 +202,19 @@ def test_packing_under_each_limit(spark):
     assert sum(full) >= len(full) - 1
 
 
-def test_trie_equals_the_formulas(spark):
+@pytest.mark.parametrize("least, size", [(1, 1 << 20), (1, 100), (2, 300)])
+def test_trie_equals_the_formulas(spark, least, size):
     from pyspark.sql import functions as F
 
     from quaverlake.llm.trie import held_out_scores
-    rows = [(r[0], r[1]) for r in corpus() if r[0] != 15] + [(30 + i, prose(20 + i % 5, 80)) for i in range(20)]
-    got = held_out_scores(spark.createDataFrame(rows, "doc_id long, text string"), F.crc32(F.col("doc_id").cast("string")) % 10 == 0).collect()
+    rows = [(r[0], r[1]) for r in corpus()] + [(30 + i, prose(20 + i % 5, 80)) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("id", "n", "number", "place")})
+    got = held_out_scores(docs, F.crc32(F.col("doc_id").cast("string")) % 10 == 0, least=least, size=size).collect()
     tokens = [((t or "").encode().lower().split()) + [None] for _, t in rows]
     train = [x for (key, _), x in zip(rows, tokens) if key is not None and zlib.crc32(str(key).encode()) % 10]
     one, two, three = (collections.Counter(x for t in train for x in zip(*(t[k:] for k in range(n)))) for n in (1, 2, 3))
     n, v, d = sum(one.values()), len(one), 0.75
-    two, three = ({k: c for k, c in x.items() if c > 1} for x in (two, three))
+    two, three = ({k: c for k, c in x.items() if c >= least} for x in (two, three))
     kept2, kept3 = collections.Counter(), collections.Counter()
     for k, c in two.items():
         kept2[k[:1]] += c - d
@@ -263,6 +265,11 @@ def test_trie_of_nothing(spark):
 def test_monotone_sequences():
     from quaverlake.llm.elias import Monotone
     r = np.random.default_rng(0)
+    for top in (0, 5, 900, 1 << 40):
+        held = np.unique(r.integers(0, top + 1, 300))
+        form, asked = Monotone.of(held), np.concatenate((held, held + 1, held - 1, r.integers(0, 2 * top + 2, 300), [1 << 60]))
+        assert (form.lower(asked) == np.searchsorted(held, asked)).all()
+    assert (Monotone.of(held[:0]).lower(np.array([0, 7])) == 0).all()
     for n, top in ((0, 1), (1, 5), (1000, 1 << 40), (20_000, 1 << 62), (5000, 3000), (2000, 1)):
         values = np.sort(r.integers(0, top, n)).astype(np.int64)
         held = Monotone.of(values)
