@@ -111,11 +111,16 @@ def ramps(wedges: DataFrame, dynamics: DataFrame, notes: DataFrame, keys: Sequen
 
 # --- sounding events -----------------------------------------------------------------------------
 
-def merge_ties(notes: DataFrame, keys: Sequence[str], chunk_width: float | None = None) -> DataFrame:
+def _in_order(order: Column, value: str) -> Column:
+    """The values of a group's few rows as an array."""
+    return F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col(value).alias("v")))), lambda x: x["v"])
+
+
+def merge_ties(notes: DataFrame, keys: Sequence[str], chunk_width: float | None = None, carried: Sequence[str] = ()) -> DataFrame:
     """W-12: tied segments of one (part, voice, pitch) that touch are one sounding event.
 
-    The event has the first segment's start and pitch, and ends with its last segment. A stop without an
-    adjacent start begins its own event and is flagged ``orphan_stop``.
+    The event has the first segment's start, pitch and ``carried`` columns, names its segments in order (``segment_ids``), and ends
+    with its last one. A stop without an adjacent start begins its own event and is flagged ``orphan_stop``.
     """
     line = [*keys, "part", "voice", "midi"]
     order, chunk = ["start_beat", "source_id"], _chunk("start_beat", chunk_width)
@@ -130,15 +135,38 @@ def merge_ties(notes: DataFrame, keys: Sequence[str], chunk_width: float | None
         F.min("start_beat").alias("start_beat"),
         (F.max_by(F.col("start_beat") + F.col("key_duration"), last) - F.min("start_beat")).alias("duration"),
         F.min_by("source_id", first).alias("source_id"), F.min_by("velocity", first).alias("velocity"),
+        *[F.min_by(c, first).alias(c) for c in carried], _in_order(F.struct(*order), "source_id").alias("segment_ids"),
         F.count(F.lit(1)).alias("segments"), F.bool_or(F.col("tie_stop") & ~F.col("__joined")).alias("orphan_stop")).drop("__event")
 
 
-def collapse_strikes(notes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """W-13: a key two voices strike together sounds once, as long and as loud as the longest and loudest."""
+def collapse_strikes(notes: DataFrame, keys: Sequence[str], carried: Sequence[str] = ()) -> DataFrame:
+    """W-13: a key two voices strike together sounds once, as long and as loud as the longest and loudest.
+
+    The event has the ``carried`` columns of the first voice and names all its notes (``segment_ids``).
+    """
     first = F.struct("voice", "source_id")
     return notes.groupBy(*keys, "part", "midi", F.round("start_beat", 6).alias("__at")).agg(
         F.min("start_beat").alias("start_beat"), F.max("key_duration").alias("duration"), F.max("velocity").alias("velocity"),
-        F.min_by("source_id", first).alias("source_id"), F.count(F.lit(1)).alias("strikes")).drop("__at")
+        F.min_by("source_id", first).alias("source_id"), *[F.min_by(c, first).alias(c) for c in carried],
+        _in_order(first, "source_id").alias("segment_ids"), F.count(F.lit(1)).alias("strikes")).drop("__at")
+
+
+def sounding_events(notes: DataFrame, keys: Sequence[str], chunk_width: float | None = None, carried: Sequence[str] = ("role",)) -> DataFrame:
+    """W-12, W-13 and what follows from both: every written note in exactly one sounding event, named by its first note.
+
+    Tied notes sound as one; plain notes (neither tied nor grace) that two voices strike together sound once, at the start of the
+    first of them. ``segment_ids`` are what ``correct_audio`` looks up.
+    """
+    tied = F.col("tie_start") | F.col("tie_stop")
+    plain = ~tied & ~F.col("is_grace") if "is_grace" in notes.columns else ~tied
+    merged = merge_ties(notes.withColumn("__plain", plain), keys, chunk_width, [*carried, "__plain"])
+    first = F.struct("voice", "source_id")
+    alone = [F.when(~F.col("__plain"), F.col(c)).alias(f"__{c}") for c in ("voice", "source_id")]
+    return (merged.groupBy(*keys, "part", "midi", F.round("start_beat", 6).alias("__at"), *alone).agg(
+        F.min("start_beat").alias("start_beat"), F.max("duration").alias("duration"), F.max("velocity").alias("velocity"),
+        F.min_by("source_id", first).alias("source_id"), *[F.min_by(c, first).alias(c) for c in carried],
+        F.flatten(_in_order(first, "segment_ids")).alias("segment_ids"), F.bool_or("orphan_stop").alias("orphan_stop"))
+            .drop("__at", "__voice", "__source_id"))
 
 
 def apply_pedal(audio: DataFrame, pedals: DataFrame, totals: DataFrame, keys: Sequence[str],

@@ -645,16 +645,39 @@ def _sounding(spark, d):
     e AS (SELECT *, sum(CASE WHEN jo THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, voice, midi ORDER BY start_beat, source_id) AS ev FROM j)
     SELECT doc_id, voice, midi, min(start_beat) AS start_beat, last(start_beat + duration * 0.75 ORDER BY start_beat, source_id) - min(start_beat) AS duration,
            first(source_id ORDER BY start_beat, source_id) AS source_id, first(64 + part_key % 40 ORDER BY start_beat, source_id) AS velocity, count(*) AS segments,
-           bool_or(tie_stop AND NOT jo) AS orphan_stop FROM e GROUP BY doc_id, voice, midi, ev""".replace("\n    , p", ", p"))
+           string_agg(source_id, ',' ORDER BY start_beat, source_id) AS segment_ids, bool_or(tie_stop AND NOT jo) AS orphan_stop FROM e GROUP BY doc_id, voice, midi, ev""".replace("\n    , p", ", p"))
 def _(spark, d):
-    return P.merge_ties(_sounding(spark, d), DOC, 64.0).drop("part")
+    return P.merge_ties(_sounding(spark, d), DOC, 64.0).drop("part").withColumn("segment_ids", F.array_join("segment_ids", ","))
 
 
 @query("W13_collapse_strikes", with_ctes("timed") + """
-    SELECT doc_id, midi, min(start_beat) AS start_beat, max(duration * 0.75) AS duration, max(64 + part_key % 40) AS velocity, first(source_id ORDER BY voice, source_id) AS source_id, count(*) AS strikes
-    FROM timed WHERE NOT tie_start AND NOT tie_stop GROUP BY doc_id, midi, round(start_beat, 6)""")
+    SELECT doc_id, midi, min(start_beat) AS start_beat, max(duration * 0.75) AS duration, max(64 + part_key % 40) AS velocity, first(source_id ORDER BY voice, source_id) AS source_id, count(*) AS strikes,
+           string_agg(source_id, ',' ORDER BY voice, source_id) AS segment_ids FROM timed WHERE NOT tie_start AND NOT tie_stop GROUP BY doc_id, midi, round(start_beat, 6)""")
 def _(spark, d):
-    return P.collapse_strikes(_sounding(spark, d).filter("not tie_start and not tie_stop"), DOC).drop("part")
+    out = P.collapse_strikes(_sounding(spark, d).filter("not tie_start and not tie_stop"), DOC).drop("part")
+    return out.withColumn("segment_ids", F.array_join("segment_ids", ","))
+
+
+_EVENTS = """, p AS (SELECT *, lag(start_beat + duration) OVER o AS pe, lag(tie_start) OVER o AS pt FROM timed WINDOW o AS (PARTITION BY doc_id, voice, midi ORDER BY start_beat, source_id)),
+    j AS (SELECT *, coalesce(tie_stop AND pt AND abs(pe - start_beat) < 1e-6, false) AS jo FROM p),
+    e AS (SELECT *, sum(CASE WHEN jo THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, voice, midi ORDER BY start_beat, source_id) AS ev FROM j),
+    tied AS (SELECT doc_id, voice, midi, min(start_beat) AS start_beat, last(start_beat + duration * 0.75 ORDER BY start_beat, source_id) - min(start_beat) AS duration,
+           first(source_id ORDER BY start_beat, source_id) AS source_id, first(64 + part_key % 40 ORDER BY start_beat, source_id) AS velocity, first(staff - 1 ORDER BY start_beat, source_id) AS role,
+           list(source_id ORDER BY start_beat, source_id) AS ids, bool_or(tie_stop AND NOT jo) AS orphan_stop, first(NOT tie_start AND NOT tie_stop AND NOT is_grace ORDER BY start_beat, source_id) AS plain
+           FROM e GROUP BY doc_id, voice, midi, ev),
+    events AS (SELECT doc_id, midi, min(start_beat) AS start_beat, max(duration) AS duration, max(velocity) AS velocity, first(source_id ORDER BY voice, source_id) AS source_id,
+           first(role ORDER BY voice, source_id) AS role, flatten(list(ids ORDER BY voice, source_id)) AS ids, bool_or(orphan_stop) AS orphan_stop
+           FROM tied GROUP BY doc_id, midi, round(start_beat, 6), CASE WHEN plain THEN NULL ELSE {'v': voice, 's': source_id} END)"""
+
+
+def _events(spark, d):
+    return P.sounding_events(_sounding(spark, d).withColumn("role", F.col("staff") - 1), DOC, 64.0)
+
+
+@query("W13_sounding_events", with_ctes("timed") + _EVENTS + """
+    SELECT doc_id, midi, start_beat, duration, velocity, source_id, role, orphan_stop, array_to_string(ids, ',') AS segment_ids FROM events""")
+def _(spark, d):
+    return _events(spark, d).drop("part").withColumn("segment_ids", F.array_join("segment_ids", ","))
 
 
 @query("W14_apply_pedal", with_ctes("timed") + """
@@ -663,10 +686,14 @@ def _(spark, d):
                  (SELECT min(p.start_beat) FROM p WHERE p.doc_id = n.doc_id AND p.v IN ('stop', 'change') AND p.start_beat > n.start_beat + n.duration + 1e-8) AS nx FROM timed n)
     SELECT doc_id, source_id, greatest(0.0, least(8.0, CASE WHEN st IN ('start', 'change') THEN coalesce(nx, 8.0) ELSE e END) - start_beat) AS duration FROM a""".replace("\n    , p", ", p"))
 def _(spark, d):
+    return _pedalled(spark, d, timed(spark, d)).select("doc_id", "source_id", "duration")
+
+
+def _pedalled(spark, d, sounding):
     value = F.when(F.col("flag") == "N", "start").when(F.col("flag") == "R", "stop").otherwise("change")
     pedals = marked(spark, d, 5, 6).select("doc_id", "part", "start_beat", F.col("slot").alias("seq"), value.alias("value"))
     totals = B.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id")).distinct().withColumn("total_beats", F.lit(8.0))
-    return P.apply_pedal(timed(spark, d), pedals, totals, DOC, 64.0).select("doc_id", "source_id", "duration")
+    return P.apply_pedal(sounding, pedals, totals, DOC, 64.0)
 
 
 @query("F18_expand_ornaments", with_ctes("timed") + """
@@ -759,12 +786,36 @@ def _(spark, d):
     FROM (SELECT *, coalesce(part_key % 4 = 0 AND 15 + part_key % 110 BETWEEN 21 AND 108 AND supp_key % 5 * 0.6::DOUBLE < 2.0 AND tax > 0.005, false) AS hit, 15 + part_key % 110 AS cm,
                  supp_key % 5 * 0.6::DOUBLE AS co, tax * 50 AS cd FROM timed) n""")
 def _(spark, d):
+    return _corrected(spark, d)[1].select("doc_id", "source_id", "midi", "start_beat", "duration", "key_duration", "corrected")
+
+
+def _corrected(spark, d):
+    """(notes as written, notes as a reader corrects them)."""
     t = _sounding(spark, d).withColumns({"printed_id": F.col("source_id"), "hand": F.lit(None).cast("string"), "role": F.col("staff") - 1, "measure_index": F.col("measure")})
     c = t.filter(F.col("part_key") % 4 == 0).select("doc_id", "printed_id", (15 + F.col("part_key") % 110).alias("midi"), F.lit("left").alias("hand"),
                                                     (F.col("supp_key") % 5 * 0.6).alias("offset"), (F.col("tax") * 50).alias("duration"))
     ms = t.select("doc_id", "measure_index").distinct().withColumns({"start_beat": F.col("measure_index") * 2.0, "length": F.lit(2.0)})
-    out = P.apply_corrections(t, ms, c, DOC)
-    return out.select("doc_id", "source_id", "midi", "start_beat", "duration", "key_duration", "corrected")
+    return t, P.apply_corrections(t, ms, c, DOC)
+
+
+@query("J24_correct_audio", with_ctes("timed") + _EVENTS + """,
+    pe AS (SELECT doc_id, start_beat, slot, CASE flag WHEN 'N' THEN 'start' WHEN 'R' THEN 'stop' ELSE 'change' END AS v FROM timed WHERE line_number IN (5, 6)),
+    st AS (SELECT *, (SELECT max({'at': pe.start_beat, 'seq': pe.slot, 'v': pe.v}).v FROM pe WHERE pe.doc_id = n.doc_id AND pe.start_beat <= n.start_beat + n.duration + 1e-8) AS st,
+                  (SELECT min(pe.start_beat) FROM pe WHERE pe.doc_id = n.doc_id AND pe.v IN ('stop', 'change') AND pe.start_beat > n.start_beat + n.duration + 1e-8) AS nx FROM events n),
+    au AS (SELECT *, greatest(start_beat, least(8.0, CASE WHEN st IN ('start', 'change') THEN coalesce(nx, 8.0) ELSE start_beat + duration END)) AS ends FROM st),
+    co AS (SELECT doc_id, source_id, coalesce(part_key % 4 = 0 AND 15 + part_key % 110 BETWEEN 21 AND 108 AND supp_key % 5 * 0.6::DOUBLE < 2.0 AND tax > 0.005, false) AS hit, 15 + part_key % 110 AS cm,
+                  measure * 2.0::DOUBLE + supp_key % 5 * 0.6::DOUBLE AS cs, least(tax * 50, 2.0 - supp_key % 5 * 0.6::DOUBLE) * 0.75 AS cd, midi, staff, start_beat, duration * 0.75 AS kd FROM timed),
+    sg AS (SELECT doc_id, source_id AS audio_id, ends, unnest(ids) AS source_id, generate_subscripts(ids, 1) AS i FROM au),
+    pr AS (SELECT sg.doc_id, audio_id, ends, first(CASE WHEN hit THEN cs ELSE start_beat END ORDER BY i) AS s, first(CASE WHEN hit THEN cm ELSE midi END ORDER BY i) AS fm,
+                  first(cm ORDER BY i) FILTER (WHERE hit) AS em, first(CASE WHEN hit THEN 1 ELSE staff - 1 END ORDER BY i) AS role,
+                  max(CASE WHEN hit THEN cs + cd ELSE start_beat + kd END) AS ne, max(start_beat + kd) AS oe
+           FROM sg JOIN co ON co.doc_id = sg.doc_id AND co.source_id = sg.source_id GROUP BY sg.doc_id, audio_id, ends)
+    SELECT doc_id, audio_id, coalesce(em, fm) AS midi, role, round(s, 6) AS start_beat, round(greatest(ne, CASE WHEN ends > oe + 1e-8 THEN ends ELSE 0 END) - s, 6) AS duration FROM pr""")
+def _(spark, d):
+    written, corrected = _corrected(spark, d)
+    audio = _pedalled(spark, d, _events(spark, d)).withColumnRenamed("source_id", "audio_id")
+    out = P.correct_audio(audio, corrected, written, DOC)
+    return out.select("doc_id", "audio_id", "midi", "role", F.round("start_beat", 6).alias("start_beat"), F.round("duration", 6).alias("duration"))
 
 
 @query("J25_resolve_labels", with_ctes("timed") + """

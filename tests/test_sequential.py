@@ -241,6 +241,26 @@ def test_strikes_keep_their_own_start(spark):
     assert (r.start_beat, r.duration, r.velocity, r.source_id, r.strikes) == (1.0000001, 2.0, 70, "a", 2)
 
 
+@pytest.mark.parametrize("width", [None, 1.0])
+def test_each_note_is_in_one_sounding_event(spark, width):
+    def note(name, voice, midi, start, length, ties="", grace=False):
+        return (0, 1, voice, 1, 1, midi, float(start), length, length, 70 + voice, "start" in ties, "stop" in ties, grace, name)
+    notes = spark.createDataFrame(
+        [note("a", 1, 57, 0, .25), note("b", 2, 57, 0, .5), note("c", 2, 59, 0, .5),  # one key, two voices
+         note("d", 1, 60, 1, 1.0, "start"), note("e", 1, 60, 2, 1.0, "start stop"), note("f", 1, 60, 3, .5, "stop"), note("g", 2, 60, 1, .25),
+         note("h", 1, 62, 4, 1.0, "stop"), note("i", 1, 64, 5, .25, grace=True), note("j", 2, 64, 5, 1.0)],
+        "d int, part int, voice int, staff int, role int, midi int, start_beat double, duration double, key_duration double, velocity int, tie_start boolean, tie_stop boolean, is_grace boolean, source_id string")
+    events = P.sounding_events(notes, ["d"], width)
+    got = sorted((r.source_id, r.start_beat, r.duration, r.velocity, r.orphan_stop, "".join(r.segment_ids)) for r in events.collect())
+    assert got == [("a", 0.0, 0.5, 72, False, "ab"), ("c", 0.0, 0.5, 72, False, "c"), ("d", 1.0, 2.5, 71, False, "def"), ("g", 1.0, 0.25, 72, False, "g"),
+                   ("h", 4.0, 1.0, 71, True, "h"), ("i", 5.0, 0.25, 71, False, "i"), ("j", 5.0, 1.0, 72, False, "j")]
+    moved = notes.withColumns({"corrected": F.col("source_id") == "e", "midi": F.when(F.col("source_id") == "e", 61).otherwise(F.col("midi")),
+                               "start_beat": F.when(F.col("source_id") == "e", 2.25).otherwise(F.col("start_beat"))})
+    audio = events.withColumnRenamed("source_id", "audio_id").withColumn("duration", F.when(F.col("audio_id") == "a", 3.0).otherwise(F.col("duration")))
+    out = {r.audio_id: (r.midi, r.start_beat, r.duration) for r in P.correct_audio(audio, moved, notes, ["d"]).collect()}
+    assert out["d"] == (61, 1.0, 2.5) and out["a"] == (57, 0.0, 3.0) and out["c"] == (59, 0.0, 0.5) and len(out) == 7
+
+
 @pytest.mark.parametrize("width", [None, 5.0])
 @pytest.mark.parametrize("kind", ["bigint", "double"])
 def test_covering_sum_equals_all_pairs(spark, rng, width, kind):
