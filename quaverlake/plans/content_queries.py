@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quaverlake.functions import money, pitch, settings, text, times
 from quaverlake.operators import payments as P
 from quaverlake.operators import reuse
-from quaverlake.plans.registry import query
+from quaverlake.plans.registry import SQL, query
 from quaverlake.plans.sql_bindings import define, with_ctes
 from quaverlake.sources import bindings as B
 
@@ -178,7 +178,7 @@ def invoices(spark, d):
         F.when(F.col("o_orderpriority") == "2-HIGH", "subscription_update").otherwise("subscription_cycle").alias("billing_reason"),
         F.struct((made + 60).alias("paid_at")).alias("status_transitions"),
         F.struct(F.when(F.col("f") == F.col("n"), minor).otherwise(F.col("f") * 100).alias("amount_refunded")).alias("charge"),
-        "lines")
+        F.concat(F.lit("sub_"), F.col("o_custkey").cast("string")).alias("subscription"), "lines")
 
 
 @query("F16_invoice_payments", f"""
@@ -202,6 +202,23 @@ def _(spark, d):
     return rows.withColumns({c: F.col(c).cast("double") for c in ("amount", "refunded")})
 
 
+# Accounts in fives: two billed by one store, two by the other (one of them on a platform not known), one without a subscription.
+@query("F16_account_payments", f"""
+    SELECT c_custkey AS user_id, row_number() OVER (PARTITION BY c_custkey ORDER BY coalesce(paid_at, created_at, 0) DESC, id) AS place, p.*
+    FROM (FROM ({SQL["F15_store_payments"]}) UNION ALL BY NAME FROM ({SQL["F16_invoice_payments"]})) p
+    JOIN orders ON CAST(o_orderkey AS VARCHAR) = id JOIN customer ON c_custkey = o_custkey
+    WHERE c_custkey % 5 < 4 AND platform = CASE WHEN c_custkey % 5 < 2 THEN 'apple' ELSE 'stripe' END""")
+def _(spark, d):
+    key = F.col("c_custkey")
+    accounts = B.table(spark, d, "customer").select(
+        key.alias("user_id"), F.when(key % 5 < 2, "apple").when(key % 5 == 2, "stripe").alias("platform"),
+        F.when(key % 5 < 2, key.cast("string")).when(key % 5 < 4, F.concat(F.lit("sub_"), key.cast("string"))).when(key % 2 == 0, "").alias("subscription_id"))
+    store = P.store_payments(store_transactions(spark, d), {"monthly": "m1", "yearly": "y1"}, ["originalTransactionId"])
+    bills = P.invoice_payments(invoices(spark, d), {"monthly": "p_month", "yearly": "p_year"}, ["subscription"])
+    rows = P.account_payments(accounts, store.withColumnRenamed("originalTransactionId", "subscription_id"), bills.withColumnRenamed("subscription", "subscription_id"))
+    return rows.withColumns({c: F.col(c).cast("double") for c in ("amount", "refunded")})
+
+
 # --- pitch and notation ------------------------------------------------------------------------------
 
 _SHAPES = list(pitch.SHAPE_ALTER)

@@ -102,3 +102,18 @@ def test_meter(spark):
     assert got == {1: (1000, 0), 2: (5000, 0), 3: (3000, 0), 4: (1000, 1000), 5: (0, 0)}
     uses = spark.createDataFrame([(1, "speed", t, i) for i, t in enumerate([0, 1000, 1999, 2500, 3999, 4500, 9000])], "session_id int, control string, at_ms long, seq int")
     assert sorted(r.at_ms for r in US.debounce(uses).collect()) == [0, 2500, 4500, 9000]
+
+
+def test_payments_of_the_store_that_bills(spark):
+    from quaverlake.operators import payments as PY
+    kind = ("id string, platform string, paid_at long, created_at long, amount double, refunded double, currency string, status string, plan string, plan_change boolean, "
+            "period_start long, period_end long, subscription_id string")
+
+    def paid(name, platform, at, subscription):
+        return (name, platform, at, 5, 1.0, 0.0, "usd", "paid", None, False, None, None, subscription)
+    accounts = spark.createDataFrame([("a", "apple", "s1"), ("b", "stripe", "s1"), ("c", None, "s2"), ("d", "apple", ""), ("e", "apple", None), ("f", "apple", "s9")],
+                                     "user_id string, platform string, subscription_id string")
+    store = spark.createDataFrame([paid("x", "apple", 10, "s1"), paid("y", "apple", 20, "s1"), paid("z", "apple", 30, "s2"), paid("e", "apple", 1, "")], kind)
+    bills = spark.createDataFrame([paid("p", "stripe", None, "s1"), paid("q", "stripe", 7, "s2"), paid("r", "stripe", 7, "s2")], kind)
+    got = {(r.user_id, r.place): r.id for r in PY.account_payments(accounts, store, bills).collect()}
+    assert got == {("a", 1): "y", ("a", 2): "x", ("b", 1): "p", ("c", 1): "q", ("c", 2): "r"}
