@@ -16,9 +16,9 @@ def clean_title(value: Column) -> Column:
 
 
 def file_stem(name: Column) -> Column:
-    """The file name without folders and its last extension; a leading dot starts no extension."""
-    base = F.regexp_extract(name, r"([^/]*)/*$", 1)
-    return F.regexp_replace(base, r"(?<=.)\.[^.]+$", "")
+    """The file name without folders and its last extension; a leading dot starts no extension, a last one ends none."""
+    base = F.regexp_extract(name, r"([^/]*)(?:/+\.?)*\z", 1)
+    return F.regexp_replace(base, r"(?s)\A(.+)\.[^.]+\z", "$1")
 
 
 def sheet_title(title: Column, name: Column) -> Column:

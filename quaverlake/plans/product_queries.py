@@ -602,6 +602,20 @@ def _(spark, d):
     return B.documents(spark, d).select("doc_id", text.clean_title(F.col("text")).alias("title"))
 
 
+@query("F09_titles_of_files", r"""
+    SELECT doc_id, coalesce(nullif(title, ''), nullif(regexp_replace(regexp_extract(name, '([^/]*)(?:/+\.?)*$', 1), '(?s)^(.+)\.[^.]+$', '\1'), ''), nullif(name, '')) AS title
+    FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN nullif(trim(left(text, 30)), '') WHEN 1 THEN '' END AS title,
+                 CASE doc_id % 7 WHEN 0 THEN source || '/' || doc_id || '.v2.pdf' WHEN 1 THEN '.' || source WHEN 2 THEN source || '.' WHEN 3 THEN 'up/' || source || '.pdf//'
+                                 WHEN 4 THEN '' WHEN 5 THEN '/' END AS name FROM documents)""")
+def _(spark, d):
+    key, source = F.col("doc_id"), F.col("source")
+    name = (F.when(key % 7 == 0, F.concat(source, F.lit("/"), key.cast("string"), F.lit(".v2.pdf"))).when(key % 7 == 1, F.concat(F.lit("."), source))
+            .when(key % 7 == 2, F.concat(source, F.lit("."))).when(key % 7 == 3, F.concat(F.lit("up/"), source, F.lit(".pdf//")))
+            .when(key % 7 == 4, "").when(key % 7 == 5, "/"))
+    title = F.when(key % 3 == 0, F.nullif(F.trim(F.left("text", F.lit(30))), F.lit(""))).when(key % 3 == 1, "")
+    return B.documents(spark, d).select("doc_id", text.sheet_title(title, name).alias("title"))
+
+
 @query("F10_calendar", """
     SELECT event_id, CAST((tick - 25200) // 86400 AS BIGINT) AS day, strftime(make_timestamp(tick * 1000000), '%Y-%m-%d') AS date,
            (tick // 86400 + 1) * 86400 AS reset, 'daily#' || user_id || '#' || strftime(make_timestamp(tick * 1000000), '%Y-%m-%d') AS key

@@ -117,3 +117,12 @@ def test_payments_of_the_store_that_bills(spark):
     bills = spark.createDataFrame([paid("p", "stripe", None, "s1"), paid("q", "stripe", 7, "s2"), paid("r", "stripe", 7, "s2")], kind)
     got = {(r.user_id, r.place): r.id for r in PY.account_payments(accounts, store, bills).collect()}
     assert got == {("a", 1): "y", ("a", 2): "x", ("b", 1): "p", ("c", 1): "q", ("c", 2): "r"}
+
+
+def test_stems_of_file_names(spark):
+    from pathlib import PurePosixPath
+
+    from quaverlake.functions.text import file_stem
+    names = ["a.pdf", "x/y/b.tar.gz", ".hidden", ".a.b", "c", "d..e", "x.y/f", "g.pdf/", "h.pdf//", "i.pdf/.", "two\nlines.pdf", "end.pdf\n", "é ü.PDF", "", "/", "..", "  .x"]
+    got = {r.n: r.s for r in spark.createDataFrame([(n,) for n in names], "n string").select("n", file_stem(F.col("n")).alias("s")).collect()}
+    assert got == {n: PurePosixPath(n).stem for n in names}
