@@ -85,28 +85,67 @@ def velocity(notes: DataFrame, dynamics: DataFrame, keys: Sequence[str], chunk_w
 
 def ramps(wedges: DataFrame, dynamics: DataFrame, notes: DataFrame, keys: Sequence[str],
           chunk_width: float | None = None) -> DataFrame:
-    """W-15: a dynamic row for each note under a wedge, on the line from the dynamic before it to the one
-    at its end (16 louder or softer where none is printed)."""
+    """W-15: a dynamic row for each note under a wedge, on the line from the level at its start to the dynamic printed at its end
+    (16 louder or softer where none is).
+
+    Wedges of a part and staff take effect in the order of their ends. The level at a wedge's start is what the last wedge before it in that
+    order had reached by then, if that one holds notes that early; else the last printed dynamic, 80 without any. Wedges of one ``number``
+    follow each other, those of different numbers may overlap. A wedge without notes leaves nothing; equal ends go by ``seq``.
+    """
     line = [*keys, "part", "staff"]
     wedges = wedges.filter(F.col("value").isin("crescendo", "diminuendo", "stop"))
     w = previous(wedges, [*line, "number"], ["start_beat", "seq"], {"__kind": "value", "from_beat": "start_beat"},
                  _chunk("start_beat", chunk_width))
     pairs = w.filter((F.col("value") == "stop") & F.col("__kind").isin("crescendo", "diminuendo")
-                     & (F.col("start_beat") > F.col("from_beat")))
-    marks = dynamics.select(*line, "start_beat", F.col("seq").alias("__seq"), F.col("value").cast("double").alias("__level"))
-    pairs = settle(pairs, _chunk("start_beat", chunk_width))
-    opening = asof_join(pairs.select(*line, "number", F.col("from_beat").alias("start_beat"), F.col("start_beat").alias("to_beat"),
-                                     F.col("__kind").alias("kind")), marks, line, "start_beat", ["__level"], seq="__seq",
-                        defaults={"__level": DEFAULT_DYNAMIC}, chunk_width=chunk_width).withColumnRenamed("start_beat", "from_beat")
+                     & (F.col("start_beat") > F.col("from_beat"))).withColumnRenamed("start_beat", "to_beat")
+    pairs = settle(pairs, _chunk("to_beat", chunk_width))
+    pairs = cut_lineage(row_index(pairs, line, ["to_beat", "seq", "number"], "__rank", _chunk("to_beat", chunk_width)))
+    hit = cut_lineage(stab_join(notes.select(*line, "source_id", "start_beat"), pairs.select(*line, "__rank", "from_beat", "to_beat"), line,
+                                "start_beat", F.col("from_beat"), F.col("to_beat"), chunk_width or 64.0))
+    pairs = pairs.join(hit.groupBy(*line, "__rank").agg(F.min("start_beat").alias("__first")), [*line, "__rank"])
+    levels = _wedge_levels(pairs, dynamics, hit, line, chunk_width)
+    share = (F.col("start_beat") - F.col("from_beat")) / (F.col("to_beat") - F.col("from_beat"))
+    return (hit.join(levels, [*line, "__rank"])
+            .select(*line, "source_id", "start_beat", (F.col("__level") + (F.col("__goal") - F.col("__level")) * share).alias("value")))
+
+
+def _wedge_levels(pairs: DataFrame, dynamics: DataFrame, hit: DataFrame, line: Sequence[str], chunk_width: float | None) -> DataFrame:
+    """Level and goal of each wedge.
+
+    A wedge's level is a linear function of the level of the wedge it follows; functions of ever longer stretches of a chain are
+    composed, so the rounds grow with the logarithm of the longest chain.
+    """
+    marks = dynamics.select(*line, F.col("start_beat").alias("from_beat"), F.col("seq").alias("__seq"), F.col("value").cast("double").alias("__printed"))
     at_end = (dynamics.groupBy(*line, F.rint(F.col("start_beat") / STEP).cast("bigint").alias("__k"))
               .agg(F.min_by(F.col("value").cast("double"), F.struct("start_beat", "seq")).alias("__target")))
-    ends = opening.withColumn("__k", F.rint(F.col("to_beat") / STEP).cast("bigint")).join(at_end, [*line, "__k"], "left")
-    goal = F.coalesce("__target", F.col("__level") + F.when(F.col("kind") == "crescendo", 16).otherwise(-16))
-    spans = ends.select(*line, "from_beat", "to_beat", F.col("__level").alias("level"), goal.alias("goal"))
-    hit = stab_join(notes.select(*line, "source_id", "start_beat"), spans, line, "start_beat", F.col("from_beat"),
-                    F.col("to_beat"), chunk_width or 64.0)
-    share = (F.col("start_beat") - F.col("from_beat")) / (F.col("to_beat") - F.col("from_beat"))
-    return hit.select(*line, "source_id", "start_beat", (F.col("level") + (F.col("goal") - F.col("level")) * share).alias("value"))
+    spans = asof_join(pairs.select(*line, "number", "__rank", "from_beat", "to_beat", "__first", F.col("__kind").alias("kind")), marks, line, "from_beat",
+                      ["__printed"], seq="__seq", defaults={"__printed": DEFAULT_DYNAMIC}, chunk_width=chunk_width)
+    spans = cut_lineage(spans.withColumn("__k", F.rint(F.col("to_beat") / STEP).cast("bigint")).join(at_end, [*line, "__k"], "left").drop("__k"))
+
+    # Of each number, the last wedge with notes by this one's start; if that ends later than this one, the one before it.
+    lanes = previous(spans, [*line, "number"], ["__rank"], {"__before": "__rank"}, _chunk("to_beat", chunk_width))
+    asks = spans.select(*line, "__rank", "from_beat").join(spans.select(*line, "number").distinct(), list(line))
+    found = asof_join(asks, lanes.select(*line, "number", F.col("__first").alias("from_beat"), F.col("__rank").alias("__near"), "__before"),
+                      [*line, "number"], "from_beat", ["__near", "__before"], chunk_width=chunk_width)
+    after = (found.groupBy(*line, "__rank", "from_beat").agg(F.max(F.when(F.col("__near") < F.col("__rank"), F.col("__near")).otherwise(F.col("__before"))).alias("__up"))
+             .filter(F.col("__up").isNotNull()))
+    after = asof_join(after, hit.select(*line, F.col("__rank").alias("__up"), F.col("start_beat").alias("from_beat"), F.col("start_beat").alias("__at")),
+                      [*line, "__up"], "from_beat", ["__at"], chunk_width=chunk_width)
+
+    change = F.when(F.col("kind") == "crescendo", 16.0).otherwise(-16.0)
+    upper = spans.select(*line, F.col("__rank").alias("__up"), F.col("from_beat").alias("__f"), F.col("to_beat").alias("__t"), "__target", change.alias("__change"))
+    share = (F.col("__at") - F.col("__f")) / (F.col("__t") - F.col("__f"))
+    links = after.join(upper, [*line, "__up"]).select(
+        *line, "__rank", "__up", F.when(F.col("__target").isNull(), 1.0).otherwise(1.0 - share).alias("__a"), (F.coalesce("__target", "__change") * share).alias("__b"))
+    chain = cut_lineage(spans.join(links, [*line, "__rank"], "left").select(
+        *line, "__rank", "__up", F.coalesce("__a", F.lit(0.0)).alias("__a"), F.when(F.col("__up").isNull(), F.col("__printed")).otherwise(F.col("__b")).alias("__b")))
+    while not chain.filter(F.col("__up").isNotNull()).isEmpty():
+        before = chain.select(*line, F.col("__rank").alias("__up"), F.col("__up").alias("__up2"), F.col("__a").alias("__a2"), F.col("__b").alias("__b2"))
+        chain = cut_lineage(chain.join(before, [*line, "__up"], "left").select(
+            *line, "__rank", F.col("__up2").alias("__up"), F.when(F.col("__up").isNull(), F.col("__a")).otherwise(F.col("__a") * F.col("__a2")).alias("__a"),
+            F.when(F.col("__up").isNull(), F.col("__b")).otherwise(F.col("__a") * F.col("__b2") + F.col("__b")).alias("__b")))
+    return (spans.join(chain.select(*line, "__rank", F.col("__b").alias("__level")), [*line, "__rank"])
+            .select(*line, "__rank", "__level", F.coalesce("__target", F.col("__level") + change).alias("__goal")))
 
 
 # --- sounding events -----------------------------------------------------------------------------

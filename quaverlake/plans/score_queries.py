@@ -619,18 +619,30 @@ def _(spark, d):
     return out.select("doc_id", "source_id", "velocity", "key_duration")
 
 
-@query("W15_ramps", with_ctes("timed") + f"""
-    , w AS (SELECT *, CASE flag WHEN 'N' THEN 'crescendo' WHEN 'A' THEN 'diminuendo' ELSE 'stop' END AS kind FROM timed WHERE line_number IN (2, 5)),
-    p AS (SELECT *, lag(kind) OVER o AS pk, lag(start_beat) OVER o AS f FROM w WINDOW o AS (PARTITION BY doc_id, staff ORDER BY start_beat, slot)),
-    s AS (SELECT doc_id, staff, f AS start_beat, start_beat AS t, pk FROM p WHERE kind = 'stop' AND pk <> 'stop' AND start_beat > f),
-    l AS (SELECT *, coalesce({_DYN}.v, 80) AS level FROM s n),
-    g AS (SELECT l.*, coalesce((SELECT first(40 + m.part_key % 60 ORDER BY m.slot) FROM timed m WHERE m.line_number = 3 AND m.doc_id = l.doc_id AND m.staff = l.staff
-                 AND m.start_beat = l.t), level + CASE WHEN pk = 'crescendo' THEN 16 ELSE -16 END) AS goal FROM l)
-    SELECT n.doc_id, n.source_id, n.start_beat, round(level + (goal - level) * (n.start_beat - g.start_beat) / (g.t - g.start_beat), 6) AS value
-    FROM timed n JOIN g ON n.doc_id = g.doc_id AND n.staff = g.staff AND n.start_beat >= g.start_beat AND n.start_beat < g.t""".replace("\n    , w", ", w"))
+@query("W15_ramps", with_ctes("timed").replace("WITH", "WITH RECURSIVE", 1) + f"""
+    , w AS (SELECT *, CASE flag WHEN 'N' THEN 'crescendo' WHEN 'A' THEN 'diminuendo' ELSE 'stop' END AS kind, slot % 3 = 0 AS nr FROM timed WHERE line_number IN (2, 5)),
+    p AS (SELECT *, lag(kind) OVER o AS pk, lag(start_beat) OVER o AS f FROM w WINDOW o AS (PARTITION BY doc_id, staff, nr ORDER BY start_beat, slot)),
+    s AS (SELECT *, row_number() OVER (PARTITION BY doc_id, staff ORDER BY t, slot) AS r FROM (
+          SELECT doc_id, staff, slot, f AS start_beat, start_beat AS t, pk, (SELECT min(n.start_beat) FROM timed n WHERE n.doc_id = p.doc_id AND n.staff = p.staff
+                 AND n.start_beat >= p.f AND n.start_beat < p.start_beat) AS first_note
+          FROM p WHERE kind = 'stop' AND pk <> 'stop' AND start_beat > f) WHERE first_note IS NOT NULL),
+    g AS (SELECT n.*, coalesce({_DYN}.v, 80) AS printed, CASE WHEN pk = 'crescendo' THEN 16.0::DOUBLE ELSE -16.0::DOUBLE END AS change,
+            (SELECT first(40 + m.part_key % 60 ORDER BY m.slot) FROM timed m WHERE m.line_number = 3 AND m.doc_id = n.doc_id AND m.staff = n.staff
+             AND m.start_beat = n.t) AS target,
+            (SELECT max(i.r) FROM s i WHERE i.doc_id = n.doc_id AND i.staff = n.staff AND i.r < n.r AND i.first_note <= n.start_beat) AS up FROM s n),
+    v AS (SELECT doc_id, staff, r, printed::DOUBLE AS level FROM g WHERE up IS NULL
+          UNION ALL
+          SELECT j.doc_id, j.staff, j.r, v.level + (coalesce(i.target, v.level + i.change) - v.level)
+                 * ((SELECT max(n.start_beat) FROM timed n WHERE n.doc_id = i.doc_id AND n.staff = i.staff AND n.start_beat >= i.start_beat AND n.start_beat < i.t
+                     AND n.start_beat <= j.start_beat) - i.start_beat) / (i.t - i.start_beat)
+          FROM v JOIN g i ON i.doc_id = v.doc_id AND i.staff = v.staff AND i.r = v.r JOIN g j ON j.doc_id = v.doc_id AND j.staff = v.staff AND j.up = v.r)
+    SELECT n.doc_id, n.source_id, n.start_beat, round(level + (coalesce(target, level + change) - level) * (n.start_beat - g.start_beat) / (g.t - g.start_beat), 6) AS value
+    FROM timed n JOIN g ON n.doc_id = g.doc_id AND n.staff = g.staff AND n.start_beat >= g.start_beat AND n.start_beat < g.t
+    JOIN v ON v.doc_id = g.doc_id AND v.staff = g.staff AND v.r = g.r""".replace("\n    , w", ", w"))
 def _(spark, d):
     kind = F.when(F.col("flag") == "N", "crescendo").when(F.col("flag") == "A", "diminuendo").otherwise("stop")
-    wedges = marked(spark, d, 2, 5).select("doc_id", "part", "staff", F.lit("1").alias("number"), "start_beat", F.col("slot").alias("seq"), kind.alias("value"))
+    wedges = marked(spark, d, 2, 5).select("doc_id", "part", "staff", F.when(F.col("slot") % 3 == 0, "1").otherwise("2").alias("number"), "start_beat",
+                                           F.col("slot").alias("seq"), kind.alias("value"))
     out = P.ramps(wedges, _dynamics(spark, d), timed(spark, d), DOC, 64.0)
     return out.select("doc_id", "source_id", "start_beat", F.round("value", 6).alias("value"))
 

@@ -224,6 +224,46 @@ def test_a_wedge_keeps_going_over_a_continue_mark(spark):
     assert got == {"n0": 60.0, "n1": 64.0, "n2": 68.0, "n3": 72.0}
 
 
+def _ramped(wedges, dynamics, notes):
+    """The rule as a loop over stops: samples come after all printed dynamics, in the order in which wedges end."""
+    printed, samples, waiting, out = sorted(dynamics), [], {}, {}
+    for beat, seq, number, kind in sorted(wedges):
+        if kind != "stop":
+            waiting[number] = (beat, kind)
+        elif number in waiting:
+            start, what = waiting.pop(number)
+            level = ([80.0] + [v for at, _, v in printed if at <= start] + [v for at, v in samples if at <= start])[-1]
+            goal = next((v for at, _, v in printed if abs(at - beat) < 1e-6), level + (16 if what == "crescendo" else -16))
+            for n in sorted(notes):
+                if start <= n < beat:
+                    value = level + (goal - level) * (n - start) / (beat - start)
+                    samples.append((n, value))
+                    out.setdefault((n, round(value, 6)), 0)
+                    out[n, round(value, 6)] += 1
+    return out
+
+
+def test_later_wedges_start_from_what_earlier_ones_reached(spark):
+    r = random.Random(5)
+    docs = []
+    for d in range(40):
+        wedges = [(r.randrange(60) / 2, i, r.choice("12"), r.choice(["crescendo", "diminuendo", "stop", "stop"])) for i in range(r.choice([2, 5, 40]))]
+        dynamics = [(r.randrange(60) / 2, i, float(r.randrange(30, 110))) for i in range(r.choice([0, 2, 9]))]
+        docs.append((wedges, dynamics, [r.randrange(60) / 2 for _ in range(r.choice([4, 25]))]))
+    w = [(d, 0, 1, n, at, i, k) for d, (ws, _, _) in enumerate(docs) for at, i, n, k in ws]
+    m = [(d, 0, 1, at, i, v) for d, (_, ds, _) in enumerate(docs) for at, i, v in ds]
+    n = [(d, 0, 1, f"n{i}", at) for d, (_, _, ns) in enumerate(docs) for i, at in enumerate(ns)]
+    frames = (spark.createDataFrame(w, "d int, part int, staff int, number string, start_beat double, seq int, value string"),
+              spark.createDataFrame(m, "d int, part int, staff int, start_beat double, seq int, value double"),
+              spark.createDataFrame(n, "d int, part int, staff int, source_id string, start_beat double"))
+    for width in (None, 4.0):
+        got = {}
+        for row in P.ramps(*frames, ["d"], width).collect():
+            key = (row.d, row.start_beat, round(row.value, 6))
+            got[key] = got.get(key, 0) + 1
+        assert got == {(d, *k): c for d, doc in enumerate(docs) for k, c in _ramped(*doc).items()}
+
+
 def test_pedal_is_lifted_after_the_jump_restores_it(spark):
     order = spark.createDataFrame([(0, i, m, 4.0 * i) for i, m in enumerate([0, 1, 0])], "d int, position long, measure_index long, start_beat double")
     events = spark.createDataFrame([(0, 0, 0.0, 0, "pedal", 0, 1, "start")], "d int, measure_index long, beat double, seq int, kind string, part long, staff long, value string")
