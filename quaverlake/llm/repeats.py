@@ -9,6 +9,7 @@ Here a rank is the 64-bit name of the bytes themselves, so pairs need no look-up
   set occurs elsewhere, and the set drops out. Hull found twice: all its windows are repeats, and the set is done. Otherwise it is cut into
   smaller sets, whose cores are longer (40, 169, 193, then 200 bytes), and ranked again.
 
+Texts are written once, each text once, in buckets of their names; the rounds shuffle only sets to them, never texts, at every size of input.
 Each round is a grouping by core and one by hull. Of equal hulls one stands for all in later rounds, so a hot passage costs no more than its
 distinct surroundings. Equal texts are one text that repeats as a whole.
 """
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaverlake.llm import words
-from quaverlake.llm.tables import map_batches, sized, spare, written
+from quaverlake.llm.tables import bucketed, map_batches, sized, spare, written
 
 #: Bytes of a long text looked at together; windows that cross the end are seen with the next part.
 PART_BYTES = 1 << 17
@@ -94,15 +95,12 @@ def _batch(*columns: np.ndarray) -> pa.RecordBatch:
 
 
 def _all_runs(texts: DataFrame, length: int, anchor: int) -> DataFrame:
-    """Blocks of the first round: every run of every text, a text that a task meets again left out."""
+    """Blocks of the first round: every run of every text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
             nodes = batch.column(0).to_numpy()
-            fresh = np.array([x not in seen and not seen.add(x) for x in nodes.tolist()], bool)
-            texts_, nodes = batch.column(1).filter(pa.array(fresh)), nodes[fresh]
-            for rows, data, bounds, begin in _parts(texts_, length):
+            for rows, data, bounds, begin in _parts(batch.column(1), length):
                 if len(data) < length:
                     continue
                 names, row, first, last, place = _runs(data, bounds, length, anchor)
@@ -117,15 +115,11 @@ def _all_runs(texts: DataFrame, length: int, anchor: int) -> DataFrame:
 def _cut(texts: DataFrame, sets: DataFrame, size: int, length: int, anchor: int) -> DataFrame:
     """Blocks of a later round: the given sets (node, first, last, place, need) cut by offset, named from their texts."""
     code = F.shiftleft("first", 21) + F.shiftleft(F.col("last") - F.col("first"), 11) + F.shiftleft(F.col("place") - F.col("first"), 1) + F.col("need").cast("long")
-    by_text = written(sets.groupBy("node").agg(F.collect_list(code).alias("sets")))
+    by_text = sets.groupBy("node").agg(F.collect_list(code).alias("sets"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
             for node, text, item in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                if node in seen:
-                    continue
-                seen.add(node)
                 data = np.frombuffer(text.as_buffer(), np.uint8)
                 sets_ = item.values.to_numpy()
                 first = sets_ >> 21
@@ -149,7 +143,7 @@ def _cut(texts: DataFrame, sets: DataFrame, size: int, length: int, anchor: int)
                     yield _batch(core, hull, np.full(upto - done, node, np.int64), begin[part], end[part], place[at[part]], need[at[part]])
                     done = upto
 
-    return map_batches(texts.join(sized(by_text), "node"), ["node", F.col("text").cast("binary").alias("text"), "sets"], work, BLOCKS)
+    return map_batches(texts.join(by_text.hint("shuffle_hash"), "node"), ["node", F.col("text").cast("binary").alias("text"), "sets"], work, BLOCKS)
 
 
 def _ranked(blocks: DataFrame) -> DataFrame:
@@ -164,25 +158,34 @@ def _settled(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     mixed = blocks.where("mixed")
     hulls = written(mixed.groupBy("core", "hull").agg(F.count("*").alias("c"), F.max("need").alias("need"), F.min(F.struct("node", "first", "last", "place")).alias("at"))
                     .withColumn("open", F.expr("need AND c = 1")))
-    found = mixed.where("need").join(sized(written(hulls.where("c > 1").select("core", "hull"))), ["core", "hull"], "left_semi").select("node", "first", "last")
-    open_cores = written(hulls.where("open").select("core").distinct())
-    rest = hulls.join(sized(open_cores), "core", "left_semi").select("at.*", F.col("open").alias("need"))
+    found = mixed.where("need").join(hulls.where("c > 1").select("core", "hull").hint("merge"), ["core", "hull"], "left_semi").select("node", "first", "last")
+    rest = hulls.join(hulls.where("open").select("core").distinct().hint("merge"), "core", "left_semi").select("at.*", F.col("open").alias("need"))
     return alike.union(found), rest
 
 
+def distinct_texts(texts: DataFrame) -> DataFrame:
+    """(node, text, c) of each text once with its count, in buckets of node. ``texts`` has node (a name of the text) and text."""
+    return bucketed(texts.groupBy("node").agg(F.first("text").alias("text"), F.count("*").alias("c")), "node")
+
+
 def repeated_windows(texts: DataFrame, length: int, anchor: int) -> DataFrame:
     """(node, first, last): ranges of windows of ``length`` bytes that start in two places or more. ``texts`` has node (a name of the text) and text."""
+    return windows_of_distinct(distinct_texts(texts), length, anchor)
+
+
+def windows_of_distinct(texts: DataFrame, length: int, anchor: int) -> DataFrame:
+    """``repeated_windows`` of what ``distinct_texts`` gives."""
     if not 0 < length - anchor < 1024:
         raise ValueError("length must be above anchor by less than 1024")
-    first = written(_all_runs(texts, length, anchor).join(sized(_ranked(_all_runs(texts, length, anchor))), "core"))
+    first = written(_all_runs(texts, length, anchor).join(_ranked(_all_runs(texts, length, anchor)).hint("merge"), "core"))
     found, rest = _settled(first)
     ranges = [found]
     for size in SETS:
         blocks = written(_cut(texts, rest, size, length, anchor))
-        found, rest = _settled(written(blocks.join(sized(_ranked(blocks)), "core")))
+        found, rest = _settled(written(blocks.join(_ranked(blocks).hint("merge"), "core")))
         ranges.append(found)
-    copies = texts.groupBy("node").agg(F.count("*").alias("c"), (F.any_value(F.octet_length("text")).cast("long") - length).alias("last")).where("c > 1 AND last >= 0")
-    out = copies.select("node", F.lit(0).cast("long").alias("first"), "last")
+    whole = (F.octet_length("text").cast("long") - length).alias("last")
+    out = texts.where("c > 1").select("node", F.lit(0).cast("long").alias("first"), whole).where("last >= 0")
     for one in ranges:
         out = out.union(one)
     return out
@@ -198,8 +201,8 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     kind = "string" if docs.schema[id_col].dataType.simpleString() == "string" else "long"
     named = docs.select(F.col(f"`{id_col}`").cast(kind).alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
-    ranges = repeated_windows(named.select("node", "text"), length, anchor)
-    by_text = written(ranges.distinct().groupBy("node").agg(F.flatten(F.collect_list(F.array("first", "last"))).alias("ranges")))
+    texts = distinct_texts(named.select("node", "text"))
+    by_text = (windows_of_distinct(texts, length, anchor).distinct().groupBy("node").agg(F.flatten(F.collect_list(F.array("first", "last"))).alias("ranges")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,11 +223,12 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 for column, value in zip(out, (n, removed, spans, hashlib.sha256(kept).hexdigest(), bytes(kept).decode("utf-8", "ignore") if keep_text else None), strict=True):
                     column.append(value)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["node", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    got = map_batches(named.join(sized(by_text), "node", "left"), ["id", F.col("text").cast("binary").alias("text"), "ranges"], work,
-                      f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string").withColumnRenamed("id", id_col)
-    return got if keep_text else got.drop("kept")
+    got = map_batches(texts.join(by_text.hint("shuffle_hash"), "node", "left"), ["node", F.col("text").cast("binary").alias("text"), "ranges"], work,
+                      "node long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    got = named.select("id", "node").join(got if keep_text else got.drop("kept"), "node").drop("node")
+    return got.withColumnRenamed("id", id_col)
 
 
 def strip_repeats(docs: DataFrame, *, text_col: str = "text", length: int = 200, anchor: int = 40) -> DataFrame:

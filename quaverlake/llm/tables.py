@@ -39,6 +39,18 @@ def sized(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if table_bytes(df) <= limit else df
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """``df`` as a table in the shared folder, in as many buckets of ``key`` as the session has shuffle partitions: a join on ``key`` shuffles
+    only its other side. The catalogue forgets the table at once, its files stay."""
+    spark = df.sparkSession
+    name = f"bucketed_{uuid.uuid4().hex}"
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("path", shared_path(spark)).bucketBy(count, key).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
 def spare(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it until no column of ``df`` is called so."""
     taken = {c.lower() for c in df.columns}
