@@ -138,7 +138,8 @@ def _calibrated(margin: np.ndarray, good: np.ndarray) -> tuple[float, float]:
 def fit(sample: DataFrame, *, cost: float = 1.0, blend: float = 0.25) -> Model:
     """Fits a sample of (text, label); four of five rows give the weights, the fifth the calibration.
 
-    Each weight is drawn to the mean size of all by ``1 - blend``. A sample without rows of both labels scores all texts alike, near its label.
+    The weight of each n-gram of those rows is drawn to their mean size by ``1 - blend``, so what it adds comes near its ratio alone, naive
+    Bayes; an n-gram that they don't hold weighs nothing. A sample without rows of both labels scores all texts alike, near its label.
     """
     ratio = _ratios(sample)
 
@@ -163,8 +164,8 @@ def fit(sample: DataFrame, *, cost: float = 1.0, blend: float = 0.25) -> Model:
     if good[train].all() or not good[train].any():
         probe = train = order
     w = descend([held[i] for i in train], [values[i] for i in train], np.where(good[train], 1.0, -1.0), 1 << BITS, cost=cost)
-    size = float(np.abs(w[:-1]).mean())
-    w[:-1] = (1 - blend) * size * np.sign(w[:-1]) + blend * w[:-1]
+    seen = np.unique(np.concatenate([held[i] for i in train]))
+    w[seen] = (1 - blend) * (np.abs(w[seen]).mean() if len(seen) else 0.0) + blend * w[seen]
     margin = np.array([w[held[i]] @ values[i] + w[-1] for i in probe])
     scale = float(np.abs(margin).mean()) or 1.0
     slope, offset = _calibrated(margin / scale, good[probe])

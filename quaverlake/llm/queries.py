@@ -70,7 +70,7 @@ def op8_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quaverlake.llm.nbsvm import quality
     docs = table(spark, sf_dir, "documents")
     got = quality(docs, table(spark, sf_dir, "labels"), train=F.crc32(F.col("id").cast("string")) % 5 != 0)
-    return got.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score", "predicted")
+    return got.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True)).alias("held_out"), "score", "predicted")
 
 
 @query

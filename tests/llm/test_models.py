@@ -1,6 +1,7 @@
 """Fitted models on held-out rows, and operators on other tables."""
 
 import collections
+import math
 
 import numpy as np
 import pytest
@@ -76,6 +77,62 @@ def test_dual_descent_meets_the_optimum():
     assert all(loss(w + 0.02 * d) >= best - 1e-3 for d in r.normal(size=(300, 6)))
 
 
+def test_quality_equals_a_plain_loop(spark):
+    import pyarrow as pa
+
+    from quaverlake.llm import nbsvm
+    r = np.random.default_rng(3)
+    rows = [(" ".join(r.choice(["alpha", "BETA", "c3", "delta.", "eps"] if y else ["alpha", "zeta", "ETA", "th!", "c3"], r.integers(1, 12))), int(y)) for y in r.integers(0, 2, 90)]
+    rows += [("", 0), (None, 1), rows[0], rows[0]]
+    model = nbsvm.fit(spark.createDataFrame(rows, "text string, label int").repartition(3), blend=0.25)
+
+    held = []
+    for text, _ in rows:
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        held.append(sorted({int(f) for f in nbsvm.features(data, np.array([0, len(data)]))[0]}))
+    counts = {0: collections.Counter(), 1: collections.Counter()}
+    for (_, y), fs in zip(rows, held, strict=True):
+        counts[y].update(fs)
+    total = {y: sum(c.values()) + (1 << nbsvm.BITS) for y, c in counts.items()}
+
+    def ratio(f):
+        return math.log((counts[1][f] + 1) / total[1]) - math.log((counts[0][f] + 1) / total[0])
+
+    known = sorted(set(counts[0]) | set(counts[1]))
+    assert np.allclose(model.squares[known], [ratio(f) ** 2 for f in known], rtol=1e-4, atol=1e-6)
+    # The same descent over dense rows, blended by the published rule.
+    order = sorted(range(len(rows)), key=lambda i: nbsvm.hash_row(np.array(held[i], np.int64)))
+    train = [i for k, i in enumerate(order) if k % 5]
+    place = {f: k for k, f in enumerate(known)}
+    values = [np.array([ratio(f) for f in held[i]]) / max(1e-9, math.sqrt(sum(ratio(f) ** 2 for f in held[i]))) for i in train]
+    w = nbsvm.descend([np.array([place[f] for f in held[i]], np.int64) for i in train], values, np.array([1.0 if rows[i][1] else -1.0 for i in train]), len(known))
+    seen = {f for i in train for f in held[i]}
+    mean = sum(abs(w[place[f]]) for f in seen) / len(seen)
+    want = [ratio(f) * (0.75 * mean + 0.25 * w[place[f]]) if f in seen else 0.0 for f in known]
+    assert np.allclose(model.weights[known], want, rtol=1e-3, atol=1e-5)
+    got = nbsvm.score(model, pa.array([t for t, _ in rows]))
+    for g, fs in zip(got, held, strict=True):
+        size = math.sqrt(sum(float(model.squares[f]) for f in fs))
+        margin = sum(float(model.weights[f]) for f in fs) / max(size, 1e-9) + model.bias
+        assert g == pytest.approx(1 / (1 + math.exp(-(model.slope * margin + model.offset))), abs=1e-6)
+
+
+def test_quality_of_odd_rows(spark):
+    from quaverlake.llm.nbsvm import quality
+    schema = "doc_id long, text string, label int, score double"
+    docs = spark.createDataFrame([(1, "good words", 1, 0.0), (1, "good words", 1, 0.0), (2, "poor stuff", 0, 0.0), (None, "good words", None, 0.0), (3, None, None, 0.0),
+                                  (4, "", None, 0.0), (5, "poor " * 400_000, None, 0.0)], schema)
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    got = [(g.doc_id, g.score) for g in quality(docs, labels).collect()]
+    assert collections.Counter(i for i, _ in got) == {1: 2, 2: 1, None: 1, 3: 1, 4: 1, 5: 1}
+    scores = collections.defaultdict(set)
+    for i, s in got:
+        scores[i].add(s)
+    assert scores[1] == scores[None] and len(scores[1]) == 1 and scores[3] == scores[4] and all(0 <= s <= 1 for _, s in got)
+    assert quality(docs.limit(0), labels).count() == 0
+    assert {g.score for g in quality(docs, labels.limit(0)).collect()} == {0.5}
+
+
 def test_quality_of_held_out_rows(spark):
     from quaverlake.llm.queries import QUERIES
     got = QUERIES["op8_nbsvm_quality"](spark, SF)
