@@ -532,7 +532,27 @@ def _(spark, d):
     return Q.longest_bar(measures(spark, d), ["doc_id", "page"])
 
 
-@query("A30_choose_variants")
+def _variant_step(i: int) -> str:
+    """One variant tried: its scores, whether it is passed over, whether it wins, then the state after it."""
+    h = f"(heads + {i})"
+    dpi = "true" if i < 2 else "false"
+    return f""", n{i} AS (SELECT t.*, (heads + {h} % 5 - 2)::DOUBLE AS c1, least(1.0::DOUBLE, (placed + {h} % 4 - 1)::DOUBLE / heads) AS p1, 8.0::DOUBLE + {h} % 11 AS b1,
+      0.66::DOUBLE + ({h} % 8)::DOUBLE / 50.0::DOUBLE AS q1, CASE WHEN doc_id % 7 <> 0 THEN (placed + {h} % 3)::DOUBLE END AS s1,
+      CASE WHEN doc_id % 7 <> 0 THEN (heads - placed + {h} % 4)::DOUBLE END AS u1,
+      NOT (kept IS NOT NULL AND p0 >= 0.9::DOUBLE) AND NOT ({dpi} AND NOT coalesce(helped, true)) AS tried FROM t{i} t),
+    w{i} AS (SELECT *, tried AND NOT (c1 < c0 * 0.9::DOUBLE OR p1 < p0 - 0.03::DOUBLE OR (b0 <> 0 AND b1 > b0 * 2) OR (s0 IS NOT NULL AND s1 IS NULL)
+        OR coalesce(s1 - s0 < 0 OR u1 - u0 > greatest(2, s1 - s0), false))
+      AND (p1 >= p0 + 0.03::DOUBLE OR (c1 > c0 AND q1 >= q0 - 0.03::DOUBLE) OR (p1 >= p0 AND q1 >= q0 + 0.03::DOUBLE)) AS wins FROM n{i}),
+    t{i + 1} AS (SELECT doc_id, page, heads, placed, CASE WHEN wins THEN c1 ELSE c0 END AS c0, CASE WHEN wins THEN p1 ELSE p0 END AS p0, CASE WHEN wins THEN b1 ELSE b0 END AS b0,
+      CASE WHEN wins THEN q1 ELSE q0 END AS q0, CASE WHEN wins THEN s1 ELSE s0 END AS s0, CASE WHEN wins THEN u1 ELSE u0 END AS u0,
+      CASE WHEN wins THEN {i} ELSE kept END AS kept, CASE WHEN tried AND {dpi} THEN c1 > heads * 1.05::DOUBLE ELSE helped END AS helped FROM w{i})"""
+
+
+@query("A30_choose_variants", with_ctes("page_stats").rstrip() + """
+    , t0 AS (SELECT doc_id, page, heads, placed, heads::DOUBLE AS c0, placed::DOUBLE / heads AS p0, 8.0::DOUBLE AS b0, 0.7::DOUBLE AS q0,
+      CASE WHEN doc_id % 3 <> 0 THEN placed::DOUBLE END AS s0, CASE WHEN doc_id % 3 <> 0 THEN (heads - placed)::DOUBLE END AS u0,
+      NULL::INTEGER AS kept, NULL::BOOLEAN AS helped FROM page_stats)""" + "".join(_variant_step(i) for i in range(4)) + """
+    SELECT doc_id, page, kept, c0 AS "count", p0 AS placed, b0 AS longest_bar, q0 AS quality, s0 AS positioned, u0 AS unverified FROM t4""")
 def _(spark, d):
     vs = None
     for i in range(4):
