@@ -6,7 +6,7 @@ Each function reads only the columns it needs, so Parquet column pruning works t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaverlake.functions.times import DAY, to_epoch
@@ -130,19 +130,24 @@ REPORT_SECONDS = 600
 
 
 def reports_of(events: DataFrame) -> DataFrame:
+    """The reports that the service accepts."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    return all_reports_of(events.filter(F.floor(F.col("value")) <= REPORT_SECONDS), F.floor(F.col("value")).cast("bigint").alias("seconds"),
+                          _recode(F.col("event_type"), CONTROL_OF_TYPE).alias("control"), F.floor(k / 10).cast("bigint").alias("uses"))
+
+
+def all_reports_of(events: DataFrame, seconds: Column, *used: Column) -> DataFrame:
+    """A report of every event, with the seconds and the use of controls that are given."""
     at = to_epoch(F.col("ts"))
     user = F.col("user_id")
     k = F.get_json_object("props", "$.k").cast("int")
     practice = F.col("event_type").isin("click", "purchase")
-    return events.filter(F.floor(F.col("value")) <= REPORT_SECONDS).select(
+    return events.select(
         user.cast("string").alias("user_id"),
         F.concat(user.cast("string"), F.lit("-"), F.floor(at / 1800).cast("string")).alias("session_id"),
         k.cast("string").alias("job_id"), F.when(practice, "practice").otherwise("sheet").alias("surface"),
         F.when(user % 2 == 1, "ios").otherwise("web").alias("platform"),
-        F.floor(F.col("value")).cast("bigint").alias("seconds"),
-        F.floor(F.col("value") / 2).cast("bigint").alias("playing_seconds"),
-        _recode(F.col("event_type"), CONTROL_OF_TYPE).alias("control"),
-        F.floor(k / 10).cast("bigint").alias("uses"), (user % 50 == 0).alias("admin"),
+        seconds, F.floor(F.col("value") / 2).cast("bigint").alias("playing_seconds"), *used, (user % 50 == 0).alias("admin"),
         at.alias("at"), F.col("event_id").alias("seq"))
 
 

@@ -126,3 +126,16 @@ def test_stems_of_file_names(spark):
     names = ["a.pdf", "x/y/b.tar.gz", ".hidden", ".a.b", "c", "d..e", "x.y/f", "g.pdf/", "h.pdf//", "i.pdf/.", "two\nlines.pdf", "end.pdf\n", "é ü.PDF", "", "/", "..", "  .x"]
     got = {r.n: r.s for r in spark.createDataFrame([(n,) for n in names], "n string").select("n", file_stem(F.col("n")).alias("s")).collect()}
     assert got == {n: PurePosixPath(n).stem for n in names}
+
+
+def test_every_report_is_judged(spark, tmp_path):
+    """A report of more seconds than are accepted has a verdict too."""
+    import duckdb
+    from oracle import compare
+
+    from quaverlake.plans import all_queries, all_sql
+    con = duckdb.connect()
+    con.execute("""CREATE TABLE events AS SELECT i AS event_id, TIMESTAMP '2024-01-02 10:00:00' + to_seconds(i) AS ts, i % 3 AS user_id,
+                   CASE i % 2 WHEN 0 THEN 'view' ELSE 'error' END AS event_type, i * 173.5 AS value, '{"k": ' || i || '}' AS props FROM range(12) t(i)""")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet'")
+    assert compare(all_queries()["P01_validate_reports"](spark, str(tmp_path)), con, all_sql()["P01_validate_reports"]) is None
