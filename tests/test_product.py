@@ -139,3 +139,22 @@ def test_every_report_is_judged(spark, tmp_path):
                    CASE i % 2 WHEN 0 THEN 'view' ELSE 'error' END AS event_type, i * 173.5 AS value, '{"k": ' || i || '}' AS props FROM range(12) t(i)""")
     con.execute(f"COPY events TO '{tmp_path}/events.parquet'")
     assert compare(all_queries()["P01_validate_reports"](spark, str(tmp_path)), con, all_sql()["P01_validate_reports"]) is None
+
+
+def test_ranks_of_many_values(spark):
+    """Approximate slices are computed once: the ranks are exact however often the rows are read."""
+    from quaverlake.operators.ranks import percentile_ranks
+    n = 60_000
+    rows = spark.range(0, n, 1, 40).select((F.col("id") % 2).alias("g"), (F.xxhash64("id") % 1_000_000_000).alias("v"))
+    ranks = percentile_ranks(rows, "v", {"p10": 0.1, "p50": 0.5, "p95": 0.95, "top": 1.0}, ["g"])
+    assert "percentile_approx" not in ranks._jdf.queryExecution().toString()
+    told = {r.g: (r.p10, r.p50, r.p95, r.top) for r in ranks.collect()}
+    for g in (0, 1):
+        v = sorted(r.v for r in rows.filter(F.col("g") == g).collect())
+        assert told[g] == tuple(v[min(len(v) - 1, int(f * len(v)))] for f in (0.1, 0.5, 0.95, 1.0))
+
+
+def test_ranks_of_a_missing_key(spark):
+    from quaverlake.operators.ranks import percentile_rank
+    rows = spark.createDataFrame([(None, 1), (None, 2), ("a", 5)], "k string, v int")
+    assert {(r.k, r.value) for r in percentile_rank(rows, "v", 0.5, ["k"]).collect()} == {(None, 2), ("a", 5)}
