@@ -168,13 +168,13 @@ def score_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as notes: an order is a score, a line a note, four notes a bar.
 
     The slot is the line's place in its order; the pair (order, line number) is not unique, so all
-    columns break ties and equal rows share their values anyway.
+    columns break ties and equal rows share their values anyway. An order's lines are few by its meaning, so one
+    exchange by the order places them, and what follows by document finds them together.
     """
     li = table(spark, sf_dir, "lineitem")
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
              "l_shipdate", "l_returnflag", "l_linestatus"]
-    chunk = F.floor(F.col("l_linenumber") / 1000).cast("bigint")
-    return (row_index(li, ["l_orderkey"], order, "slot", chunk)
+    return (row_index(li, ["l_orderkey"], order, "slot")
             .withColumn("slot", F.col("slot") - 1)
             .select(F.col("l_orderkey").alias("doc_id"), "slot",
                     F.floor(F.col("slot") / 4).cast("bigint").alias("measure"),

@@ -158,3 +158,10 @@ def test_ranks_of_a_missing_key(spark):
     from quaverlake.operators.ranks import percentile_rank
     rows = spark.createDataFrame([(None, 1), (None, 2), ("a", 5)], "k string, v int")
     assert {(r.k, r.value) for r in percentile_rank(rows, "v", 0.5, ["k"]).collect()} == {(None, 2), ("a", 5)}
+
+
+def test_lines_of_an_order_move_once(spark):
+    """The notes of a document are placed by one exchange, and what groups by document finds them together."""
+    from quaverlake.plans.page_queries import heads
+    h = heads(spark, "/root/testdata/sf0.001")
+    assert h.groupBy("doc_id", "page").count()._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
