@@ -66,6 +66,11 @@ def marked(spark, d, *line_numbers):
     return timed(spark, d).filter(F.col("line_number").isin(*line_numbers))
 
 
+def _width(spark, d):
+    """The beats by which notes are cut into chunks, if an order has so many lines that one task should not scan them."""
+    return X.for_long(B.table(spark, d, "lineitem"), ["l_orderkey"], 64.0)
+
+
 _ART = "CASE WHEN tax < 0.005 THEN 0 WHEN tax < 0.015 THEN 10 WHEN tax < 0.025 THEN 18 ELSE 0 END"
 _FACTOR = "CASE WHEN tie_start THEN 1.0 WHEN tax < 0.005 THEN 0.5 WHEN tax >= 0.015 AND tax < 0.025 THEN 0.25 ELSE 1.0 END"
 
@@ -615,7 +620,7 @@ _DYN = """(SELECT max({'at': m.start_beat, 'seq': m.slot, 'v': 40 + m.part_key %
     SELECT doc_id, source_id, least(127.0::DOUBLE, greatest(1.0, coalesce(dyn.v, 80.0) + {_ART})) AS velocity, duration * {_FACTOR} AS key_duration
     FROM (SELECT *, {_DYN} AS dyn FROM timed n)""")
 def _(spark, d):
-    out = P.velocity(timed(spark, d), _dynamics(spark, d), DOC, 64.0)
+    out = P.velocity(timed(spark, d), _dynamics(spark, d), DOC, _width(spark, d))
     return out.select("doc_id", "source_id", "velocity", "key_duration")
 
 
@@ -643,7 +648,7 @@ def _(spark, d):
     kind = F.when(F.col("flag") == "N", "crescendo").when(F.col("flag") == "A", "diminuendo").otherwise("stop")
     wedges = marked(spark, d, 2, 5).select("doc_id", "part", "staff", F.when(F.col("slot") % 3 == 0, "1").otherwise("2").alias("number"), "start_beat",
                                            F.col("slot").alias("seq"), kind.alias("value"))
-    out = P.ramps(wedges, _dynamics(spark, d), timed(spark, d), DOC, 64.0)
+    out = P.ramps(wedges, _dynamics(spark, d), timed(spark, d), DOC, _width(spark, d))
     return out.select("doc_id", "source_id", "start_beat", F.round("value", 6).alias("value"))
 
 
@@ -659,7 +664,7 @@ def _sounding(spark, d):
            first(source_id ORDER BY start_beat, source_id) AS source_id, first(64 + part_key % 40 ORDER BY start_beat, source_id) AS velocity, count(*) AS segments,
            string_agg(source_id, ',' ORDER BY start_beat, source_id) AS segment_ids, bool_or(tie_stop AND NOT jo) AS orphan_stop FROM e GROUP BY doc_id, voice, midi, ev""".replace("\n    , p", ", p"))
 def _(spark, d):
-    return P.merge_ties(_sounding(spark, d), DOC, 64.0).drop("part").withColumn("segment_ids", F.array_join("segment_ids", ","))
+    return P.merge_ties(_sounding(spark, d), DOC, _width(spark, d)).drop("part").withColumn("segment_ids", F.array_join("segment_ids", ","))
 
 
 @query("W13_collapse_strikes", with_ctes("timed") + """
@@ -683,7 +688,7 @@ _EVENTS = """, p AS (SELECT *, lag(start_beat + duration) OVER o AS pe, lag(tie_
 
 
 def _events(spark, d):
-    return P.sounding_events(_sounding(spark, d).withColumn("role", F.col("staff") - 1), DOC, 64.0)
+    return P.sounding_events(_sounding(spark, d).withColumn("role", F.col("staff") - 1), DOC, _width(spark, d))
 
 
 @query("W13_sounding_events", with_ctes("timed") + _EVENTS + """
@@ -705,7 +710,7 @@ def _pedalled(spark, d, sounding):
     value = F.when(F.col("flag") == "N", "start").when(F.col("flag") == "R", "stop").otherwise("change")
     pedals = marked(spark, d, 5, 6).select("doc_id", "part", "start_beat", F.col("slot").alias("seq"), value.alias("value"))
     totals = B.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id")).distinct().withColumn("total_beats", F.lit(8.0))
-    return P.apply_pedal(sounding, pedals, totals, DOC, 64.0)
+    return P.apply_pedal(sounding, pedals, totals, DOC, _width(spark, d))
 
 
 @query("F18_expand_ornaments", with_ctes("timed") + """
@@ -730,7 +735,7 @@ def _(spark, d):
 @query("T04_note_order", with_ctes("timed") + """
     SELECT doc_id, source_id, row_number() OVER (PARTITION BY doc_id ORDER BY start_beat, midi, source_id) - 1 AS seq FROM timed""")
 def _(spark, d):
-    return P.note_order(timed(spark, d), DOC, chunk=X.chunk_of("start_beat", 64)).select("doc_id", "source_id", "seq")
+    return P.note_order(timed(spark, d), DOC, chunk=X.for_long(B.table(spark, d, "lineitem"), ["l_orderkey"], X.chunk_of("start_beat", 64))).select("doc_id", "source_id", "seq")
 
 
 def _tempo(spark, d):
@@ -758,10 +763,11 @@ _CLOCK = """cl AS (SELECT *, sum(coalesce((start_beat - pb) * ps, 0)) OVER (PART
     SELECT n.doc_id, n.source_id, round(c.seconds + (n.start_beat - c.start_beat) * c.spb, 6) AS seconds, round(n.start_beat, 6) AS beat
     FROM timed n JOIN cl c ON c.doc_id = n.doc_id AND c.start_beat = (SELECT max(start_beat) FROM cl x WHERE x.doc_id = n.doc_id AND x.start_beat <= n.start_beat)""")
 def _(spark, d):
-    clock = P.tempo_clock(_tempo(spark, d), DOC, 2.0, chunk_width=64.0)
+    width = _width(spark, d)
+    clock = P.tempo_clock(_tempo(spark, d), DOC, 2.0, chunk_width=width)
     pts = timed(spark, d).select("doc_id", "source_id", F.col("start_beat").alias("beat"))
-    at = P.seconds_at(pts, clock, DOC, chunk_width=64.0)
-    back = P.beat_at(at.select("doc_id", "source_id", (F.col("seconds") + 1e-9).alias("seconds")), clock, DOC, chunk_width=64.0)
+    at = P.seconds_at(pts, clock, DOC, chunk_width=width)
+    back = P.beat_at(at.select("doc_id", "source_id", (F.col("seconds") + 1e-9).alias("seconds")), clock, DOC, chunk_width=width)
     return back.select("doc_id", "source_id", F.round("seconds", 6).alias("seconds"), F.round("beat", 6).alias("beat"))
 
 
@@ -789,7 +795,7 @@ def _(spark, d):
     n AS (SELECT doc_id, first(source_id ORDER BY start_beat) AS source_id, max(e) AS e FROM g GROUP BY doc_id, midi, g)
     SELECT k.doc_id, k.source_id, coalesce(n.e, -1.0) AS name_end FROM k LEFT JOIN n ON n.doc_id = k.doc_id AND n.source_id = k.source_id""".replace("\n    , k", ", k"))
 def _(spark, d):
-    return P.name_spans(timed(spark, d), DOC, 0.1, 64.0).select("doc_id", "source_id", "name_end")
+    return P.name_spans(timed(spark, d), DOC, 0.1, _width(spark, d)).select("doc_id", "source_id", "name_end")
 
 
 @query("J24_apply_corrections", with_ctes("timed") + """
