@@ -34,6 +34,8 @@ LEAST_BITS, MOST_BITS = 256, 1 << 15
 ANCHORS = 4
 #: Members of a part of a group.
 PART = 32
+#: About so many nodes are compared with one part in one stretch of rows.
+ASKING = 4096
 
 
 def _sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -166,21 +168,6 @@ def _spread(bits: np.ndarray, size: int) -> np.ndarray:
     return np.tile(bits, size // len(bits))
 
 
-def _united(parts: DataFrame) -> DataFrame:
-    """(root, part, bits): the rows of bits of a part's members (root, part, bits) in one."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for rows in batch.column(2).to_pylist():
-                rows = [np.frombuffer(r, np.uint8) for r in rows]
-                size = max(map(len, rows))
-                out.append(np.bitwise_or.reduce([_spread(r, size) for r in rows]).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["root", "part", "bits"])
-
-    return written(map_batches(parts.groupBy("root", "part").agg(F.collect_list("bits").alias("rows")), ["root", "part", "rows"], work, "root long, part long, bits binary"))
-
-
 def _within_bound(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """The ``keys`` of pairs (bits_a, size_a, bits_b, need) of which a may have ``need`` shingles in b."""
     schema = pairs.select(*keys).schema
@@ -198,6 +185,72 @@ def _within_bound(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return map_batches(pairs, [*keys, "bits_a", "size_a", "bits_b", "need"], work, schema)
 
 
+class _Part:
+    """The members of a part of a group, by the width of their rows of bits, and the union of these."""
+
+    def __init__(self, nodes: list[int], sizes: list[int], bits: list[bytes]):
+        rows = [np.frombuffer(r, np.uint8) for r in bits]
+        widest = max(map(len, rows))
+        self.union = np.bitwise_or.reduce([_spread(r, widest) for r in rows])
+        self.widths = []
+        for width in sorted({len(r) for r in rows}):
+            at = [i for i, r in enumerate(rows) if len(r) == width]
+            self.widths.append((width, np.array([nodes[i] for i in at]), np.array([sizes[i] for i in at]), np.stack([rows[i] for i in at])))
+
+    def near(self, bits: bytes, n: int, percent: int) -> list[int]:
+        """The members that a set of ``n`` shingles and these bits may link with: first by the union, then by each member's bits, both ways."""
+        mine = np.frombuffer(bits, np.uint8)
+        size = min(len(mine), len(self.union))
+        if n - int(np.bitwise_count(_folded(mine, size) & ~_folded(self.union, size)).sum()) < -(-percent * n // 100):
+            return []
+        found: list[int] = []
+        for width, nodes, sizes, rows in self.widths:
+            size = min(len(mine), width)
+            x, y = _folded(mine, size), rows
+            while y.shape[1] > size:
+                y = y[:, :y.shape[1] // 2] | y[:, y.shape[1] // 2:]
+            need = -(-percent * (sizes + n) // (100 + percent))
+            fits = ((100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)) & (n - np.bitwise_count(x & ~y).sum(1, dtype=np.int64) >= need)
+                    & (sizes - np.bitwise_count(y & ~x).sum(1, dtype=np.int64) >= need))
+            found += nodes[fits].tolist()
+        return found
+
+
+def _opened(candidates: DataFrame, members: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The written (a, b) that may link, of nodes and the parts they ask for (a, root, part).
+
+    A part and those who ask for it meet in one stretch of sorted rows, the members first, so no row stands for a pair: pairs are compared
+    as rows of a matrix, and those that pass alone come out. A part that many ask for is given out to several stretches.
+    """
+    at = ["root", "part", "share"]
+    shares = written(candidates.groupBy("root", "part").agg(F.ceil(F.count("*") / ASKING).alias("shares")))
+    asks = (candidates.join(shares, ["root", "part"]).select("root", "part", F.pmod(F.xxhash64("a"), "shares").alias("share"), F.lit(1).alias("asks"), F.col("a").alias("node"))
+            .join(sized(bits), "node"))
+    held = (members.join(shares, ["root", "part"]).select("root", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"),
+                                                          F.lit(0).alias("asks"), "node").join(sized(bits), "node"))
+    rows = asks.unionByName(held).repartition(*at).sortWithinPartitions(*at, "asks")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, waiting, part = None, [], None
+        for batch in batches:
+            out_a, out_b = [], []
+            for *key, asking, node, size, row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != now:
+                    now, waiting, part = key, [], None
+                if not asking:
+                    waiting.append((node, size, row))
+                    continue
+                if part is None and waiting:
+                    part = _Part(*map(list, zip(*waiting, strict=True)))
+                found = part.near(row, size, percent) if part else []
+                out_a += [node] * len(found)
+                out_b += found
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+
+    got = map_batches(rows, [*at, "asks", "node", "size", "bits"], work, "a long, b long")
+    return written(got.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
 def _asked(nodes: DataFrame, *ids: DataFrame) -> DataFrame:
     """The written (node, key) of the nodes that occur in any of the one-column frames."""
     found = ids[0].toDF("node")
@@ -213,6 +266,11 @@ def _linked(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, n: int, percen
             .join(sized(bits.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("bits").alias("bits_b"))), "b"))
     need = F.ceil(percent * (F.col("size_a") + F.col("size_b")) / (100 + percent)).cast("long").alias("need")
     close = written(_within_bound(both.where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")).select("a", "b", "bits_a", "size_a", "bits_b", need), ["a", "b"]))
+    return _confirmed(close, texts, nodes, n, percent)
+
+
+def _confirmed(close: DataFrame, texts: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
+    """The written pairs (a, b) of a written table whose sets link."""
     sets = _members(texts, n, _asked(nodes, close.select("a"), close.select("b")))
     common = F.size(F.array_intersect("sa", "sb"))
     met = close.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
@@ -272,15 +330,10 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     matrix = (mixed.where("index").join(members, ["root", "node"]).groupBy("token", "root", "part").agg(F.min("n").alias("least"), F.max("n").alias("most")))
     asked = mixed.select("token", F.col("node").alias("a"), F.col("root").alias("of"), F.col("n").alias("size"))
     candidates = written(asked.join(matrix, "token").where((F.col("of") != F.col("root")) & (F.col("least") <= F.col("size")) & (100 * F.col("most") >= percent * F.col("size")))
-                         .select("a", "size", "root", "part").distinct())
-    open_to = members.join(candidates.select("root", "part").distinct(), ["root", "part"], "left_semi")
+                         .select("a", "root", "part").distinct())
+    open_to = written(members.join(candidates.select("root", "part").distinct(), ["root", "part"], "left_semi").select("root", "part", "node"))
     bits = _bits(texts, n, _asked(nodes, open_to.select("node"), candidates.select("a")))
-    unions = _united(open_to.join(sized(bits), "node").select("root", "part", "bits"))
-    asking = bits.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("bits").alias("bits_a"))
-    bounded = candidates.join(sized(asking), "a").join(sized(unions.withColumnRenamed("bits", "bits_b")), ["root", "part"])
-    qualify = _within_bound(bounded.withColumn("need", F.ceil(percent * F.col("size_a") / 100).cast("long")), ["a", "root", "part"])
-    opened = written(qualify.join(members, ["root", "part"]).select("a", F.col("node").alias("b")))
-    links = links.union(_linked(opened, texts, nodes, n, percent))
+    links = links.union(_confirmed(_opened(candidates, open_to, bits, percent), texts, nodes, n, percent))
 
     roots = written(components(links))
     placed = rows.join(sized(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
