@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quaverlake.operators.segments import running_sum
+from quaverlake.operators.segments import for_long, running_sum
 from quaverlake.session import cut_lineage
 
 #: Slices per key in the two-level rank search, and the number of different values from which a key is sliced.
@@ -22,20 +22,25 @@ def select_ranks(df: DataFrame, keys: Sequence[str], value: str,
     ``wanted`` maps an output name to the rank as an expression of the group size. Equal values
     are combined before the shuffle and each key of many values is cut into slices of about equally many, at
     approximate quantiles, so a key with a third of all rows is still counted in parallel, however
-    its values are spread. NULL values are left out.
+    its values are spread. Where no key has many values, plain windows do. NULL values are left out.
 
     Approximate quantiles come out differently when they are computed again, so a value's slice is written down before it is used.
     """
     key = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0))
     counts = cut_lineage(df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__x"))
                          .agg(F.count(F.lit(1)).alias("__c")).withColumn("__k", key))
-    sizes = counts.groupBy("__k").agg(F.sum("__c").alias("__n"), F.count(F.lit(1)).alias("__d"))
-    cuts = (counts.join(sizes.filter(F.col("__d") > _SLICED_FROM), "__k", "left_semi").groupBy("__k")
-            .agg(F.percentile_approx("__x", [i / _SLICES for i in range(1, _SLICES)], 1000).alias("__cuts")))
-    place = F.size(F.filter("__cuts", lambda c: c < F.col("__x")))
-    joined = cut_lineage(counts.join(sizes.join(cuts, "__k", "left"), "__k")
-                         .select(*keys, "__x", "__c", "__n", F.when(F.col("__cuts").isNotNull(), place).otherwise(0).cast("bigint").alias("__slice")))
-    run = running_sum(joined, keys, ["__x"], F.col("__c"), "__cum", F.col("__slice"))
+    if for_long(counts, keys, True, _SLICED_FROM):
+        sizes = counts.groupBy("__k").agg(F.sum("__c").alias("__n"), F.count(F.lit(1)).alias("__d"))
+        cuts = (counts.join(sizes.filter(F.col("__d") > _SLICED_FROM), "__k", "left_semi").groupBy("__k")
+                .agg(F.percentile_approx("__x", [i / _SLICES for i in range(1, _SLICES)], 1000).alias("__cuts")))
+        place = F.size(F.filter("__cuts", lambda c: c < F.col("__x")))
+        joined = cut_lineage(counts.join(sizes.join(cuts, "__k", "left"), "__k")
+                             .select(*keys, "__x", "__c", "__n", F.when(F.col("__cuts").isNotNull(), place).otherwise(0).cast("bigint").alias("__slice")))
+        run = running_sum(joined, keys, ["__x"], F.col("__c"), "__cum", F.col("__slice"))
+    else:
+        whole = W.partitionBy(*keys)
+        run = (counts.withColumn("__cum", F.sum("__c").over(whole.orderBy("__x").rowsBetween(W.unboundedPreceding, W.currentRow)))
+               .withColumn("__n", F.sum("__c").over(whole)))
     picks = []
     for name, rank in wanted.items():
         k = rank(F.col("__n"))

@@ -34,7 +34,7 @@ def for_long(df: DataFrame, keys: Sequence[str], chunk, most: int = PLAIN_ROWS):
     """``chunk`` (a column or a width) if some key has more than ``most`` rows, else None: where no key is long, a chunk's summary is as large as
     the rows it stands for, and a plain window gives the same result with one exchange. Keys are counted in buckets first, which moves next to
     nothing, and only those of too full buckets by themselves."""
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(_BUCKETS))
+    bucket = F.pmod(F.xxhash64(*(keys or [F.lit(0)])), F.lit(_BUCKETS))
     full = [r[0] for r in df.groupBy(bucket.alias("b")).count().where(F.col("count") > most).collect()]
     long = full and not df.where(bucket.isin(full)).groupBy(*keys).count().where(F.col("count") > most).isEmpty()
     return chunk if long else None

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quaverlake.operators import performed as P
+from quaverlake.operators import ranks as R
 from quaverlake.operators import segments as X
 from quaverlake.plans import all_queries
 
@@ -44,3 +45,15 @@ def test_ties_by_plain_windows_and_in_chunks_are_one(spark):
                                   "velocity long, tie_start boolean, tie_stop boolean")
     plain, cut = (sorted(map(str, P.merge_ties(notes, ["d"], w).collect())) for w in (None, 7.0))
     assert plain == cut and len(plain) == 2 * 67
+
+
+def test_ranks_of_short_keys_are_written_once(spark, monkeypatch):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("k"), (F.col("id") * 7919 % 1009).alias("v"))
+    wrote, plain = [], R.cut_lineage
+    monkeypatch.setattr(R, "cut_lineage", lambda d: wrote.append(1) or plain(d))
+    short = sorted(map(str, R.upper_median(df, "v", ["k"]).collect()))
+    all_rows = R.upper_median(df, "v").collect()
+    assert len(wrote) == 2
+    monkeypatch.setattr(R, "_SLICED_FROM", 100)
+    assert sorted(map(str, R.upper_median(df, "v", ["k"]).collect())) == short and len(short) == 3
+    assert R.upper_median(df, "v").collect() == all_rows
