@@ -30,6 +30,8 @@ from quaverlake.session import ship_package
 
 #: Words of a file, and occurrences behind a file of pairs or triples, about.
 SHARD = 1 << 20
+#: Tokens that are looked up together, about: a file is opened for all of them at once, however many files there are.
+POOL = 1 << 19
 #: Steps of a decade in a quantised logarithm.
 STEPS = 4096
 END = words.mix(np.array([0xE0D], np.uint64))[0]
@@ -85,14 +87,19 @@ class Reader:
             self.open[key] = Monotone.mapped(self._arrays(kind, shard), name)
         return self.open[key]
 
-    def _by_shard(self, starts: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    def _by_shard(self, starts: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray | slice]]:
         """(shard, which of ``keys``), without those before the first shard."""
-        shard = np.searchsorted(starts, keys, "right") - 1
-        order = np.argsort(shard, kind="stable")
-        cuts = np.flatnonzero(np.diff(shard[order])) + 1
-        for group in np.split(order, cuts):
-            if len(group) and shard[group[0]] >= 0:
-                yield int(shard[group[0]]), group
+        if len(keys) > 1 and (keys[1:] < keys[:-1]).any():
+            shard = np.searchsorted(starts, keys, "right") - 1
+            order = np.argsort(shard, kind="stable")
+            cuts = np.flatnonzero(np.diff(shard[order])) + 1
+            for group in np.split(order, cuts):
+                if len(group) and shard[group[0]] >= 0:
+                    yield int(shard[group[0]]), group
+            return
+        cuts = np.append(np.searchsorted(keys, starts), len(keys))  # ascending keys: each shard has one stretch of them
+        for s in np.flatnonzero(np.diff(cuts)).tolist():
+            yield s, slice(cuts[s], cuts[s + 1])
 
     def find(self, numbers: np.ndarray) -> np.ndarray:
         """The place of each number, or -1."""
@@ -126,10 +133,17 @@ class Reader:
         """Counts; 0 for the place -1."""
         out = np.zeros(len(places), np.int64)
         for s, at in self._by_shard(self.places, places):
-            sums, i = self._part("entries", s, "sums"), places[at] - self.places[s]
-            out[at] = sums.get(i + 1) - sums.get(i)
+            out[at] = self._part("entries", s, "sums").steps(places[at] - self.places[s])[1]
         return out
 
+    def spans(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(``before``, ``counts``) of places of entries."""
+        before, counts = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
+        for s, at in self._by_shard(self.places, places):
+            before[at], counts[at] = self._part("entries", s, "sums").steps(places[at] - self.places[s])
+            before[at] += self.sums[s]
+        return before, counts
+
     def starts(self, places: np.ndarray) -> np.ndarray:
         """The place, in the next level, of the first successor."""
         out = np.zeros(len(places), np.int64)
@@ -141,8 +155,7 @@ class Reader:
         """How many successors there are."""
         out = np.zeros(len(places), np.int64)
         for s, at in self._by_shard(self.places, places):
-            starts, i = self._part("contexts", s, "starts"), places[at] - self.places[s]
-            out[at] = starts.get(i + 1) - starts.get(i)
+            out[at] = self._part("contexts", s, "starts").steps(places[at] - self.places[s])[1]
         return out
 
     def logs(self, kind: str, places: np.ndarray) -> np.ndarray:
@@ -177,15 +190,20 @@ class Readers:
         unique, where = np.unique(names, return_inverse=True)
         return self.words.find(unique)[where]
 
-    def pair_places(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """For each token, the place of the pair that ends with it, or -1; ``first`` marks first tokens of rows."""
+    def pair_finds(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the places of distinct pairs, ascending but for -1; which of them ends with each token, or -1); ``first`` marks first tokens of rows."""
         ok = np.zeros(len(ids), bool)
         ok[1:] = (ids[1:] >= 0) & (ids[:-1] >= 0) & ~first[1:]
         at = np.flatnonzero(ok)
         unique, where = np.unique(ids[at - 1] * self.model.types + ids[at], return_inverse=True)
         out = np.full(len(ids), -1, np.int64)
-        out[at] = self.pairs.find(unique)[where]
-        return out
+        out[at] = where
+        return self.pairs.find(unique), out
+
+    def pair_places(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """For each token, the place of the pair that ends with it, or -1; ``first`` marks first tokens of rows."""
+        found, which = self.pair_finds(ids, first)
+        return np.append(found, -1)[which]
 
     def triple_numbers(self, ids: np.ndarray, pairs: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(tokens, numbers) of the triples whose two pairs have entries."""
@@ -209,6 +227,22 @@ def _tokens(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield begin, (out >> np.uint64(1)).astype(np.int64), np.concatenate(([0], ends + 1))
 
 
+def _pools(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, np.ndarray]]:
+    """(the rows, word names, bounds) of successive slices of ``_tokens`` with about ``POOL`` tokens together, across batches."""
+    rows, held, lengths, size = [], [], [], 0
+    for batch in batches:
+        for begin, names, bounds in _tokens(batch.column(column)):
+            rows.append(batch.select([i for i in range(batch.num_columns) if i != column]).slice(begin, len(bounds) - 1))
+            held.append(names)
+            lengths.append(np.diff(bounds))
+            size += len(names)
+            if size >= POOL:
+                yield rows, np.concatenate(held), np.concatenate(([0], np.cumsum(np.concatenate(lengths))))
+                rows, held, lengths, size = [], [], [], 0
+    if rows:
+        yield rows, np.concatenate(held), np.concatenate(([0], np.cumsum(np.concatenate(lengths))))
+
+
 def _first(names: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     first = np.zeros(len(names), bool)
     first[bounds[:-1]] = True
@@ -328,10 +362,9 @@ def _level(texts: DataFrame, counting, least: int, path: str, size: int) -> Leve
                 held = [_block(numbers[i:j], counts[i:j]) for i, j in zip(ends[:-1], ends[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(names[ends[:-1]]), pa.array(np.diff(ends)), pa.array(held, pa.binary())], ["name", "n", "block"])
 
-        for batch in batches:
-            for _, names, bounds in _tokens(batch.column(0)):
-                for merged in counter.add(find(names, bounds)):
-                    yield from blocks(*merged)
+        for _, names, bounds in _pools(batches, 0):
+            for merged in counter.add(find(names, bounds)):
+                yield from blocks(*merged)
         for merged in counter.flush():
             yield from blocks(*merged)
 
@@ -397,9 +430,10 @@ def train(texts: DataFrame, *, discount: float = 0.75, least: int = 1, size: int
     model = Model(tokens, types, 1, discount, word_level)
 
     def spread(at: Reader, contexts: np.ndarray, share) -> np.ndarray:
-        unique, where = np.unique(contexts, return_inverse=True)
-        counts = at.counts(unique)[where]
-        return at.before(unique)[where] + np.minimum(counts - 1, (counts * share(unique, where)).astype(np.int64))
+        begin = np.flatnonzero(np.diff(contexts, prepend=-1))  # contexts ascend
+        unique, where = contexts[begin], np.repeat(np.arange(len(begin)), np.diff(begin, append=len(contexts)))
+        before, counts = (x[where] for x in at.spans(unique))
+        return before + np.minimum(counts - 1, (counts * share(unique, where)).astype(np.int64))
 
     def pair_counting():
         at = Readers(model)
@@ -457,6 +491,14 @@ def train(texts: DataFrame, *, discount: float = 0.75, least: int = 1, size: int
     return Model(tokens, types, fan, discount, word_level, pair_level, triple_level)
 
 
+def _each_log(level: Reader, kind: str, found: np.ndarray) -> np.ndarray:
+    """The logarithms of places that ascend but for -1, which has 0, and a 0 behind them all, for the index -1."""
+    out = np.zeros(len(found) + 1)
+    hit = np.flatnonzero(found >= 0)
+    out[hit] = level.logs(kind, found[hit])
+    return out
+
+
 def text_scores(at: Readers, names: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(known tokens, base score, score) of each row."""
     rows = len(bounds) - 1
@@ -465,21 +507,22 @@ def text_scores(at: Readers, names: np.ndarray, bounds: np.ndarray) -> tuple[np.
     counts = at.words.counts(places)
     base = np.log10(at.p1(counts))[where]
     ids, known, first = places[where], (counts > 0)[where], _first(names, bounds)
-    pairs = at.pair_places(ids, first)
+    found, which = at.pair_finds(ids, first)
+    pairs = np.append(found, -1)[which]
     tokens, numbers = at.triple_numbers(ids, pairs, first)
     unique, back = np.unique(numbers, return_inverse=True)
-    triples = np.full(len(names), -1, np.int64)
-    triples[tokens] = at.triples.find(unique)[back]
-    before = np.concatenate(([-1], np.where(first[1:], -1, pairs[:-1])))  # the pair that is the context
-    word_before = np.concatenate(([-1], np.where(first[1:], -1, ids[:-1])))
-    three = triples >= 0
+    triples = at.triples.find(unique)
+    three = np.zeros(len(names), bool)
+    three[tokens] = (triples >= 0)[back]
     two = ~three & (pairs >= 0)
     one = ~three & ~two
+    before = np.concatenate(([-1], np.where(first[1:], -1, which[:-1])))  # the pair that is the context
+    word_before = np.concatenate(([-1], np.where(first[1:], -1, ids[:-1])))
     score = np.zeros(len(names))
-    score[three] = at.triples.logs("probs", triples[three])
-    score[two] = at.pairs.logs("probs", pairs[two])
+    score[tokens] = _each_log(at.triples, "probs", triples)[back]
+    score[two] = _each_log(at.pairs, "probs", found)[which[two]]
     score[one] = base[one] + at.words.logs("contexts", word_before[one])
-    score[~three] += at.pairs.logs("contexts", before[~three])
+    score[~three] += _each_log(at.pairs, "contexts", found)[before[~three]]
     row = words.row_of(bounds)
     return tuple(np.bincount(row, x, minlength=rows) for x in (known, base, score))
 
@@ -493,12 +536,11 @@ def scored(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: s
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = Readers(model)
-        for batch in batches:
-            for begin, names, bounds in _tokens(batch.column(1)):
-                known, base, score = text_scores(at, names, bounds)
-                n = len(bounds) - 1
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, n), pa.array(np.diff(bounds)), pa.array(known.astype(np.int64)), pa.array(np.full(n, model.tokens)),
-                                                  pa.array(base), pa.array(score)], ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        for rows, names, bounds in _pools(batches, 1):
+            known, base, score = text_scores(at, names, bounds)
+            ids, n = pa.concat_arrays([r.column(0) for r in rows]), len(bounds) - 1
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(bounds)), pa.array(known.astype(np.int64)), pa.array(np.full(n, model.tokens)), pa.array(base), pa.array(score)],
+                                             ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     columns = [F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")]
     return map_batches(docs, columns, work, f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", id_col)

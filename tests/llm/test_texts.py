@@ -339,3 +339,19 @@ def test_operators_on_no_rows(nothing, spark):
     from quaverlake.llm.repeats import strip_repeats, without_repeats
     for got in (similar_documents(nothing), without_repeats(nothing), strip_repeats(nothing), document_shards(nothing)):
         assert got.count() == 0
+
+
+def test_a_number_alone_in_its_bucket_is_read_once(monkeypatch):
+    from quaverlake.llm.elias import Monotone
+
+    r = np.random.default_rng(3)
+    held = np.sort(np.concatenate([r.choice(1 << 40, 5000, replace=False), (1 << 41) + np.arange(300)]))  # spread, and a long bucket
+    form, read, low = Monotone.of(held), [], Monotone._low
+    now, step = form.steps(np.arange(len(held) - 1))
+    assert (now == held[:-1]).all() and (step == np.diff(held)).all()
+    monkeypatch.setattr(Monotone, "_low", lambda self, i: read.append(len(i)) or low(self, i))
+    sizes = np.unique(held >> form.width, return_counts=True)[1]
+    alone = held[np.repeat(sizes, sizes) == 1]
+    assert len(alone) > 1000 and (form.find(alone) == np.searchsorted(held, alone)).all()
+    assert sum(read) <= len(alone) + 1  # one for the greatest number
+    assert (form.find(held) == np.arange(len(held))).all()
