@@ -50,48 +50,72 @@ def _added(a: int | None, b: int | None) -> int | None:
 
 _FIRSTS = ("job_id", "surface", "platform")
 _SUMS = ("seconds", "playing_seconds", *[f"e_{c}" for c in CONTROLS])
-_SESSION_STATE = ", ".join(["at long", "seq long", *[f"{c} string" for c in _FIRSTS], "last_at long", "reports long", "admin boolean", *[f"{c} long" for c in _SUMS]])
+_SESSION_STATE = ", ".join(["session_id string", "at long", "seq long", *[f"{c} string" for c in _FIRSTS], "last_at long", "reports long", "admin boolean", *[f"{c} long" for c in _SUMS]])
 _SESSION_OUT = ", ".join(["user_id string", "session_id string", *[f"{c} string" for c in _FIRSTS], "started_at long", "last_at long", "expires_at long", "reports long", "admin boolean",
                           *[f"{c} long" for c in _SUMS], "expired boolean"])
 
 
 class _Sessions(StatefulProcessor):
+    """The live sessions of one person as a list, with one timer, for the session that ends first: state and timer are asked for once a person
+    and micro-batch, however many of the sessions have reports in it."""
+
     def __init__(self, keep_seconds: int):
         self.keep = keep_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("session", _SESSION_STATE)
+        self.state = handle.getListState("session", _SESSION_STATE)
+        self.names = [c.split()[0] for c in _SESSION_STATE.split(", ")]
+
+    def _held(self) -> dict[str | None, dict]:
+        return {x[0]: dict(zip(self.names, x)) for x in self.state.get()}
 
     def _row(self, key: tuple, s: dict, expired: bool) -> Row:
-        return Row(user_id=key[0], session_id=key[1], **{c: s[c] for c in _FIRSTS}, started_at=s["at"], last_at=s["last_at"], expires_at=s["at"] + self.keep, reports=s["reports"],
+        return Row(user_id=key[0], session_id=s["session_id"], **{c: s[c] for c in _FIRSTS}, started_at=s["at"], last_at=s["last_at"], expires_at=s["at"] + self.keep, reports=s["reports"],
                    admin=s["admin"], **{c: s[c] for c in _SUMS}, expired=expired)
 
+    def _due(self, held: dict[str | None, dict]) -> int | None:
+        """When the first session ends, in milliseconds."""
+        return (min(s["at"] for s in held.values()) + self.keep) * 1000 if held else None
+
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        names = [c.split()[0] for c in _SESSION_STATE.split(", ")]
-        s = dict(zip(names, self.state.get())) if self.state.exists() else None
-        due = None if s is None else s["at"]
+        held, changed = self._held(), {}
+        known, due = set(held), self._due(held)
         for r in rows:
+            s = held.get(r["session_id"])
             if s is None:
-                s = dict.fromkeys(names) | {"at": r["at"], "seq": r["seq"], "last_at": r["at"], "reports": 0, "admin": False} | {c: r[c] for c in _FIRSTS}
+                s = held[r["session_id"]] = (dict.fromkeys(self.names) | {"session_id": r["session_id"], "at": r["at"], "seq": r["seq"], "last_at": r["at"], "reports": 0, "admin": False}
+                                             | {c: r[c] for c in _FIRSTS})
             elif (r["at"], r["seq"]) < (s["at"], s["seq"]):
-                s |= {"at": r["at"], "seq": r["seq"]} | {c: r[c] for c in _FIRSTS}
+                s.update({"at": r["at"], "seq": r["seq"]} | {c: r[c] for c in _FIRSTS})
             s["last_at"] = max(s["last_at"], r["at"])
             s["reports"] += 1
             s["admin"] = s["admin"] or bool(r["admin"])
             for c in _SUMS:
                 s[c] = _added(s[c], r[c])
-        if due != s["at"]:
+            changed[r["session_id"]] = s
+        if due != self._due(held):
             if due is not None:
-                self.handle.deleteTimer((due + self.keep) * 1000)
-            self.handle.registerTimer((s["at"] + self.keep) * 1000)
-        self.state.update(tuple(s[c] for c in names))
-        yield self._row(key, s, False)
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(self._due(held))
+        if known.isdisjoint(changed):
+            self.state.appendList([tuple(s.values()) for s in changed.values()])
+        else:
+            self.state.put([tuple(s.values()) for s in held.values()])
+        for s in changed.values():
+            yield self._row(key, s, False)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        s = dict(zip([c.split()[0] for c in _SESSION_STATE.split(", ")], self.state.get()))
-        self.state.clear()
-        yield self._row(key, s, True)
+        held, now = self._held(), timerValues.getCurrentWatermarkInMs()
+        over = [s for s in held.values() if (s["at"] + self.keep) * 1000 <= max(expiredTimerInfo.getExpiryTimeInMs(), now - 1)]
+        for s in over:
+            del held[s["session_id"]]
+            yield self._row(key, s, True)
+        if held:
+            self.state.put([tuple(s.values()) for s in held.values()])
+            self.handle.registerTimer(self._due(held))
+        else:
+            self.state.clear()
 
     def close(self) -> None:
         pass
@@ -102,11 +126,11 @@ def session_changes(reports: DataFrame, late: str = "1 hour", keep_days: int = K
 
     ``reports`` is a stream of wide counters (``single_control``); ``at`` is when a report arrived, and the watermark follows it by ``late``. The first
     values are those of the earliest report, as in batch. ``keep_days`` after its start a session's state goes, also when nothing arrives for it
-    any more; a report after that begins a new session of the same name. Reports without a time are left out.
+    any more; a report after that begins a new session of the same name. Reports without a time are left out. The live sessions of one person lie together: those of ``keep_days``.
     """
     timed = reports.where("at IS NOT NULL").select("user_id", "session_id", "at", "seq", *_FIRSTS, "admin", *[F.col(c).cast("long").alias(c) for c in _SUMS],
                                                     F.timestamp_seconds("at").alias("arrived")).withWatermark("arrived", late)
-    return timed.groupBy("user_id", "session_id").transformWithState(_Sessions(keep_days * DAY), _SESSION_OUT, "Update", "EventTime")
+    return timed.groupBy("user_id").transformWithState(_Sessions(keep_days * DAY), _SESSION_OUT, "Update", "EventTime")
 
 
 def session_table(reports: DataFrame, root: str | None = None, late: str = "1 hour", keep_days: int = KEEP_DAYS) -> DataFrame:

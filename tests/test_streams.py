@@ -77,6 +77,48 @@ def test_sessions_expire_and_a_restart_goes_on(spark, tmp_path):
     assert [(r.job_id, r.started_at, r.reports) for r in again] == [("again", 434 * DAY, 1)]
 
 
+class _Handle:
+    """State and timers of one key, and how often they are asked for."""
+
+    def __init__(self):
+        self.rows, self.timers, self.calls = [], [], 0
+
+    def getListState(self, name, schema):
+        return self
+
+    def _call(self, result=None):
+        self.calls += 1
+        return result
+
+    def get(self):
+        return self._call(iter(list(self.rows)))
+
+    def put(self, rows):
+        self._call(self.rows.__setitem__(slice(None), rows))
+
+    def appendList(self, rows):
+        self._call(self.rows.extend(rows))
+
+    def registerTimer(self, at):
+        self._call(self.timers.append(at))
+
+    def deleteTimer(self, at):
+        self._call(self.timers.remove(at))
+
+
+def test_state_is_asked_for_once_a_person():
+    names = [c.split()[0] for c in REPORT.split(", ")]
+    handle, sessions_of_one = _Handle(), SF._Sessions(10)
+    sessions_of_one.init(handle)
+    for start in (0, 20):
+        rows = [dict(zip(names, report("u", f"s{start + k}", 1000 + start + k, k))) for k in range(40)]
+        got = list(sessions_of_one.handleInputRows(("u",), iter(rows), None))
+        assert len(got) == 40
+    assert [r["session_id"] for r in got] == [f"s{k}" for k in range(20, 60)] and [r["reports"] for r in got] == [2] * 20 + [1] * 20
+    assert len(handle.rows) == 60 and handle.timers == [1_010_000]
+    assert handle.calls == 5  # two reads, two writes, one timer
+
+
 def test_alarms_close_without_input(spark, tmp_path):
     schema = "dimension string, at timestamp, value double"
     feed, root = Feed(spark, str(tmp_path), schema), f"{tmp_path}/run"
