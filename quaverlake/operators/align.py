@@ -15,10 +15,12 @@ from quaverlake.functions.pitch import LETTERS, clef_reference, midi_of_diatonic
 from quaverlake.operators.asof import asof_join, asof_next
 from quaverlake.operators.bands import stab_join
 from quaverlake.operators.ranks import top_n_per_key, upper_median
-from quaverlake.operators.segments import previous, row_index
+from quaverlake.operators.segments import for_long, previous, row_index
 from quaverlake.session import cut_lineage
 
 TICK = 1e-6
+#: Notes and heads of one staff, time and letter that are matched as one row.
+FEW = 64
 FAILED = "PDF note matching failed; playback uses MusicXML-only score data."
 MISSING_PLACED = "A printed measure is missing from the recognized score; this system is placed by measure number."
 MISSING_LEFT = "Measure geometry is incomplete; positions are left unassigned."
@@ -37,7 +39,7 @@ def written_diatonic(step: Column, octave: Column) -> Column:
 
 # --- matching --------------------------------------------------------------------------------------
 
-def match_tiered(notes: DataFrame, heads: DataFrame, keys: Sequence[str]) -> DataFrame:
+def match_tiered(notes: DataFrame, heads: DataFrame, keys: Sequence[str], few: bool = False) -> DataFrame:
     """J-16: the head of each note, NULL where none or no single one fits.
 
     ``notes``: note_id, seq, role, start, voice, is_grace, written_slot, sounding_slot. ``heads``: source_id, role,
@@ -46,13 +48,65 @@ def match_tiered(notes: DataFrame, heads: DataFrame, keys: Sequence[str]) -> Dat
     mean no match. A grace takes the leftmost of the heads without a time. A note with no free candidate
     shares the one head already taken at its written place.
 
-    Taking is sequential only between notes that compete for a head, and those share staff, time and
-    letter. Each round settles every note that is first in line at all its heads, so the result is that of
-    the sequential pass; the rounds end when no note waits.
+    Taking is sequential only between notes that compete for a head, and those share staff, time and letter: such a
+    group is one row, folded in order. Groups of more than ``FEW`` notes and heads are matched in rounds, with the same result;
+    they are counted first, unless ``few`` tells that the bars hold no more than that.
     """
-    timed = heads.select(*keys, "role", F.when(F.col("onset").isNotNull(), tick(F.col("onset"))).alias("__t"),
-                         F.pmod("pitch", F.lit(7)).alias("__letter"), F.col("source_id").alias("head"), "pitch",
-                         F.col("voice").alias("__hv"), F.col("x").alias("__x"))
+    at = [*keys, "role", "__t", "__letter"]
+    asked = (notes.withColumn("__t", F.when(~F.col("is_grace"), tick(F.col("start")))).withColumn("__letter", F.pmod("written_slot", F.lit(7)))
+             .select(*at, F.struct("seq", "note_id", *[c for c in notes.columns if c not in ("seq", "note_id")]).alias("__note")))
+    timed = (heads.withColumn("__t", F.when(F.col("onset").isNotNull(), tick(F.col("onset")))).withColumn("__letter", F.pmod("pitch", F.lit(7)))
+             .select(*at, F.struct(F.col("source_id").alias("head"), "pitch", "voice", "x").alias("__head")).dropna(subset=[*keys, "role", "__letter"]))
+    if few:
+        return _matched(asked, timed, at, notes.columns)
+    group = F.struct(*at).alias("__at")  # never NULL, so that times that are missing meet
+    both = asked.select(group).unionByName(timed.select(group))
+    if not for_long(both, ["__at"], True, FEW):
+        return _matched(asked, timed, at, notes.columns)
+    crowded = cut_lineage(both.groupBy("__at").count().where(F.col("count") > FEW).select("__at"))
+    asked, timed = asked.withColumn("__at", group), timed.withColumn("__at", group)
+    one = _matched(asked.join(crowded, "__at", "left_anti").drop("__at"), timed.join(crowded, "__at", "left_anti").drop("__at"), at, notes.columns)
+    many = _matched_in_rounds(asked.join(crowded, "__at", "left_semi").select("__note.*"), timed.join(crowded, "__at", "left_semi").select(*at, "__head.*"), keys)
+    return one.unionByName(many)
+
+
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is worked out once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _matched(asked: DataFrame, timed: DataFrame, at: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Each note (``__note``) with its ``head_id``, by a fold over the notes and heads (``__head``) of one staff, time and letter."""
+    note, head = asked.schema["__note"].dataType.simpleString(), timed.schema["__head"].dataType["head"].dataType.simpleString()
+    rows = (asked.withColumn("__head", F.lit(None).cast(timed.schema["__head"].dataType))
+            .unionByName(timed.withColumn("__note", F.lit(None).cast(asked.schema["__note"].dataType))))
+    groups = rows.groupBy(*at).agg(F.sort_array(F.collect_list("__note")).alias("__notes"), F.collect_list("__head").alias("__heads")).where(F.size("__notes") > 0)
+
+    def step(done: Column, n: Column) -> Column:
+        def tier(h: Column) -> Column:
+            return F.when(h["pitch"] == n["written_slot"], 1).when(h["pitch"] == n["sounding_slot"], 2).otherwise(3)
+
+        def chosen(free: Column) -> Column:
+            best = F.array_min(free)
+            alone = F.size(F.filter(free, lambda c: (c["tier"] == best["tier"]) & (c["other"] == best["other"]))) == 1
+            shared = F.filter("__heads", lambda h: F.array_contains(done["used"], h["head"]) & (tier(h) == 1))
+            return F.when(n["is_grace"] | alone, best["head"]).when((F.size(free) == 0) & (F.size(shared) == 1), F.get(shared, F.lit(0))["head"])
+
+        free = F.transform(F.filter("__heads", lambda h: ~F.array_contains(done["used"], h["head"])), lambda h: F.struct(
+            tier(h).alias("tier"), (~F.coalesce(n["voice"] == h["voice"], F.lit(False))).alias("other"), h["x"].alias("x"), h["head"].alias("head")))
+        return _let(_let(free, chosen), lambda got: F.struct(
+            F.when(got.isNull(), done["used"]).otherwise(F.array_append(done["used"], got)).alias("used"),
+            F.array_append(done["out"], F.struct(n.alias("note"), got.alias("head_id"))).alias("out")))
+
+    empty = F.struct(F.array().cast(f"array<{head}>").alias("used"), F.array().cast(f"array<struct<note:{note},head_id:{head}>>").alias("out"))
+    found = groups.select(F.explode(F.aggregate("__notes", empty, step, lambda done: done["out"])).alias("__r"))
+    return found.select(*[F.col("__r.note")[c].alias(c) for c in columns], F.col("__r.head_id").alias("head_id"))
+
+
+def _matched_in_rounds(notes: DataFrame, heads: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same for groups of any size. Each round settles every note that is first in line at all its heads, so the result is that of
+    the sequential pass; the rounds end when no note waits."""
+    timed = heads.select(*keys, "role", "__t", "__letter", "head", "pitch", F.col("voice").alias("__hv"), F.col("x").alias("__x"))
     asked = notes.select(*keys, "role", "note_id", "seq", "is_grace", "voice", "written_slot", "sounding_slot",
                          F.when(~F.col("is_grace"), tick(F.col("start"))).alias("__t"),
                          F.pmod("written_slot", F.lit(7)).alias("__letter"))
@@ -89,7 +143,7 @@ def match_tiered(notes: DataFrame, heads: DataFrame, keys: Sequence[str]) -> Dat
         used = cut_lineage((taken if used is None else used.unionByName(taken)).distinct())
         rest = cut_lineage(rest.join(done.select(*keys, "note_id"), [*keys, "note_id"], "left_anti"))
     if results is None:
-        return notes.withColumn("head_id", F.lit(None).cast(heads.schema["source_id"].dataType))
+        return notes.withColumn("head_id", F.lit(None).cast(heads.schema["head"].dataType))
     return notes.join(results, [*keys, "note_id"], "left")
 
 

@@ -77,6 +77,25 @@ def test_match_tiered(spark):
     got = {r.note_id: r.head_id for r in A.match_tiered(ns, hs, ["m"]).collect()}
     assert got == {"n0": "a", "n1": "c", "n2": "d", "n3": None, "n4": "h", "n5": "g", "n6": None, "n7": "a", "n8": "i"}
 
+def test_match_tiered_in_one_pass(spark, rng, monkeypatch):
+    """Groups are folded without rounds; rounds, for groups of many rows, give the same."""
+    hs = spark.createDataFrame([(i % 5, i % 2, f"h{i:03}", rng.choice([None, 0.0, 1.0]), rng.choice([3, 10, 4]), rng.choice("12"), rng.random()) for i in range(120)],
+                               "m int, role int, source_id string, onset double, pitch int, voice string, x double").cache()
+    ns = spark.createDataFrame([(i % 5, i % 2, f"n{i:03}", i, rng.choice([0.0, 1.0]), rng.choice("12"), rng.random() < 0.3, rng.choice([3, 10, 4]), rng.choice([3, 4])) for i in range(120)],
+                               "m int, role int, note_id string, seq int, start double, voice string, is_grace boolean, written_slot int, sounding_slot int").cache()
+
+    def found(few):
+        return {r.note_id: r.head_id for r in A.match_tiered(ns, hs, ["m"], few).collect()}
+
+    rounds = []
+    monkeypatch.setattr(A, "cut_lineage", lambda df, cut=A.cut_lineage: rounds.append(df) or cut(df))
+    folded = found(True)
+    assert not rounds and len(folded) == 120 and len(set(folded.values())) > 20
+    monkeypatch.setattr(A, "FEW", 5)
+    monkeypatch.setattr(A, "for_long", lambda df, keys, chunk, most: X.for_long(df, keys, chunk, 5))
+    assert found(False) == folded and rounds
+
+
 def test_repeats_with_endings(spark):
     #          fwd    back ends          bars 0..8
     bars = [(False, 0, []), (False, 0, []), (False, 2, [1]), (False, 0, [2]), (True, 0, []), (False, 3, []), (False, 0, []), (False, 0, [1]), (False, 0, [])]
