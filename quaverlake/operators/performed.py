@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaverlake.functions.pitch import LETTERS, display_text, key_alter, midi_of_letter
@@ -446,7 +446,13 @@ def grace_timing(notes: DataFrame, keys: Sequence[str], chunk: Column | None = N
     a quarter beat at most) of the note after. Made time is an insert that shifts the whole bar.
     """
     voice, order = [*keys, "part", "voice"], ["start", "seq"]
-    n = previous(notes, voice, order, {"__pg": "is_grace"}, chunk)
+    # Only voices with graces are worked out, and only bars that time is put into are shifted; the other notes go through.
+    graced, longer = F.coalesce("is_grace", F.lit(False)), F.col("is_grace") & (F.coalesce("make_time", F.lit(0.0)) > 0)
+    if chunk is None:
+        told = notes.withColumn("__graced", F.max(graced).over(Window.partitionBy(*voice))).withColumn("__longer", F.max(F.coalesce(longer, F.lit(False))).over(Window.partitionBy(*keys)))
+    else:
+        told = with_totals(with_totals(notes, voice, __graced=F.max(graced)), keys, __longer=F.max(F.coalesce(longer, F.lit(False))))
+    n = previous(told.where("__graced"), voice, order, {"__pg": "is_grace"}, chunk)
     n = islands(n, voice, order, F.col("__pg").isNull() | (F.col("__pg") != F.col("is_grace")), "__run", chunk)
     n = settle(n, chunk)
     main = F.when(~F.col("is_grace"), F.struct("start", "duration"))
@@ -455,46 +461,51 @@ def grace_timing(notes: DataFrame, keys: Sequence[str], chunk: Column | None = N
     n = previous(n, [*voice, "__run"], order, {"__first": "note_id"}, chunk)
     n = islands(n, [*voice, "__run"], order, ~F.col("chord") | F.col("__first").isNull(), "__group", chunk)
     n = settle(n.drop("__pg", "__first"), chunk)
-    g = n.filter("is_grace")
-    lead = F.struct(*order)
-    runs = g.groupBy(*voice, "__run").agg(
-        F.max("__group").alias("groups"), F.min_by("__next", lead).alias("next"), F.min_by("__prev", lead).alias("prev"),
-        F.min_by("make_time", lead).alias("make"), F.min_by("steal_previous", lead).alias("prev_pct"),
-        F.min_by("steal_following", lead).alias("next_pct"), F.min("start").alias("own"))
-    made = F.coalesce("make", F.lit(0.0)) > 0
-    has_next, has_prev = F.col("next").isNotNull(), F.col("prev").isNotNull()
-    prev_end = F.col("prev.start") + F.col("prev.duration")
-    takes_prev = ~made & has_prev & ((has_next & (F.coalesce("prev_pct", F.lit(0.0)) > 0)) | ~has_next)
+    # A run's graces share the notes beside them, so a run is worked out on its own rows: those of one run, and the mains of one place, are few.
+    run = Window.partitionBy(*voice, F.when(F.col("is_grace"), F.col("__run")), F.when(~F.col("is_grace"), _place(F.col("start"))))
+    first = {c: F.min_by(c, F.struct(*order)).over(run).alias(f"__{c}") for c in ("make_time", "steal_previous", "steal_following")}
+    n = n.select("*", F.max("__group").over(run).alias("__groups"), F.min("start").over(run).alias("__own"), *first.values(),
+                 (F.row_number().over(run.orderBy(*order)) == 1).alias("__lead"))
+    made = F.coalesce("__make_time", F.lit(0.0)) > 0
+    has_next, has_prev = F.col("__next").isNotNull(), F.col("__prev").isNotNull()
+    prev_end = F.col("__prev.start") + F.col("__prev.duration")
+    takes_prev = ~made & has_prev & ((has_next & (F.coalesce("__steal_previous", F.lit(0.0)) > 0)) | ~has_next)
     takes_next = ~made & has_next & ~takes_prev
-    from_next = F.when(F.col("next_pct").isNull(), F.least(F.lit(GRACE_CAP), F.col("next.duration") * GRACE_SHARE)).otherwise(
-        F.least(F.col("next.duration") * F.col("next_pct") / 100, F.col("next.duration")))
+    from_next = F.when(F.col("__steal_following").isNull(), F.least(F.lit(GRACE_CAP), F.col("__next.duration") * GRACE_SHARE)).otherwise(
+        F.least(F.col("__next.duration") * F.col("__steal_following") / 100, F.col("__next.duration")))
+    n = n.withColumns({"__made": F.col("is_grace") & made, "__takes_prev": F.col("is_grace") & takes_prev, "__takes_next": F.col("is_grace") & takes_next, "__from_next": from_next})
+
+    def taken(takes: str, at: str, amount: str) -> Column:
+        """What runs take from the mains of a place, on these mains."""
+        place = F.when(F.col(takes), F.col(at)).otherwise(F.col("start"))
+        return F.sum(F.when(F.col(takes) & F.col("__lead"), F.col(amount))).over(Window.partitionBy(*voice, _place(place)))
+
     # What following notes give comes first: it shortens the note a later run may take from.
-    given = (runs.filter(takes_next).groupBy(*voice, _place(F.col("next.start")).alias("__ps")).agg(F.sum(from_next).alias("__late")))
-    before = given.select(*voice, "__ps", F.col("__late").alias("__plate"))
-    runs = runs.withColumn("__ps", _place(F.col("prev.start"))).join(before, [*voice, "__ps"], "left")
-    left = F.col("prev.duration") - F.coalesce("__plate", F.lit(0.0))
-    from_prev = F.when(has_next, F.least(left, left * F.col("prev_pct") / 100)).otherwise(F.least(F.lit(GRACE_CAP), left * GRACE_SHARE))
-    amount = (F.when(made, F.col("make")).when(takes_prev, from_prev).when(takes_next, from_next)
-              .otherwise(F.lit(GRACE_CAP) * F.col("groups")))
-    at = (F.when(made & has_next, F.col("next.start")).when(made, F.coalesce(prev_end, F.lit(0.0)))
-          .when(takes_prev & has_next, F.col("next.start") - amount).when(takes_prev, prev_end - amount)
-          .when(takes_next, F.col("next.start")).otherwise(F.col("own")))
-    runs = settle(runs.select(*voice, "__run", "groups", amount.alias("amount"), at.alias("at"), made.alias("made"),
-                              takes_prev.alias("takes_prev"),
-                              F.when(takes_prev, F.col("prev.start")).alias("prev_at")), chunk)
-    timed = g.drop("__next", "__prev").join(runs.select(*voice, "__run", "groups", "amount", "at", "made"), [*voice, "__run"])
-    piece = F.col("amount") / F.col("groups")
-    graces = timed.withColumns({"start": F.col("at") + (F.col("__group") - 1) * piece, "duration": piece,
-                                "__made_at": F.when(F.col("made"), F.col("at"))}).drop("groups", "amount", "at", "made")
+    n = n.withColumn("__late", taken("__takes_next", "__next.start", "__from_next"))
+    n = carry_last(n, voice, order, F.when(~F.col("is_grace") & ~F.col("chord"), F.struct("__late")), "__given", chunk)
+    left = F.col("__prev.duration") - F.coalesce("__given.__late", F.lit(0.0))
+    from_prev = F.when(has_next, F.least(left, left * F.col("__steal_previous") / 100)).otherwise(F.least(F.lit(GRACE_CAP), left * GRACE_SHARE))
+    n = n.withColumn("__amount", F.when(F.col("__made"), F.col("__make_time")).when(F.col("__takes_prev"), from_prev).when(F.col("__takes_next"), F.col("__from_next"))
+                     .otherwise(F.lit(GRACE_CAP) * F.col("__groups")))
     # Mains that give time: those at the following onset, and those of the chord before.
-    cut = (runs.filter("takes_prev").groupBy(*voice, _place(F.col("prev_at")).alias("__ps")).agg(F.sum("amount").alias("__cut")))
-    mains = n.filter("not is_grace").drop("__next", "__prev").withColumn("__ps", _place(F.col("start"))).join(given, [*voice, "__ps"], "left").join(cut, [*voice, "__ps"], "left")
+    n = settle(n.withColumn("__cut", taken("__takes_prev", "__prev.start", "__amount")), chunk)
+    amount = F.col("__amount")
+    at = (F.when(F.col("__made") & has_next, F.col("__next.start")).when(F.col("__made"), F.coalesce(prev_end, F.lit(0.0)))
+          .when(F.col("__takes_prev") & has_next, F.col("__next.start") - amount).when(F.col("__takes_prev"), prev_end - amount)
+          .when(F.col("__takes_next"), F.col("__next.start")).otherwise(F.col("__own")))
+    piece = amount / F.col("__groups")
     late, less = F.coalesce("__late", F.lit(0.0)), F.coalesce("__cut", F.lit(0.0))
-    mains = (mains.withColumn("duration", F.greatest(F.lit(0.0), F.col("duration") - late - less)).withColumn("start", F.col("start") + late)
-             .withColumn("__made_at", F.lit(None).cast("double")).drop("__late", "__cut", "__ps"))
-    inserts = runs.filter("made").select(*keys, "at", "amount").distinct()
-    every = graces.unionByName(mains).drop("__run", "__group")
-    return insert_time(every, inserts, keys, ["note_id"], own="__made_at").drop("__made_at"), inserts
+    grace = F.col("is_grace")
+    timed = cut_lineage(n.select(*[c for c in notes.columns if c not in ("start", "duration")], "__longer", "__made", amount.alias("__amount"),
+                                 F.when(grace, at + (F.col("__group") - 1) * piece).otherwise(F.col("start") + late).alias("start"),
+                                 F.when(grace, piece).otherwise(F.greatest(F.lit(0.0), F.col("duration") - late - less)).alias("duration"),
+                                 F.when(F.col("__made"), at).alias("__made_at")))
+    inserts = timed.filter("__made").select(*keys, F.col("__made_at").alias("at"), F.col("__amount").alias("amount")).distinct()
+    columns = [*notes.columns, "__longer", "__made_at"]
+    rest = told.where("NOT __graced").withColumn("duration", F.greatest(F.lit(0.0), "duration")).withColumn("__made_at", F.lit(None).cast("double"))
+    every = timed.select(*columns).unionByName(rest.select(*columns))
+    moved = insert_time(every.where("__longer").drop("__longer"), inserts, keys, ["note_id"], own="__made_at")
+    return moved.unionByName(every.where("NOT __longer").drop("__longer")).drop("__made_at"), inserts
 
 
 def insert_time(rows: DataFrame, inserts: DataFrame, keys: Sequence[str], ident: Sequence[str], start: str = "start", duration: str | None = "duration",

@@ -167,7 +167,7 @@ def daily_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Lines of orders that one task sorts.
-TASK_LINES = 1_000_000
+TASK_LINES = 200_000
 
 
 def score_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
