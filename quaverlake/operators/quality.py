@@ -273,23 +273,34 @@ def printed_total(pages: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 # --- funnel ----------------------------------------------------------------------------------------
 
-def funnel(heads: DataFrame, exported: DataFrame, playable: DataFrame, printed: DataFrame, keys: Sequence[str]) -> DataFrame:
+def funnel(heads: DataFrame, exported: DataFrame | Column, playable: DataFrame | Column, printed: DataFrame | Column, keys: Sequence[str]) -> DataFrame:
     """A-19: printed, detected, placed, exported and playable notes per page.
 
     Rows of all stages are counted in one union and one combined aggregate instead of a chain of
-    outer joins. ``printed`` has a row per page; a scan's is NULL and stays so.
+    outer joins. ``printed`` has a row per page; a scan's is NULL and stays so. A stage that can be told by the heads
+    is a condition on them (``printed`` an aggregate of a page's); if all are, heads are read once.
     """
-    def stage(df: DataFrame, **given: Column) -> DataFrame:
-        cols = {c: F.lit(0).cast("bigint") for c in ("detected", "placed", "exported", "playable")}
+    one = F.lit(1).cast("bigint")
+    given = {"exported": exported, "playable": playable}
+    here = {n: F.coalesce(c, F.lit(False)).cast("bigint") for n, c in given.items() if isinstance(c, Column)}
+    stages = ("printed", "detected", "placed", "exported", "playable")
+    if len(here) == 2 and isinstance(printed, Column):
+        counts = {"printed": printed.cast("bigint"), "detected": F.sum(one), "placed": F.sum(F.col("onset").isNotNull().cast("bigint")), **{n: F.sum(c) for n, c in here.items()}}
+        return heads.groupBy(*keys).agg(*[counts[n].alias(n) for n in stages])
+
+    def stage(df: DataFrame, **told: Column) -> DataFrame:
+        cols = {c: F.lit(0).cast("bigint") for c in stages[1:]}
         cols["printed"] = F.lit(None).cast("bigint")
-        cols.update(given)
+        cols.update(told)
         return df.select(*keys, *[c.alias(n) for n, c in cols.items()])
 
-    one = F.lit(1).cast("bigint")
-    rows = (stage(heads, detected=one, placed=F.col("onset").isNotNull().cast("bigint"))
-            .unionByName(stage(exported, exported=one)).unionByName(stage(playable, playable=one))
-            .unionByName(stage(printed, printed=F.col("printed").cast("bigint"))))
-    return rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("printed", "detected", "placed", "exported", "playable")])
+    if isinstance(printed, Column):
+        printed = heads.groupBy(*keys).agg(printed.alias("printed"))
+    rows = stage(heads, detected=one, placed=F.col("onset").isNotNull().cast("bigint"), **here).unionByName(stage(printed, printed=F.col("printed").cast("bigint")))
+    for n, df in given.items():
+        if n not in here:
+            rows = rows.unionByName(stage(df, **{n: one}))
+    return rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in stages])
 
 
 def off_modal(measures: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:

@@ -158,6 +158,16 @@ def _reads(df):
     return df._jdf.queryExecution().optimizedPlan().collectLeaves().size()
 
 
+def test_funnel_reads_heads_once(spark):
+    h = spark.createDataFrame([(0, 0, 1.0, True), (0, 0, None, False), (0, 1, 2.0, None), (1, 0, None, True)], "d int, page int, onset double, kept boolean")
+    printed = F.when(F.col("d") == 0, F.count(F.lit(1)) + 1)
+    got = Q.funnel(h, F.col("kept"), ~F.col("kept"), printed, ["d", "page"])
+    frames = Q.funnel(h, h.where("kept"), h.where("NOT kept"), h.groupBy("d", "page").agg(printed.alias("printed")), ["d", "page"])
+    mixed = Q.funnel(h, F.col("kept"), h.where("NOT kept"), printed, ["d", "page"])
+    assert _reads(got) == 1
+    assert sorted(got.collect()) == sorted(frames.collect()) == sorted(mixed.collect()) and sorted(got.collect())[0] == (0, 0, 3, 2, 1, 1, 1)
+
+
 def test_grace_timing_reads_few_times(spark):
     rows = [(0, 0, "1", "g", 0, 1.0, 0.0, True, False, 0.5, None, None), (0, 0, "1", "a", 1, 1.0, 1.0, False, False, None, None, None),
             (0, 0, "2", "b", 2, 0.0, 4.0, False, False, None, None, None), (1, 0, "1", "c", 0, 0.0, 4.0, False, False, None, None, None)]
