@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quaverlake.functions.pitch import LETTERS, clef_reference, midi_of_diatonic
-from quaverlake.operators.asof import asof_join, asof_next
+from quaverlake.operators.asof import asof_join
 from quaverlake.operators.bands import stab_join
 from quaverlake.operators.ranks import top_n_per_key, upper_median
 from quaverlake.operators.segments import for_long, previous, row_index
@@ -220,21 +220,26 @@ def restore_deficit(heads: DataFrame, notes: DataFrame, measures: DataFrame, key
     other free ones, left to right. A restored note lasts as long as its voice's notes there, else to the
     voice's next head, else to the end of the bar.
     """
-    group = [*keys, "role", "__t"]
-    h = heads.filter(F.col("onset").isNotNull()).withColumn("__t", tick(F.col("onset"))).withColumn("__v", F.coalesce("voice", F.lit("1")))
-    n = notes.withColumn("__t", tick(F.col("start")))
-    per_pitch = n.groupBy(*group, "midi").agg(F.count(F.lit(1)).alias("__known"))
-    sizes = h.groupBy(*group).agg(F.count(F.lit(1)).alias("__heads"))
-    have = n.groupBy(*group).agg(F.count(F.lit(1)).alias("__notes"))
-    short = (sizes.join(have, group, "left").withColumn("__deficit", F.col("__heads") - F.coalesce("__notes", F.lit(0)))
-             .filter(F.col("__deficit") > 0).select(*group, "__deficit"))
-    ranked = row_index(h.join(short, group), [*group, "midi"], ["cx", "source_id"], "__r").join(per_pitch, [*group, "midi"], "left")
-    spare = ranked.withColumn("__rep", (F.col("__r") <= F.coalesce("__known", F.lit(0))).cast("int")).filter(~F.col("used"))
-    picked = row_index(spare, group, ["__rep", "cx", "source_id"], "__k").filter(F.col("__k") <= F.col("__deficit"))
-    same = n.groupBy(*group, F.col("voice").alias("__v")).agg(F.max("duration").alias("__dur"))
-    later = h.select(*keys, "role", "__v", F.col("onset").alias("onset"), F.col("onset").alias("__next")).distinct()
-    out = picked.join(same, [*group, "__v"], "left")
-    out = asof_next(out, later, [*keys, "role", "__v"], "onset", ["__next"])
+    group, line = [*keys, "role", "__t"], [*keys, "role", "__head", "__v"]
+    h = (heads.filter(F.col("onset").isNotNull()).dropna(subset=[*keys, "role"]).withColumn("__t", tick(F.col("onset"))).withColumn("__v", F.coalesce("voice", F.lit("1")))
+         .select(*group, "__v", "midi", F.lit(True).alias("__head"), "source_id", "onset", "cx", "used", F.lit(None).cast(notes.schema["duration"].dataType).alias("__d")))
+    empty = {c: F.lit(None).cast(h.schema[c].dataType) for c in ("source_id", "onset", "cx", "used")}
+    n = notes.withColumn("__t", tick(F.col("start"))).select(*group, F.col("voice").alias("__v"), "midi", F.lit(False).alias("__head"),
+                                                             *[c.alias(k) for k, c in empty.items()], F.col("duration").alias("__d"))
+
+    def over(*by: str) -> WindowSpec:
+        return Window.partitionBy(*by)
+
+    # Heads and notes of one staff stand side by side, so what notes say of heads is a window, not a join.
+    both = h.unionByName(n)
+    both = both.withColumn("__after", F.lead("onset").over(over(*line).orderBy("onset")))
+    both = both.withColumn("__next", F.max(F.when(F.col("__after") > F.col("onset"), F.col("__after"))).over(over(*line, "onset")))
+    both = both.withColumn("__dur", F.max("__d").over(over(*group, "__v")))
+    both = both.withColumn("__known", F.when(F.col("midi").isNotNull(), F.count_if(~F.col("__head")).over(over(*group, "midi"))).otherwise(0))
+    both = both.withColumn("__r", F.row_number().over(over(*group, "midi", "__head").orderBy("cx", "source_id")))
+    both = both.withColumn("__deficit", (F.count_if("__head").over(over(*group)) - F.count_if(~F.col("__head")).over(over(*group))))
+    spare = both.filter(F.col("__head") & (F.col("__deficit") > 0) & ~F.col("used")).withColumn("__rep", (F.col("__r") <= F.col("__known")).cast("int"))
+    out = row_index(spare, group, ["__rep", "cx", "source_id"], "__k").filter(F.col("__k") <= F.col("__deficit"))
     out = out.join(measures.select(*keys, F.col("length").alias("__len")), list(keys))
     duration = F.coalesce(F.col("__dur"), F.coalesce("__next", "__len") - F.col("onset"))
     return (out.withColumn("duration", duration).filter(F.col("duration") > TICK)

@@ -158,6 +158,17 @@ def _reads(df):
     return df._jdf.queryExecution().optimizedPlan().collectLeaves().size()
 
 
+def test_restore_deficit_reads_few_times(spark):
+    hs = spark.createDataFrame([(0, 0, "a", 0.0, 60, "1", 1.0, False), (0, 0, "b", 0.0, 62, "1", 2.0, False), (0, 0, "c", 1.0, 64, "1", 3.0, False), (0, 0, "d", 1.0, 64, "1", 4.0, True),
+                                (0, 0, "e", 3.0, 65, None, 5.0, False), (0, 0, "f", 3.0, None, "2", 6.0, False)],
+                               "m int, role int, source_id string, onset double, midi int, voice string, cx double, used boolean")
+    ns = spark.createDataFrame([(0, 0, 0.0, 60, "1", 0.5), (0, 0, 1.0, 64, None, 9.0), (0, 0, 3.0, None, "2", 0.25)], "m int, role int, start double, midi int, voice string, duration double")
+    got = A.restore_deficit(hs, ns, spark.createDataFrame([(0, 4.0)], "m int, length double"), ["m"])
+    # b: its pitch is missing, as long as its voice's note; c: one of two heads; e: to the end of the bar; f's note has no pitch, so both heads there are open
+    assert sorted((r.source_id, r.start, r.duration, r.voice) for r in got.collect()) == [("b", 0.0, 0.5, "1"), ("c", 1.0, 2.0, "1"), ("e", 3.0, 1.0, "1")]
+    assert _reads(got) == 3
+
+
 def test_funnel_reads_heads_once(spark):
     h = spark.createDataFrame([(0, 0, 1.0, True), (0, 0, None, False), (0, 1, 2.0, None), (1, 0, None, True)], "d int, page int, onset double, kept boolean")
     printed = F.when(F.col("d") == 0, F.count(F.lit(1)) + 1)
