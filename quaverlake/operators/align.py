@@ -333,22 +333,20 @@ def extend_tail(heads: DataFrame, notes: DataFrame, measures: DataFrame, rests:
               & (F.abs(F.col("__start1") - F.col("__start2") - F.col("__d")) <= TICK) & (F.abs(F.col("__start2") - F.col("__start3") - F.col("__d")) <= TICK)
               & (space > 0) & (F.abs(F.col("__x2") - F.col("__x3") - space) <= space * 0.15))
     a = a.filter(steady).select(*line, "__d", "__v", F.col("__x1"), space.alias("__space"), (F.col("__start1") + F.col("__d")).alias("__end"))
+    # Nothing may start or sound where the tail would stand.
+    starts = notes.groupBy(*line).agg(F.max("start").alias("__s"))
+    ends = rests.groupBy(*line).agg(F.max(F.col("start") + F.col("duration")).alias("__x"))
+    a = (a.join(measures.select(*keys, "length"), list(keys)).join(starts, line, "left").join(ends, line, "left")
+         .filter(~F.coalesce((F.col("__s") >= F.col("__end")) | (F.col("__x") > F.col("__end")), F.lit(False))))
     tail = heads.filter(~F.col("used")).join(a, line).filter(F.col("cx") > F.col("__x1")).withColumn("__chord", F.coalesce("chord_id", "source_id"))
-    groups = tail.groupBy(*line, "__chord").agg(F.min("cx").alias("__first"))
-    groups = row_index(groups, line, ["__first", "__chord"], "__g")
-    t = tail.join(groups, [*line, "__chord"])
+    whole = Window.partitionBy(*line)
+    t = tail.withColumn("__first", F.min("cx").over(Window.partitionBy(*line, "__chord")))
+    t = t.withColumn("__g", F.dense_rank().over(whole.orderBy("__first", "__chord")).cast("bigint"))
     bad = (F.col("onset").isNotNull() | F.col("voice").isNotNull() | (F.coalesce("confidence", F.lit(0.0)) < 0.8) | F.col("uncertain")
            | (F.col("shape") != "NOTEHEAD_BLACK") | (F.abs(F.col("cx") - F.col("__x1") - F.col("__g") * F.col("__space")) > F.col("__space") * 0.2))
-    check = t.groupBy(*line).agg(F.max("__g").alias("__count"), F.max(bad.cast("int")).alias("__bad"), F.first("__end").alias("__end"), F.first("__d").alias("__d"))
-    check = check.join(measures.select(*keys, "length"), list(keys)).filter(
-        (F.col("__bad") == 0) & (F.abs(F.col("__end") + F.col("__count") * F.col("__d") - F.col("length")) <= TICK))
-    ends = check.select(*line, F.col("__end").alias("__e"))
-    busy = (notes.select(*line, F.col("start").alias("__s"), F.lit(None).cast("double").alias("__x"))
-            .unionByName(rests.select(*line, F.lit(None).cast("double").alias("__s"), (F.col("start") + F.col("duration")).alias("__x")))
-            .join(ends, line).filter((F.col("__s") >= F.col("__e")) | (F.col("__x") > F.col("__e"))).select(*line).distinct())
-    good = check.select(*line).join(busy, line, "left_anti")
-    return t.join(good, line, "left_semi").select(*line, "source_id", (F.col("__end") + (F.col("__g") - 1) * F.col("__d")).alias("start"),
-                                                  F.col("__d").alias("duration"), F.col("__v").alias("voice"))
+    t = t.withColumns({"__count": F.max("__g").over(whole), "__bad": F.max(bad.cast("int")).over(whole)})
+    return (t.filter((F.col("__bad") == 0) & (F.abs(F.col("__end") + F.col("__count") * F.col("__d") - F.col("length")) <= TICK))
+            .select(*line, "source_id", (F.col("__end") + (F.col("__g") - 1) * F.col("__d")).alias("start"), F.col("__d").alias("duration"), F.col("__v").alias("voice")))
 
 
 def mark_groups(notes: DataFrame, signs: DataFrame, keys: Sequence[str], page: Sequence[str]) -> DataFrame:

@@ -219,6 +219,7 @@ def test_uniform_run_and_tail(spark):
     first = spark.createDataFrame([(0, 0, f"h{i}", float(i), 1.0, "1", False) for i in range(3)], notes.schema)
     assert [(r.source_id, r.start, r.voice) for r in A.extend_tail(tail_heads, first, bars, rests, ["m"]).collect()] == [("h3", 3.0, "1")]
     assert A.extend_tail(tail_heads, first, bars.withColumn("length", F.lit(5.0)), rests, ["m"]).isEmpty()
+    assert _reads(A.extend_tail(tail_heads, first, bars, rests, ["m"])) <= 6
 
 
 def test_choose_variants(spark):
