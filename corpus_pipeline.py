@@ -15,7 +15,7 @@ from quaverlake.llm.ordinal import scored, toxicity_model
 from quaverlake.llm.packing import pack_texts
 from quaverlake.llm.queries import table, tokenizer_path
 from quaverlake.llm.repeats import strip_repeats
-from quaverlake.llm.tables import sized, spare, written
+from quaverlake.llm.tables import settled, sized, spare, written
 from quaverlake.llm.templates import without_leaks
 
 
@@ -27,6 +27,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates: that of the smallest id (without ids, the smallest text hash). Empty documents stay."""
+    settled(spark)
     key = spare(docs, "__key")
     keyed = docs.withColumn(key, F.format_string("%020d-%016x", F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)), F.xxhash64("text")))
     groups = similar_documents(keyed, id_col=key)
@@ -38,16 +39,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of 200-byte strings that start in two places; the length column follows the text."""
+    settled(spark)
     return strip_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, in its own words or re-parameterised."""
+    settled(spark)
     return without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 2048 tokens."""
+    settled(spark)
     return pack_texts(docs, tokenizer_path())
 
 

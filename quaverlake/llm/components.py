@@ -21,7 +21,7 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
-            low.where("m < u").select("u", F.col("m").alias("v"))).distinct()
+            low.where("m < u").select("u", F.col("m").alias("v")))  # no more rows than edges and nodes; repeated ones go with the small star's
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             least.select("u", F.col("m").alias("v"))).distinct()

@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 from quaverlake.llm import words
 from quaverlake.llm.components import components
-from quaverlake.llm.tables import map_batches, sized, written
+from quaverlake.llm.tables import map_batches, settled, sized, written
 
 #: Shingle names are counted by their first 20 bits: a table of fixed size, whatever the corpus.
 COUNT_BITS = 20
@@ -284,6 +284,11 @@ def _mixed(shared: DataFrame, grouped: DataFrame) -> DataFrame:
     return rooted.withColumn("lo", F.min("root").over(by_token)).withColumn("hi", F.max("root").over(by_token)).where("lo < hi").drop("lo", "hi")
 
 
+def _stars(grouped: DataFrame) -> DataFrame:
+    """The links of each component as (a, b) from its root to its nodes: what is joined already needs no more rounds."""
+    return grouped.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
 def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
     """(id, n_shingles, component_id) of every row: its set's size and the smallest id that it reaches by links.
 
@@ -306,20 +311,23 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                    .where((F.col("a") != F.col("b")) & alike).select("a", "b").distinct())
     links = _linked(near, texts, nodes, n, percent)
 
+    settled(docs.sparkSession)
     # more groups: each node with two nodes for each first shingle that it shares beyond its group, one by chance and the one that shares most
     by_token = Window.partitionBy("token")
     first = _first_shingles(texts, ["key", "text"], n, percent, _levels(survey))
     shared = written(first.withColumn("lo", F.min("node").over(by_token)).withColumn("hi", F.max("node").over(by_token)).where("lo < hi").drop("lo", "hi"))
-    mixed = written(_mixed(shared, written(components(links))))
+    grouped = written(components(links))
+    mixed = written(_mixed(shared, grouped))
     ranked = mixed.join(sized(written(mixed.groupBy("node").agg(F.count("*").alias("shares")))), "node").withColumn("lot", F.xxhash64("token", "node"))
     drawn = ranked.groupBy("token").agg(F.array(F.min(F.struct("lot", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("of"))).getField("b"),
                                                 F.max(F.struct("shares", "node")).getField("node")).alias("heads"))
     met = mixed.join(drawn, "token").select(F.col("node").alias("a"), "n", "root", F.explode(F.array_distinct("heads")).alias("b")).where("a <> b").distinct()
     beside = mixed.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("of")).distinct()
     near = met.join(beside, "b").where((F.col("root") != F.col("of")) & alike)
-    links = written(links.union(_linked(written(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), texts, nodes, n, percent)))
-    grouped = written(components(links))
+    links = _linked(written(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), texts, nodes, n, percent)
+    grouped = written(components(_stars(grouped).union(links)))
 
+    settled(docs.sparkSession)
     # the matrix: first shingles that more than one component holds
     mixed = written(_mixed(shared, grouped).distinct())
     sizes = grouped.groupBy("root").agg(F.count("*").alias("members"))
@@ -333,9 +341,9 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                          .select("a", "root", "part").distinct())
     open_to = written(members.join(candidates.select("root", "part").distinct(), ["root", "part"], "left_semi").select("root", "part", "node"))
     bits = _bits(texts, n, _asked(nodes, open_to.select("node"), candidates.select("a")))
-    links = links.union(_confirmed(_opened(candidates, open_to, bits, percent), texts, nodes, n, percent))
+    links = _confirmed(_opened(candidates, open_to, bits, percent), texts, nodes, n, percent)
 
-    roots = written(components(links))
+    roots = written(components(_stars(grouped).union(links)))
     placed = rows.join(sized(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("least"))
     return placed.join(least, "root", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -59,6 +60,13 @@ def spare(df: DataFrame, name: str) -> str:
     return name
 
 
+def settled(spark: SparkSession) -> None:
+    """Gives the driver's unused heap back to the system: plans and broadcasts of steps that are done are only freed by a full collection,
+    and a heap that once grew stays large without one."""
+    gc.collect()  # what Python let go of is held by the JVM until then
+    spark.sparkContext._jvm.System.gc()
+
+
 def _tidied(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``work`` that gives memory back to the system after each batch and each task, since workers live on beside the executor's heap."""
 

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from quaverlake.llm import jaccard as J
+from quaverlake.llm.components import components
 
 
 def _families(*sizes):
@@ -76,3 +77,18 @@ def test_many_askers_of_one_part_are_dealt_out(spark, monkeypatch):
     rows = _families(40, 40)
     got = {r.doc_id: r.component_id for r in J.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: i // 40 * 40 for i in range(80)}
+
+
+def test_components_go_on_from_stars(spark):
+    first = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (10, 11)], "a long, b long")
+    more = spark.createDataFrame([(4, 10), (20, 21)], "a long, b long")
+    again = components(J._stars(components(first)).union(more))
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, components(first.union(more)).collect())) == [(1, 1), (2, 1), (3, 1), (4, 1), (10, 1), (11, 1), (20, 20), (21, 20)]
+
+
+def test_stages_give_driver_memory_back(spark, monkeypatch):
+    import corpus_pipeline
+    docs, called = spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), []
+    monkeypatch.setattr(corpus_pipeline, "settled", lambda s: called.append(s))
+    corpus_pipeline.packing(spark, docs, "")
+    assert called == [spark]
