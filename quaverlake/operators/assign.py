@@ -17,20 +17,21 @@ def greedy_assign(pairs: DataFrame, left: str, right: str, cost: Sequence[str],
     Costs are compared as a tuple together with both ids, so the order is total. In each round
     every pair that is the cheapest of both its members is taken and its members leave; the
     cheapest remaining pair always qualifies, so the rounds end with nothing left and the result
-    equals the sequential greedy pass. Each round is two combined aggregates and two joins.
+    equals the sequential greedy pass. Each round is two combined aggregates, whose results alone
+    are joined, and two joins that drop the pairs of members that left. Copies of a pair come out
+    once; pairs without a key or a member don't compete.
     """
-    rank = F.struct(*cost, left, right)
     lk, rk = [*keys, left], [*keys, right]
-    rest = cut_lineage(pairs.withColumn("__rank", rank))
-    taken = None
+    rank = F.struct(*cost, left, right, *[c for c in pairs.columns if c not in {*cost, *lk, *rk}])
+    cheapest = lambda of: rest.groupBy(*of).agg(F.min(rank).alias("__rank")).select(*keys, "__rank.*")
+    both = [*lk, right]
+    for c in both:
+        pairs = pairs.filter(F.col(c).isNotNull())
+    rest, taken = cut_lineage(pairs), None
     while True:
-        best_l = rest.groupBy(*lk).agg(F.min("__rank").alias("__ml"))
-        best_r = rest.groupBy(*rk).agg(F.min("__rank").alias("__mr"))
-        mutual = cut_lineage(rest.join(best_l, lk).join(best_r, rk)
-                             .filter((F.col("__rank") == F.col("__ml")) & (F.col("__rank") == F.col("__mr")))
-                             .drop("__ml", "__mr"))
+        mutual = cut_lineage(cheapest(lk).join(cheapest(rk).select(*both), both).select(*pairs.columns))
         taken = mutual if taken is None else taken.unionByName(mutual)
         rest = cut_lineage(rest.join(mutual.select(*lk), lk, "left_anti")
-                           .join(mutual.select(*rk), rk, "left_anti"))
+                           .join(mutual.select(*rk), rk, "left_anti").select(*pairs.columns))
         if rest.isEmpty():
-            return taken.drop("__rank")
+            return taken

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from quaverlake.functions.pitch import diatonic_label
 from quaverlake.operators.asof import asof_join
 from quaverlake.operators.assign import greedy_assign
-from quaverlake.operators.bands import band_join, box_join, overlap_join, stab_join
+from quaverlake.operators.bands import band_join, box_join, cell, overlap_join, stab_join
 from quaverlake.operators.ranks import top_n_per_key, upper_median
 from quaverlake.operators.segments import carry_last, following, islands, previous, running_max, running_min, running_sum, settle
+from quaverlake.session import cut_lineage
 
 # Tolerances in points or staff spaces, glyph code points.
 MATCH_DISTANCE = 1.5
@@ -25,6 +26,7 @@ MIN_CLEF_OVERLAP = 3.0
 MIN_GRADE = 0.4
 NOTEHEADS = {0xE0A2: "WHOLE_NOTE", 0xE0A3: "NOTEHEAD_VOID", 0xE0A4: "NOTEHEAD_BLACK"}
 LINK_DX, LINK_DY = 16.0, 45.0
+BAND_PAIRS = 2
 NORMAL_NOTEHEAD = 5.0
 DENOMINATORS, PLAIN_DENOMINATORS = (1, 2, 4, 8, 16, 32), (2, 4, 8, 16)
 
@@ -104,12 +106,47 @@ def place_on_staff(points: DataFrame, staves: DataFrame, keys: Sequence[str], po
 
 def link_by_position(labels: DataFrame, heads: DataFrame, keys: Sequence[str]) -> DataFrame:
     """J-15: labels (``label_id``, ``x``, ``y``, ``pc``) to heads (``head_id``, ``hx``, ``hy``, ``hpc``) of the same
-    pitch class, one to one, cheapest pair first. Every pair inside the gates competes."""
+    pitch class, one to one, cheapest pair first. Every pair inside the gates competes.
+
+    Pairs grow with the square of the points of a page, so they are made in bands of cost, cheapest first, each
+    twice as wide as the one before. A greedy pass leaves no pair of its band, so the next band needs only the
+    points that are left, and the passes together take what one pass over all pairs would.
+    """
+    by = [*keys, "pc"]
+    left = cut_lineage(labels.select(*by, "label_id", "x", "y", (F.col("x") * 2).alias("u")).filter(F.col("label_id").isNotNull()))
+    right = cut_lineage(heads.withColumnRenamed("hpc", "pc").select(*by, "head_id", "hx", "hy", (F.col("hx") * 2).alias("hu")))
     dx, dy = F.abs(F.col("hx") - F.col("x")), F.abs(F.col("hy") - F.col("y"))
-    ok = (F.col("pc") == F.col("hpc")) & (dx <= LINK_DX) & (dy <= LINK_DY)
-    pairs = (band_join(labels, heads, keys, "x", "hx", LINK_DX, ok)
-             .select(*keys, "label_id", "head_id", (dx * 2 + dy).alias("cost")))
-    return greedy_assign(pairs, "label_id", "head_id", ["cost"], keys)
+    most = LINK_DX * 2 + LINK_DY
+    limit, taken = _first_band(left, right, by, most), None
+    while True:
+        # a little wider than the limit, so that rounding puts no pair into a later band
+        reach = [F.lit(min(limit, gate) * 1.001) for gate in (LINK_DX * 2, LINK_DY)]
+        near = box_join(left, right, by, "u", "y", (F.col("hu") - reach[0], F.col("hy") - reach[1], F.col("hu") + reach[0],
+                                                    F.col("hy") + reach[1]), min(limit, LINK_DY) * 2)
+        pairs = (near.filter((dx <= LINK_DX) & (dy <= LINK_DY) & (dx * 2 + dy <= limit))
+                 .select(*keys, "head_id", "label_id", (dx * 2 + dy).alias("cost")))
+        band = greedy_assign(pairs, "label_id", "head_id", ["cost"], keys)
+        taken = band if taken is None else taken.unionByName(band)
+        if limit >= most:
+            return taken
+        left = cut_lineage(left.join(band.select(*keys, "label_id"), [*keys, "label_id"], "left_anti"))
+        right = cut_lineage(right.join(band.select(*keys, "head_id"), [*keys, "head_id"], "left_anti"))
+        limit *= 2
+
+
+def _first_band(labels: DataFrame, heads: DataFrame, by: Sequence[str], most: float) -> float:
+    """``most``, halved until a label has about ``BAND_PAIRS`` heads in a cell as wide, or halving no longer helps."""
+    rows, limit, before = labels.count(), most, float("inf")
+    while True:
+        def counts(df: DataFrame, u: str, v: str, name: str) -> DataFrame:
+            return (df.groupBy(*by, cell(F.col(u), limit).alias("cu"), cell(F.col(v), limit).alias("cv"))
+                    .agg(F.count("*").alias(name)))
+
+        met = (counts(labels, "u", "y", "labels").join(counts(heads, "hu", "hy", "heads"), [*by, "cu", "cv"])
+               .agg(F.sum(F.col("labels") * F.col("heads"))).first()[0] or 0)
+        if met <= BAND_PAIRS * rows or met > 0.75 * before:
+            return limit
+        limit, before = limit / 2, met
 
 
 def dedup_positions(df: DataFrame, keys: Sequence[str], seq: str, x: str = "x", y: str = "y",

@@ -52,6 +52,23 @@ def test_greedy_assign(spark, rng):
     assert got == want
 
 
+def test_link_by_position_makes_few_pairs(spark, rng, monkeypatch):
+    points = [(i, rng.randint(0, 80) / 2, rng.randint(0, 80) / 2, i % 2) for i in range(400)]
+    heads = [(i, rng.randint(0, 80) / 2, rng.randint(0, 80) / 2, i % 2) for i in range(350)]
+    made = []
+    monkeypatch.setattr(G, "greedy_assign", lambda pairs, *a: made.append(pairs.count()) or greedy_assign(pairs, *a))
+    odd = [(None, 1.0, 1.0, 0), (900, None, 1.0, 0), (901, 1.0, float("nan"), 0), (902, 1.0, 1.0, None)]
+    got = G.link_by_position(spark.createDataFrame([(0, *p) for p in points + odd], "page int, label_id int, x double, y double, pc int"),
+                             spark.createDataFrame([(0, *h) for h in heads + odd], "page int, head_id int, hx double, hy double, hpc int"), ["page"])
+    cost = sorted((2 * abs(x - hx) + abs(y - hy), a, b) for a, x, y, pc in points for b, hx, hy, hpc in heads if pc == hpc and abs(x - hx) <= 16 and abs(y - hy) <= 45)
+    left, right, want = set(), set(), set()
+    for c, a, b in cost:
+        if a not in left and b not in right:
+            left.add(a), right.add(b), want.add((a, b, c))
+    assert {(r.label_id, r.head_id, r.cost) for r in got.collect()} == want
+    assert len(made) > 1 and sum(made) < len(cost) / 4  # not every pair inside the gates is made
+
+
 def test_carry_direction(spark):
     marks = [  # y, x, direction, sign, one line, at edge, label at edge; the direction it ends with
         (0.0, 5.0, 1, 1, True, True, False, 1), (1.0, 5.0, None, -1, True, True, False, 1), (2.0, 5.0, None, 1, True, False, False, 1),
