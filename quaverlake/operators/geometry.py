@@ -41,17 +41,21 @@ def link_labels(labels: DataFrame, notes: DataFrame, keys: Sequence[str], eps: f
     """J-11: for each label line (``label_id``, ``x``, ``y``) the notes (``note_id``, ``seq``, ``nx``, ``ny``)
     whose centre lies within ``eps``, once each, in note order.
 
-    Labels meet only notes of their own and the neighbouring grid cells. Copies of a note are
-    combined before its id is listed.
+    Pairs grow with the square of the notes of a page, so none is shuffled: the notes that a label of a grid cell
+    can reach are one sorted list, a few times as long as the lists of the result, and each label picks from the
+    list of its cell. A note is copied to the cells of its box; copies of a note are listed once.
     """
-    near = (F.col("x") - F.col("nx")) ** 2 + (F.col("y") - F.col("ny")) ** 2
-    hits = box_join(labels, notes, keys, "x", "y", (F.col("nx") - eps, F.col("ny") - eps, F.col("nx") + eps,
-                                                    F.col("ny") + eps), max(eps * 4, 8.0)).filter(F.sqrt(near) <= eps)
-    first = hits.groupBy(*keys, "label_id", "note_id").agg(F.min("seq").alias("seq"))
-    lists = first.groupBy(*keys, "label_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("seq", "note_id"))), lambda s: s["note_id"]).alias("notes"))
-    return (labels.join(lists, [*keys, "label_id"], "left")
-            .withColumn("notes", F.coalesce("notes", F.array().cast(lists.schema["notes"].dataType))))
+    size = max(eps, 8.0)
+    spread = (notes.withColumn("__cx", F.explode(F.sequence(cell(F.col("nx") - eps, size), cell(F.col("nx") + eps, size))))
+              .withColumn("__cy", F.explode(F.sequence(cell(F.col("ny") - eps, size), cell(F.col("ny") + eps, size)))))
+    cells = [*keys, "__cx", "__cy"]
+    lists = spread.groupBy(*cells).agg(F.array_sort(F.collect_list(F.struct("seq", "note_id", "nx", "ny"))).alias("__notes"))
+    near = F.filter("__notes", lambda n: F.sqrt((F.col("x") - n["nx"]) ** 2 + (F.col("y") - n["ny"]) ** 2) <= eps)
+    found = F.array_distinct(F.transform(near, lambda n: n["note_id"]))
+    return (labels.withColumn("__cx", cell(F.col("x"), size)).withColumn("__cy", cell(F.col("y"), size))
+            .join(lists, cells, "left")
+            .withColumn("notes", F.coalesce(found, F.array().cast(f"array<{notes.schema['note_id'].dataType.simpleString()}>")))
+            .drop("__cx", "__cy", "__notes"))
 
 
 def uncovered_points(points: DataFrame, boxes: DataFrame, keys: Sequence[str], margin: float = MATCH_DISTANCE,

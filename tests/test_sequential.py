@@ -69,6 +69,20 @@ def test_link_by_position_makes_few_pairs(spark, rng, monkeypatch):
     assert len(made) > 1 and sum(made) < len(cost) / 4  # not every pair inside the gates is made
 
 
+def test_link_labels_shuffles_no_pairs(spark, rng):
+    places = [(rng.randint(-60, 60) / 2, rng.randint(-60, 60) / 2) for _ in range(300)]
+    labels = [(i % 2, i, *places[i]) for i in range(120)] + [(0, 900, None, 1.0), (None, 901, 1.0, 1.0), (5, 902, 1.0, 1.0)]
+    notes = [(i % 2, f"n{i // 3}", 1000 - i, *places[i]) for i in range(300)] + [(0, "none", 1, 1.0, None), (None, "none", 1, 1.0, 1.0)]  # copies of a note at three places
+    got = G.link_labels(spark.createDataFrame(labels, "page int, label_id int, x double, y double"),
+                        spark.createDataFrame(notes, "page int, note_id string, seq int, nx double, ny double"), ["page"], 9.0)
+    want = {}
+    for page, label, x, y in labels:
+        near = sorted((seq, n) for p, n, seq, nx, ny in notes if None not in (p, x, ny) and p == page and ((x - nx) ** 2 + (y - ny) ** 2) ** 0.5 <= 9)
+        want[label] = list(dict.fromkeys(n for _, n in near))
+    assert {r.label_id: r.notes for r in got.collect()} == want and max(map(len, want.values())) > 10
+    assert got._jdf.queryExecution().analyzed().toString().count("Aggregate [") == 1  # notes of a cell; pairs are not gathered by a shuffle
+
+
 def test_carry_direction(spark):
     marks = [  # y, x, direction, sign, one line, at edge, label at edge; the direction it ends with
         (0.0, 5.0, 1, 1, True, True, False, 1), (1.0, 5.0, None, -1, True, True, False, 1), (2.0, 5.0, None, 1, True, False, False, 1),
