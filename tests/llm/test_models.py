@@ -224,6 +224,29 @@ def test_recall_on_vectors_of_unequal_length(spark, lengths):
     assert np.mean(shares) >= 0.9 and min(shares) >= 0.6
 
 
+def test_nearest_moves_a_vector_once_a_block(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quaverlake.llm import polytope
+    r = np.random.default_rng(9)
+    rows = [(i, r.normal(size=16).tolist()) for i in range(900)]
+    rows += [(3, rows[3][1])] * 40 + [(4, rows[5][1])]  # a row that stands 41 times counts once, an id of two vectors is two rows
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    moved, grouped = [], polytope._grouped
+    monkeypatch.setattr(polytope, "_grouped", lambda members, queries, *a: moved.append((members.count(), queries.count())) or grouped(members, queries, *a))
+
+    def found():
+        return sorted((g.query_id, g["rank"], g.vec_id, g.score) for g in polytope.nearest(frame, F.col("id") % 9 == 3, k=6).collect())
+
+    whole = found()
+    assert moved[0] == (941, 140)  # one block: each row and each query once
+    monkeypatch.setattr(polytope, "HELD", 16 * 100)
+    assert found() == whole and moved[2] == (941 * 2, 140 * 10)  # ten blocks in two turns
+    best = {q: sorted((-float(np.dot(v, w)), j) for j, w in dict(rows[:900]).items() if j != q)[:6] for q, v in rows[3:900:9]}
+    assert collections.Counter(q for q, *_ in whole) == {q: 6 for q in best}
+    assert np.mean([len({j for _, j in b} & {j for p, _, j, _ in whole if p == q}) for q, b in best.items()]) >= 5.4
+
+
 def test_recall_on_the_table(spark):
     from quaverlake.llm.queries import QUERIES
     found = collections.defaultdict(set)
