@@ -11,7 +11,7 @@ from quaverlake.session import cut_lineage
 
 
 def greedy_assign(pairs: DataFrame, left: str, right: str, cost: Sequence[str],
-                  keys: Sequence[str] = ()) -> DataFrame:
+                  keys: Sequence[str] = (), few: int = 0) -> DataFrame:
     """J-15: the pairs a greedy pass in order of ``cost`` would take.
 
     Costs are compared as a tuple together with both ids, so the order is total. In each round
@@ -19,7 +19,8 @@ def greedy_assign(pairs: DataFrame, left: str, right: str, cost: Sequence[str],
     cheapest remaining pair always qualifies, so the rounds end with nothing left and the result
     equals the sequential greedy pass. Each round is two combined aggregates, whose results alone
     are joined, and two joins that drop the pairs of members that left. Copies of a pair come out
-    once; pairs without a key or a member don't compete.
+    once; pairs without a key or a member don't compete. With ``few``, rounds end where no more pairs are left:
+    what they took is right, and a caller that makes the pairs of the members left goes on from there.
     """
     lk, rk = [*keys, left], [*keys, right]
     rank = F.struct(*cost, left, right, *[c for c in pairs.columns if c not in {*cost, *lk, *rk}])
@@ -33,5 +34,5 @@ def greedy_assign(pairs: DataFrame, left: str, right: str, cost: Sequence[str],
         taken = mutual if taken is None else taken.unionByName(mutual)
         rest = cut_lineage(rest.join(mutual.select(*lk), lk, "left_anti")
                            .join(mutual.select(*rk), rk, "left_anti").select(*pairs.columns))
-        if rest.isEmpty():
+        if rest.count() <= few:
             return taken

@@ -26,7 +26,7 @@ MIN_CLEF_OVERLAP = 3.0
 MIN_GRADE = 0.4
 NOTEHEADS = {0xE0A2: "WHOLE_NOTE", 0xE0A3: "NOTEHEAD_VOID", 0xE0A4: "NOTEHEAD_BLACK"}
 LINK_DX, LINK_DY = 16.0, 45.0
-BAND_PAIRS = 2
+BAND_PAIRS, BAND_REST = 2, 20
 NORMAL_NOTEHEAD = 5.0
 DENOMINATORS, PLAIN_DENOMINATORS = (1, 2, 4, 8, 16, 32), (2, 4, 8, 16)
 
@@ -113,15 +113,17 @@ def link_by_position(labels: DataFrame, heads: DataFrame, keys: Sequence[str]) -
     pitch class, one to one, cheapest pair first. Every pair inside the gates competes.
 
     Pairs grow with the square of the points of a page, so they are made in bands of cost, cheapest first, each
-    twice as wide as the one before. A greedy pass leaves no pair of its band, so the next band needs only the
-    points that are left, and the passes together take what one pass over all pairs would.
+    twice as wide as the one before, and of the points that are left. A pair that is the cheapest of both its
+    points in a band is so among all pairs, so the bands together take what one pass over all pairs would; what a
+    band leaves undecided is made again in the next.
     """
     by = [*keys, "pc"]
     left = cut_lineage(labels.select(*by, "label_id", "x", "y", (F.col("x") * 2).alias("u")).filter(F.col("label_id").isNotNull()))
     right = cut_lineage(heads.withColumnRenamed("hpc", "pc").select(*by, "head_id", "hx", "hy", (F.col("hx") * 2).alias("hu")))
     dx, dy = F.abs(F.col("hx") - F.col("x")), F.abs(F.col("hy") - F.col("y"))
     most = LINK_DX * 2 + LINK_DY
-    limit, taken = _first_band(left, right, by, most), None
+    rows = left.count()
+    limit, taken = _first_band(left, right, by, most, BAND_PAIRS * rows), None
     while True:
         # a little wider than the limit, so that rounding puts no pair into a later band
         reach = [F.lit(min(limit, gate) * 1.001) for gate in (LINK_DX * 2, LINK_DY)]
@@ -129,7 +131,7 @@ def link_by_position(labels: DataFrame, heads: DataFrame, keys: Sequence[str]) -
                                                     F.col("hy") + reach[1]), min(limit, LINK_DY) * 2)
         pairs = (near.filter((dx <= LINK_DX) & (dy <= LINK_DY) & (dx * 2 + dy <= limit))
                  .select(*keys, "head_id", "label_id", (dx * 2 + dy).alias("cost")))
-        band = greedy_assign(pairs, "label_id", "head_id", ["cost"], keys)
+        band = greedy_assign(pairs, "label_id", "head_id", ["cost"], keys, 0 if limit >= most else rows // BAND_REST)
         taken = band if taken is None else taken.unionByName(band)
         if limit >= most:
             return taken
@@ -138,9 +140,9 @@ def link_by_position(labels: DataFrame, heads: DataFrame, keys: Sequence[str]) -
         limit *= 2
 
 
-def _first_band(labels: DataFrame, heads: DataFrame, by: Sequence[str], most: float) -> float:
-    """``most``, halved until a label has about ``BAND_PAIRS`` heads in a cell as wide, or halving no longer helps."""
-    rows, limit, before = labels.count(), most, float("inf")
+def _first_band(labels: DataFrame, heads: DataFrame, by: Sequence[str], most: float, pairs: int) -> float:
+    """``most``, halved until cells as wide hold about ``pairs`` pairs, or halving no longer helps."""
+    limit, before = most, float("inf")
     while True:
         def counts(df: DataFrame, u: str, v: str, name: str) -> DataFrame:
             return (df.groupBy(*by, cell(F.col(u), limit).alias("cu"), cell(F.col(v), limit).alias("cv"))
@@ -148,7 +150,7 @@ def _first_band(labels: DataFrame, heads: DataFrame, by: Sequence[str], most: fl
 
         met = (counts(labels, "u", "y", "labels").join(counts(heads, "hu", "hy", "heads"), [*by, "cu", "cv"])
                .agg(F.sum(F.col("labels") * F.col("heads"))).first()[0] or 0)
-        if met <= BAND_PAIRS * rows or met > 0.75 * before:
+        if met <= pairs or met > 0.75 * before:
             return limit
         limit, before = limit / 2, met
 
